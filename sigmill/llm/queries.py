@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, tokencount, toxicity
+from . import decontaminate, languages, mixing, neighbours, simhash, tokencount, toxicity
 from .common import crc_mod, read
 from .oracles import ORACLES
 
@@ -36,6 +36,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(3, 1), "score", predicted)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return languages.predict(docs, *languages.fit(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score", "n_langs")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
+        "op3_neighbours": op3_neighbours,
+        "op5_languages": op5_languages,
         "op6_mix_sources": op6_mix_sources,
         "op7_simhash": op7_simhash,
         "op9_token_count": op9_token_count,
