@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, mixing, neighbours, simhash, tokencount, toxicity
+from . import decontaminate, languages, mixing, neighbours, pii, simhash, tokencount, toxicity
 from .common import crc_mod, read
 from .oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_languages": op5_languages,
         "op6_mix_sources": op6_mix_sources,
         "op7_simhash": op7_simhash,
+        "op8_pii": op8_pii,
         "op9_token_count": op9_token_count,
     }
 
