@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, mixing, neighbours, pii, simhash, tokencount, toxicity
+from . import decontaminate, languages, maxent, mixing, neighbours, pii, simhash, tokencount, toxicity
 from .common import crc_mod, read
 from .oracles import ORACLES
 
@@ -40,6 +40,11 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return maxent.score(docs, maxent.fit(docs))
+
+
 def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return languages.predict(docs, *languages.fit(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score", "n_langs")
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_toxicity": op2_toxicity,
         "op3_neighbours": op3_neighbours,
+        "op4_language_model": op4_language_model,
         "op5_languages": op5_languages,
         "op6_mix_sources": op6_mix_sources,
         "op7_simhash": op7_simhash,
