@@ -29,3 +29,37 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(f.
        sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words h USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
+
+ORACLES["op10_preferences"] = """
+WITH placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), sides AS (
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS is_chosen, place, role, text,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM placed
+), aligned AS (
+  SELECT pair_id, place, max(shown) FILTER (WHERE is_chosen) AS c, max(shown) FILTER (WHERE NOT is_chosen) AS r
+  FROM sides GROUP BY pair_id, place
+), prefix AS (
+  SELECT pair_id, coalesce(min(place) FILTER (WHERE c IS DISTINCT FROM r), max(place) + 1) - 1 AS n_prompt_turns
+  FROM aligned GROUP BY pair_id
+), rest AS (
+  SELECT s.*, coalesce(sum(length(shown)) OVER (PARTITION BY s.pair_id, is_chosen ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM sides s JOIN prefix p USING (pair_id) WHERE place > n_prompt_turns
+), completions AS (
+  SELECT pair_id, is_chosen, string_agg(shown, '' ORDER BY place) AS body,
+         coalesce(string_agg(CAST(begins + length(role) + 5 AS BIGINT) || '-' || CAST(begins + length(shown) - 1 AS BIGINT), ',' ORDER BY place)
+                  FILTER (WHERE role = 'assistant'), '') AS mask
+  FROM rest GROUP BY pair_id, is_chosen
+), prompts AS (
+  SELECT pair_id, string_agg(c, '' ORDER BY place) AS prompt FROM aligned JOIN prefix USING (pair_id) WHERE place <= n_prompt_turns GROUP BY pair_id
+)
+SELECT p.pair_id, CAST(p.n_prompt_turns AS BIGINT) AS n_prompt_turns, coalesce(q.prompt, '') AS prompt,
+       coalesce(a.body, '') AS chosen, coalesce(a.mask, '') AS chosen_mask,
+       coalesce(b.body, '') AS rejected, coalesce(b.mask, '') AS rejected_mask
+FROM prefix p LEFT JOIN prompts q USING (pair_id)
+LEFT JOIN completions a ON a.pair_id = p.pair_id AND a.is_chosen
+LEFT JOIN completions b ON b.pair_id = p.pair_id AND NOT b.is_chosen
+"""
+

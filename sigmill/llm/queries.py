@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, languages, maxent, mixing, neighbours, pii, simhash, tokencount, toxicity
+from . import decontaminate, languages, maxent, mixing, neighbours, pii, preferences, simhash, tokencount, toxicity
 from .common import crc_mod, read
 from .oracles import ORACLES
 
@@ -68,6 +68,12 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.format_pairs(preferences.adjacent_pairs(read(spark, sf_dir, "conversations")))
+    masks = {c: preferences.listed(c) for c in ("chosen_mask", "rejected_mask")}
+    return pairs.withColumns(masks)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": op7_simhash,
         "op8_pii": op8_pii,
         "op9_token_count": op9_token_count,
+        "op10_preferences": op10_preferences,
     }
 
 
