@@ -12,7 +12,7 @@ times its source's size, the excess going to the others by weight (water
 filling, solved exactly from running sums).
 
 Everything is relational. Positions within a source come from sums over
-`SHUFFLE_BUCKETS` hash ranges and a running sum inside each range, so a source
+4096 hash ranges and a running sum inside each range, so a source
 with any share of the rows is spread over that many tasks.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
@@ -31,7 +31,8 @@ from .common import checkpoint
 CYCLE = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20_240_601
-SHUFFLE_BUCKETS = 1024
+#: A source's shuffled order is cut into 16 to this power ranges of its hash.
+SHUFFLE_DIGITS = 3
 #: Blocks that the smallest target gets, unless the schedule would exceed MAX_SLOTS.
 SLOTS_OF_SMALLEST = 64
 MAX_SLOTS = 2_000_000
@@ -143,10 +144,10 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_
     sized = checkpoint(docs.select("doc_id", "source", size_of("text").alias("size")))
     plan = targets(sized, cycle, max_repeats)
     plan = checkpoint(plan.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).cast("long")))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id")))
     few = plan.count() <= MAX_BROADCAST_SOURCES
     placed = sized.join(F.broadcast(plan) if few else plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    placed = placed.withColumn("order", order).withColumn("part", F.expr(f"pmod(shiftright(order, 40), {SHUFFLE_BUCKETS})"))
+    placed = placed.withColumn("order", order).withColumn("part", F.left("order", F.lit(SHUFFLE_DIGITS)))
     sums = placed.groupBy("sid", "part").agg(F.sum("size").alias("part_size"))
     sums = sums.withColumn(
         "before", F.sum("part_size").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1))

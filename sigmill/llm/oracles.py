@@ -63,3 +63,29 @@ LEFT JOIN completions a ON a.pair_id = p.pair_id AND a.is_chosen
 LEFT JOIN completions b ON b.pair_id = p.pair_id AND NOT b.is_chosen
 """
 
+# A source takes its first floor(target) words of the repeated shuffled stream, whatever order the schedule serves sources in.
+ORACLES["op6_mix_sources"] = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         md5('20240601:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled
+  FROM documents
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight, source_size * 3.0::DOUBLE AS cap FROM totals
+), ranked AS (
+  SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM weighed
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked
+), solved AS (SELECT level FROM levels WHERE level <= ratio ORDER BY place LIMIT 1
+), plan AS (SELECT l.source, source_size, least(cap, (SELECT level FROM solved) * weight) AS target FROM levels l
+), placed AS (
+  SELECT s.*, p.source_size, p.target, floor(p.target) AS quota,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(quota, begins + size) - begins) + greatest(0, least(quota, source_size + begins + size) - source_size - begins)
+            + greatest(0, least(quota, 2 * source_size + begins + size) - 2 * source_size - begins) AS BIGINT) AS taken
+FROM placed
+"""
