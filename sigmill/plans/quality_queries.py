@@ -44,6 +44,23 @@ def model_selection(spark, sf_dir):
     return metrics.select_threshold(_sweep(spark, sf_dir, 10, 40), 0.3)
 
 
+@query(
+    "pair_stats",
+    """WITH vecs AS (SELECT vec_id, embedding::DOUBLE[] AS vec, label FROM embeddings),
+    pairs AS (SELECT round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity, a.label AS l, b.label AS r FROM vecs a JOIN vecs b ON a.label % 3 = b.label % 3 AND a.vec_id < b.vec_id)
+    SELECT l = r AS same, l = 0 OR r = 0 AS excluded, count(*) AS pairs, min(similarity) AS least, round(avg(similarity), 6) AS mean, max(similarity) AS most FROM pairs GROUP BY 1, 2""",
+)
+def pair_stats(spark, sf_dir):
+    """Pairs of one gate by equal label, label 0 standing for a missing one: counts and the span of their similarities."""
+    rows = embeddings(spark, sf_dir).withColumn("gate", F.col("label") % 3)
+    right = rows.select("gate", F.col("vec_id").alias("r"), F.col("vec").alias("rv"), F.col("label").alias("rl"))
+    pairs = rows.join(right, "gate").filter("vec_id < r").withColumn("similarity", F.round(cosine(F.col("vec"), F.col("rv")), 6))
+    keys = [(F.col("label") == F.col("rl")).alias("same"), ((F.col("label") == 0) | (F.col("rl") == 0)).alias("excluded")]
+    return pairs.groupBy(*keys).agg(
+        F.count("*").alias("pairs"), F.min("similarity").alias("least"), F.round(F.avg("similarity"), 6).alias("mean"), F.max("similarity").alias("most")
+    )
+
+
 LABELS_SQL = "rows AS (SELECT label, vec_id % 17 AS cluster, vec_id FROM embeddings)"
 
 
@@ -168,6 +185,9 @@ HEADS = (
     "지정가 매도 2026년 8월 15일 오후 3시 20분에 시도. ",
     "2026-08-15 23:33 시장가 주문을 넣 은 뒤 멈춤. ",
     "그냥 이야기입니다. ",
+    "OTP: 123456 입력했는데 오류. ",
+    "제 패스워드는 abcd1234 입니다. ",
+    "제 번호는 900101-1234567 이고 잔고 오류. ",
 )
 _HEADS_SQL = "[" + ", ".join(f"'{h}'" for h in HEADS) + "]"
 TEXTS_SQL = f"WITH texts AS (SELECT doc_id, {_HEADS_SQL}[CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)] || left(text, 200) AS text, doc_id % 7 AS n FROM documents)"
@@ -306,7 +326,12 @@ def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
 
 
-@query("pii_reject")
+@query(
+    "pii_reject",
+    f"""{TEXTS_SQL} SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(^|[^0-9])[0-9]{{6}}\\s*[- ]\\s*[1-4][0-9]{{6}}($|[^0-9])') THEN 'RESIDENT_REGISTRATION_NUMBER' END,
+    CASE WHEN regexp_matches(text, '(?i)(OTP|일회용\\s*비밀번호)\\s*[:：은는]?\\s*[0-9]{{4,8}}') THEN 'OTP' END,
+    CASE WHEN regexp_matches(text, '(?i)(비밀번호|패스워드)\\s*[:：은는]?\\s*[A-Za-z0-9!@#$%^&*]{{4,30}}') THEN 'PASSWORD' END) AS kinds FROM texts""",
+)
 def pii_reject(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", F.array_join(text.reject_kinds(F.col("text")), ",").alias("kinds"))
 

@@ -313,3 +313,16 @@ def similarity_pairs(spark, sf_dir):
     right = rows.select("label", F.col("vec_id").alias("right_id"), F.col("vec").alias("right_vec"))
     met = rows.withColumnRenamed("vec_id", "left_id").join(right, "label").filter("left_id < right_id")
     return met.select("left_id", "right_id", F.round(V.cosine(F.col("vec"), F.col("right_vec")), 6).alias("similarity"))
+
+
+@query("recent_buckets", f"WITH {REPORTS_SQL} SELECT date_trunc('hour', received_at) AS bucket_start, count(*) AS reports FROM reports GROUP BY 1 ORDER BY 1 DESC LIMIT 12")
+def recent_buckets(spark, sf_dir):
+    hour = F.date_trunc("hour", "received_at").cast("timestamp_ntz").alias("bucket_start")
+    return reports(spark, sf_dir).groupBy(hour).agg(F.count("*").alias("reports")).orderBy(F.col("bucket_start").desc()).limit(12)
+
+
+@query("maintenance_hour", "SELECT event_id, (hour(ts) + 9) % 24 = 3 AS due FROM events")
+def maintenance_hour(spark, sf_dir):
+    """Whether an event in UTC falls into the hour from three o'clock in Seoul."""
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Seoul")
+    return table(spark, sf_dir, "events").select("event_id", (F.hour(local) == 3).alias("due"))
