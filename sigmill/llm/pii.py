@@ -200,9 +200,9 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFra
     )
     word = F.substring("pattern", 2, 1_000_000)
     freq = supported.withColumn("word", word).join(_frequencies(docs, supported), "word").select("pattern", "freq")
-    graph = occurrences.join(freq, "pattern").select("pattern", "instance", "seed", "freq")
-    # One edge for each pattern and instance, with the times that they meet.
-    graph = checkpoint(graph.groupBy("pattern", "instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"), F.first("freq").alias("freq")))
+    # One edge for each pattern and instance, with the times that they meet; summed up before a frequent pattern's rows meet.
+    edges = occurrences.groupBy("pattern", "instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"))
+    graph = checkpoint(edges.join(freq, "pattern"))
     scores = graph.groupBy("instance").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
     confidence = None
     for _ in range(rounds):

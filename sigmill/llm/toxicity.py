@@ -11,13 +11,13 @@ Weights go to the words whose document counts depart from the share of toxic
 documents by `MIN_Z` deviations, the others keep weight zero: a rare word of
 one toxic document can't explain its label.
 
-The classifier is fitted on at most `max_train` labelled documents, the ones
-whose hashed ids come first; scoring covers every document and whole texts.
+The classifier is fitted on about `max_train` labelled documents, chosen by
+hashed ids; scoring covers every document and whole texts.
 
 Defined cases: a null or empty text counts as one sentence without words; ids
 with several labels are toxic if one label is; a null label is no label; rows
 with a null doc_id are scored, never learned from, and count as held out;
-repeated rows are scored alike; without any usable label every score is 0.5^20.
+repeated rows are scored alike; without any usable label a sentence scores about 0.5^20.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ RATE = 0.6
 MIN_DOCUMENTS = 3
 MIN_Z = 4.0
 MAX_FEATURES = 20_000
+PARTITIONS = 6
 THRESHOLD = 0.7
 
 #: Sentences end at . ! ? and line ends; other bytes as for words.
@@ -91,14 +92,14 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(text, toxic) of at most max_train labelled documents whose crc32 remainder by 3 is not 1."""
-    usable = (
-        labels.filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", 3) != 1))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_train)
-    )
+    """(text, toxic) of about max_train labelled documents whose crc32 remainder by 3 is not 1.
+
+    Where there are more, those whose hashed id lies below the matching share are taken.
+    """
+    usable = labels.filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = max_train / max(1, usable.count())
+    if share < 1:
+        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "toxic")
 
 
@@ -184,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, steps: i
     features = select(bags)
     if not features:
         return Model(-20 * float(np.log(2)), {})
-    bags = checkpoint(bags.mapInArrow(_narrow(features), schema))
+    # At most max_train bags of a few words each: few partitions spare the steps their scheduling.
+    bags = checkpoint(bags.mapInArrow(_narrow(features), schema).coalesce(PARTITIONS))
     width = len(features)
     weights, bias = np.zeros(width), -6.0
     moment, square = np.zeros(width + 1), np.zeros(width + 1)
@@ -207,16 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, steps: i
                 values = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
                 of_bias, of_weights = bag_gradient(w, b, batch.column(0).to_numpy(), sizes, values)
                 total += np.concatenate([of_weights, [of_bias, batch.num_rows]])
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-        # Sums in a fixed order, so that reruns agree to the last bit that matters.
-        summed = bags.mapInArrow(gradient, "at long, value double").groupBy("at").agg(
-            F.sum(F.col("value").cast("decimal(38,14)")).cast("double").alias("value")
-        )
-        grad = np.zeros(width + 2)
-        for row in summed.collect():  # width + 2 numbers at most
-            grad[row.at] = row.value
+        # One vector of the features' size from each of the few partitions, in their order, so that reruns agree.
+        grad = np.sum([np.frombuffer(row.total) for row in bags.mapInArrow(gradient, "total binary").collect()], axis=0)
         shared.destroy()
         grad = grad[:-1] / grad[-1]
         moment = 0.8 * moment + 0.2 * grad
