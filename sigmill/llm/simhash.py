@@ -242,6 +242,26 @@ def hex_of(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def one_of_each(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each component of parts (doc_id, digest, component), a row for each of docs.
+
+    The smallest doc_id stays, nulls last, then the smallest digest (md5 of the text); of equal rows any one.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")
+    least = parts.groupBy("component").agg(F.min(order).alias("least"))
+    kept = least.select(F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_digest")).withColumn("_kept", F.lit(True))
+    kept = checkpoint(kept)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.md5(F.col("text").cast("binary")).eqNullSafe(F.col("_digest"))
+    rows = docs.join(kept, same, "left_semi")
+    copies = parts.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    repeated = checkpoint(copies.join(kept, copies["_id"].eqNullSafe(kept["_id"]) & copies["_digest"].eqNullSafe(kept["_digest"]), "left_semi"))
+    if not repeated.isEmpty():
+        place = F.row_number().over(W.partitionBy("doc_id", F.md5(F.col("text").cast("binary"))).orderBy("doc_id"))
+        first = rows.join(repeated, same, "left_semi").withColumn("_place", place).filter("_place = 1")
+        rows = rows.join(repeated, same, "left_anti").unionByName(first.select(*docs.columns))
+    return rows.select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs, all columns, with the smallest doc_id of each component; of rows repeating an id one stays.
 
