@@ -166,11 +166,14 @@ def online_cluster_islands(spark, sf_dir):
     return clustering.islands(rows, ["issue_type"], 3600).select("report_id", "island")
 
 
-def _texts(spark, sf_dir):
-    """Documents with a Korean trouble sentence in front, chosen by doc_id, so that the rules have something to decide."""
+def _texts(spark, sf_dir, whole=False):
+    """Documents with a Korean trouble sentence in front, chosen by doc_id, so that the rules have something to decide.
+
+    TEXTS_SQL states the first 200 characters; whole gives all of them.
+    """
     heads = F.array(*[F.lit(h) for h in HEADS])
     head = F.element_at(heads, (F.col("doc_id") % len(HEADS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.left("text", F.lit(200))).alias("text"), (F.col("doc_id") % 7).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text") if whole else F.left("text", F.lit(200))).alias("text"), (F.col("doc_id") % 7).alias("n"))
 
 
 HEADS = (
@@ -305,7 +308,7 @@ def order_cues(spark, sf_dir):
 
 @query("occurred_at")
 def occurred_at(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", text.occurred_at(F.col("text")).alias("occurred_at"))
+    return _texts(spark, sf_dir, whole=True).select("doc_id", text.occurred_at(F.col("text")).alias("occurred_at"))
 
 
 @query("coerce_fields", "SELECT p_partkey, CAST(p_partkey AS BIGINT) AS quantity FROM part")
