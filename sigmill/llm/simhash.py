@@ -263,16 +263,9 @@ def one_of_each(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns, with the smallest doc_id of each component; of rows repeating an id one stays.
-
-    A component without any id keeps none of its rows apart, so rows with a null doc_id all stay.
-    """
-    out = grouped(checkpoint(fingerprints(docs, n)), radius).select("doc_id", F.col("component_id").alias("kept"))
-    keep = out.filter("doc_id = kept").select("doc_id").distinct()
-    rows = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    repeated = out.filter("doc_id = kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        copies = rows.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-        first = copies.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_place = 1")
-        rows = rows.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    """docs, all columns, with one row of each component: the smallest doc_id, a null id only where no row has one."""
+    rows = docs.withColumn("_digest", F.md5(F.col("text").cast("binary")))
+    nodes = rows.select(F.struct("doc_id", "_digest").alias("doc_id"), "text")
+    found = grouped(checkpoint(fingerprints(nodes, n)), radius)
+    parts = found.select("doc_id.doc_id", F.col("doc_id._digest").alias("digest"), F.col("component_id").alias("component"))
+    return one_of_each(docs, parts)
