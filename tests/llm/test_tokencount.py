@@ -1,4 +1,6 @@
+import json
 import random
+import re
 
 import pytest
 
@@ -35,11 +37,50 @@ def test_proven_strings_are_single_tokens():
     assert all(len(library.encode(s, add_special_tokens=False).ids) == 1 for s in random.Random(2).sample(sorted(proven), 500))
 
 
+def agree(texts):
+    with open(PATH, encoding="utf-8") as file:
+        content = file.read()
+    counter = T.Counter(content, T.prove(content), T.differing(content))
+    want = [len(e.ids) for e in Tokenizer.from_str(content).encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, n in zip(texts, want, strict=True) if counter.count(t) != n] == []
+
+
+def test_code_points_of_both_unicode_tables():
+    with open(PATH, encoding="utf-8") as file:
+        unsure = T.differing(file.read())
+    ends = [int(x, 16) for x in re.findall(r"\\U([0-9a-f]{8})", unsure)]
+    assert len(ends) > 20
+    points = {e + d for e in ends for d in (-2, -1, 0, 1, 2)} | set(range(0, 0x110000, 97)) | set(range(0x3000))
+    points = [chr(x) for x in sorted(points) if not 0xD800 <= x < 0xE000]
+    agree([text for c in points for text in (f"a{c}1.", f"{c}'s", f"'s{c}", f" {c} {c}\n{c}")])
+
+
+def test_random_strings():
+    rng = random.Random(5)
+    parts = ["a", " ", "'s", "\n", "'ll", "₞", "⁾", "¬", "1", "  ", "é", "\u3000", "\xa0", "<|endoftext|>"]
+    point = lambda: chr(rng.choice((rng.randrange(0xD800), rng.randrange(0xE000, 0x110000))))
+    agree(["₞'s's⁾\n¬\n", *("".join(rng.choice(parts) if rng.random() < 0.6 else point() for _ in range(rng.randrange(1, 20))) for _ in range(30_000))])
+
+
+@pytest.mark.parametrize("change", ["use_regex", "dropout", "ignore_merges", "lstrip", "rstrip", "single_word", "normalized"])
+def test_rules_that_the_shortcut_ignores_are_refused(change):
+    with open(PATH, encoding="utf-8") as file:
+        config = json.load(file)
+    if change == "use_regex":
+        config["pre_tokenizer"]["use_regex"] = False
+    elif change in ("dropout", "ignore_merges"):
+        config["model"][change] = 0.1 if change == "dropout" else True
+    else:
+        config["added_tokens"][0][change] = True
+    with pytest.raises(ValueError, match="not supported"):
+        T.supported(config)
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(T, "_MEMO", 10)
     with open(PATH, encoding="utf-8") as file:
         content = file.read()
-    counter = T.Counter(content, frozenset({"the"}))
+    counter = T.Counter(content, frozenset({"the"}), "")
     assert counter.count(" ".join(f"qzx{i}" for i in range(200))) == len(Tokenizer.from_str(content).encode(" ".join(f"qzx{i}" for i in range(200))).ids)
     assert len(counter) <= 12
 
