@@ -241,24 +241,30 @@ def client_masked(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<!\d)(?:\d{10,14}|\d{2,6}[ -]+\d{2,6}[ -]+\d{2,8})(?!\d)", "[계좌번호]")
 
 
+DATE = r"(\d{2}|\d{4})\s*(?:년|[-./])\s*(\d{1,2})\s*(?:월|[-./])\s*(\d{1,2})"
+CLOCK = r"(오전|오후)?\s*(\d{1,2})\s*(?:시(?:\s*(\d{1,2})\s*분)?|:\s*([0-5]\d))"
+
+
 def occurred_at(text: Column) -> Column:
-    """ISO date-time at +09:00 from a date and a time that the text names; null without both.
+    """ISO date-time at +09:00 from the first date and the first time that the text names; null without both.
 
-    An offline stand-in for a language model.
+    An offline stand-in for a language model. The text is searched once for each; the parts come from the short matches.
     """
-    date = r"((?:\d{2}|\d{4}))\s*(?:년|[-./])\s*(\d{1,2})\s*(?:월|[-./])\s*(\d{1,2})"
-    clock = r"(오전|오후)?\s*(\d{1,2})\s*(?:시(?:\s*(\d{1,2})\s*분)?|:\s*([0-5]\d))"
-    rest = F.regexp_replace(text, date + r"\s*일?", "|")
-    part = lambda source, pattern, i: F.nullif(F.regexp_extract(source, pattern, i), F.lit(""))
-    year = part(text, date, 1).cast("int")
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    hour = part(rest, clock, 2).cast("int")
-    half = part(rest, clock, 1)
-    hour = F.when((half == "오후") & (hour < 12), hour + 12).when((half == "오전") & (hour == 12), 0).otherwise(hour)
-    minute = F.coalesce(part(rest, clock, 3), part(rest, clock, 4), F.lit("0")).cast("int")
-    month, day = part(text, date, 2).cast("int"), part(text, date, 3).cast("int")
-    sound = month.between(1, 12) & day.between(1, 31) & hour.between(0, 23) & minute.between(0, 59)
-    return F.when(sound, F.format_string("%04d-%02d-%02dT%02d:%02d:00+09:00", year, month, day, hour, minute))
+    part = lambda match, pattern, i: F.nullif(F.regexp_extract(match, pattern, i), F.lit("")).cast("int")
+
+    def shown(day: Column, clock: Column) -> Column:
+        year, month, date = (part(day, DATE, i) for i in (1, 2, 3))
+        year = F.when(year < 100, year + 2000).otherwise(year)
+        half, hour = F.regexp_extract(clock, CLOCK, 1), part(clock, CLOCK, 2)
+        hour = F.when((half == "오후") & (hour < 12), hour + 12).when((half == "오전") & (hour == 12), 0).otherwise(hour)
+        minute = F.coalesce(part(clock, CLOCK, 3), part(clock, CLOCK, 4), F.lit(0))
+        sound = month.between(1, 12) & date.between(1, 31) & hour.between(0, 23) & minute.between(0, 59)
+        return F.when(sound, F.format_string("%04d-%02d-%02dT%02d:%02d:00+09:00", year, month, date, hour, minute))
+
+    day = F.regexp_extract(text, DATE, 0)
+    clock = F.regexp_extract(F.regexp_replace(text, DATE + r"\s*일?", "|"), CLOCK, 0)
+    found = F.transform(F.array(day), lambda d: F.when(d != "", F.struct(d.alias("day"), clock.alias("clock"))))
+    return F.transform(found, lambda f: shown(f["day"], f["clock"]))[0]
 
 
 def order_action(text: Column) -> Column:

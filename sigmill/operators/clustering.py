@@ -1,25 +1,38 @@
 """Clusterings whose result depends on a sequence of merges or arrivals.
 
-They run as grouped functions: Spark deals rows by gate (and, in the incremental
-case, by time islands, which cannot influence each other), and numpy works
-inside a group. `IncrementalGate` holds the incremental rules; the batch
-operator and the stream both drive it.
+Batch linkage merges pairs of clusters that are each other's best, all of them
+in one round, over an issue type of any size: average and complete linkage are
+reducible (a merged cluster is never nearer to a third than both its parts
+were), so these merges lead to the clusters that merging the best pair first
+leads to. A cluster is a row with its summed unit vectors; rounds compare blocks
+of clusters. Issue types of at most `SMALL` clusters, from the start or after
+some rounds, are finished in one task each by the plain sequence of merges.
+
+Arrival orders are folds over sorted partitions that hold open clusters, not
+their members' vectors.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine
+from .blocks import matrix, pairwise, rounded
 from .gates import EXCLUDED_TYPES, known_filters, micros
+from .incremental import Cluster, IncrementalGate, Policy
+from .shared import checkpoint
+from .signals import _sums, _unit, medoid
+
+__all__ = ["Cluster", "IncrementalGate", "Policy", "batch_clusters", "complete_link", "medoid_greedy", "online_clusters", "order_stability"]
 
 BATCH_THRESHOLD = 0.58
-TOLERANCE = 1e-6
-_OUT = "issue_type string, report_id {id}, representative_id {id}, similarity double"
+#: Clusters of an issue type up to which one task merges them: three matrices of their similarities are held.
+SMALL = 2048
+#: Scores that round to the same value are equal.
+DIGITS = 9
 
 
 def similarities(vectors):
@@ -32,28 +45,30 @@ def similarities(vectors):
     return np.clip(unit @ unit.T, -1, 1)
 
 
-def agglomerate(sims, threshold: float, linkage: str = "average") -> list[list[int]]:
+def agglomerate(sims, threshold: float, linkage: str = "average", sizes=None) -> list[list[int]]:
     """Merges the best pair of clusters while its score reaches the threshold; items are numbered in id order.
 
     Scores within 1e-9 of the best count as equal, and the pair with the smallest sorted members wins. Sums of cross
-    similarities (or minima, for complete linkage) are updated at each merge, so a step costs one row.
+    similarities (or minima, for complete linkage) are updated at each merge, so a step costs one row. sizes: how many
+    equal rows an item stands for.
     """
     import numpy as np
 
     n = len(sims)
     members: list[list[int] | None] = [[i] for i in range(n)]
+    sizes = np.ones(n) if sizes is None else np.array(sizes, float)
     cross = np.array(sims, float)
-    sizes = np.ones(n)
+    if linkage == "average":
+        cross *= sizes[:, None] * sizes
     alive = np.ones(n, bool)
-    score = cross.copy()
+    score = np.array(sims, float)
     np.fill_diagonal(score, -np.inf)
     while True:
         best = score.max() if n > 1 else -np.inf
         if best < threshold:
             break
         rows, cols = np.nonzero(score >= best - 1e-9)
-        pairs = sorted((members[a], members[b], a, b) for a, b in zip(rows.tolist(), cols.tolist(), strict=True) if members[a] < members[b])
-        _, _, a, b = pairs[0]
+        a, b = min(((a, b) for a, b in zip(rows.tolist(), cols.tolist(), strict=True) if members[a] < members[b]), key=lambda p: (members[p[0]], members[p[1]]))
         members[a] = sorted(members[a] + members[b])
         members[b], alive[b] = None, False
         cross[a] = np.minimum(cross[a], cross[b]) if linkage == "complete" else cross[a] + cross[b]
@@ -67,198 +82,251 @@ def agglomerate(sims, threshold: float, linkage: str = "average") -> list[list[i
     return sorted(m for m in members if m)
 
 
-def central(sims, cluster: list[int]) -> int:
-    """The member with the largest mean similarity to the others, the first of equals."""
+def central(units, left) -> int:
+    """The place in `left` of the item with the largest mean similarity to the others, the first of equals."""
     import numpy as np
 
-    if len(cluster) == 1:
-        return cluster[0]
-    part = sims[np.ix_(cluster, cluster)]
-    means = (part.sum(axis=1) - part.diagonal()) / (len(cluster) - 1)
-    return cluster[int(np.flatnonzero(means >= means.max() - 1e-12)[0])]
+    part = units[left]
+    means = (part @ part.sum(axis=0) - (part * part).sum(axis=1)) / max(1, len(left) - 1)
+    return int(np.flatnonzero(means >= means.max() - 1e-12)[0])
 
 
-def greedy_medoids(sims, threshold: float) -> list[list[int]]:
+def greedy_medoids(units, threshold: float) -> list[list[int]]:
     """Takes the most central remaining item with all that reach the threshold, again and again."""
-    left, out = list(range(len(sims))), []
-    while left:
-        middle = central(sims, left)
-        taken = [i for i in left if i == middle or sims[middle, i] >= threshold]
-        out.append(taken)
-        left = [i for i in left if i not in set(taken)]
+    import numpy as np
+
+    left, out = np.arange(len(units)), []
+    while len(left):
+        middle = central(units, left)
+        near = np.clip(units[left] @ units[left[middle]], -1, 1) >= threshold
+        near[middle] = True
+        out.append(left[near].tolist())
+        left = left[~near]
     return out
 
 
-def _grouped(rows: DataFrame, find) -> DataFrame:
-    """Applies find(similarity matrix) -> clusters in each issue type; excluded types stay alone."""
-    kind = rows.schema["report_id"].dataType.simpleString()
+def _nodes(rows: DataFrame, merge_equal: bool) -> tuple[DataFrame, DataFrame]:
+    """(issue_type, node, total, n) and (issue_type, report_id, node): rows with one vector form one node, zero vectors stay apart."""
+    unit = rows.select("issue_type", "report_id", _unit("vec").alias("unit"))
+    zero = ~F.exists("unit", lambda x: x != 0)
+    same = [F.col("issue_type"), F.col("unit"), F.when(zero | F.lit(not merge_equal), F.col("report_id"))]
+    least = unit.groupBy(*(c.alias(f"k{i}") for i, c in enumerate(same))).agg(F.min("report_id").alias("node"), F.count("*").alias("n"))
+    nodes = checkpoint(least.select(F.col("k0").alias("issue_type"), "node", F.col("k1").alias("unit"), F.col("n").cast("double").alias("n"), F.col("k2").alias("apart")))
+    keyed = unit.withColumn("apart", same[2])
+    met = keyed.join(nodes.drop("n"), [keyed["issue_type"] == nodes["issue_type"], keyed["unit"] == nodes["unit"], keyed["apart"].eqNullSafe(nodes["apart"])])
+    members = met.select(keyed["issue_type"], "report_id", "node")
+    scaled = F.transform("unit", lambda x: x * F.col("n"))
+    return nodes.select("issue_type", "node", scaled.alias("total"), "n"), members
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("report_id").reset_index(drop=True)
-        sims = similarities(group["vec"].tolist())
-        ids, out = group["report_id"].tolist(), []
-        for cluster in find(sims):
-            middle = central(sims, cluster)
-            out += [(group["issue_type"][0], ids[i], ids[middle], 1.0 if i == middle else float(sims[middle, i])) for i in cluster]
-        return pd.DataFrame(out, columns=["issue_type", "report_id", "representative_id", "similarity"])
 
-    wanted = rows.select("issue_type", "report_id", "vec")
-    alone = F.col("issue_type").isin(*EXCLUDED_TYPES)
-    found = wanted.filter(~alone).groupBy("issue_type").applyInPandas(run, _OUT.format(id=kind))
-    single = wanted.filter(alone).select("issue_type", "report_id", F.col("report_id").alias("representative_id"), F.lit(1.0).alias("similarity"))
-    return found.unionByName(single)
+def _large(nodes: DataFrame, small: int) -> DataFrame:
+    return nodes.groupBy("issue_type").count().filter(F.col("count") > small).select("issue_type")
 
 
-def batch_clusters(rows: DataFrame, threshold: float = BATCH_THRESHOLD) -> DataFrame:
-    """(issue_type, report_id, representative_id, similarity) of average-linkage clusters; independent of row order."""
-    return _grouped(rows, lambda sims: agglomerate(sims, threshold))
+def _mutual(best: DataFrame) -> DataFrame:
+    """(issue_type, keep, gone): pairs that are each other's best; best: issue_type, node, other."""
+    other = best.select("issue_type", F.col("node").alias("other"), F.col("other").alias("node"))
+    return best.join(other, ["issue_type", "node", "other"]).filter("node < other").select("issue_type", F.col("node").alias("keep"), F.col("other").alias("gone"))
 
 
-def complete_link(rows: DataFrame, threshold: float) -> DataFrame:
-    return _grouped(rows, lambda sims: agglomerate(sims, threshold, "complete"))
+def _best(offers: DataFrame) -> DataFrame:
+    """The best offer (score, then smaller other) of each node; offers: issue_type, node, other, score."""
+    place = F.max_by("other", F.struct("score", -F.col("other")))
+    return offers.groupBy("issue_type", "node").agg(place.alias("other"))
 
 
-def medoid_greedy(rows: DataFrame, threshold: float) -> DataFrame:
-    return _grouped(rows, lambda sims: greedy_medoids(sims, threshold))
+def _moved(rows: DataFrame, merges: DataFrame, column: str) -> DataFrame:
+    """rows with `column` following the merges."""
+    to = merges.select("issue_type", F.col("gone").alias(column), "keep")
+    return rows.join(to, ["issue_type", column], "left").withColumn(column, F.coalesce("keep", column)).drop("keep")
 
 
-@dataclass
-class Policy:
-    """Parameters of incremental clustering, the window in seconds; single_max scores by the nearest member, not the mean."""
+def _average_offers(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Each node's best partner in each block, by mean similarity, where it reaches the threshold."""
+    kind = nodes.schema["node"].dataType.simpleString()
 
-    window: float = 600
-    threshold: float = 0.56
-    min_sessions: int = 5
-    review_sessions: int = 10
-    tolerance: float = TOLERANCE
-    single_max: bool = False
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        def totals(table):
+            return np.concatenate([c.flatten().to_numpy() for c in table.column("total").chunks]).reshape(table.num_rows, -1)
+
+        order = [np.argsort(t.column("node").to_numpy()) for t in (left, right)]
+        a, b = left.take(pa.array(order[0])), right.take(pa.array(order[1]))
+        scores = totals(a) @ totals(b).T / (a.column("n").to_numpy()[:, None] * b.column("n").to_numpy())
+        scores = rounded(scores, DIGITS)
+        if same:
+            np.fill_diagonal(scores, -np.inf)
+        out = []
+        for mine, theirs, s in ((a, b, scores),) if same else ((a, b, scores), (b, a, scores.T)):
+            at = s.argmax(axis=1)
+            value = s[np.arange(len(s)), at]
+            keep = np.flatnonzero(value >= threshold - 10.0**-DIGITS)
+            ids, others = mine.column("node").take(pa.array(keep)), theirs.column("node").take(pa.array(at[keep]))
+            out.append(pa.table([mine.column("issue_type").take(pa.array(keep)), ids, others, pa.array(value[keep])], ["issue_type", "node", "other", "score"]))
+        return pa.concat_tables(out)
+
+    return pairwise(nodes, ["issue_type"], "node", compare, f"issue_type string, node {kind}, other {kind}, score double")
+
+
+def _average_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """Merges in the issue types of more than `small` nodes; the nodes left, and (issue_type, node, final) of the merged ones."""
+    final = None
+    while True:
+        large = _large(nodes, small)
+        merges = checkpoint(_mutual(_best(_average_offers(nodes.join(large, "issue_type", "left_semi"), threshold))))
+        if merges.isEmpty():
+            return nodes, final
+        step = merges.select("issue_type", F.col("gone").alias("node"), F.col("keep").alias("final"))
+        if final is None:
+            final = step
+        else:
+            final = _moved(final, merges, "final").unionByName(step)
+        final = checkpoint(final)
+        moved = _moved(nodes, merges, "node")
+        pairs = moved.groupBy("issue_type", "node").agg(F.collect_list("total").alias("totals"), F.sum("n").alias("n"))  # two at most
+        total = F.when(F.size("totals") == 1, F.col("totals")[0]).otherwise(F.zip_with(F.col("totals")[0], F.col("totals")[1], lambda x, y: x + y))
+        nodes = checkpoint(pairs.select("issue_type", "node", total.alias("total"), "n"))
 
 
-@dataclass
-class Cluster:
-    id: object
-    submission: object = None
-    error: object = None
-    status: str = "CANDIDATE"
-    first: int = 0
-    last: int = 0
-    raw: int = 0
-    sessions: int = 0
-    representative: object = None
-    #: (report id, session, time, unit vector, similarity at join)
-    members: list = field(default_factory=list)
+def _complete_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """As _average_rounds for complete linkage: pairs of clusters whose members are all linked, with their least similarity."""
+    kind = nodes.schema["node"].dataType.simpleString()
 
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        scores = rounded(np.clip(matrix(left, "total") @ matrix(right, "total").T, -1, 1), DIGITS)
+        near = scores >= threshold - 10.0**-DIGITS
+        if same:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        columns = [left.column("issue_type").take(pa.array(i)), left.column("node").take(pa.array(i)), right.column("node").take(pa.array(j)), pa.array(scores[i, j])]
+        return pa.table(columns, ["issue_type", "a", "b", "score"])
+
+    inside = nodes.join(_large(nodes, small), "issue_type", "left_semi")
+    edges = pairwise(inside, ["issue_type"], "node", compare, f"issue_type string, a {kind}, b {kind}, score double")
+    edges = checkpoint(edges.select("issue_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", F.lit(1).cast("long").alias("links")))
+    parts = inside.select("issue_type", "node", F.lit(1).cast("long").alias("parts"))
+    final = None
+    while True:
+        offers = edges.select("issue_type", F.col("a").alias("node"), F.col("b").alias("other"), "score")
+        offers = offers.unionByName(edges.select("issue_type", F.col("b").alias("node"), F.col("a").alias("other"), "score"))
+        merges = checkpoint(_mutual(_best(offers)))
+        if merges.isEmpty():
+            break
+        step = merges.select("issue_type", F.col("gone").alias("node"), F.col("keep").alias("final"))
+        final = checkpoint(step if final is None else _moved(final, merges, "final").unionByName(step))
+        parts = checkpoint(_moved(parts, merges, "node").groupBy("issue_type", "node").agg(F.sum("parts").alias("parts")))
+        moved = _moved(_moved(edges, merges, "a"), merges, "b").filter("a <> b")
+        ends = moved.select("issue_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", "links")
+        joined = ends.groupBy("issue_type", "a", "b").agg(F.min("score").alias("score"), F.sum("links").alias("links"))
+        sizes = parts.withColumnRenamed("node", "a").withColumnRenamed("parts", "pa"), parts.withColumnRenamed("node", "b").withColumnRenamed("parts", "pb")
+        whole = joined.join(sizes[0], ["issue_type", "a"]).join(sizes[1], ["issue_type", "b"]).filter(F.col("links") == F.col("pa") * F.col("pb"))
+        edges = checkpoint(whole.select("issue_type", "a", "b", "score", "links"))
+    left = nodes if final is None else nodes.join(final, ["issue_type", "node"], "left_anti")
+    return left, final
+
+
+def _in_task(nodes: DataFrame, find) -> DataFrame:
+    """(issue_type, node, final) by find(unit vectors, sizes) -> clusters, one task an issue type; final: a cluster's smallest node."""
+    kind = nodes.schema["node"].dataType.simpleString()
 
-def _same(a, b) -> bool:
-    return a is None or b is None or a == b
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
+        group = group.sort_values("node").reset_index(drop=True)
+        totals, sizes = np.array(group["total"].tolist(), float), group["n"].to_numpy()
+        ids, out = group["node"].tolist(), []
+        for cluster in find(totals / sizes[:, None], sizes):
+            out += [(group["issue_type"][0], ids[i], ids[min(cluster)]) for i in cluster]
+        return pd.DataFrame(out, columns=["issue_type", "node", "final"])
 
-class IncrementalGate:
-    """The open clusters of one gate (equal hard keys); reports come one after the other, their times in microseconds.
+    return nodes.groupBy("issue_type").applyInPandas(run, f"issue_type string, node {kind}, final {kind}")
 
-    A report joins the best cluster that its window, filters and threshold allow,
-    or opens a candidate; the cluster's evidence, state and medoid follow; then
-    open clusters that are close enough are merged, the smaller id staying.
-    first and last are the bounds of the evidence window, so a cluster can refuse
-    a late report although an old member is near it in time.
-    """
 
-    def __init__(self, policy: Policy):
-        self.policy = policy
-        self.window = round(policy.window * 1_000_000)
-        self.clusters: dict[object, Cluster] = {}
-        self.closed: list[tuple[object, object]] = []
+def _clusters(rows: DataFrame, rounds, find, merge_equal: bool, small: int) -> DataFrame:
+    """(issue_type, report_id, representative_id, similarity): rounds while an issue type is large, then one task each."""
+    wanted = rows.select("issue_type", "report_id", "vec")
+    alone = F.col("issue_type").isin(*EXCLUDED_TYPES)
+    grouped = wanted.filter(~alone)
+    nodes, members = _nodes(grouped, merge_equal)
+    left, done = (nodes, None) if _large(nodes, small).isEmpty() else rounds(nodes, small)
+    still_large = _large(left, small)
+    finished = left.join(still_large, "issue_type", "left_semi").select("issue_type", "node", F.col("node").alias("final"))
+    last = checkpoint(_in_task(left.join(still_large, "issue_type", "left_anti"), find).unionByName(finished))
+    members = members.join(last, ["issue_type", "node"], "left") if done is None else (
+        members.join(done.withColumnRenamed("final", "mid"), ["issue_type", "node"], "left")
+        .withColumn("node", F.coalesce("mid", "node"))
+        .drop("mid")
+        .join(last, ["issue_type", "node"], "left")
+    )
+    members = checkpoint(members.select("issue_type", "report_id", F.coalesce("final", "node").alias("cluster")))
+    named = grouped.join(members, ["issue_type", "report_id"])
+    key = F.struct("issue_type", "cluster")
+    middle = medoid(named.select(key.alias("signal_id"), F.col("report_id").alias("member_id"), "vec"), with_self=False, digits=12)
+    middle = middle.select("signal_id.issue_type", "signal_id.cluster", F.col("member_id").alias("representative_id"))
+    middle = checkpoint(middle.join(grouped.select("issue_type", F.col("report_id").alias("representative_id"), F.col("vec").alias("middle")), ["issue_type", "representative_id"]))
+    score = F.when(F.col("report_id") == F.col("representative_id"), 1.0).otherwise(cosine(F.col("vec"), F.col("middle")))
+    found = named.join(middle, ["issue_type", "cluster"]).select("issue_type", "report_id", "representative_id", score.alias("similarity"))
+    single = wanted.filter(alone).select("issue_type", "report_id", F.col("report_id").alias("representative_id"), F.lit(1.0).alias("similarity"))
+    return found.unionByName(single)
 
-    def add(self, report_id, session, at: int, vector, submission=None, error=None) -> object:
-        import numpy as np
 
-        p = self.policy
-        v = np.asarray(vector, float)
-        size = float(np.linalg.norm(v))
-        unit = v / size if size else v
-        best = None
-        for c in sorted(self.clusters.values(), key=lambda c: c.id):
-            if not (c.first <= at + self.window and c.last >= at - self.window and _same(c.submission, submission) and _same(c.error, error)):
-                continue
-            near = [m for m in c.members if abs(m[2] - at) <= self.window]
-            if not near:
-                continue
-            scores = np.array([m[3] for m in near]) @ unit
-            score = float(scores.max() if p.single_max else scores.mean())
-            if best is None or score > best[0]:
-                best = (score, c)
-        if best is None or best[0] < p.threshold - p.tolerance:
-            cluster, similarity = Cluster(report_id, submission, error, first=at, last=at), 1.0
-            self.clusters[report_id] = cluster
-        else:
-            similarity, cluster = best
-            cluster.submission = submission if cluster.submission is None else cluster.submission
-            cluster.error = error if cluster.error is None else cluster.error
-        cluster.members.append((report_id, session, at, unit, min(1.0, max(-1.0, similarity))))
-        self.refresh(cluster)
-        if not p.single_max:
-            self.reconcile(at, submission, error)
-        return next((c.id for c in self.clusters.values() if any(m[0] == report_id for m in c.members)), None)
-
-    def refresh(self, c: Cluster) -> None:
-        import numpy as np
+def batch_clusters(rows: DataFrame, threshold: float = BATCH_THRESHOLD, small: int = SMALL) -> DataFrame:
+    """(issue_type, report_id, representative_id, similarity) of average-linkage clusters; independent of row order."""
+    return _clusters(
+        rows,
+        lambda nodes, limit: _average_rounds(nodes, threshold, limit),
+        lambda units, sizes: agglomerate(units @ units.T, threshold, sizes=sizes),
+        threshold <= 1,
+        small,
+    )
 
-        p = self.policy
-        last = max(m[2] for m in c.members)
-        inside = [m for m in c.members if m[2] >= last - self.window]
-        c.first, c.last = min(m[2] for m in inside), last
-        c.raw, c.sessions = len(inside), len({m[1] for m in inside})
-        if c.status == "CANDIDATE" and c.sessions >= p.min_sessions:
-            c.status = "SIGNAL_DETECTED"
-        elif c.status == "SIGNAL_DETECTED" and c.sessions < p.min_sessions:
-            c.status = "CANDIDATE"
-        ordered = sorted(inside, key=lambda m: m[0])
-        units = np.array([m[3] for m in ordered])
-        means = units @ units.sum(axis=0) / len(units)
-        c.representative = ordered[int(np.flatnonzero(means >= means.max() - 1e-12)[0])][0]
-
-    def reconcile(self, anchor: int, submission, error) -> None:
-        import numpy as np
 
-        p = self.policy
-        near = {}
-        for c in self.clusters.values():
-            if c.status in ("CANDIDATE", "SIGNAL_DETECTED") and c.first <= anchor + self.window and c.last >= anchor - self.window:
-                if _same(c.submission, submission) and _same(c.error, error):
-                    units = [m[3] for m in c.members if abs(m[2] - anchor) <= self.window]
-                    if units:
-                        near[c.id] = np.array(units)
-        while len(near) > 1:
-            best = None
-            ids = sorted(near)
-            for i, a in enumerate(ids):
-                for b in ids[i + 1 :]:
-                    left, right = self.clusters[a], self.clusters[b]
-                    if _same(left.submission, right.submission) and _same(left.error, right.error):
-                        score = float(near[a].mean(axis=0) @ near[b].mean(axis=0))
-                        if best is None or score > best[0] + p.tolerance:
-                            best = (score, a, b)
-            if best is None or best[0] < p.threshold - p.tolerance:
-                return
-            _, a, b = best
-            target, source = self.clusters[a], self.clusters.pop(b)
-            target.members += source.members
-            target.submission = source.submission if target.submission is None else target.submission
-            target.error = source.error if target.error is None else target.error
-            near[a] = np.concatenate([near[a], near.pop(b)])
-            self.closed.append((b, a))
-            self.refresh(target)
+def complete_link(rows: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+    return _clusters(
+        rows,
+        lambda nodes, limit: _complete_rounds(nodes, threshold, limit),
+        lambda units, sizes: agglomerate(units @ units.T, threshold, "complete"),
+        threshold <= 1,
+        small,
+    )
+
+
+def _greedy_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """Takes one medoid of each issue type of more than `small` nodes a round."""
+    done = None
+    left = nodes
+    while not (large := _large(left, small)).isEmpty():
+        inside = left.join(large, "issue_type", "left_semi").select(F.col("issue_type").alias("signal_id"), F.col("node").alias("member_id"), F.col("total").alias("vec"))
+        middle = medoid(inside, with_self=False, digits=12).select(F.col("signal_id").alias("issue_type"), F.col("member_id").alias("final"))
+        middle = middle.join(left.select("issue_type", F.col("node").alias("final"), F.col("total").alias("middle")), ["issue_type", "final"])
+        near = (F.col("node") == F.col("final")) | (cosine(F.col("total"), F.col("middle")) >= threshold)
+        taken = checkpoint(left.join(middle, "issue_type").filter(near).select("issue_type", "node", "final"))
+        done = taken if done is None else checkpoint(done.unionByName(taken))
+        left = checkpoint(left.join(taken, ["issue_type", "node"], "left_anti"))
+    return left, done
+
+
+def medoid_greedy(rows: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+    """As batch_clusters, for the clusters that greedy_medoids takes."""
+    return _clusters(
+        rows, lambda nodes, limit: _greedy_rounds(nodes, threshold, limit), lambda units, sizes: greedy_medoids(units, threshold), False, small
+    )
 
 
 MEMBERS = "signal_id long, report_id long, similarity double, status string, raw_report_count long, unique_sessions long, first_at long, last_at long, representative_id long"
 
 
-def member_rows(gate: IncrementalGate) -> list[tuple]:
-    return [
-        (c.id, m[0], m[4], c.status, c.raw, c.sessions, c.first, c.last, c.representative)
-        for c in gate.clusters.values()
-        for m in c.members
-    ]
+def member_rows(clusters) -> list[tuple]:
+    out = []
+    for c in clusters:
+        state = (c.status, c.raw, c.sessions, c.first, c.last, c.representative)
+        out += [(c.id, m[0], m[4], *state) for m in c.members]
+    return out
 
 
 def islands(reports: DataFrame, keys: list[str], window: float) -> DataFrame:
@@ -268,63 +336,156 @@ def islands(reports: DataFrame, keys: list[str], window: float) -> DataFrame:
     return reports.withColumn("_new", new).withColumn("island", F.sum("_new").over(order)).drop("_new")
 
 
+def usable(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns that incremental clustering reads; rows without id, time or vector take no part."""
+    rows = known_filters(reports.withColumn("at", micros("received_at")))
+    rows = rows.select(*keys, "report_id", "session_id", "at", "vec", "submission_filter", "error_filter")
+    return rows.dropna(subset=["report_id", "at", "vec"])
+
+
 def online_clusters(reports: DataFrame, policy: Policy, keys: list[str]) -> DataFrame:
     """MEMBERS rows after all reports came in order of (received_at, report_id).
 
-    reports: keys, report_id, session_id, received_at, vec, submission_status, error_code.
+    reports: keys, report_id, session_id, received_at, vec, submission_status, error_code; of rows repeating a report_id
+    within a window one counts. A gate's reports stream through one task, which holds the clusters of the last window alone.
+    """
+    rows = islands(usable(reports, keys), keys, policy.window)
+    group = [*keys, "island"]
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "at", "report_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        gate, at, out = None, None, []
+
+        def emit(clusters):
+            out.extend(member_rows(clusters))
+
+        def flush():
+            names = [f.split()[0] for f in MEMBERS.split(", ")]
+            kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in MEMBERS.split(", ")]
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            out.clear()
+            return batch
+
+        seen: dict = {}  # ids of the last window with their times
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            heads = zip(*(columns[batch.schema.get_field_index(k)] for k in group), strict=True)
+            names = ("report_id", "session_id", "at", "vec", "submission_filter", "error_filter")
+            for head, row in zip(heads, zip(*(columns[batch.schema.get_field_index(k)] for k in names), strict=True), strict=True):
+                if head != at:
+                    if gate is not None:
+                        emit(gate.clusters.values())
+                    gate, at, seen = IncrementalGate(policy), head, {}
+                if seen.get(row[0], row[2] - gate.window - 1) >= row[2] - gate.window:
+                    continue
+                seen[row[0]] = row[2]
+                gate.add(*row)
+            if gate is not None:
+                emit(gate.passed())
+                seen = {k: t for k, t in seen.items() if t >= gate.latest - gate.window}
+            if len(out) > 20_000:
+                yield flush()
+        if gate is not None:
+            emit(gate.clusters.values())
+        yield flush()
+
+    return dealt.mapInArrow(run, MEMBERS)
+
+
+class Arrivals:
+    """The evaluator's clustering by arrival: join the first best cluster by mean similarity, else open one; optionally merge.
+
+    Clusters are sums of unit vectors with their members' ids. After an arrival only pairs of the changed cluster can have
+    come over the threshold, and the first of them in order is merged.
     """
-    rows = known_filters(reports.withColumn("at", micros("received_at")))
-    rows = islands(rows.select(*keys, "report_id", "session_id", "at", "vec", "submission_filter", "error_filter"), keys, policy.window)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        gate = IncrementalGate(policy)
-        none = lambda x: None if x is None or x != x else x
-        for r in group.sort_values(["at", "report_id"]).itertuples():
-            gate.add(r.report_id, r.session_id, r.at, r.vec, none(r.submission_filter), none(r.error_filter))
-        columns = [f.split()[0] for f in MEMBERS.split(", ")]
-        return pd.DataFrame(member_rows(gate), columns=columns)
+    def __init__(self, threshold: float, merging: bool):
+        self.threshold, self.merging = threshold, merging
+        self.members: list[list] = []
+        self.sums = self.sizes = None
 
-    return rows.groupBy(*keys, "island").applyInPandas(run, MEMBERS)
+    def add(self, report_id, vector) -> None:
+        import numpy as np
 
+        v = np.asarray(vector, float)
+        size = float(np.linalg.norm(v))
+        unit = v / size if size else v
+        n = len(self.members)
+        if self.sums is None:
+            self.sums, self.sizes = np.zeros((16, len(unit))), np.ones(16)
+        elif n == len(self.sums):
+            self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.ones(n)])
+        scores = self.sums[:n] @ unit / self.sizes[:n]
+        at = int(scores.argmax()) if n else -1
+        if n and scores[at] >= self.threshold:
+            self.members[at].append(report_id)
+            self.sums[at] += unit
+            self.sizes[at] += 1
+        else:
+            at = n
+            self.members.append([report_id])
+            self.sums[n], self.sizes[n] = unit, 1
+        while self.merging:
+            n = len(self.members)
+            scores = self.sums[:n] @ self.sums[at] / (self.sizes[:n] * self.sizes[at])
+            scores[at] = -np.inf
+            near = np.flatnonzero(scores >= self.threshold)
+            if not len(near):
+                return
+            a, b = sorted((at, int(near[0])))
+            self.members[a] += self.members.pop(b)
+            self.sums[a] += self.sums[b]
+            self.sizes[a] += self.sizes[b]
+            self.sums[b : n - 1], self.sizes[b : n - 1] = self.sums[b + 1 : n].copy(), self.sizes[b + 1 : n].copy()
+            at = a
 
-def arrival_clusters(sims, order, threshold: float, merging: bool = False) -> list[list[int]]:
-    """The evaluator's clustering by arrival: join the first best cluster by mean similarity, else open one; optionally merge."""
-    import numpy as np
 
-    clusters: list[list[int]] = []
-    for i in order:
-        scores = [float(np.mean(sims[i, c])) for c in clusters]
-        if scores and max(scores) >= threshold:
-            clusters[scores.index(max(scores))].append(i)
-        else:
-            clusters.append([i])
-        while merging:
-            found = next(
-                ((a, b) for a in range(len(clusters)) for b in range(a + 1, len(clusters)) if float(sims[np.ix_(clusters[a], clusters[b])].mean()) >= threshold),
-                None,
-            )
-            if found is None:
-                break
-            clusters[found[0]] += clusters.pop(found[1])
-    return clusters
+def arrivals(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False) -> DataFrame:
+    """(issue_type, order_id, report_id, cluster): the given, the reversed and shuffled arrival orders; cluster: its smallest id.
 
+    Each order of an issue type is a sorted stream through one task.
+    """
+    kind = rows.schema["report_id"].dataType.simpleString()
+    given = F.when(F.col("order_id") == 0, F.col("report_id")).when(F.col("order_id") == 1, -F.col("report_id")).otherwise(F.xxhash64("order_id", "report_id"))
+    numbered = rows.select("issue_type", "report_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("order_id"))
+    dealt = numbered.withColumn("place", given).repartition("issue_type", "order_id").sortWithinPartitions("issue_type", "order_id", "place", "report_id")
 
-def order_stability(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False) -> DataFrame:
-    """(issue_type, order_id, clusters, same_as_first) for the given, the reversed and seeded shuffled arrival orders."""
+    def run(batches):
+        import pyarrow as pa
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+        state, at, types = None, None, None
+
+        def found():
+            ids = [(x, min(c)) for c in state.members for x in c]
+            for i in range(0, len(ids), 20_000):
+                part = ids[i : i + 20_000]
+                columns = [pa.array([at[0]] * len(part), pa.string()), pa.array([at[1]] * len(part), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in part], types), pa.array([c for _, c in part], types)], ["issue_type", "order_id", "report_id", "cluster"])
+
+        for batch in batches:
+            types = batch.schema.field("report_id").type
+            columns = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("issue_type", "order_id", "report_id", "vec")}
+            for issue, order, report, vec in zip(*columns.values(), strict=True):
+                if (issue, order) != at:
+                    if state is not None:
+                        yield from found()
+                    state, at = Arrivals(threshold, merging), (issue, order)
+                state.add(report, vec)
+        if state is not None:
+            yield from found()
 
-        group = group.sort_values("report_id")
-        sims = similarities(group["vec"].tolist())
-        n, out, first = len(group), [], None
-        for number in range(orders):
-            order = np.arange(n) if number == 0 else np.arange(n)[::-1] if number == 1 else np.random.default_rng(number).permutation(n)
-            found = {frozenset(c) for c in arrival_clusters(sims, order.tolist(), threshold, merging)}
-            first = found if first is None else first
-            out.append((key[0], number, len(found), found == first))
-        return pd.DataFrame(out, columns=["issue_type", "order_id", "clusters", "same_as_first"])
-
-    return rows.select("issue_type", "report_id", "vec").groupBy("issue_type").applyInPandas(
-        run, "issue_type string, order_id int, clusters int, same_as_first boolean"
+    return dealt.mapInArrow(run, f"issue_type string, order_id int, report_id {kind}, cluster {kind}")
+
+
+def order_stability(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False) -> DataFrame:
+    """(issue_type, order_id, clusters, same_as_first): whether an arrival order leads to the clusters of the given one."""
+    each = arrivals(rows, threshold, orders, merging)
+    in_first = F.max(F.when(F.col("order_id") == 0, F.col("cluster"))).alias("first")
+    entries = F.collect_list(F.struct("order_id", "cluster")).alias("entries")  # one an order
+    by_report = each.groupBy("issue_type", "report_id").agg(in_first, entries).select("issue_type", "report_id", "first", F.inline("entries"))
+    return by_report.groupBy("issue_type", "order_id").agg(
+        F.sum((F.col("report_id") == F.col("cluster")).cast("int")).cast("int").alias("clusters"), F.every(F.col("cluster") == F.col("first")).alias("same_as_first")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import matrix, pairwise, rounded
+
 #: The gates of model selection and acceptance.
 PRECISION_FLOOR = 0.80
 MIN_ACCURACY, MIN_CLASS_ACCURACY, MAX_ATTEMPTS = 0.85, 0.75, 1.3
@@ -21,14 +23,44 @@ def with_prf(counts: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def levels_of(vectors: DataFrame, keys: list[str], low: int, high: int, digits: int = 6) -> DataFrame:
+    """(level, same, n): the pairs of vectors with equal keys, by the last threshold low/100 to high/100 that they reach.
+
+    vectors: keys, vec_id, vec, label; same: equal labels. Blocks of vectors are multiplied, and only their counts leave a task.
+    """
+
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        scores = rounded(np.clip(matrix(left, "vec") @ matrix(right, "vec").T, -1, 1), digits)
+        level = np.clip(np.floor(scores * 100 + 1e-9), low - 1, high).astype(np.int64) - (low - 1)
+        alike = left.column("label").to_numpy()[:, None] == right.column("label").to_numpy()[None]
+        counted = np.ones(scores.shape, bool)
+        if same:
+            counted = np.triu(counted, 1)
+        n = np.bincount((2 * level + alike)[counted], minlength=2 * (high - low + 2))
+        at = np.flatnonzero(n)
+        return pa.table({"level": pa.array(at // 2 + low - 1, pa.int32()), "same": pa.array(at % 2 == 1), "n": pa.array(n[at], pa.int64())})
+
+    return pairwise(vectors.select(*keys, "vec_id", "vec", "label"), keys, "vec_id", compare, "level int, same boolean, n long")
+
+
 def threshold_counts(pairs: DataFrame, low: int, high: int) -> DataFrame:
     """(threshold, tp, fp, fn, tn, ...) for thresholds low/100 to high/100; pairs: similarity, same.
 
-    Each pair is counted once, at the last threshold it reaches; running sums over the few thresholds do the rest.
+    Each pair is counted once, at the last threshold it reaches.
     """
     reached = F.greatest(F.lit(low - 1), F.least(F.lit(high), F.floor(F.col("similarity") * 100 + F.lit(1e-9)))).cast("int")
-    level = pairs.groupBy(reached.alias("level")).agg(F.count_if(F.col("same")).alias("p"), F.count_if(~F.col("same")).alias("n"))
-    steps = pairs.sparkSession.range(low - 1, high + 1).select(F.col("id").cast("int").alias("level")).join(level, "level", "left")
+    return counts_of_levels(pairs.select(reached.alias("level"), "same", F.lit(1).cast("long").alias("n")), low, high)
+
+
+def counts_of_levels(levels: DataFrame, low: int, high: int) -> DataFrame:
+    """As threshold_counts, from (level, same, n); running sums over the few thresholds do the rest."""
+    level = levels.groupBy("level").agg(
+        F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("same"), 0).otherwise(F.col("n"))).alias("n")
+    )
+    steps = levels.sparkSession.range(low - 1, high + 1).select(F.col("id").cast("int").alias("level")).join(level, "level", "left")
     whole = steps.fillna(0).groupBy().agg(F.array_sort(F.collect_list(F.struct("level", "p", "n"))).alias("steps"))
     # At most a hundred entries.
     out = whole.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("step"), "steps")
@@ -48,6 +80,33 @@ def threshold_counts(pairs: DataFrame, low: int, high: int) -> DataFrame:
     )
 
 
+def pair_spans(vectors: DataFrame, keys: list[str], missing: int, digits: int = 6) -> DataFrame:
+    """(same, excluded, pairs, least, mean, most) of the similarities of all pairs with equal keys.
+
+    vectors: keys, vec_id, vec, label; excluded: one of the labels is `missing`.
+    """
+
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        scores = rounded(np.clip(matrix(left, "vec") @ matrix(right, "vec").T, -1, 1), digits)
+        a, b = left.column("label").to_numpy()[:, None], right.column("label").to_numpy()[None]
+        group = 2 * (a == b) + ((a == missing) | (b == missing))
+        counted = np.triu(np.ones(scores.shape, bool), 1) if same else np.ones(scores.shape, bool)
+        found = [(g, scores[counted & (group == g)]) for g in range(4)]
+        rows = [(g >= 2, g % 2 == 1, len(x), x.min(), x.sum(), x.max()) for g, x in found if len(x)]
+        names = ["same", "excluded", "pairs", "least", "total", "most"]
+        kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    schema = "same boolean, excluded boolean, pairs long, least double, total double, most double"
+    parts = pairwise(vectors.select(*keys, "vec_id", "vec", "label"), keys, "vec_id", compare, schema)
+    return parts.groupBy("same", "excluded").agg(
+        F.sum("pairs").alias("pairs"), F.min("least").alias("least"), F.round(F.sum("total") / F.sum("pairs"), digits).alias("mean"), F.max("most").alias("most")
+    )
+
+
 def select_threshold(metrics: DataFrame, floor: float = PRECISION_FLOOR) -> DataFrame:
     """The one row with the best (f1, recall, threshold) among those of enough precision."""
     return metrics.filter(F.col("precision") >= floor).orderBy(F.col("f1").desc(), F.col("recall").desc(), F.col("threshold").desc()).limit(1)

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .gates import is_public
+from .blocks import bipartite, matrix, pairwise, rounded
+from .gates import is_public, micros
 
 OPEN = ("CANDIDATE", "SIGNAL_DETECTED")
 NEVER = "INSUFFICIENT_HISTORY"
@@ -90,15 +91,41 @@ def dashboard_baseline(baselines: DataFrame) -> DataFrame:
     )
 
 
+def _unit(vec: str) -> Column:
+    size = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(vec, lambda x: F.when(size == 0, 0.0).otherwise(x / size))
+
+
+def _sums(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """(keys, total): the sum of the unit vectors of each key, added up component by component before rows meet."""
+    parts = rows.select(*keys, F.posexplode(_unit(vec)).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    entries = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return parts.groupBy(*keys).agg(F.transform(entries, lambda e: e["x"]).alias("total"))
+
+
 def linkage_scores(candidates: DataFrame, members: DataFrame, keys: list[str], window: int | None = None) -> DataFrame:
     """(candidate_id, signal_id, similarity): mean cosine of each candidate with a signal's members in its window.
 
     candidates: keys, candidate_id, vec (and received_at); members: keys, signal_id, member_id, member_vec (and member_at).
+    A candidate that is a member of a signal does not count itself. Without a window the mean is a dot product with the sum
+    of the members' unit vectors, so no pairs are made; with one, candidates meet members of their own and the neighbouring
+    stretches of time.
     """
-    met = candidates.join(members, keys)
     if window is not None:
-        met = met.filter(F.col("member_at").between(F.col("received_at") - interval(window), F.col("received_at") + interval(window)))
-    return met.groupBy("candidate_id", "signal_id").agg(F.avg(cosine(F.col("vec"), F.col("member_vec"))).alias("similarity"))
+        stretch = window * 1_000_000
+        near = F.explode(F.sequence(F.floor(micros("received_at") / stretch) - 1, F.floor(micros("received_at") / stretch) + 1))
+        met = candidates.withColumn("_stretch", near).join(members.withColumn("_stretch", F.floor(micros("member_at") / stretch)), [*keys, "_stretch"])
+        met = met.filter((F.abs(micros("member_at") - micros("received_at")) <= stretch) & (F.col("member_id") != F.col("candidate_id")))
+        return met.groupBy("candidate_id", "signal_id").agg(F.avg(cosine(F.col("vec"), F.col("member_vec"))).alias("similarity"))
+    sums = _sums(members, [*keys, "signal_id"], "member_vec").join(members.groupBy(*keys, "signal_id").agg(F.count("*").alias("n")), [*keys, "signal_id"])
+    own = candidates.select("candidate_id", *keys).join(
+        members.select(F.col("member_id").alias("candidate_id"), *keys, "signal_id", F.lit(1).alias("own")), ["candidate_id", *keys]
+    )
+    unit = candidates.select("candidate_id", *keys, _unit("vec").alias("unit"))
+    met = unit.join(sums, keys).join(own.drop(*keys), ["candidate_id", "signal_id"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    itself = F.when(F.col("own") == 1, F.when(F.exists("unit", lambda x: x != 0), 1.0).otherwise(0.0)).otherwise(0.0)
+    whole = F.aggregate(F.zip_with("unit", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return met.filter("n > own").select("candidate_id", "signal_id", ((whole - itself) / (F.col("n") - F.col("own"))).alias("similarity"))
 
 
 def best_signal(scores: DataFrame, digits: int | None = None) -> DataFrame:
@@ -108,13 +135,55 @@ def best_signal(scores: DataFrame, digits: int | None = None) -> DataFrame:
     return scores.withColumn("similarity", value).withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def nearest_member(candidates: DataFrame, members: DataFrame, keys: list[str], digits: int | None = None) -> DataFrame:
-    """(candidate_id, signal_id, member_id, similarity): the nearest member, ties to the smaller signal and member."""
-    met = candidates.join(members, keys).withColumn("similarity", cosine(F.col("vec"), F.col("member_vec")))
-    if digits is not None:
-        met = met.withColumn("similarity", F.round("similarity", digits))
+def nearest_member(candidates: DataFrame, members: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
+    """(candidate_id, signal_id, member_id, similarity): the nearest member, ties to the smaller signal and member.
+
+    A candidate is not its own member. Blocks of candidates meet blocks of members, and a task keeps the best of each candidate.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+
+    def compare(asked, found):
+        import numpy as np
+        import pyarrow as pa
+
+        left, right = matrix(asked, "vec"), matrix(found, "vec")
+        scores = rounded(np.clip(left @ right.T, -1, 1), digits)
+        mine, theirs, signal = asked.column("row_id").to_pylist(), found.column("row_id").to_pylist(), found.column("signal_id").to_pylist()
+        at = {x: j for j, x in enumerate(theirs)}
+        for i, x in enumerate(mine):
+            if x in at:
+                scores[i, at[x]] = -np.inf
+        order = sorted(range(len(theirs)), key=lambda j: (signal[j], theirs[j]))
+        best = [order[j] for j in scores[:, order].argmax(axis=1)] if theirs else []
+        rows = [(mine[i], signal[j], theirs[j], float(scores[i, j])) for i, j in enumerate(best) if scores[i, j] > -np.inf]
+        names = ["candidate_id", "signal_id", "member_id", "similarity"]
+        types = [asked.schema.field("row_id").type, found.schema.field("signal_id").type, found.schema.field("row_id").type, pa.float64()]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    left = candidates.select(*keys, "candidate_id", F.lit(None).cast(kinds["signal_id"]).alias("signal_id"), "vec")
+    right = members.select(*keys, "member_id", "signal_id", F.col("member_vec").alias("vec"))
+    schema = f"candidate_id {kinds['member_id']}, signal_id {kinds['signal_id']}, member_id {kinds['member_id']}, similarity double"
+    met = bipartite(left, right, keys, "candidate_id", "member_id", compare, schema)
     place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.col("similarity").desc(), "signal_id", "member_id"))
-    return met.withColumn("_place", place).filter("_place = 1").select("candidate_id", "signal_id", "member_id", "similarity")
+    return met.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def similarity_pairs(rows: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """(left_id, right_id, similarity) of all pairs with equal keys, left_id < right_id; rows: keys, row_id, vec."""
+    kind = rows.schema["row_id"].dataType.simpleString()
+
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        scores = rounded(np.clip(matrix(left, "vec") @ matrix(right, "vec").T, -1, 1), digits)
+        counted = np.triu(np.ones(scores.shape, bool), 1) if same else np.ones(scores.shape, bool)
+        i, j = np.nonzero(counted)
+        a, b = left.column("row_id").take(pa.array(i)), right.column("row_id").take(pa.array(j))
+        return pa.table([a, b, pa.array(scores[i, j])], ["a", "b", "similarity"])
+
+    met = pairwise(rows.select(*keys, "row_id", "vec"), keys, "row_id", compare, f"a {kind}, b {kind}, similarity double")
+    return met.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "similarity")
 
 
 def _mean_cosines(vectors: DataFrame) -> DataFrame:
@@ -122,12 +191,8 @@ def _mean_cosines(vectors: DataFrame) -> DataFrame:
 
     With vectors of length one that sum is a dot product with the members' sum, so nothing is joined pairwise.
     """
-    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.withColumn("own", F.when(size == 0, 0.0).otherwise(1.0)).withColumn(
-        "unit", F.transform("vec", lambda x: F.when(size == 0, 0.0).otherwise(x / size))
-    )
-    parts = unit.select("signal_id", F.posexplode("unit").alias("i", "x")).groupBy("signal_id", "i").agg(F.sum("x").alias("x"))
-    sums = parts.groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))
+    unit = vectors.withColumn("unit", _unit("vec")).withColumn("own", F.when(F.exists("unit", lambda x: x != 0), 1.0).otherwise(0.0))
+    sums = _sums(vectors, ["signal_id"], "vec")
     counts = vectors.groupBy("signal_id").agg(F.count("*").alias("n"))
     whole = F.aggregate(F.zip_with("unit", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return unit.join(sums, "signal_id").join(counts, "signal_id").withColumn("whole", whole).drop("unit", "total")

@@ -21,12 +21,12 @@ metrics AS (SELECT threshold, tp, fp, fn, tn, precision, recall, CASE WHEN preci
 """
 
 
+def _gated(spark, sf_dir):
+    return embeddings(spark, sf_dir).withColumn("gate", F.col("label") % 3)
+
+
 def _sweep(spark, sf_dir, low, high):
-    rows = embeddings(spark, sf_dir).withColumn("gate", F.col("label") % 3)
-    right = rows.select("gate", F.col("vec_id").alias("r"), F.col("vec").alias("rv"), F.col("label").alias("rl"))
-    pairs = rows.join(right, "gate").filter("vec_id < r")
-    pairs = pairs.select(F.round(cosine(F.col("vec"), F.col("rv")), 6).alias("similarity"), (F.col("label") == F.col("rl")).alias("same"))
-    return metrics.threshold_counts(pairs, low, high)
+    return metrics.counts_of_levels(metrics.levels_of(_gated(spark, sf_dir), ["gate"], low, high), low, high)
 
 
 @query("pair_metrics", SWEEP_SQL.format(25, 25) + "SELECT * FROM metrics")
@@ -52,13 +52,7 @@ def model_selection(spark, sf_dir):
 )
 def pair_stats(spark, sf_dir):
     """Pairs of one gate by equal label, label 0 standing for a missing one: counts and the span of their similarities."""
-    rows = embeddings(spark, sf_dir).withColumn("gate", F.col("label") % 3)
-    right = rows.select("gate", F.col("vec_id").alias("r"), F.col("vec").alias("rv"), F.col("label").alias("rl"))
-    pairs = rows.join(right, "gate").filter("vec_id < r").withColumn("similarity", F.round(cosine(F.col("vec"), F.col("rv")), 6))
-    keys = [(F.col("label") == F.col("rl")).alias("same"), ((F.col("label") == 0) | (F.col("rl") == 0)).alias("excluded")]
-    return pairs.groupBy(*keys).agg(
-        F.count("*").alias("pairs"), F.min("similarity").alias("least"), F.round(F.avg("similarity"), 6).alias("mean"), F.max("similarity").alias("most")
-    )
+    return metrics.pair_spans(_gated(spark, sf_dir), ["gate"], 0)
 
 
 LABELS_SQL = "rows AS (SELECT label, vec_id % 17 AS cluster, vec_id FROM embeddings)"
@@ -141,12 +135,12 @@ def medoid_greedy(spark, sf_dir):
 
 @query("online_eval")
 def online_eval(spark, sf_dir):
-    return clustering.order_stability(_labelled(spark, sf_dir).filter("issue_type <> 'UNKNOWN'"), 0.25, 4)
+    return clustering.order_stability(_labelled(spark, sf_dir).filter("issue_type <> 'UNKNOWN'"), 0.25)
 
 
 @query("online_eval_merge")
 def online_eval_merge(spark, sf_dir):
-    return clustering.order_stability(_labelled(spark, sf_dir).filter("issue_type <> 'UNKNOWN' AND report_id % 4 = 0"), 0.25, 3, True)
+    return clustering.order_stability(_labelled(spark, sf_dir).filter("issue_type <> 'UNKNOWN'"), 0.25, merging=True)
 
 
 @query("online_clusters")
@@ -166,14 +160,11 @@ def online_cluster_islands(spark, sf_dir):
     return clustering.islands(rows, ["issue_type"], 3600).select("report_id", "island")
 
 
-def _texts(spark, sf_dir, whole=False):
-    """Documents with a Korean trouble sentence in front, chosen by doc_id, so that the rules have something to decide.
-
-    TEXTS_SQL states the first 200 characters; whole gives all of them.
-    """
+def _texts(spark, sf_dir):
+    """Documents with a Korean trouble sentence in front, chosen by doc_id, so that the rules have something to decide."""
     heads = F.array(*[F.lit(h) for h in HEADS])
     head = F.element_at(heads, (F.col("doc_id") % len(HEADS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("text") if whole else F.left("text", F.lit(200))).alias("text"), (F.col("doc_id") % 7).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("text"), (F.col("doc_id") % 7).alias("n"))
 
 
 HEADS = (
@@ -193,7 +184,7 @@ HEADS = (
     "제 번호는 900101-1234567 이고 잔고 오류. ",
 )
 _HEADS_SQL = "[" + ", ".join(f"'{h}'" for h in HEADS) + "]"
-TEXTS_SQL = f"WITH texts AS (SELECT doc_id, {_HEADS_SQL}[CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)] || left(text, 200) AS text, doc_id % 7 AS n FROM documents)"
+TEXTS_SQL = f"WITH texts AS (SELECT doc_id, {_HEADS_SQL}[CAST(doc_id % {len(HEADS)} + 1 AS INTEGER)] || text AS text, doc_id % 7 AS n FROM documents)"
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -263,9 +254,14 @@ def compact_evidence(spark, sf_dir):
     return _typed(spark, sf_dir).select("doc_id", text.compact_evidence(F.col("issue_type"), quote, F.col("text")).alias("quote"))
 
 
-@query("evidence_grounding", f"{TEXTS_SQL} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS grounded FROM texts")
+@query("evidence_grounding", f"""{TEXTS_SQL}, quoted AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN substr(text, 5, 12) WHEN 2 THEN substr(text, 5, 12) || chr(7) WHEN 3 THEN upper(substr(text, 40, 20)) WHEN 4 THEN right(text, 9) ELSE '오류' END AS quote FROM texts)
+    SELECT doc_id, quote IS NULL OR contains(text, quote) AS grounded FROM quoted""")
 def evidence_grounding(spark, sf_dir):
-    quote = F.when(F.col("doc_id") % 3 == 1, F.substring("text", 5, 12)).when(F.col("doc_id") % 3 == 2, F.concat(F.substring("text", 5, 12), F.lit("\u0007")))
+    """Quotes that are missing, part of the text, changed at their end or in case, its last characters, or a word that some texts hold."""
+    case = F.col("doc_id") % 6
+    part = F.substring("text", 5, 12)
+    quote = F.when(case == 1, part).when(case == 2, F.concat(part, F.lit("\u0007"))).when(case == 3, F.upper(F.substring("text", 40, 20)))
+    quote = quote.when(case == 4, F.right("text", F.lit(9))).when(case == 5, "오류")
     return _texts(spark, sf_dir).select("doc_id", text.grounded(quote, F.col("text")).alias("grounded"))
 
 
@@ -278,11 +274,15 @@ def evidence_datetime(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", text.names_date_and_time(F.col("text")).alias("dated"))
 
 
-@query("iso_datetime", "SELECT event_id, event_id % 3 <> 0 AS sound FROM events")
+_ISO_FORMS = ("", "Z", "+09:00", "+0900", "z", "-12:30", " +09:00", "+09")
+
+
+@query("iso_datetime", f"""SELECT event_id, regexp_matches(CASE WHEN event_id % 5 = 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END
+    || [{", ".join(f"'{x}'" for x in _ISO_FORMS)}][CAST(event_id % 8 + 1 AS INTEGER)], '{text.T.ISO_OFFSET}') AS sound FROM events""")
 def iso_datetime(spark, sf_dir):
-    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    tail = F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("+09:00")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", text.iso_with_offset(F.concat(day, tail)).alias("sound"))
+    at = F.when(F.col("event_id") % 5 == 4, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    tail = F.element_at(F.array(*map(F.lit, _ISO_FORMS)), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.iso_with_offset(F.concat(at, tail)).alias("sound"))
 
 
 @query("masked_items", f"{TEXTS_SQL}, marked AS (SELECT doc_id, text || CASE WHEN n % 2 = 0 THEN ' [EMAIL]' ELSE '' END || CASE WHEN n % 3 = 0 THEN '[PHONE]' ELSE '' END AS text FROM texts) SELECT doc_id, concat_ws(',', CASE WHEN contains(text, '[PHONE]') THEN 'PHONE' END, CASE WHEN contains(text, '[ACCOUNT]') THEN 'ACCOUNT' END, CASE WHEN contains(text, '[EMAIL]') THEN 'EMAIL' END, CASE WHEN contains(text, '[CARD]') THEN 'CARD' END) AS items FROM marked")
@@ -306,14 +306,26 @@ def order_cues(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", text.order_action(F.col("text")).alias("action"))
 
 
-@query("occurred_at")
+@query("occurred_at", f"""{TEXTS_SQL}, dated AS (SELECT doc_id, regexp_extract(text, '{text.DATE}', 0) AS d, regexp_replace(text, '{text.DATE}\\s*일?', '|', 'g') AS rest FROM texts),
+    timed AS (SELECT doc_id, TRY_CAST(regexp_extract(d, '{text.DATE}', 1) AS INTEGER) AS y, TRY_CAST(regexp_extract(d, '{text.DATE}', 2) AS INTEGER) AS m, TRY_CAST(regexp_extract(d, '{text.DATE}', 3) AS INTEGER) AS dd,
+      regexp_extract(rest, '{text.CLOCK}', 0) AS c FROM dated),
+    parts AS (SELECT doc_id, CASE WHEN y < 100 THEN y + 2000 ELSE y END AS y, m, dd, regexp_extract(c, '{text.CLOCK}', 1) AS half, TRY_CAST(regexp_extract(c, '{text.CLOCK}', 2) AS INTEGER) AS h,
+      coalesce(TRY_CAST(regexp_extract(c, '{text.CLOCK}', 3) AS INTEGER), TRY_CAST(regexp_extract(c, '{text.CLOCK}', 4) AS INTEGER), 0) AS mi FROM timed),
+    hours AS (SELECT *, CASE WHEN half = '오후' AND h < 12 THEN h + 12 WHEN half = '오전' AND h = 12 THEN 0 ELSE h END AS hh FROM parts)
+    SELECT doc_id, CASE WHEN m BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 AND hh BETWEEN 0 AND 23 AND mi BETWEEN 0 AND 59 THEN printf('%04d-%02d-%02dT%02d:%02d:00+09:00', y, m, dd, hh, mi) END AS occurred_at FROM hours""")
 def occurred_at(spark, sf_dir):
-    return _texts(spark, sf_dir, whole=True).select("doc_id", text.occurred_at(F.col("text")).alias("occurred_at"))
+    return _texts(spark, sf_dir).select("doc_id", text.occurred_at(F.col("text")).alias("occurred_at"))
 
 
-@query("coerce_fields", "SELECT p_partkey, CAST(p_partkey AS BIGINT) AS quantity FROM part")
+_AMOUNTS_SQL = "['약 ' || p_partkey || '주', '-' || p_partkey, '없음', p_partkey || '-3주', '1,' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '원', NULL][CAST(p_partkey % 6 + 1 AS INTEGER)]"
+
+
+@query("coerce_fields", f"SELECT p_partkey, TRY_CAST(regexp_replace({_AMOUNTS_SQL}, '[^0-9-]', '', 'g') AS BIGINT) AS quantity FROM part")
 def coerce_fields(spark, sf_dir):
-    raw = F.concat(F.lit("약 "), F.col("p_partkey").cast("string"), F.lit("주"))
+    """Amounts with words and separators around them, negative ones, none, two numbers in one, and missing ones."""
+    key = F.col("p_partkey").cast("string")
+    forms = [F.concat(F.lit("약 "), key, F.lit("주")), F.concat(F.lit("-"), key), F.lit("없음"), F.concat(key, F.lit("-3주")), F.concat(F.lit("1,"), F.lpad(key, 6, "0"), F.lit("원")), F.lit(None).cast("string")]
+    raw = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", text.to_integer(raw).alias("quantity"))
 
 
@@ -354,9 +366,22 @@ def pii_mask_client(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.client_masked(F.col("text")).alias("text"))
 
 
-@query("json_extract", "SELECT event_id, props AS object FROM events")
+_NESTED = '{"a": {"b": "}{\\" "}, "p": '
+
+
+@query("json_extract", f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN props WHEN 3 THEN '{_NESTED}' || props || '}}' ELSE NULL END AS object FROM events""")
 def json_extract(spark, sf_dir):
-    wrapped = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("결과: ```json\n"), "props", F.lit("\n``` 끝"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.concat(F.lit("그래서 "), "props", F.lit(" 입니다")))
+    """Objects in a fenced block, alone, between words, nested with braces inside strings; one that never ends, and none."""
+    case = F.col("event_id") % 6
+    nested = F.concat(F.lit(_NESTED), "props", F.lit("}"))
+    wrapped = (
+        F.when(case == 0, F.concat(F.lit("결과: ```json\n"), "props", F.lit("\n``` 끝")))
+        .when(case == 1, F.concat(F.lit("  "), "props", F.lit(" ")))
+        .when(case == 2, F.concat(F.lit("그래서 "), "props", F.lit(" 입니다")))
+        .when(case == 3, F.concat(F.lit("답 "), nested, F.lit(" 그리고 {}")))
+        .when(case == 4, F.concat(F.lit("끝이 없는 {\"a\": "), "props"))
+        .otherwise("없음")
+    )
     return table(spark, sf_dir, "events").select("event_id", text.json_object(wrapped).alias("object"))
 
 

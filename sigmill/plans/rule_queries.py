@@ -158,13 +158,13 @@ def latest_analysis(spark, sf_dir):
 @query(
     "related_state",
     f"""WITH {REPORTS_SQL}, s AS (SELECT issue_type AS signal_id, CASE issue_type WHEN 'LOGIN_ACCESS_FAILURE' THEN 'UNDER_REVIEW' WHEN 'BALANCE_INQUIRY_ERROR' THEN 'CANDIDATE' ELSE 'CLOSED' END AS status FROM reports GROUP BY 1)
-    SELECT session_id AS report_id, CASE WHEN bool_or(status = 'UNDER_REVIEW') THEN 'ACTIVE' WHEN bool_or(status = 'CANDIDATE') THEN 'CANDIDATE' ELSE 'NONE' END AS state FROM reports r JOIN s ON s.signal_id = r.issue_type WHERE k < 8 GROUP BY 1""",
+    SELECT session_id AS report_id, CASE WHEN bool_or(status = 'UNDER_REVIEW') THEN 'ACTIVE' WHEN bool_or(status = 'CANDIDATE') THEN 'CANDIDATE' ELSE 'NONE' END AS state FROM reports r JOIN s ON s.signal_id = r.issue_type GROUP BY 1""",
 )
 def related_state(spark, sf_dir):
     rows = reports(spark, sf_dir)
     kind = F.col("issue_type")
     found = rows.select(kind.alias("signal_id"), F.when(kind == "LOGIN_ACCESS_FAILURE", "UNDER_REVIEW").when(kind == "BALANCE_INQUIRY_ERROR", "CANDIDATE").otherwise("CLOSED").alias("status")).distinct()
-    return rules.related_state(rows.filter("k < 8").select(F.col("session_id").alias("report_id"), kind.alias("signal_id")), found)
+    return rules.related_state(rows.select(F.col("session_id").alias("report_id"), kind.alias("signal_id")), found)
 
 
 JOBS_SQL = """jobs AS (

@@ -146,12 +146,12 @@ def window_pairs(spark, sf_dir):
     f"""WITH {REPORTS_SQL}, filters AS (SELECT *, nullif(submission_status, 'UNKNOWN') AS submission_filter FROM reports WHERE issue_type <> 'UNKNOWN')
     SELECT a.issue_type, a.received_at::DATE AS day, a.report_id, b.report_id AS report_id_r FROM filters a JOIN filters b ON a.issue_type = b.issue_type AND a.received_at::DATE = b.received_at::DATE
     AND (a.submission_filter IS NULL OR b.submission_filter IS NULL OR a.submission_filter = b.submission_filter)
-    AND (a.error_code IS NULL OR b.error_code IS NULL OR a.error_code = b.error_code) WHERE a.report_id < b.report_id AND a.k % 10 = 0""",
+    AND (a.error_code IS NULL OR b.error_code IS NULL OR a.error_code = b.error_code) WHERE a.report_id < b.report_id""",
 )
 def gate_pairs(spark, sf_dir):
     rows = gates.known_filters(members(spark, sf_dir)).withColumn("day", F.to_date("received_at"))
-    rows = rows.select("issue_type", "day", "report_id", "k", "submission_filter", "error_filter")
-    met = gates.gate_pairs(rows.filter("k % 10 = 0"), rows, ["issue_type", "day"], ["submission_filter", "error_filter"])
+    rows = rows.select("issue_type", "day", "report_id", "submission_filter", "error_filter")
+    met = gates.gate_pairs(rows, rows, ["issue_type", "day"], ["submission_filter", "error_filter"])
     return met.filter("report_id < report_id_r").select("issue_type", "day", "report_id", "report_id_r")
 
 
@@ -166,14 +166,14 @@ VECTORS_SQL = "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS vec, label FROM em
 def _linkage_inputs(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
     candidates = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("candidate_id"), "vec", F.lit(1).alias("gate"))
-    held = rows.filter("vec_id % 20 <> 0").select(F.col("label").alias("signal_id"), F.col("vec_id").alias("member_id"), F.col("vec").alias("member_vec"), F.lit(1).alias("gate"))
+    held = rows.select(F.col("label").alias("signal_id"), F.col("vec_id").alias("member_id"), F.col("vec").alias("member_vec"), F.lit(1).alias("gate"))
     return candidates, held
 
 
 @query(
     "linkage_scores",
     f"""WITH {VECTORS_SQL}, scores AS (SELECT c.vec_id AS candidate_id, m.label AS signal_id, round(avg(list_cosine_similarity(c.vec, m.vec)), 6) AS similarity
-    FROM vecs c JOIN vecs m ON m.vec_id % 20 <> 0 WHERE c.vec_id % 20 = 0 GROUP BY 1, 2)
+    FROM vecs c JOIN vecs m ON m.vec_id <> c.vec_id WHERE c.vec_id % 20 = 0 GROUP BY 1, 2)
     SELECT candidate_id, signal_id, similarity FROM scores QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, signal_id) = 1""",
 )
 def linkage_scores(spark, sf_dir):
@@ -184,7 +184,7 @@ def linkage_scores(spark, sf_dir):
 @query(
     "nearest_member",
     f"""WITH {VECTORS_SQL} SELECT c.vec_id AS candidate_id, m.label AS signal_id, m.vec_id AS member_id, round(list_cosine_similarity(c.vec, m.vec), 6) AS similarity
-    FROM vecs c JOIN vecs m ON m.vec_id % 20 <> 0 WHERE c.vec_id % 20 = 0
+    FROM vecs c JOIN vecs m ON m.vec_id <> c.vec_id WHERE c.vec_id % 20 = 0
     QUALIFY row_number() OVER (PARTITION BY c.vec_id ORDER BY round(list_cosine_similarity(c.vec, m.vec), 6) DESC, m.label, m.vec_id) = 1""",
 )
 def nearest_member(spark, sf_dir):
@@ -288,18 +288,21 @@ def detach_report(spark, sf_dir):
 
 @query(
     "related_signals",
-    f"""WITH {EVIDENCE_SQL} SELECT m.report_id, m.signal_id, e.status, e.last_report_at + INTERVAL 3 DAY >= now AS visible FROM members m JOIN evidence e USING (signal_id), clock WHERE m.k % 10 = 3""",
+    f"""WITH {EVIDENCE_SQL} SELECT m.report_id, m.signal_id, e.status, e.last_report_at + INTERVAL 3 DAY >= now AS visible FROM members m JOIN evidence e USING (signal_id), clock""",
 )
 def related_signals(spark, sf_dir):
     now, _ = _now(spark, sf_dir)
     found = _evidence(spark, sf_dir).select("signal_id", "status", (F.col("last_report_at") + F.expr("INTERVAL 3 DAYS") >= now).alias("visible"))
-    return members(spark, sf_dir).filter("k % 10 = 3").join(found, "signal_id").select("report_id", "signal_id", "status", "visible")
+    return members(spark, sf_dir).join(found, "signal_id").select("report_id", "signal_id", "status", "visible")
 
 
-@query("vector_codec", "SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+@query("vector_codec", """SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: i * x)), 6) AS weighed,
+    round(list_min(embedding::DOUBLE[]), 6) AS least, round(list_max(embedding::DOUBLE[]), 6) AS most FROM embeddings""")
 def vector_codec(spark, sf_dir):
-    back = V.decode(V.encode(F.col("vec")))
-    return embeddings(spark, sf_dir).select("vec_id", F.size(back).cast("long").alias("n"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    """The decoded vectors; components count with their place."""
+    back = embeddings(spark, sf_dir).select("vec_id", V.decode(V.encode(F.col("vec"))).alias("back"))
+    weighed = F.aggregate(F.transform("back", lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)
+    return back.select("vec_id", F.size("back").cast("long").alias("n"), F.round(weighed, 6).alias("weighed"), F.round(F.array_min("back"), 6).alias("least"), F.round(F.array_max("back"), 6).alias("most"))
 
 
 @query("vector_normalized", f"WITH {VECTORS_SQL} SELECT vec_id, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS length, round(vec[1] / sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS first FROM vecs")
@@ -309,10 +312,7 @@ def vector_normalized(spark, sf_dir):
 
 @query("similarity_pairs", f"WITH {VECTORS_SQL} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id < b.vec_id")
 def similarity_pairs(spark, sf_dir):
-    rows = embeddings(spark, sf_dir)
-    right = rows.select("label", F.col("vec_id").alias("right_id"), F.col("vec").alias("right_vec"))
-    met = rows.withColumnRenamed("vec_id", "left_id").join(right, "label").filter("left_id < right_id")
-    return met.select("left_id", "right_id", F.round(V.cosine(F.col("vec"), F.col("right_vec")), 6).alias("similarity"))
+    return signals.similarity_pairs(embeddings(spark, sf_dir).withColumnRenamed("vec_id", "row_id"), ["label"])
 
 
 @query("recent_buckets", f"WITH {REPORTS_SQL} SELECT date_trunc('hour', received_at) AS bucket_start, count(*) AS reports FROM reports GROUP BY 1 ORDER BY 1 DESC LIMIT 12")

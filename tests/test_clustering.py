@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmill.operators import clustering as C
+from tests.plain_clustering import IncrementalGate as PlainGate
+from tests.plain_clustering import arrival_clusters
 
 SECOND = 1_000_000
 
@@ -144,3 +146,112 @@ def test_order_stability_and_greedy(spark):
     assert {r.clusters for r in C.order_stability(df, 0.8, 4, True).collect()} == {2}
     assert len({r.representative_id for r in C.medoid_greedy(df, 0.9).collect()}) == 2
     assert len({r.representative_id for r in C.complete_link(df, 0.9).collect()}) == 2
+
+
+def state(clusters):
+    out = []
+    for c in clusters:
+        members = sorted((m[0], round(m[4], 9)) for m in c.members)
+        out.append((c.id, members, c.status, c.raw, c.sessions, c.first, c.last, c.representative, c.submission, c.error))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_gate_equals_the_plain_form(seed):
+    """Dense and sparse, few and many directions, with and without single_max; with copies of vectors and zero vectors."""
+    rng = random.Random(seed)
+    policy = C.Policy(window=rng.choice([50, 600]), threshold=rng.choice([0.5, 0.8]), min_sessions=2, single_max=seed % 4 == 3)
+    fast, plain = C.IncrementalGate(policy), PlainGate(policy)
+    base = [np.array([rng.gauss(0, 1) for _ in range(4)]) for _ in range(6)] + [np.zeros(4)]
+    at, gone = 0, []
+    for i in range(700):
+        at += rng.choice([0, 1, 1, 3, 40]) * SECOND
+        vector = rng.choice(base) + np.array([rng.gauss(0, 0.2) * rng.choice([0, 1]) for _ in range(4)])
+        row = (i * 7919 % 1000, rng.randrange(9), at, vector, rng.choice([None, "S", "N"]), rng.choice([None, None, "E1", "E2"]))
+        assert fast.add(*row) == plain.add(*row)
+        if i % 100 == 99:
+            gone += fast.passed()
+    assert state([*gone, *fast.clusters.values()]) == state(plain.clusters.values())
+    assert fast.closed == plain.closed
+    assert seed != 0 or len(gone) > 10
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_late_reports_equal_the_plain_form(seed):
+    rng = random.Random(100 + seed)
+    policy = C.Policy(window=100, threshold=0.7, min_sessions=2)
+    fast, plain = C.IncrementalGate(policy, lateness=10_000), PlainGate(policy)
+    for i in range(250):
+        at = (i * 4 - rng.choice([0, 0, 0, 30, 150, 400])) * SECOND
+        row = (i, rng.randrange(5), at, unit(rng.choice([0, 20, 60, 90, 130]) + rng.random()), rng.choice([None, "S"]), None)
+        assert fast.add(*row) == plain.add(*row)
+    assert state(fast.clusters.values()) == state(plain.clusters.values())
+
+
+def parted(rows):
+    parts = {}
+    for r in rows:
+        parts.setdefault((r.issue_type, r.representative_id), []).append((r.report_id, round(r.similarity, 9)))
+    return sorted((k, sorted(v)) for k, v in parts.items())
+
+
+def vectors(spark, n=60, seed=1):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((8, 6))
+    rows = [("A" if i % 3 else "B", i, [float(x) for x in (base[i % 8] + rng.standard_normal(6) * (0.0 if i % 5 == 0 else 0.5))]) for i in range(n)]
+    return spark.createDataFrame([*rows, ("A", 900, [0.0] * 6), ("A", 901, [0.0] * 6)], "issue_type string, report_id long, vec array<double>")
+
+
+@pytest.mark.parametrize("cluster", [C.batch_clusters, C.complete_link, C.medoid_greedy])
+def test_rounds_over_large_types_equal_one_task(spark, cluster):
+    df = vectors(spark)
+    assert parted(cluster(df, 0.55, 6).collect()) == parted(cluster(df, 0.55).collect())
+
+
+def test_batch_clusters_equal_the_plain_form(spark):
+    df = vectors(spark)
+    rows = [r for r in df.collect() if r.issue_type == "A"]
+    sims = C.similarities([r.vec for r in rows])
+    want = sorted(sorted(rows[i].report_id for i in c) for c in naive_agglomerate(sims, 0.55))
+    got = parted(r for r in C.batch_clusters(df, 0.55, 6).collect() if r.issue_type == "A")
+    assert sorted(sorted(i for i, _ in members) for _, members in got) == want
+
+
+@pytest.mark.parametrize("merging", [False, True])
+def test_arrival_orders_equal_the_plain_form(spark, merging):
+    df = vectors(spark, 90)
+    rows = sorted((r.report_id, r.vec) for r in df.collect() if r.issue_type == "A")
+    sims = C.similarities([v for _, v in rows])
+    got = {}
+    for r in C.arrivals(df, 0.5, 3, merging).filter("issue_type = 'A'").collect():
+        got.setdefault(r.order_id, {}).setdefault(r.cluster, set()).add(r.report_id)
+    n = len(rows)
+    for number, order in enumerate((range(n), range(n - 1, -1, -1))):
+        want = arrival_clusters(sims, list(order), 0.5, merging)
+        assert sorted(map(sorted, got[number].values())) == sorted(sorted(rows[i][0] for i in c) for c in want)
+    assert sum(map(len, got[2].values())) == n
+
+
+def test_stream_emits_changes_only(spark, tmp_path):
+    from sigmill.streaming.online import online_stream
+
+    df, _ = reports(spark, 80)
+    policy = C.Policy(threshold=0.7, min_sessions=2)
+    ordered = df.orderBy("received_at", "report_id").collect()
+    for i in range(4):
+        part = spark.createDataFrame(ordered[20 * i : 20 * i + 20], df.schema)
+        if i == 3:
+            part = part.unionByName(part.limit(3)).unionByName(spark.createDataFrame([(*ordered[0][:1], None, *ordered[0][2:])], df.schema))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = online_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), policy, ["issue_type"])
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda b, i: seen.append(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    last = {}
+    for batch in seen:
+        closed = {r.signal_id for r in batch if r.status == "CLOSED"}
+        last = {k: v for k, v in last.items() if v[0] not in closed}
+        last.update({r.report_id: (r.signal_id, r.raw_report_count, r.representative_id) for r in batch if r.report_id is not None})
+    want = {r.report_id: (r.signal_id, r.raw_report_count, r.representative_id) for r in C.online_clusters(df, policy, ["issue_type"]).collect()}
+    assert last == want
+    assert sum(map(len, seen)) < len(seen) * len(want)
