@@ -22,10 +22,11 @@ repeating a doc_id get a row each; an empty table gives no rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, utf8
+from ..operators.blocks import placed
+from ..operators.shared import release
+from .common import checkpoint, runs, starts, utf8
 
 SHINGLE = 3
 RADIUS = 3
@@ -128,11 +129,10 @@ def _compare(radius: int):
         import numpy as np
         import pyarrow as pa
 
-        def edges(rows):
-            names = ("v", "key", "a", "b", "side", "fp")
-            v, key, a, b, side, fp = (rows.column(n).to_numpy() for n in names)
-            new = np.flatnonzero((np.diff(v) != 0) | (np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
-            cuts = np.concatenate([[0], new, [len(fp)]])
+        bucket = ("v", "key", "a", "b")
+        for rows in runs(batches, bucket):
+            cuts = starts(rows, bucket)
+            a, b, side, fp = (rows.column(n).to_numpy() for n in ("a", "b", "side", "fp"))
             sizes = np.diff(cuts)
             plain = (a[cuts[:-1]] == b[cuts[:-1]]) & (sizes <= 32)
             out = [small(fp[np.repeat(plain, sizes)], np.concatenate([[0], np.cumsum(sizes[plain])]))] if plain.any() else []
@@ -145,21 +145,7 @@ def _compare(radius: int):
                 if pairs:
                     out.append(np.array(pairs, np.int64).T)
             found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["x", "y"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            heads = [rows.column(n).to_numpy() for n in ("v", "key", "a", "b")]
-            same = np.logical_and.reduce([h == h[-1] for h in heads])
-            start = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = rows.slice(start)
-            if start:
-                yield edges(rows.slice(0, start))
-        if held is not None:
-            yield edges(held)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["x", "y"])
 
     return run
 
@@ -168,18 +154,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     """(x, y) fingerprint pairs that connect all distinct fingerprints within the radius; nodes has distinct fp."""
     tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))])
     keyed = nodes.select("fp", F.explode(tables).alias("t")).select("t.v", "t.key", "fp")
-    sizes = keyed.groupBy("v", "key").count().filter("count > 1")
-    crowded = keyed.join(sizes, ["v", "key"])
-    # Block k of a bucket takes part in the pairs (k, k), (k, later) and (earlier, k).
-    blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    # Block k of a bucket takes part in the pairs (k, k), (k, later) and (earlier, k); a bucket of one fingerprint gives no link.
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("side")).alias("a"), F.greatest(k, F.col("side")).alias("b")),
     )
     dealt = (
-        crowded.withColumn("blocks", blocks)
-        .withColumn("side", own)
+        placed(keyed, ["v", "key"], "fp", block, ("side", "blocks"))
         .select("v", "key", "side", "fp", F.explode(pairs).alias("p"))
         .select("v", "key", "p.a", "p.b", "side", "fp")
     )
@@ -213,7 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("x <> y")
             .distinct()
         )
-        edges = checkpoint(small)
+        held, edges = edges, checkpoint(small)
+        release(held)
         now = state(edges)
         if now == seen:
             break
@@ -245,27 +227,31 @@ def hex_of(column: str) -> Column:
 def one_of_each(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each component of parts (doc_id, digest, component), a row for each of docs.
 
-    The smallest doc_id stays, nulls last, then the smallest digest (md5 of the text); of equal rows any one.
+    The smallest doc_id stays, nulls last, then the smallest digest (md5 of the text), then the smallest of the whole rows as
+    JSON. The columns of docs travel in one struct, so their names don't matter.
     """
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")
-    least = parts.groupBy("component").agg(F.min(order).alias("least"))
-    kept = least.select(F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_digest")).withColumn("_kept", F.lit(True))
-    kept = checkpoint(kept)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.md5(F.col("text").cast("binary")).eqNullSafe(F.col("_digest"))
-    rows = docs.join(kept, same, "left_semi")
-    copies = parts.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    repeated = checkpoint(copies.join(kept, copies["_id"].eqNullSafe(kept["_id"]) & copies["_digest"].eqNullSafe(kept["_digest"]), "left_semi"))
-    if not repeated.isEmpty():
-        place = F.row_number().over(W.partitionBy("doc_id", F.md5(F.col("text").cast("binary"))).orderBy("doc_id"))
-        first = rows.join(repeated, same, "left_semi").withColumn("_place", place).filter("_place = 1")
-        rows = rows.join(repeated, same, "left_anti").unionByName(first.select(*docs.columns))
-    return rows.select(*docs.columns)
+    counted = parts.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    least = counted.groupBy("component").agg(F.min(order).alias("least"), F.min_by("n", order).alias("n"))
+    kept = checkpoint(least.select(F.col("least.doc_id").alias("id"), "least.digest", "n"))
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.md5(F.col("row.text").cast("binary")).eqNullSafe(F.col("digest"))
+    found = rows.join(kept, same)
+    single = found.filter("n = 1").select("row")
+    # Equal ids and texts: the first of the rows by all their columns, found with partial minima.
+    repeated = found.filter("n > 1").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs, all columns, with one row of each component: the smallest doc_id, a null id only where no row has one."""
-    rows = docs.withColumn("_digest", F.md5(F.col("text").cast("binary")))
-    nodes = rows.select(F.struct("doc_id", "_digest").alias("doc_id"), "text")
-    found = grouped(checkpoint(fingerprints(nodes, n)), radius)
-    parts = found.select("doc_id.doc_id", F.col("doc_id._digest").alias("digest"), F.col("component_id").alias("component"))
-    return one_of_each(docs, parts)
+    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    found = grouped(checkpoint(fingerprints(rows.select(F.struct("doc_id", "digest").alias("doc_id"), "text"), n)), radius)
+    return one_of_each(docs, found.select("doc_id.doc_id", "doc_id.digest", F.col("component_id").alias("component")))
+
+
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each component of a five-word shingle similarity of 0.8 or more (module similar)."""
+    from . import similar
+
+    return similar.keep_one(docs)
