@@ -22,3 +22,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialises `df` in the shared folder and cuts its lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a checkpointed `df` that nothing reads any more; any other frame is left alone."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        found = plan.rdd().getCheckpointFile()
+        if found.isDefined():
+            delete(df.sparkSession, found.get())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
