@@ -12,20 +12,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
+
 #: Vectors of one block.
 BLOCK = 1024
 SALTS = 64
+#: Large keys up to which their table is broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def large_keys(rows: DataFrame, keys: list[str], size: int, blocks: str = "blocks") -> DataFrame:
+    """(keys, blocks) of the keys with more than `size` rows, counted once."""
+    large = rows.groupBy(*keys).count().filter(F.col("count") > size)
+    return checkpoint(large.select(*keys, F.ceil(F.col("count") / F.lit(size)).cast("int").alias(blocks)))
+
+
+def with_blocks(rows: DataFrame, large: DataFrame, keys: list[str], row_id: str, blocks: str = "blocks") -> DataFrame:
+    """rows with their key's number of blocks, 1 for keys that are not large.
+
+    A table of at most `BROADCAST_KEYS` large keys is broadcast; a longer one meets the rows in a join spread by a salt.
+    """
+    if large.count() <= BROADCAST_KEYS:
+        joined = rows.join(F.broadcast(large), keys, "left")
+    else:
+        spread = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    return joined.withColumn(blocks, F.coalesce(blocks, F.lit(1)))
 
 
 def placed(rows: DataFrame, keys: list[str], row_id: str, size: int = BLOCK, names: tuple[str, str] = ("block", "blocks")) -> DataFrame:
     """rows with their block and their key's number of blocks, one block where a key has at most `size` rows."""
     block, blocks = names
-    large = rows.groupBy(*keys).count().filter(F.col("count") > size)
-    large = large.select(*keys, F.ceil(F.col("count") / F.lit(size)).cast("int").alias(blocks))
-    spread = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
-    joined = salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
-    joined = joined.withColumn(blocks, F.coalesce(blocks, F.lit(1)))
+    joined = with_blocks(rows, large_keys(rows, keys, size, blocks), keys, row_id, blocks)
     return joined.withColumn(block, F.pmod(F.xxhash64(F.lit(1), row_id), F.col(blocks)).cast("int"))
 
 
