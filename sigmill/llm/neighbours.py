@@ -10,10 +10,13 @@ cosine in double precision.
 
 K grows with the logarithm of the table's size; nothing is fitted on the data.
 Rows with the same vector are one class, of which the `k + 1` smallest ids are
-kept: no query can need more of them. A bucket's candidates and queries are cut
-into blocks that meet pairwise, and a task keeps the best few for each query
-and block. A query that met fewer than k rows is searched again over all
-blocks, exactly.
+kept: no query can need more of them. Buckets over `CANDIDATE_BLOCK` candidates
+are cut into blocks, and blocks are dealt to groups of about `GROUP` candidates.
+Probes travel as bucket numbers; a query's vector goes once to each group that
+it probes, where it streams past the group's candidates, and the best few leave
+the task. A query that met fewer than k rows, or whose chances did not reach
+`SUCCESS` within `MAX_PROBES` buckets, is searched again over all blocks,
+exactly; how many these are is logged.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, rows with a null id and vectors of another length than that of the
@@ -23,12 +26,14 @@ go to the smaller id; fewer candidates than k are all returned.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.blocks import large_keys, with_blocks
 from .common import checkpoint
 
 K_NEAREST = 5
@@ -39,9 +44,11 @@ SUCCESS = 0.8
 MAX_PROBES = 4096
 SEED = 7
 CANDIDATE_BLOCK = 4096
-QUERY_BLOCK = 2048
+GROUP = 8192
+#: Queries that are compared with a group's candidates at a time.
+QUERY_BLOCK = 1024
 
-_ROW = "t int, bucket long, id long, vec array<double>"
+_LOG = logging.getLogger(__name__)
 
 
 def projections(dimension: int, count: int, table: int, seed: int = SEED):
@@ -71,7 +78,7 @@ def buckets(unit, directions, shifts):
 
 
 def probes(unit, directions, shifts, success: float = SUCCESS):
-    """(row, bucket) arrays: each row's buckets, likeliest first, until their chances reach `success`."""
+    """(row, bucket, reached) arrays: each row's buckets, likeliest first, until their chances reach `success`; reached by row."""
     import numpy as np
 
     at = (unit @ directions + shifts) / WIDTH
@@ -90,102 +97,157 @@ def probes(unit, directions, shifts, success: float = SUCCESS):
         keys, score = np.take_along_axis(keys, best, 1), np.take_along_axis(score, best, 1)
     wanted = (np.cumsum(np.exp(score), axis=1) < success).sum(axis=1) + 1
     take = np.arange(keys.shape[1]) < np.minimum(wanted, keys.shape[1])[:, None]
-    return np.nonzero(take)[0], keys[take].view(np.int64)
+    return np.nonzero(take)[0], keys[take].view(np.int64), wanted <= keys.shape[1]
 
 
-def _hashed(dimension: int, count: int, tables: int, probing: bool):
+def _candidates(dimension: int, count: int, tables: int):
+    """(t, bucket, id, vec) of each candidate."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         shapes = [projections(dimension, count, t) for t in range(tables)]
         for batch in batches:
-            for i in range(0, batch.num_rows, 256 if probing else 8192):
-                part = batch.slice(i, 256 if probing else 8192)
-                ids = part.column(0)
-                vec = part.column(1).flatten().to_numpy().reshape(-1, dimension)
-                unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+            for i in range(0, batch.num_rows, 8192):
+                part = batch.slice(i, 8192)
+                unit = _units(part, dimension)
                 for t, shape in enumerate(shapes):
-                    rows, keys = probes(unit, *shape) if probing else (np.arange(len(unit)), buckets(unit, *shape))
-                    for j in range(0, len(rows), 8192):
-                        at = pa.array(rows[j : j + 8192])
-                        key = pa.array(keys[j : j + 8192])
-                        arrays = [pa.array(np.full(len(at), t, np.int32)), key, ids.take(at), part.column(1).take(at)]
-                        yield pa.RecordBatch.from_arrays(arrays, ["t", "bucket", "id", "vec"])
+                    arrays = [pa.array(np.full(len(unit), t, np.int32)), pa.array(buckets(unit, *shape)), part.column(0), part.column(1)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["t", "bucket", "id", "vec"])
 
     return run
 
 
-def _nearest(dimension: int, keep: int):
-    """Groups of consecutive rows with one (t, bucket, c, q): queries first (kind 0), then candidates."""
+def _probes(dimension: int, count: int, tables: int):
+    """(t, bucket, id) of each bucket that a query visits; (-1, 0, id) for a query whose chances fall short."""
 
-    def group(kind, ids, vec):
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
+
+        shapes = [projections(dimension, count, t) for t in range(tables)]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                unit, ids = _units(part, dimension), part.column(0)
+                for t, shape in enumerate(shapes):
+                    rows, keys, reached = probes(unit, *shape)
+                    missed = np.flatnonzero(~reached)
+                    kind = np.concatenate([np.full(len(rows), t, np.int32), np.full(len(missed), -1, np.int32)])
+                    keys = np.concatenate([keys, np.zeros(len(missed), np.int64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), ids.take(pa.array(np.concatenate([rows, missed])))], ["t", "bucket", "id"])
+
+    return run
+
+
+def _units(part, dimension: int):
+    import numpy as np
+
+    vec = part.column(1).flatten().to_numpy().reshape(-1, dimension)
+    return vec / np.linalg.norm(vec, axis=1, keepdims=True)
+
 
-        n = int((kind == 0).sum())
-        if not 0 < n < len(ids):
-            return None
-        norms = np.sqrt((vec * vec).sum(axis=1))
-        asked, found = vec[:n], vec[n:]
-        rough = (asked / norms[:n, None]) @ (found / norms[n:, None]).T
-        m = min(keep, rough.shape[1])
-        floor = np.partition(rough, rough.shape[1] - m, axis=1)[:, rough.shape[1] - m, None] - 1e-9
+def best_of(asked, found, ids, pairs, keep: int):
+    """(query, candidate, score) arrays with the best `keep` candidates of each query, nearest first, ties to the smaller id.
+
+    asked, found: matrices of original vectors; ids: the candidates' ids; pairs: (queries, first, last + 1) of candidates that
+    these queries meet.
+    """
+    import numpy as np
+
+    norms, sizes = np.sqrt((asked * asked).sum(axis=1)), np.sqrt((found * found).sum(axis=1))
+    left, right = asked / norms[:, None], found / sizes[:, None]
+    qs, cs = [], []
+    for queries, i, j in pairs:
+        rough = left[queries] @ right[i:j].T
+        m = min(keep, j - i)
+        floor = np.partition(rough, j - i - m, axis=1)[:, j - i - m, None] - 1e-9
         a, b = np.nonzero(rough >= floor)
-        exact = np.minimum(1.0, np.maximum(-1.0, (asked[a] * found[b]).sum(axis=1) / (norms[:n][a] * norms[n:][b])))
-        order = np.lexsort((ids[n:][b], -exact, a))
-        a, b, exact = a[order], b[order], exact[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        a, b, exact = a[place < keep], b[place < keep], exact[place < keep]
-        return ids[:n][a], ids[n:][b], exact
+        qs.append(queries[a])
+        cs.append(b + i)
+    if not qs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    q, c = np.concatenate(qs), np.concatenate(cs)
+    # A candidate that several tables bring counts once.
+    _, once = np.unique(np.stack([q, ids[c]]), axis=1, return_index=True)
+    q, c = q[once], c[once]
+    exact = np.minimum(1.0, np.maximum(-1.0, (asked[q] * found[c]).sum(axis=1) / (norms[q] * sizes[c])))
+    order = np.lexsort((ids[c], -exact, q))
+    q, c, exact = q[order], c[order], exact[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < keep], c[place < keep], exact[place < keep]
+
+
+def _nearest(dimension: int, keep: int):
+    """Sorted rows of groups: a group's candidates (kind 0) are held, and its queries (kind 1) stream past them."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        group, parts, held = None, [], None
+
+        def settled():
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            codes = np.stack([rows.column(n).to_numpy() for n in ("t", "bucket", "c")], axis=1)
+            order = np.lexsort(codes.T[::-1])
+            codes = codes[order]
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(codes, axis=0) != 0).any(axis=1)) + 1, [len(codes)]])
+            vec = rows.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dimension)
+            places = {tuple(codes[i].tolist()): (i, j) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+            return places, rows.column("id").to_numpy()[order], vec[order]
+
         def results(rows):
-            heads = [rows.column(n).to_numpy() for n in ("t", "bucket", "c", "q")]
-            kind, ids = rows.column("kind").to_numpy(), rows.column("id").to_numpy()
-            vec = rows.column("vec").combine_chunks()
-            vec = (vec.flatten() if not isinstance(vec, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in vec.chunks])).to_numpy()
-            vec = vec.reshape(-1, dimension)
-            new = np.flatnonzero(np.logical_or.reduce([np.diff(h) != 0 for h in heads])) + 1
-            cuts = [0, *new.tolist(), len(ids)]
-            out = [g for i, j in zip(cuts[:-1], cuts[1:], strict=True) if (g := group(kind[i:j], ids[i:j], vec[i:j])) is not None]
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["asked", "found", "score"])
-
-        held = None
+            places, ids, found = held
+            asked = rows.column(rows.schema.get_field_index("vec")).flatten().to_numpy().reshape(-1, dimension)
+            mine = rows.column(rows.schema.get_field_index("id")).to_numpy()
+            meets: dict = {}
+            for q, visited in enumerate(rows.column(rows.schema.get_field_index("visits")).to_pylist()):
+                for v in visited:
+                    at = places.get((v["t"], v["bucket"], v["c"]))
+                    if at is not None:
+                        meets.setdefault(at, []).append(q)
+            q, c, score = best_of(asked, found, ids, [(np.array(qs), i, j) for (i, j), qs in meets.items()], keep)
+            return pa.RecordBatch.from_arrays([pa.array(mine[q]), pa.array(ids[c]), pa.array(score)], ["asked", "found", "score"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            heads = [rows.column(n).to_numpy() for n in ("t", "bucket", "c", "q")]
-            same = np.logical_and.reduce([h == h[-1] for h in heads])
-            start = rows.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = rows.slice(start)
-            if start:
-                yield results(rows.slice(0, start))
-        if held is not None:
-            yield results(held)
+            g, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1, [len(g)]])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if g[i] != group:
+                    group, parts, held = g[i], [], None
+                if kind[i] == 0:
+                    parts.append(batch.slice(i, j - i))
+                elif parts:
+                    held = held or settled()
+                    for k in range(i, j, QUERY_BLOCK):
+                        yield results(batch.slice(k, min(QUERY_BLOCK, j - k)))
 
     return run
 
 
-def _meet(asked: DataFrame, found: DataFrame, dimension: int, keep: int) -> DataFrame:
-    """(asked, found, score): for each bucket and block, the best `keep` candidates of each query."""
-    sizes = (
-        found.groupBy("t", "bucket")
-        .agg(F.ceil(F.count("*") / F.lit(CANDIDATE_BLOCK)).cast("int").alias("cs"))
-        .join(asked.groupBy("t", "bucket").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("qs")), ["t", "bucket"])
-    )
-    block = F.xxhash64("id")
-    candidates = found.join(sizes, ["t", "bucket"]).select(
-        "t", "bucket", F.pmod(block, "cs").cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(1).alias("kind"), "id", "vec"
-    )
-    queries = asked.join(sizes, ["t", "bucket"]).select(
-        "t", "bucket", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), F.pmod(block, "qs").cast("int").alias("q"), F.lit(0).alias("kind"), "id", "vec"
-    )
-    dealt = queries.unionByName(candidates).repartition("t", "bucket", "c", "q").sortWithinPartitions("t", "bucket", "c", "q", "kind", "id")
+def _meet(visits: DataFrame, asked: DataFrame, found: DataFrame, groups: int, dimension: int, keep: int) -> DataFrame:
+    """(asked, found, score): for each group, the best `keep` candidates of each query in the buckets that it visits.
+
+    visits: t, bucket, id of a query; asked: id, vec; found: t, bucket, id, vec.
+    """
+    keys = ["t", "bucket"]
+    large = large_keys(found.select(*keys, "id"), keys, CANDIDATE_BLOCK, "cs")
+    block = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("cs")).cast("int")
+    group = F.pmod(F.xxhash64("t", "bucket", "c"), F.lit(groups)).cast("int").alias("g")
+    visit = "array<struct<t:int,bucket:bigint,c:int>>"
+    candidates = with_blocks(found, large, keys, "id", "cs").withColumn("c", block)
+    candidates = candidates.select(group, F.lit(0).alias("kind"), "t", "bucket", "c", "id", "vec", F.lit(None).cast(visit).alias("visits"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cs") - 1))
+    each = with_blocks(visits, large, keys, "id", "cs").withColumn("c", every).select(group, "t", "bucket", "c", "id")
+    # A query's visits to one group, at most its probes, meet in a row.
+    listed = each.groupBy("g", "id").agg(F.collect_list(F.struct("t", "bucket", "c")).alias("visits"))
+    none = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("c")]
+    queries = listed.join(asked, "id").select("g", F.lit(1).alias("kind"), *none, "id", "vec", F.col("visits").cast(visit).alias("visits"))
+    dealt = candidates.unionByName(queries).repartition("g").sortWithinPartitions("g", "kind", "id")
     return dealt.mapInArrow(_nearest(dimension, keep), "asked long, found long, score double")
 
 
@@ -210,23 +272,22 @@ def search(vectors: DataFrame, is_query, k: int = K_NEAREST, tables: int = TABLE
     queries = rows.filter(is_query(F.col("id"))).distinct()
     asked = checkpoint(queries.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
     total = classes.count()
-    count = max(2, min(12, round(math.log2(max(total, 2)) / 4)))
-
-    near = _meet(
-        asked.mapInArrow(_hashed(dimension, count, tables, True), _ROW),
-        classes.select("id", "vec").mapInArrow(_hashed(dimension, count, tables, False), _ROW),
-        dimension,
-        keep,
-    )
-    near = checkpoint(near)
-    met = near.groupBy("asked").agg(F.countDistinct("found").alias("n"))
-    # Within its buckets a query keeps `keep` classes each, so a short list means that few were met at all.
-    short = asked.join(met.filter(F.col("n") >= min(keep, total)), asked["id"] == met["asked"], "left_anti")
-    if not short.isEmpty():
+    count = max(2, round(math.log2(max(total, 2)) / 4))
+    groups = -(-total * tables // GROUP)
+
+    visits = checkpoint(asked.mapInArrow(_probes(dimension, count, tables), "t int, bucket long, id long"))
+    candidates = classes.select("id", "vec").mapInArrow(_candidates(dimension, count, tables), "t int, bucket long, id long, vec array<double>")
+    near = checkpoint(_meet(visits.filter("t >= 0"), asked, candidates, groups, dimension, keep))
+    met = near.groupBy("asked").agg(F.countDistinct("found").alias("n")).filter(F.col("n") >= min(keep, total)).select(F.col("asked").alias("id"))
+    # Within a group a query keeps `keep` classes, so a short list means that few were met at all.
+    missed = visits.filter("t < 0").select("id").distinct()
+    short = checkpoint(asked.select("id").join(met.join(missed, "id", "left_anti"), "id", "left_anti"))
+    if number := short.count():
+        _LOG.warning("%d queries met too few rows and are searched over all %d", number, total)
         blocks = -(-total // CANDIDATE_BLOCK)
-        everywhere = short.select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("bucket"), "id", "vec")
+        everywhere = short.select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("bucket"), "id")
         spread = classes.select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("bucket"), "id", "vec")
-        near = near.unionByName(_meet(everywhere, spread, dimension, keep))
+        near = near.unionByName(_meet(everywhere, asked, spread, groups, dimension, keep))
     ranked = near.groupBy("asked", "found").agg(F.max("score").alias("score"))
     best = W.partitionBy("asked").orderBy(F.col("score").desc(), "found")
     ranked = ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)

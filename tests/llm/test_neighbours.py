@@ -42,6 +42,39 @@ def test_recall_on_random_vectors(spark):
     assert sorted(r["rank"] for r in got) == sorted(list(range(1, 6)) * 150)
 
 
+def recall(spark, df, share):
+    """The share of the true five nearest that are found, for the queries whose ids `share` divides, and the largest error of a score."""
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    ids, vec = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    place = {int(x): k for k, x in enumerate(ids)}
+    hits = wanted = error = 0
+    got = {}
+    for r in N.search(df, lambda i: i % share == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        error = max(error, abs(r.score - unit[place[r.query_id]] @ unit[place[r.vec_id]]))
+    for q in ids[ids % share == 0].tolist():
+        scores = unit @ unit[place[q]]
+        scores[place[q]] = -2
+        hits += len({*ids[np.lexsort((ids, -scores))[:5]].tolist()} & {*got[q]})
+        wanted += 5
+    return hits / wanted, error
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings(spark, sf):
+    found, error = recall(spark, spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"), 50)
+    assert found >= 0.9 and error < 1e-12
+
+
+def test_recall_on_fifty_thousand_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = rng.standard_normal((50_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<float>")
+    found, error = recall(spark, df, 250)
+    assert found >= 0.9 and error < 1e-12
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(2)
     common = [1.0, 2.0, 3.0, 4.0]
@@ -71,7 +104,8 @@ def test_probes_come_in_order_of_chance():
     unit = rng.standard_normal((5, 8))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     shape = N.projections(8, 3, 0)
-    rows, keys = N.probes(unit, *shape)
+    rows, keys, reached = N.probes(unit, *shape)
+    assert reached.all() and not N.probes(unit, *shape, success=1.1)[2].any()
     own = N.buckets(unit, *shape)
     for q in range(5):
         assert keys[rows == q][0] == own[q]
