@@ -10,7 +10,7 @@ Defined cases: a null text has no words and is never hit; an item without words
 has no window; an item shorter than a window is one window of its own length;
 items that share a window are all reported; repeated documents are judged row
 by row; items with a null id hit words but are not listed. Extra columns pass
-through untouched.
+through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,12 @@ from .common import WORD_BYTES, utf8
 WINDOW = 10
 #: UTF-8 bytes of benchmark text up to which its windows are broadcast.
 MAX_BROADCAST_BYTES = 8 << 20
+#: Parts into which a window of the join is split, by document.
+SALTS = 16
 
 REPORT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Odd multipliers of the rolling hash; the next is taken where two different windows of the items clash.
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -44,37 +48,51 @@ def windows(tokens: list, n: int = WINDOW) -> list[tuple]:
 
 
 class WindowSet:
-    """Hash set of the items' windows over the items' own vocabulary."""
+    """Hash set of the items' windows over the items' own vocabulary, built once on the driver.
+
+    For each length of windows: their sorted hashes, where in the items' words (flat) each one stands, and its items.
+    """
 
     def __init__(self, items: list[tuple], n: int = WINDOW):
         import numpy as np
 
         self.vocabulary: dict[bytes, int] = {}
-        self.item_ids: list[str | None] = []
-        by_length: dict[int, dict[bytes, set[int]]] = {}
-        for item_id, text in items:
-            number = len(self.item_ids)
-            self.item_ids.append(None if item_id is None else str(item_id))
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words((text or "").encode())]
-            for window in windows(ids, n):
-                key = np.array(window, np.int64).tobytes()
-                by_length.setdefault(len(window), {}).setdefault(key, set()).add(number)
-        self.owners = by_length
-        self.hashes = {
-            size: np.unique(np.array([int(self.rolling(np.frombuffer(k, np.int64), size)[0]) for k in keys], np.uint64))
-            for size, keys in by_length.items()
-        }
+        self.item_ids: list[str | None] = [None if item_id is None else str(item_id) for item_id, _ in items]
+        ids = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words((text or "").encode())] for _, text in items]
+        self.flat = np.array([x for item in ids for x in item], np.int64)
+        sizes = np.array([len(item) for item in ids], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        self.tables = {}
+        for size in sorted({min(n, s) for s in sizes.tolist()} - {0}):
+            chosen = np.flatnonzero(sizes >= n) if size == n else np.flatnonzero(sizes == size)
+            count = sizes[chosen] - size + 1
+            owner = np.repeat(chosen, count)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[chosen], count)
+            self.tables[size] = self._table(at, owner, size)
+
+    def _table(self, at, owner, size: int):
+        import numpy as np
+
+        for multiplier in _MULTIPLIERS:
+            hashed = self.rolling(self.flat, at, size, multiplier)
+            order = np.lexsort((owner, hashed))
+            ordered = hashed[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            runs = np.diff(np.append(first, len(order)))
+            lead = np.repeat(at[order[first]], runs)
+            if all((self.flat[at[order] + j] == self.flat[lead + j]).all() for j in range(size)):
+                return multiplier, ordered[first], at[order[first]], np.append(first, len(order)), owner[order]
+        raise ValueError("windows clash under every multiplier")
 
     @staticmethod
-    def rolling(ids, size: int):
-        """One 64-bit hash for each run of `size` word ids."""
+    def rolling(ids, at, size: int, multiplier: int):
+        """A 64-bit hash of the `size` ids from each of the places `at`."""
         import numpy as np
 
-        count = len(ids) - size + 1
-        out = np.zeros(count, np.uint64)
+        out = np.zeros(len(at), np.uint64)
         for j in range(size):
-            out = out * np.uint64(_MULTIPLIER) + (ids[j : j + count] + 1).astype(np.uint64)
-        return out
+            out = out * np.uint64(multiplier) + (ids[at + j] + 1).astype(np.uint64)
+        return out ^ (out >> np.uint64(31))
 
     def scan(self, tokens: list[bytes]):
         """(hit flags by word, numbers of the items with an occurring window)."""
@@ -85,22 +103,22 @@ class WindowSet:
         hit = np.zeros(len(tokens) + 1, np.int64)
         found: set[int] = set()
         unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        for size, hashes in self.hashes.items():
+        for size, (multiplier, hashes, places, cuts, owners) in self.tables.items():
             if len(tokens) < size:
                 continue
             starts = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(starts):
                 continue
-            hashed = np.zeros(len(starts), np.uint64)
-            for j in range(size):
-                hashed = hashed * np.uint64(_MULTIPLIER) + (ids[starts + j] + 1).astype(np.uint64)
+            hashed = self.rolling(ids, starts, size, multiplier)
             at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
-            for i in starts[hashes[at] == hashed]:
-                owners = self.owners[size].get(ids[i : i + size].tobytes())
-                if owners:
-                    found |= owners
-                    hit[i] += 1
-                    hit[i + size] -= 1
+            same = hashes[at] == hashed
+            starts, at = starts[same], at[same]
+            for j in range(size):
+                same = ids[starts + j] == self.flat[places[at] + j]
+                starts, at = starts[same], at[same]
+            hit += np.bincount(starts, minlength=len(hit)) - np.bincount(starts + size, minlength=len(hit))
+            for k in np.unique(at).tolist():
+                found.update(owners[cuts[k] : cuts[k + 1]].tolist())
         return np.cumsum(hit[:-1]) > 0, found
 
 
@@ -132,13 +150,13 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int =
     docs = docs.select("doc_id", "text")
     if not fits_broadcast(benchmark, limit):
         return _report_by_join(docs, benchmark, n)
-    shared = _broadcast(benchmark)
+    shared = _broadcast(benchmark, n)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
         import pyarrow as pa
 
-        known = WindowSet(shared.value, n)
+        known = shared.value
         for batch in batches:
             out = []
             for text in utf8(batch, "text"):
@@ -170,12 +188,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int
         raise ValueError(f"unknown mode {mode}")
     if not fits_broadcast(benchmark):
         return _remove_by_join(docs, benchmark, mode, n)
-    shared = _broadcast(benchmark)
+    shared = _broadcast(benchmark, n)
 
     def scan(batches):
         import pyarrow as pa
 
-        known = WindowSet(shared.value, n)
+        known = shared.value
         for batch in batches:
             texts = utf8(batch, "text")
             hits = [known.scan(words(text))[0] for text in texts]
@@ -209,9 +227,9 @@ def digest(items: list[str] | None) -> str:
     return hashlib.sha256(",".join(items or []).encode()).hexdigest()
 
 
-def _broadcast(benchmark: DataFrame):
+def _broadcast(benchmark: DataFrame, n: int):
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    return benchmark.sparkSession.sparkContext.broadcast(items)
+    return benchmark.sparkSession.sparkContext.broadcast(WindowSet(items, n))
 
 
 def _grams(df: DataFrame, n: int, lengths: list[int], carried: str) -> DataFrame:
@@ -244,54 +262,63 @@ def _emit(pa, batch, rows, at, size, gram):
 
 
 def _hits_by_join(keyed: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """(row, doc_id, positions, items) of the documents with a hit; keyed has row, doc_id, text."""
+    """(key, hit_words, items) of the texts with a hit; keyed has key and text.
+
+    Windows of the documents meet the items' distinct windows, each with its list of items; a window that many documents hold
+    is spread by a salt of the document.
+    """
     item = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     owned = _grams(item, n, [], "item_id string").select("item_id", "size", "gram").distinct()
     lengths = [r.size for r in owned.select("size").distinct().collect()]  # n values at most
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    windowed = _grams(keyed.select("row", "doc_id", "text"), n, lengths or [n], f"row long, doc_id {kind}")
+    windowed = _grams(keyed.select("key", "text"), n, lengths or [n], "key string")
+    salted = owned.groupBy("size", "gram").agg(F.collect_list("item_id").alias("items"))
+    salted = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = windowed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["size", "gram", "salt"])
     return (
-        windowed.join(owned, ["size", "gram"])
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("at", "size")).alias("found"), F.collect_set("item_id").alias("items"))
+        met.groupBy("key")
+        .agg(F.collect_set(F.struct("at", "size")).alias("found"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
         .withColumn(
             "hit_words",
-            F.array_sort(
-                F.array_distinct(
-                    F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))
-                )
-            ),
+            F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))),
         )
-        .select("row", "hit_words", F.array_sort("items").alias("items"))
+        .select("key", "hit_words", F.array_sort("items").alias("items"))
     )
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    # Repeated rows share a key and, having the same text, the same hits.
-    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    hits = _hits_by_join(docs.select(key.alias("row"), "doc_id", "text").distinct(), benchmark, n)
-    return docs.withColumn("row", key).join(hits, "row", "left")
+    """(row, text, hit_words, items): each row of docs in a struct; equal texts share a 128-bit key and their hits."""
+    held = docs.select(F.struct("*").alias("row"), "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    hits = _hits_by_join(held.select("key", "text").dropDuplicates(["key"]), benchmark, n)
+    return held.join(hits, "key", "left").select("row", "text", "hit_words", "items")
 
 
 def _report_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    spans = _by_batch(_spans_of, "array<struct<start:long,end:long>>")("text", "hit_words")
     return _marked(docs, benchmark, n).select(
-        "doc_id",
+        "row.doc_id",
         _n_words("text").alias("n_words"),
         F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.udf(_spans_of, "array<struct<start:long,end:long>>")("text", F.coalesce("hit_words", F.array().cast("array<bigint>"))).alias("spans"),
+        spans.alias("spans"),
     )
 
 
 def _remove_by_join(docs: DataFrame, benchmark: DataFrame, mode: str, n: int) -> DataFrame:
     marked = _marked(docs, benchmark, n)
     if mode == "document":
-        return marked.filter(F.col("hit_words").isNull()).select(*docs.columns)
-    text = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.udf(_without, "string")("text", "hit_words"))
-    out = marked.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        return marked.filter(F.col("hit_words").isNull()).select("row.*")
+    out = marked.select("row", _by_batch(_without, "string")("text", "hit_words").alias("text"))
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _by_batch(one, kind: str):
+    """A function of text and hit words over Arrow batches."""
+
+    def run(texts: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([one(t, h) for t, h in zip(texts, hits, strict=True)])
+
+    return F.pandas_udf(run, kind)
 
 
 def _n_words(text: str):
@@ -306,9 +333,11 @@ def _flags(text: bytes, hit_words) -> list[bool]:
 
 
 def _spans_of(text, hit_words):
-    raw = (text or "").encode()
-    return [(s["start"], s["end"]) for s in _spans(raw, _flags(raw, hit_words))]
+    if hit_words is None:
+        return []
+    raw = text.encode()
+    return [{"start": s["start"], "end": s["end"]} for s in _spans(raw, _flags(raw, hit_words))]
 
 
 def _without(text, hit_words):
-    return cut(text, _spans_of(text, hit_words))
+    return text if hit_words is None else cut(text, [(s["start"], s["end"]) for s in _spans_of(text, hit_words)])

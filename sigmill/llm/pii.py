@@ -18,7 +18,7 @@ the document's matches. Only matches are shuffled, not texts.
 
 Defined cases: null and empty texts have no spans; spans of different kinds may
 overlap; repeated rows get a row each; rows with a null doc_id are kept; context
-words count up to 80 characters; an empty table gives an empty result.
+words count whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ _NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "p
 _FILL = "﷐﷑﷒﷓"
 _OTHER = "﷔"
 _SPACE = r"\x20\x09-\x0D"
+_BLANKS = "\t\n\x0b\x0c\r"
 _SLOT = "|".join(f"{c}+" for c in _FILL) + (
     f"|(?<![^{_SPACE}{_FILL}])[^{_SPACE}{_FILL}0-9@]*+[0-9@][^{_SPACE}{_FILL}]*+"
 )
@@ -106,8 +107,6 @@ def _masked(text: Column) -> Column:
 
 def _entries(text: Column) -> Column:
     """All matches of a text, in order within each kind, the slots of the masked text last."""
-    word = f"[^{_SPACE}]+"
-
     def entry(number: int, gap: Column, match: Column, ok: Column, left: Column, head: Column) -> Column:
         return F.struct(
             F.lit(number).alias("kind"),
@@ -128,11 +127,12 @@ def _entries(text: Column) -> Column:
 
 
     def slot(gap: Column, match: Column) -> Column:
-        left = F.lower(F.regexp_extract(F.substring(gap, -80, 80), f"({word})[{_SPACE}]*$", 1))
-        head = F.lower(F.regexp_extract(F.substring(gap, 1, 80), f"^[{_SPACE}]*({word})", 1))
+        left = F.lower(F.substring_index(F.rtrim(gap), " ", -1))
+        head = F.lower(F.substring_index(F.ltrim(gap), " ", 1))
         return entry(SLOT, gap, match, F.lit(True), left, head)
 
-    slots = _let(_masked(text), lambda masked: _cut(masked, _SLOT, slot))
+    # All blanks become spaces, one for one, so that a gap's last and first words are cut off at spaces.
+    slots = _let(F.translate(_masked(text), _BLANKS, " " * len(_BLANKS)), lambda masked: _cut(masked, _SLOT, slot))
     return F.flatten(F.array(*[base(n, k) for n, k in enumerate(KINDS)], slots))
 
 
@@ -140,7 +140,8 @@ _TYPE = "array<struct<kind:int,gap:int,size:int,ok:boolean,match:string,left:str
 
 
 def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+    """A digest of id and text, 128 bits wide: rows that share it are equal in both."""
+    return F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"))
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -185,11 +186,15 @@ def _occurrences(found: DataFrame) -> DataFrame:
 
 
 def _frequencies(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(word, freq): how often each pattern's word stands in all texts, whatever is beside it."""
-    words = patterns.select(F.substring("pattern", 2, 1_000_000).alias("word")).distinct()
-    few = words.count() <= MAX_BROADCAST_WORDS
+    """(word, freq): how often each pattern's word stands in all texts, whatever is beside it.
+
+    Few pattern words are broadcast to the words of the texts; many meet the words' counts, which are summed up before.
+    """
+    words = patterns.select(F.expr("substring(pattern, 2)").alias("word")).distinct()
     everywhere = docs.select(F.explode(F.split(F.lower("text"), f"[{_SPACE}]+")).alias("word"))
-    return everywhere.join(F.broadcast(words) if few else words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
+    if words.count() <= MAX_BROADCAST_WORDS:
+        return everywhere.join(F.broadcast(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
+    return everywhere.groupBy("word").agg(F.count("*").alias("freq")).join(words, "word", "left_semi")
 
 
 def discover(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -198,7 +203,7 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFra
     supported = checkpoint(
         occurrences.groupBy("pattern").agg(F.countDistinct("instance").alias("support")).filter(F.col("support") >= MIN_SUPPORT).select("pattern")
     )
-    word = F.substring("pattern", 2, 1_000_000)
+    word = F.expr("substring(pattern, 2)")
     freq = supported.withColumn("word", word).join(_frequencies(docs, supported), "word").select("pattern", "freq")
     # One edge for each pattern and instance, with the times that they meet; summed up before a frequent pattern's rows meet.
     edges = occurrences.groupBy("pattern", "instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"))
@@ -265,12 +270,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with base and discovered spans in `text` replaced by [KIND]; n_chars is recounted where present."""
-    more = discover(docs, matches(docs))
+    """docs, all columns, with base and discovered spans in `text` replaced by [KIND]; n_chars is recounted where present.
+
+    The columns of docs travel in one struct, so their names don't matter.
+    """
+    found = matches(docs)
+    more = discover(docs, found)
     marks = more.select("key", F.struct("place", "lead", "trail", "kind").alias("mark")).distinct()
     marks = checkpoint(marks.groupBy("key").agg(F.collect_list("mark").alias("marks")))
     none = F.array().cast(marks.schema["marks"].dataType)
-    marked = docs.withColumn("marks", none) if marks.isEmpty() else docs.withColumn("key", _key()).join(marks, "key", "left")
+    held = docs.select(F.struct("*").alias("row"), "text", _key().alias("key"))
+    marked = held.withColumn("marks", none) if marks.isEmpty() else held.join(marks, "key", "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def rebuilt(part: Column, place: Column) -> Column:
@@ -288,7 +298,7 @@ def redact(docs: DataFrame) -> DataFrame:
         _masked(F.col("text")), lambda masked: _cut(masked, _SLOT, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
     )
     text = F.array_join(F.transform(parts, rebuilt), "")
-    out = marked.withColumn("marks", F.coalesce("marks", none)).withColumn("text", F.when(F.col("text").rlike("[0-9@]"), text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.col("text").rlike("[0-9@]"), text).otherwise(F.col("text"))
+    out = marked.withColumn("marks", F.coalesce("marks", none)).select("row", text.alias("text"))
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])

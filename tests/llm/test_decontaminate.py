@@ -67,6 +67,31 @@ def test_removal(spark, case):
     assert next(r.text for r in cut if r.doc_id == 22) == "a !"
 
 
+@pytest.mark.parametrize("limit", [D.MAX_BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("mode", ["document", "span"])
+def test_internal_names_as_extra_columns(spark, case, monkeypatch, limit, mode):
+    items, docs = case
+    monkeypatch.setattr(D, "fits_broadcast", lambda benchmark: limit > 0)
+    names = ["row", "key", "items", "hit_words", "found", "salt", "gram", "size", "at", "spans"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    frame = spark.createDataFrame([(i, t, None if t is None else len(t), *range(len(names))) for i, t in docs], schema)
+    out = D.remove(frame, spark.createDataFrame(items, BENCH), mode)
+    assert out.columns == frame.columns
+    rows = out.collect()
+    assert {tuple(r)[3:] for r in rows} == {tuple(range(len(names)))}
+    hit = {i for i, t in docs if brute(t, items)[1]}
+    assert len(rows) == (len(docs) if mode == "span" else sum(i not in hit for i, _ in docs))
+    assert all(r.text is None or (brute(r.text, items)[1] == 0 or mode == "span") and r.n_chars == len(r.text) for r in rows)
+
+
+def test_windows_that_clash_get_another_multiplier(monkeypatch):
+    monkeypatch.setattr(D, "_MULTIPLIERS", (0, *D._MULTIPLIERS))  # the first hashes a window by its last word alone
+    items = [(1, "a b c"), (2, "d e c"), (3, "x a b c")]
+    known = D.WindowSet(items, 2)
+    hit, found = known.scan(b"a b c d".split())
+    assert hit.tolist() == [True, True, True, False] and found == {0, 2}
+
+
 def test_empty_tables(spark, case):
     items, docs = case
     none = spark.createDataFrame([], BENCH)

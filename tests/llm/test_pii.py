@@ -118,3 +118,137 @@ def test_common_words_are_no_patterns(spark):
 
 def test_empty_table(spark):
     assert P.report(frame(spark, [])).count() == 0 and P.redact(frame(spark, [])).count() == 0
+
+
+FILL, OTHER = "\ufdd0\ufdd1\ufdd2\ufdd3", "\ufdd4"
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def slots_of(text):
+    """[(start, end, seed kind or None, left word, right word)] of the masked text, and {(kind, start): base match}."""
+    text = (text or "").translate({ord(c): OTHER for c in FILL})
+    masked = text
+    for number, kind in enumerate(P.KINDS):
+        for k, a, b in [s for s in brute(masked) if s[0] == kind]:
+            masked = masked[:a] + FILL[number] * (b - a) + masked[b:]
+    found, i = [], 0
+    while i < len(masked):
+        c = masked[i]
+        j = i
+        if c in FILL:
+            while j < len(masked) and masked[j] == c:
+                j += 1
+            found.append((i, j, FILL.index(c)))
+        elif c not in BLANK:
+            while j < len(masked) and masked[j] not in BLANK + FILL:
+                j += 1
+            if any(x in "0123456789@" for x in masked[i:j]):
+                found.append((i, j, None))
+        i = max(j, i + 1)
+    out = []
+    for n, (a, b, seed) in enumerate(found):
+        before = re.split(f"[{BLANK}]+", masked[found[n - 1][1] if n else 0 : a].rstrip(BLANK).lower())[-1]
+        after = re.split(f"[{BLANK}]+", masked[b : found[n + 1][0] if n + 1 < len(found) else len(masked)].lstrip(BLANK).lower())[0]
+        out.append((a, b, seed, before, after))
+    return masked, out
+
+
+def plain_spans(texts):
+    """The discovered spans of each text by loops over dictionaries."""
+    occurrences = []  # (text, slot, start, end, seed, instance, pattern)
+    for t, text in enumerate(texts):
+        masked, slots = slots_of(text)
+        base = {(P.KINDS.index(k), a): (text or "")[a:b].lower() for k, a, b in brute(text)}
+        for n, (a, b, seed, left, right) in enumerate(slots):
+            if seed is None:
+                match = masked[a:b]
+                lead = len(re.match(r"""["'(<\[{]*""", match).group())
+                trail = len(re.search(r"""[.,;:!?)>\]}"']*$""", match).group())
+                if lead + trail >= len(match):
+                    continue
+                a, b, instance = a + lead, b - trail, match[lead : len(match) - trail].lower()
+            elif (seed, a) in base:
+                instance = base[seed, a]
+            else:
+                continue
+            for pattern in [p for p, w in (("L" + left, left), ("R" + right, right)) if w]:
+                occurrences.append((t, n, a, b, seed, instance, pattern))
+    words = {}
+    for text in texts:
+        for w in re.split(f"[{BLANK}]+", (text or "").lower()):
+            words[w] = words.get(w, 0) + 1
+    times, seeds, instances = {}, {}, {}
+    for *_, seed, instance, pattern in occurrences:
+        times[pattern, instance] = times.get((pattern, instance), 0) + 1
+        if seed is not None:
+            seeds[pattern, instance] = max(seed, seeds.get((pattern, instance), -1))
+        instances.setdefault(pattern, set()).add(instance)
+    graph = {p: found for p, found in instances.items() if len(found) >= 3 and p[1:] in words}
+    is_seed = {i for p, found in graph.items() for i in found if (p, i) in seeds}
+    score = {i: float(i in is_seed) for found in graph.values() for i in found}
+    for _ in range(P.ROUNDS):
+        confidence = {
+            p: min(1.0, sum(score[i] * times[p, i] for i in found) / words[p[1:]]) if sum(score[i] >= 0.5 for i in found) >= 3 else 0.0 for p, found in graph.items()
+        }
+        missing = dict.fromkeys(score, 1.0)
+        for p, found in graph.items():
+            for i in found:
+                missing[i] *= max(1e-12, 1 - confidence[p])
+        score = {i: 1.0 if i in is_seed else 1 - m for i, m in missing.items()}
+    kinds = {}
+    for p, found in graph.items():
+        votes = {}
+        for i in found:
+            if (p, i) in seeds:
+                votes[seeds[p, i]] = votes.get(seeds[p, i], 0) + times[p, i]
+        if votes and confidence[p] >= P.MIN_CONFIDENCE:
+            kinds[p] = max(votes, key=lambda k: (votes[k], -k))
+    best = {}
+    for t, n, a, b, seed, _, pattern in occurrences:
+        if seed is None and pattern in kinds:
+            best[t, n] = max(best.get((t, n), (-1.0, "", 0, 0, 0)), (confidence[pattern], pattern, kinds[pattern], a, b))
+    out = [[] for _ in texts]
+    for (t, _), (_, _, kind, a, b) in best.items():
+        out[t].append((kind, a, b))
+    return [sorted(set(spans) | {(P.KINDS.index(k), a, b) for k, a, b in brute(text)}) for spans, text in zip(out, texts, strict=True)]
+
+
+def compared(spark, texts):
+    got = {r.doc_id: r.spans for r in P.report(frame(spark, list(enumerate(texts)))).collect()}
+    want = [listed((P.KINDS[k], a, b) for k, a, b in spans) for spans in plain_spans(texts)]
+    # Sorted by kind, then start; a discovered span beside a base span of its kind may share neither.
+    assert [got[i] for i in range(len(texts))] == want
+    return sum(len(w.split(",")) for w in want if w) - sum(len(brute(t)) for t in texts)
+
+
+def test_all_spans_equal_the_plain_graph(spark):
+    rng = random.Random(11)
+    entity = [lambda: f"u{rng.randrange(60)}@mail.com", lambda: f"10.0.0.{rng.randrange(50)}", lambda: f"+1 (555) 100-2{rng.randrange(100, 200)}", lambda: f"id{rng.randrange(40)}", lambda: f"({rng.randrange(30)})."]
+    words = ["mail", "host", "call", "the", "seen", "from:", "w" * 100, "host\t\t", "mail" + " " * 90]
+
+    def text():
+        return " ".join(rng.choice(words) + " " + (rng.choice(entity)() if rng.random() < 0.6 else rng.choice(words)) for _ in range(rng.randrange(1, 9)))
+
+    texts = [*(text() for _ in range(250)), *(f"reach: {rng.choice(entity[:1])()} ok" for _ in range(60)), *(f"reach: jd(at){k} ok" for k in range(8)), "mail" + " " * 200 + "x7", None, ""]
+    assert compared(spark, texts) > 5
+
+
+def test_many_pattern_words_meet_summed_counts(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_BROADCAST_WORDS", 0)
+    compared(spark, [t for _, t in story()])
+
+
+def test_all_spans_of_the_smallest_table(spark, sf_dir):
+    compared(spark, [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()])
+
+
+def test_internal_names_as_extra_columns(spark):
+    names = ["row", "key", "marks", "mark", "rid", "entries", "entry", "gap", "match", "left", "head"]
+    rows = [(i, t, *range(len(names))) for i, t in story()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = P.redact(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert {tuple(r)[2:] for r in rows} == {tuple(range(len(names)))}
+    assert next(r.text for r in rows if r.doc_id == 100) == "hello contact: [EMAIL] thanks"
+    assert P.report(df).count() == len(rows)
