@@ -11,13 +11,16 @@ Targets share out all sources' sizes by weight; none exceeds `max_repeats`
 times its source's size, the excess going to the others by weight (water
 filling, solved exactly from running sums).
 
-Everything is relational. Positions within a source come from sums over
-4096 hash ranges and a running sum inside each range, so a source
-with any share of the rows is spread over that many tasks.
+Everything is relational. The shuffle key is a digest of seed, id and text, so
+rows without an id and rows that share one are spread like the others; equal
+rows are summed up and dealt out again. Positions within a source come from
+sums over 4096 hash ranges and a running sum inside each range, so a source with
+any share of the rows is spread over that many tasks.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
 source, ordered last; repeated rows are documents of their own; a source whose
-documents are all empty has target 0; an empty table gives an empty mix.
+documents are all empty has target 0; an empty table gives an empty mix; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -139,43 +142,80 @@ def _ranked(placed: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of docs."""
-    sized = checkpoint(docs.select("doc_id", "source", size_of("text").alias("size")))
-    plan = targets(sized, cycle, max_repeats)
+def _stream(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, n, order): the documents' sizes and shuffle keys; equal rows are one, n times."""
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest))
+    return docs.select("doc_id", "source", size_of("text").alias("size"), order.alias("order")).groupBy("doc_id", "source", "size", "order").agg(F.count("*").alias("n"))
+
+
+def _copies(placed: DataFrame) -> DataFrame:
+    """One row for each copy, with its own place in the stream; a row that stands many times is dealt out in stretches."""
+    stretch = 4096
+    single = placed.filter("n = 1").drop("n")
+    many = placed.filter("n > 1").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(stretch))))
+    dealt = many.repartition("order", "first").withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("n"), F.col("first") + stretch) - 1)))
+    return single.unionByName(dealt.withColumn("offset", F.col("offset") + F.col("copy") * F.col("size")).drop("n", "first", "copy"))
+
+
+def _placed(docs: DataFrame, cycle: tuple[int, ...], max_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, source_size, target, sid, offset) of each document, and the plan of the sources."""
+    sized = checkpoint(_stream(docs, seed))
+    plan = targets(sized.select("source", (F.col("size") * F.col("n")).alias("size")), cycle, max_repeats)
     plan = checkpoint(plan.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).cast("long")))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id")))
     few = plan.count() <= MAX_BROADCAST_SOURCES
     placed = sized.join(F.broadcast(plan) if few else plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    placed = placed.withColumn("order", order).withColumn("part", F.left("order", F.lit(SHUFFLE_DIGITS)))
-    sums = placed.groupBy("sid", "part").agg(F.sum("size").alias("part_size"))
+    placed = placed.withColumn("part", F.left("order", F.lit(SHUFFLE_DIGITS)))
+    words = F.col("size") * F.col("n")
+    sums = placed.groupBy("sid", "part").agg(F.sum(words).alias("part_size"))
     sums = sums.withColumn(
         "before", F.sum("part_size").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     ).select("sid", "part", F.coalesce("before", F.lit(0)).alias("before"))
     inside = W.partitionBy("sid", "part").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["sid", "part"])
+    placed = placed.withColumn("offset", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(sums, ["sid", "part"])
     placed = placed.withColumn("offset", F.col("offset") + F.col("before"))
+    return _copies(placed.select("doc_id", "source", "size", "source_size", "target", "sid", "offset", "order", "n")).drop("order"), plan
+
 
+def _served(placed: DataFrame, plan: DataFrame, max_repeats: int) -> DataFrame:
+    """(slot, sid, offset, doc_id, source, begin, words): the words of a document, from `begin` of its text on, that a slot serves."""
     block, count = block_words(plan)
-    slots = schedule(plan, block, count)
+    slots = schedule(plan, block, count).select("slot", "sid", "rank", F.col("begin").alias("low"), (F.col("begin") + F.col("words")).alias("high"))
     # Each pass over the stream puts the document at offset + epoch * source_size; it meets the blocks in between.
-    passes = placed.filter("size > 0").select(
-        "doc_id", "sid", "offset", "size", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("epoch"), "source_size", "target"
-    )
+    passes = placed.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     passes = passes.withColumn("start", F.col("offset") + F.col("epoch") * F.col("source_size")).filter("start < target")
     met = passes.select(
-        "sid", "offset", "doc_id", "size", "start",
+        "sid", "offset", "doc_id", "source", "start", (F.col("start") + F.col("size")).alias("end"),
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("rank"),
     )
-    overlap = F.least(F.col("start") + F.col("size"), F.col("begin") + F.col("words")) - F.greatest("start", "begin")
-    taken = (
-        met.join(slots.select("sid", "rank", "begin", "words"), ["sid", "rank"])
-        .groupBy("sid", "offset")
-        .agg(F.sum(F.greatest(overlap, F.lit(0))).alias("taken"))
+    begin = F.greatest("start", "low")
+    served = met.join(slots, ["sid", "rank"]).withColumn("words", F.least("end", "high") - begin).filter("words > 0")
+    return served.select("slot", "sid", "offset", "doc_id", "source", (begin - F.col("start")).alias("begin"), "words")
+
+
+def order(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """(slot, doc_id, source, begin, words): the mix in the order of the schedule.
+
+    Slot after slot serves one block of its source: `words` words of a document from its word `begin` on.
+    """
+    placed, plan = _placed(docs, cycle, max_repeats, seed)
+    return _served(placed, plan, max_repeats).select("slot", "doc_id", "source", "begin", "words")
+
+
+def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, first_slot, n_slots) for each row of docs.
+
+    taken: the words that the slots serve of it; first_slot and n_slots: the first slot that does, and how many do.
+    """
+    placed, plan = _placed(docs, cycle, max_repeats, seed)
+    placed = checkpoint(placed)
+    taken = _served(placed, plan, max_repeats).groupBy("sid", "offset").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.countDistinct("slot").alias("n_slots")
     )
-    # Documents with words have offsets of their own within a source.
-    whole = placed.join(taken, ["sid", "offset"], "left")
-    return whole.select(
+    # Documents with words have offsets of their own within a source; those without meet nothing.
+    words = placed.filter("size > 0").join(taken, ["sid", "offset"], "left")
+    none = placed.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long"), "n_slots": F.lit(0).cast("long")})
+    return words.unionByName(none.select(*words.columns)).select(
         "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
     )

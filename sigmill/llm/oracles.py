@@ -63,11 +63,11 @@ LEFT JOIN completions a ON a.pair_id = p.pair_id AND a.is_chosen
 LEFT JOIN completions b ON b.pair_id = p.pair_id AND NOT b.is_chosen
 """
 
-# A source takes its first floor(target) words of the repeated shuffled stream, whatever order the schedule serves sources in.
+# The schedule's golden-ratio points, a source's ranked slots, and the blocks of its shuffled stream that they serve.
 ORACLES["op6_mix_sources"] = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('20240601:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled
+         md5('20240601:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS shuffled
   FROM documents
 ), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -78,14 +78,35 @@ WITH sized AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked
 ), solved AS (SELECT level FROM levels WHERE level <= ratio ORDER BY place LIMIT 1
-), plan AS (SELECT l.source, source_size, least(cap, (SELECT level FROM solved) * weight) AS target FROM levels l
+), plan AS (
+  SELECT row_number() OVER (ORDER BY l.source NULLS LAST) AS sid, l.source, source_size, least(cap, (SELECT level FROM solved) * weight) AS target FROM levels l
+), sizes AS (
+  SELECT greatest(1, CAST(floor(min(target) FILTER (WHERE target > 0) / 64) AS BIGINT), CAST(floor(sum(target) / 2000000) AS BIGINT)) AS block, sum(target) AS total FROM plan
+), shares AS (
+  SELECT sid, floor(target) AS quota, CAST(ceil(floor(target) / block) AS BIGINT) AS needed,
+         coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS low FROM plan, sizes
+), ends AS (SELECT *, coalesce(lead(low) OVER (ORDER BY sid), 1.0) AS high FROM shares
+), points AS (
+  SELECT slot, ((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS point FROM (SELECT unnest(generate_series(0, CAST(ceil(total / block) AS BIGINT) - 1)) AS slot FROM sizes)
+), dealt AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM points JOIN ends ON low <= point AND point < high
+), missing AS (
+  SELECT CAST(ceil(total / block) AS BIGINT) + rank AS slot, sid, rank
+  FROM (SELECT e.sid, unnest(generate_series((SELECT count(*) FROM dealt d WHERE d.sid = e.sid), e.needed - 1)) AS rank FROM ends e), sizes
+), slots AS (
+  SELECT slot, sid, rank, rank * block AS low, least((rank + 1) * block, quota) AS high
+  FROM (SELECT * FROM dealt UNION ALL SELECT * FROM missing) JOIN ends USING (sid), sizes WHERE rank < needed
 ), placed AS (
-  SELECT s.*, p.source_size, p.target, floor(p.target) AS quota,
-         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  SELECT s.*, p.sid, p.source_size, p.target,
+         coalesce(sum(size) OVER (PARTITION BY p.sid ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins, row_number() OVER () AS n
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+), passes AS (
+  SELECT n, sid, begins + epoch * source_size AS start, begins + epoch * source_size + size AS stop FROM placed, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0
+), served AS (
+  SELECT n, slot, least(stop, high) - greatest(start, low) AS words
+  FROM (SELECT *, unnest(generate_series(CAST(floor(start / block) AS BIGINT), CAST(floor((stop - 1) / block) AS BIGINT))) AS rank FROM passes, sizes) JOIN slots USING (sid, rank)
+  WHERE least(stop, high) > greatest(start, low)
+), taken AS (SELECT n, CAST(sum(words) AS BIGINT) AS taken, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots FROM served GROUP BY n
 )
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(quota, begins + size) - begins) + greatest(0, least(quota, source_size + begins + size) - source_size - begins)
-            + greatest(0, least(quota, 2 * source_size + begins + size) - 2 * source_size - begins) AS BIGINT) AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM placed LEFT JOIN taken USING (n)
 """

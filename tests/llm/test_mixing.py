@@ -73,3 +73,39 @@ def test_empty_tables(spark):
     assert M.mix(frame(spark, [])).count() == 0
     got = M.mix(frame(spark, [(1, "a", ""), (2, None, None)])).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_ordered_blocks_serve_what_the_mix_takes(spark):
+    df = frame(spark, corpus(2))
+    mixed = {}
+    for r in M.mix(df).collect():
+        mixed.setdefault((r.doc_id, r.source, r.size), []).append((r.taken, r.first_slot, r.n_slots))
+    served, slots = {}, {}
+    for r in M.order(df).collect():
+        assert r.words > 0 and r.begin >= 0
+        served.setdefault((r.doc_id, r.source), []).append(r)
+        slots.setdefault(r.slot, set()).add(r.source)
+    assert all(len(s) == 1 for s in slots.values())
+    for (doc_id, source, size), got in mixed.items():
+        if len(got) == 1 and doc_id != 5 and doc_id is not None:
+            rows = served.get((doc_id, source), [])
+            assert got == [(sum(r.words for r in rows), min((r.slot for r in rows), default=None), len({r.slot for r in rows}))]
+            assert all(r.begin + r.words <= size for r in rows)
+
+
+def test_the_schedule_decides_the_slots(spark, monkeypatch):
+    df = frame(spark, corpus(3))
+    rows = lambda: sorted((str(r.doc_id), r.taken, str(r.first_slot), r.n_slots) for r in M.mix(df).collect())
+    golden = rows()
+    monkeypatch.setattr(M, "_GOLDEN", 0.5)
+    other = rows()
+    assert golden != other and [r[:2] for r in golden] == [r[:2] for r in other]
+
+
+def test_many_equal_rows_and_rows_without_id(spark):
+    rows = [(1, "a", "p q r")] * 300 + [(None, "a", "w " * (i % 7)) for i in range(200)] + [(i, "b", "x y") for i in range(50)]
+    got = M.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    taken = sum(r.taken for r in got if r.source == "a")
+    assert abs(taken - next(r.target for r in got if r.source == "a")) < 1
+    assert all(r.taken <= 3 * r.size for r in got)
