@@ -70,6 +70,13 @@ class WindowSet:
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[chosen], count)
             self.tables[size] = self._table(at, owner, size)
 
+    @classmethod
+    def of(cls, parts: dict) -> WindowSet:
+        """The set that has these parts; nothing is built anew."""
+        known = cls.__new__(cls)
+        known.__dict__.update(parts)
+        return known
+
     def _table(self, at, owner, size: int):
         import numpy as np
 
@@ -156,7 +163,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int =
     def scan(batches):
         import pyarrow as pa
 
-        known = shared.value
+        known = WindowSet.of(shared.value)
         for batch in batches:
             out = []
             for text in utf8(batch, "text"):
@@ -193,7 +200,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int
     def scan(batches):
         import pyarrow as pa
 
-        known = shared.value
+        known = WindowSet.of(shared.value)
         for batch in batches:
             texts = utf8(batch, "text")
             hits = [known.scan(words(text))[0] for text in texts]
@@ -229,7 +236,7 @@ def digest(items: list[str] | None) -> str:
 
 def _broadcast(benchmark: DataFrame, n: int):
     items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    return benchmark.sparkSession.sparkContext.broadcast(WindowSet(items, n))
+    return benchmark.sparkSession.sparkContext.broadcast(vars(WindowSet(items, n)))
 
 
 def _grams(df: DataFrame, n: int, lengths: list[int], carried: str) -> DataFrame:

@@ -10,8 +10,11 @@ that language's share when all languages may take part.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows
 with a null doc_id are never learned from; repeated rows are judged alike;
-without any training language every text is `und`; texts are read in pieces cut
-between words, so their length does not matter.
+without any training language every text is `und`. A text over `PIECE` bytes is
+read in pieces cut between words, and its words with equal likelihoods are one,
+so memory follows its different words, not its length. Up to `MAX_DENSE`
+languages the model is a full table; more, as dirty labels bring, are held as
+the cells that training saw, with the same results.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .common import crc_mod, utf8
 BUCKETS = 1 << 16
 SMOOTH = 0.5
 ROUNDS = 8
-#: The model's tables (BUCKETS numbers a language) are broadcast, so the languages have a bound.
-MAX_LANGUAGES = 128
+#: Languages up to which the model is a full table of BUCKETS numbers each.
+MAX_DENSE = 128
 PIECE = 1 << 20
 UNDETERMINED = "und"
 
@@ -80,47 +83,87 @@ def _grouped(texts: list[bytes]):
         yield first, len(texts)
 
 
-def fit(docs: DataFrame):
-    """(languages, log-probability table of shape (BUCKETS, languages)) from the training rows of docs."""
+class Likelihoods:
+    """Log-probabilities of trigram buckets in each language: a full table, or the seen cells over each language's least value."""
+
+    def __init__(self, least, cells, dense: bool):
+        """least: the log-probability of an unseen bucket in each language; cells: (bucket, language, log-probability) arrays."""
+        import numpy as np
+
+        self.least, self.dense = np.asarray(least, np.float32), dense
+        bucket, language, value = cells
+        order = np.lexsort((language, bucket))
+        bucket, self.language = bucket[order], language[order].astype(np.int32)
+        self.above = (value[order] - self.least[self.language]).astype(np.float32)
+        self.cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        if dense:
+            self.table = np.tile(self.least, (BUCKETS, 1))
+            self.table[bucket, self.language] = value[order]
+
+    def words(self, hashed, sizes):
+        """Scores (words x languages): sums over the words' trigrams."""
+        import numpy as np
+
+        begins = np.cumsum(sizes) - sizes
+        if self.dense:
+            return np.add.reduceat(self.table[hashed], begins, axis=0) if len(sizes) else np.zeros((0, len(self.least)), np.float32)
+        out = sizes[:, None] * self.least.astype(np.float64)
+        counts = self.cuts[hashed + 1] - self.cuts[hashed]
+        at = np.repeat(self.cuts[hashed], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        np.add.at(out, (np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts), self.language[at]), self.above[at])
+        return out.astype(np.float32)
+
+
+def fit(docs: DataFrame, max_dense: int = MAX_DENSE):
+    """(languages, (least, cells, dense)) from the training rows of docs: what Likelihoods is made of."""
     import numpy as np
 
     train = docs.filter(F.col("lang").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("text", "lang")
-    languages = sorted(r.lang for r in train.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; give a larger bound")
-    if not languages:
-        return [], np.zeros((BUCKETS, 0), np.float32)
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        place = {x: i for i, x in enumerate(languages)}
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
+        def rows(totals):
+            for lang, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([*at.tolist(), -1], pa.int32()), pa.array([*total[at].tolist(), 0])], ["lang", "bucket", "n"])
+
+        totals: dict = {}
         for batch in batches:
             texts = utf8(batch, "text")
-            langs = [place[x] for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()]
-            cut = [(p, k) for t, k in zip(texts, langs, strict=True) for p in pieces(t)]
-            for i, j in _grouped([p for p, _ in cut]):
-                hashed, sizes, words = trigrams([p for p, _ in cut[i:j]])
-                owner = np.repeat(np.repeat([k for _, k in cut[i:j]], words), sizes)
-                total += np.bincount(owner * BUCKETS + hashed, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    counted = train.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full(len(languages) * BUCKETS, SMOOTH)
-    table[counted["at"].to_numpy()] += counted["n"].to_numpy()
-    table = table.reshape(len(languages), BUCKETS)
-    return languages, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
-
-
-def _mixture(scores, words, allowed, rounds: int = ROUNDS):
-    """EM proportions and log-likelihood of each text; scores: words x languages, allowed: texts x languages."""
+            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+            by_lang: dict = {}
+            for t, k in zip(texts, langs, strict=True):
+                by_lang.setdefault(k, []).extend(pieces(t))
+            for lang, cut in by_lang.items():
+                if lang not in totals:
+                    if len(totals) >= 64:  # of many languages a task holds a few tables at a time
+                        yield from rows(totals)
+                        totals = {}
+                    totals[lang] = np.zeros(BUCKETS, np.int64)
+                for i, j in _grouped(cut):
+                    totals[lang] += np.bincount(trigrams(cut[i:j])[0], minlength=BUCKETS)
+        yield from rows(totals)
+
+    # A row of bucket -1 stands for each language, also for one whose texts have no letter.
+    counted = train.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(counted["lang"].unique().tolist())
+    place = {x: i for i, x in enumerate(languages)}
+    seen = counted[counted["bucket"] >= 0]
+    language, bucket, n = seen["lang"].map(place).to_numpy(np.int64), seen["bucket"].to_numpy(np.int64), seen["n"].to_numpy(np.float64)
+    total = np.bincount(language, n, len(languages)) + SMOOTH * BUCKETS
+    return languages, (np.log(SMOOTH / total), (bucket, language, np.log((n + SMOOTH) / total[language])), len(languages) <= max_dense)
+
+
+def _mixture(scores, words, allowed, weights=None, rounds: int = ROUNDS):
+    """EM proportions and log-likelihood of each text; scores: rows x languages, allowed: texts x languages, weights: words of each row."""
     import numpy as np
 
     owner = np.repeat(np.arange(len(words)), words)
     first = np.concatenate([[0], np.cumsum(words)[:-1]])
+    weights = np.ones(len(scores), np.float32) if weights is None else weights
+    whole = np.add.reduceat(weights, first)[:, None]
     share = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(rounds + 1):
         with np.errstate(divide="ignore"):
@@ -128,22 +171,26 @@ def _mixture(scores, words, allowed, rounds: int = ROUNDS):
         top = joint.max(axis=1, keepdims=True)
         part = np.exp(joint - top)
         total = part.sum(axis=1, keepdims=True)
-        likelihood = np.add.reduceat((top + np.log(total))[:, 0].astype(np.float64), first)
+        likelihood = np.add.reduceat(weights * (top + np.log(total))[:, 0].astype(np.float64), first)
         used = share
-        share = np.add.reduceat(part / total, first, axis=0) / words[:, None]
+        share = np.add.reduceat(part / total * weights[:, None], first, axis=0) / whole
     return used, likelihood
 
 
-def infer(scores, words):
-    """(place of the language, score, size of the language set) for each text; every text has words."""
+def infer(scores, words, weights=None):
+    """(place of the language, score, size of the language set) for each text; every text has words.
+
+    scores: rows x languages, words: rows of each text, weights: how many equal words a row stands for.
+    """
     import numpy as np
 
     n, k = len(words), scores.shape[1]
-    free, likelihood = _mixture(scores, words, np.ones((n, k)))
+    weights = np.ones(len(scores), np.float32) if weights is None else weights
+    free, likelihood = _mixture(scores, words, np.ones((n, k)), weights)
     first = np.concatenate([[0], np.cumsum(words)[:-1]])
-    alone = np.add.reduceat(scores.astype(np.float64), first, axis=0)
+    alone = np.add.reduceat(scores.astype(np.float64) * weights[:, None], first, axis=0)
     best = alone.argmax(axis=1)
-    price = 0.5 * np.log(np.maximum(words, 2))
+    price = 0.5 * np.log(np.maximum(np.add.reduceat(weights.astype(np.float64), first), 2))
     value, size = alone.max(axis=1) - price, np.ones(n, np.int64)
     # A set of two or more pays at least two prices and explains no more than all languages together.
     open_ = np.flatnonzero(likelihood - 2 * price > value)
@@ -154,7 +201,7 @@ def infer(scores, words):
         allowed = np.zeros((len(open_), k))
         np.put_along_axis(allowed, rank[open_, :m], 1.0, axis=1)
         rows = np.concatenate([np.arange(first[t], first[t] + words[t]) for t in open_])
-        share, found = _mixture(scores[rows], words[open_], allowed)
+        share, found = _mixture(scores[rows], words[open_], allowed, weights[rows])
         better = found - m * price[open_] > value[open_]
         at = open_[better]
         value[at], size[at] = (found - m * price[open_])[better], m
@@ -163,20 +210,37 @@ def infer(scores, words):
     return best, free[np.arange(n), best], size
 
 
-def predict(docs: DataFrame, languages: list[str], table) -> DataFrame:
+def _distinct(scores, weights):
+    """Equal rows once, with their weights summed."""
+    import numpy as np
+
+    rows, place = np.unique(scores, axis=0, return_inverse=True)
+    return rows, np.bincount(place.ravel(), weights, len(rows)).astype(np.float32)
+
+
+def predict(docs: DataFrame, languages: list[str], model) -> DataFrame:
     """(doc_id, lang_pred, score, n_langs) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((languages, table))
+    shared = docs.sparkSession.sparkContext.broadcast((languages, model))
     docs = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names, logs = shared.value
+        names, parts = shared.value
+        logs = Likelihoods(*parts) if names else None
 
         def scored(texts):
             hashed, sizes, words = trigrams(texts)
-            return np.add.reduceat(logs[hashed], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0), words
+            return logs.words(hashed, sizes), words
+
+        def of_long(text):
+            """The different words' scores and how often they stand, piece after piece."""
+            held, weights = np.zeros((0, len(names)), np.float32), np.zeros(0, np.float32)
+            for piece in pieces(text):
+                scores, _ = scored([piece])
+                held, weights = _distinct(np.concatenate([held, scores]), np.concatenate([weights, np.ones(len(scores), np.float32)]))
+            return held, np.array([len(held)]), weights
 
         for batch in batches:
             texts = utf8(batch, "text")
@@ -184,13 +248,8 @@ def predict(docs: DataFrame, languages: list[str], table) -> DataFrame:
             lang, score, size = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
             for i, j in _grouped([texts[w] for w in wanted]):
                 group = wanted[i:j]
-                if len(group) == 1 and len(texts[group[0]]) > PIECE:
-                    parts = [scored([p])[0] for p in pieces(texts[group[0]]) if p.translate(_LETTERS).strip()]
-                    scores = np.concatenate(parts)
-                    words = np.array([len(scores)])
-                else:
-                    scores, words = scored([texts[w] for w in group])
-                for w, b, s, m in zip(group, *(x.tolist() for x in infer(scores, words)), strict=True):
+                found = of_long(texts[group[0]]) if len(group) == 1 and len(texts[group[0]]) > PIECE else scored([texts[w] for w in group])
+                for w, b, s, m in zip(group, *(x.tolist() for x in infer(*found)), strict=True):
                     lang[w], score[w], size[w] = names[b], min(1.0, max(0.0, s)), m
             arrays = [batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(size, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score", "n_langs"])

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -40,7 +41,9 @@ def test_only_training_rows_teach(spark):
     rows = corpus(150)
     other = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 5 == 0 else lang, s) for i, t, lang, s in rows] + [(None, "schrung", "xx", 0.0), (3000, "to", None, 0.0)]
     one, two = (L.fit(spark.createDataFrame(r, DOCS)) for r in (rows, other))
-    assert one[0] == two[0] and np.array_equal(one[1], two[1])
+    assert one[0] == two[0]
+    tables = [L.Likelihoods(*m[1]).table for m in (one, two)]
+    assert np.array_equal(*tables)
 
 
 def test_edges(spark):
@@ -79,3 +82,78 @@ def test_em_matches_a_plain_loop():
             p = (r / r.sum(1, keepdims=True)).mean(0)
         assert np.allclose(share[t], p, atol=1e-4)
         assert np.isclose(likelihood[t], np.log((np.exp(rows) * p).sum(1)).sum(), atol=1e-3)
+
+
+def test_many_languages_are_held_as_seen_cells(spark):
+    """More languages than fit a full table, with the same results as the full one."""
+    rng = random.Random(4)
+    rows = corpus(120) + [(2000 + i, say(rng, "xx", 8), f"dirty{i}", 0.0) for i in range(200)] + [(2500, "!!", "nothing", 0.0), (2501, "!!", "nothing", 0.0)]
+    df = spark.createDataFrame(rows, DOCS)
+    sparse, dense = L.fit(df), L.fit(df, 1000)
+    assert not sparse[1][2] and dense[1][2] and len(sparse[0]) > L.MAX_DENSE and "nothing" in sparse[0]
+    key = lambda m: sorted((str(r.doc_id), r.lang_pred, round(r.score, 4), r.n_langs) for r in L.predict(df, *m).collect())
+    assert key(sparse) == key(dense)
+
+
+def plain(text, names, logs):
+    """(language, score, languages) of a text by loops; logs: (bucket, language) log-probabilities."""
+    words = []
+    for raw in re.findall(rb"[a-z\x80-\xff]+", lowered(text)):
+        w = b" " + raw + b" "
+        first = [b" " + w[:2], *(w[i : i + 3] for i in range(len(w) - 2))]
+        buckets = [((x[0] << 16 | x[1] << 8 | x[2]) * 2654435761 % 2**32) >> 16 for x in first]
+        words.append(sum(logs[b].astype(float) for b in buckets))
+    words = np.array(words)
+
+    def mixed(allowed):
+        p = np.array(allowed, float) / sum(allowed)
+        for _ in range(L.ROUNDS):
+            r = np.exp(words - words.max(1, keepdims=True)) * p
+            p = (r / r.sum(1, keepdims=True)).mean(0)
+        top = words.max(1)
+        return p, float((top + np.log((np.exp(words - top[:, None]) * p).sum(1))).sum())
+
+    price, k = 0.5 * np.log(max(len(words), 2)), len(names)
+    free, _ = mixed([1] * k)
+    single = words.sum(0)
+    best, value, size = int(single.argmax()), single.max() - price, 1
+    order = np.argsort(-free, kind="stable")
+    for m in range(2, k + 1):
+        share, found = mixed([int(j in order[:m]) for j in range(k)])
+        if found - m * price > value:
+            best, value, size = int(share.argmax()), found - m * price, m
+    return names[best], float(free[best]), size
+
+
+def lowered(text):
+    raw = bytearray(text.encode())
+    for i, c in enumerate(raw):
+        if 65 <= c <= 90 or i and raw[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+            raw[i] += 32
+    return bytes(raw)
+
+
+def test_predictions_equal_the_plain_loop(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, model = L.fit(df)
+    logs = L.Likelihoods(*model).table
+    rows = {r.doc_id: r.text for r in df.collect()}
+    assert len(rows) >= 200
+    for r in L.predict(df, names, model).collect():
+        text = rows[r.doc_id] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif len(text) < 40_000:
+            lang, score, size = plain(text, names, logs)
+            assert (r.lang_pred, r.n_langs) == (lang, size) and abs(r.score - score) < 1e-3, r.doc_id
+
+
+def test_long_texts_equal_their_words_at_once(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), DOCS)
+    model = L.fit(df)
+    rng = random.Random(6)
+    asked = spark.createDataFrame([(i, say(rng, "xx", 300) + " " + say(rng, "yy", 80 * i), None, 0.0) for i in range(5)], DOCS)
+    key = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 4), r.n_langs) for r in L.predict(asked, *model).collect())
+    whole = key()
+    monkeypatch.setattr(L, "PIECE", 700)
+    assert key() == whole
