@@ -273,7 +273,14 @@ def order_action(text: Column) -> Column:
     return F.when(buy & ~sell, "BUY").when(sell & ~buy, "SELL").otherwise("UNKNOWN")
 
 
+def submission_status(text: Column) -> Column:
+    """What the text says outright about the order: that it was not placed, that it was, or nothing; an offline stand-in for the model."""
+    return (
+        F.when(text.rlike(T.NOT_SUBMITTED), "CUSTOMER_REPORTED_NOT_SUBMITTED").when(text.rlike(T.SUBMITTED), "CUSTOMER_REPORTED_SUBMITTED").otherwise("UNKNOWN")
+    )
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
-    """(issue_type, place, label, phrase): the 19 symptom labels."""
+    """(issue_type, place, label, phrase, criterion): the 19 symptom labels."""
     rows = [(kind, i, *entry) for kind, entries in T.TAXONOMY.items() for i, entry in enumerate(entries, 1)]
-    return spark.createDataFrame(rows, "issue_type string, place int, label string, phrase string")
+    return spark.createDataFrame(rows, "issue_type string, place int, label string, phrase string, criterion string")

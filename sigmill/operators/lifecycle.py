@@ -96,9 +96,61 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return target.unionByName(first.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """target with the rows put over those of the same key."""
-    return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
+    """target with the rows put over those of the same key; of rows repeating a key the one with the largest `latest` enters.
+
+    Ties, and all rows where `latest` is not given, go by the largest of the other columns in their order.
+    """
+    others = [c for c in target.columns if c not in keys]
+    best = F.struct(*([latest] if latest else []), *others)
+    last = rows.groupBy(*keys).agg(F.max(best).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*target.columns)
+    return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(last)
+
+
+#: When a row of each independent table goes.
+PURGED = {
+    "idempotency_records": lambda now: F.col("purge_at") <= now,
+    "audit_logs": lambda now: F.col("created_at") <= now - hours(RETENTION_HOURS),
+    "object_deletion_jobs": lambda now: (F.col("status") == "COMPLETED") & (F.col("purge_at") <= now),
+    "agent_tokens": lambda now: F.col("expires_at") <= now,
+    "rate_limit_buckets": lambda now: F.col("expires_at") <= now,
+    "signal_clusters": lambda now: F.col("purge_at") <= now,
+    "signal_audit_events": lambda now: F.col("purge_at") <= now,
+}
+
+
+def purge_all(tables: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+    """What stays of reports, of attachments and signal_members that hang on them, and of the tables of PURGED.
+
+    A purged report's attachment enters object_deletion_jobs as PENDING where the key is not there yet, and its purge enters
+    audit_logs with the digest of its id. Both are judged by the later tables' own rules.
+    """
+    gone = tables["reports"].filter(is_purgeable(F.col("purge_at"), now)).select("report_id")
+    kept = purge(tables["reports"], {n: tables[n] for n in ("attachments", "signal_members")}, now)
+    jobs = tables["object_deletion_jobs"]
+    keys = tables["attachments"].join(gone, "report_id", "left_semi").select("object_key").distinct().join(jobs, "object_key", "left_anti")
+    fresh = {"status": F.lit("PENDING"), "purge_at": F.lit(None).cast(jobs.schema["purge_at"].dataType), "next_attempt_at": now}
+    jobs = jobs.unionByName(keys.select(*[(fresh[c] if c in fresh else F.col(c)).alias(c) for c in jobs.columns]))
+    logs = tables["audit_logs"]
+    entry = {"action": F.lit("REPORT_RETENTION_PURGED"), "fingerprint": F.sha2(F.col("report_id").cast("string"), 256), "created_at": now}
+    logs = logs.unionByName(gone.select(*[entry[c].alias(c) for c in logs.columns]))
+    later = tables | {"object_deletion_jobs": jobs, "audit_logs": logs}
+    return kept | {name: later[name].filter(~F.coalesce(rule(now), F.lit(False))) for name, rule in PURGED.items()}
+
+
+def purge_preview(tables: dict[str, DataFrame], now: Column) -> DataFrame:
+    """One row with the ten counts of what a purge would take, and the deletions that are due."""
+    gone = tables["reports"].filter(is_purgeable(F.col("purge_at"), now))
+    counts = {"reports": gone, "attachment_objects": tables["attachments"].join(gone.select("report_id"), "report_id", "left_semi")}
+    names = {"object_deletion_jobs": "completed_deletion_jobs", "agent_tokens": "expired_agent_tokens", "rate_limit_buckets": "expired_rate_limit_buckets"}
+    counts |= {names.get(n, n): tables[n].filter(rule(now)) for n, rule in PURGED.items()}
+    due = F.col("status").isin("PENDING", "RETRY_PENDING", "PROCESSING") & (F.col("next_attempt_at") <= now)
+    counts["retry_ready_objects"] = tables["object_deletion_jobs"].filter(due)
+    out = None
+    for name, rows in counts.items():
+        one = rows.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # single rows
+    return out
 
 
 def idempotency(requests: DataFrame) -> DataFrame:
@@ -168,5 +220,5 @@ def readiness(guidance: Column, guidance_valid: Column, policy: Column, taxonomy
 def latest_policy(events: DataFrame) -> DataFrame:
     """(policy_id, is_active): folds approvals (at, policy_id); the last approved one is the only active."""
     last = events.groupBy("policy_id").agg(F.max("at").alias("at"))
-    newest = F.first("policy_id").over(W.orderBy(F.col("at").desc(), F.col("policy_id").desc()))
-    return last.select("policy_id", (F.col("policy_id") == newest).alias("is_active"))
+    newest = last.agg(F.max(F.struct("at", "policy_id"))["policy_id"].alias("newest"))  # a single row
+    return last.crossJoin(F.broadcast(newest)).select("policy_id", (F.col("policy_id") == F.col("newest")).alias("is_active"))

@@ -80,6 +80,23 @@ def counts_of_levels(levels: DataFrame, low: int, high: int) -> DataFrame:
     )
 
 
+def labelled_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs (left_label, right_label, left_type, right_type, ...) with reason: null for a pair that counts, else why it does not.
+
+    A pair counts if both sides have a label and their issue types are equal.
+    """
+    left, right = F.col("left_label").isNull(), F.col("right_label").isNull()
+    reason = F.when(left & right, "BOTH_UNLABELLED").when(left, "LEFT_UNLABELLED").when(right, "RIGHT_UNLABELLED")
+    return pairs.withColumn("reason", reason.when(~F.col("left_type").eqNullSafe(F.col("right_type")), "TYPE_MISMATCH"))
+
+
+def describe_pairs(pairs: DataFrame) -> DataFrame:
+    """(reason, same, pairs, least, mean, most) of the similarity of labelled_pairs: excluded ones by reason, the others by equal labels."""
+    same = F.when(F.col("reason").isNull(), F.col("left_label") == F.col("right_label"))
+    value = F.when(F.col("reason").isNull(), F.col("similarity"))
+    return pairs.groupBy("reason", same.alias("same")).agg(F.count("*").alias("pairs"), F.min(value).alias("least"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("most"))
+
+
 def pair_spans(vectors: DataFrame, keys: list[str], missing: int, digits: int = 6) -> DataFrame:
     """(same, excluded, pairs, least, mean, most) of the similarities of all pairs with equal keys.
 
@@ -152,17 +169,23 @@ def class_accuracy(rows: DataFrame) -> DataFrame:
     )
 
 
-def acceptance(rows: DataFrame) -> DataFrame:
-    """One row: accuracy, worst class, mean attempts, share of grounded evidence, failures, and whether all gates pass.
+def acceptance(rows: DataFrame, hard_prefix: str | None = None, hard_least: int | None = None) -> DataFrame:
+    """One row: accuracy, worst class, mean attempts, failures, share of quotes in the text and of quotes that are the text, hard negatives right, and whether all gates pass.
 
-    rows: expected, predicted (null for a failure), attempts, grounded.
+    rows: case_id, expected, predicted (null for a failure), attempts, quote, text. Cases whose id begins with hard_prefix are
+    hard negatives, of which hard_least must be right. passed_strict also wants no quote that is the whole text.
     """
     right = F.coalesce(F.col("expected") == F.col("predicted"), F.lit(False))
+    quoted = F.col("quote").isNotNull() & F.col("predicted").isNotNull()
+    hard = F.lit(False) if hard_prefix is None else F.startswith(F.col("case_id").cast("string"), F.lit(hard_prefix))
     whole = rows.agg(
         F.avg(right.cast("double")).alias("accuracy"),
         F.avg("attempts").alias("mean_attempts"),
-        F.avg(F.col("grounded").cast("double")).alias("grounded_share"),
+        F.coalesce(F.avg(F.when(quoted, F.contains("text", "quote").cast("double"))), F.lit(1.0)).alias("grounded_share"),
+        F.coalesce(F.avg(F.when(quoted, (F.col("text") == F.col("quote")).cast("double"))), F.lit(0.0)).alias("full_text_share"),
         F.count_if(F.col("predicted").isNull()).alias("failures"),
+        F.count_if(hard).alias("hard_negatives"),
+        F.count_if(hard & right).alias("hard_right"),
     )
     worst = rows.groupBy("expected").agg(F.avg(right.cast("double")).alias("a")).agg(F.min("a").alias("worst_class"))
     passed = (
@@ -171,8 +194,10 @@ def acceptance(rows: DataFrame) -> DataFrame:
         & (F.col("mean_attempts") <= MAX_ATTEMPTS)
         & (F.col("grounded_share") == 1.0)
         & (F.col("failures") == 0)
+        & (F.lit(True) if hard_least is None else F.col("hard_right") >= hard_least)
     )
-    return whole.crossJoin(worst).withColumn("passed", passed)  # single rows
+    out = whole.crossJoin(worst).withColumn("passed", passed)  # single rows
+    return out.withColumn("passed_strict", F.col("passed") & (F.col("full_text_share") == 0.0))
 
 
 def run_consistency(runs: DataFrame) -> DataFrame:

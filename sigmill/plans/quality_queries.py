@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, text
 from ..functions.vectors import cosine, hashed_embedding
 from ..operators import clustering, gates, metrics
+from ..operators.signals import similarity_pairs
 from ..sources import allowlist
 from ..sources.proxies import REPORTS_SQL, embeddings, reports, table
 from .registry import query
@@ -84,7 +85,7 @@ def fragmentation(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("expected"), F.col("toxic").alias("predicted"))
-    return rows.withColumn("attempts", F.col("doc_id") % 2 + 1).withColumn("grounded", F.lit(True))
+    return rows
 
 
 @query("confusion_matrix", "SELECT quality AS expected, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2")
@@ -97,14 +98,67 @@ def class_accuracy(spark, sf_dir):
     return metrics.class_accuracy(_judged(spark, sf_dir))
 
 
+_GATE_SQL = """cases AS (SELECT l.doc_id AS case_id, l.quality AS expected, CASE WHEN (l.doc_id + 1) % {fail} <> 0 THEN CASE WHEN l.doc_id % {miss} = 0 THEN 1 - l.quality ELSE l.quality END END AS predicted, l.doc_id % {again} // ({again} - 1) + 1 AS attempts,
+      d.text, CASE l.doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN substr(d.text, 3, 15) WHEN 2 THEN CASE WHEN l.doc_id % {wrong} = 2 THEN substr(d.text, 3, 15) || chr(7) ELSE left(d.text, 8) END WHEN 3 THEN CASE WHEN {full} THEN d.text ELSE left(d.text, 4) END ELSE right(d.text, 5) END AS quote
+    FROM labels l JOIN documents d USING (doc_id)),
+    w AS (SELECT min(a) AS worst_class FROM (SELECT avg(CAST(coalesce(expected = predicted, false) AS INTEGER)) AS a FROM cases GROUP BY expected)),
+    m AS (SELECT avg(CAST(coalesce(expected = predicted, false) AS INTEGER)) AS accuracy, avg(attempts) AS mean_attempts, coalesce(avg(CAST(contains(text, quote) AS INTEGER)) FILTER (WHERE quote IS NOT NULL AND predicted IS NOT NULL), 1.0) AS grounded_share,
+      coalesce(avg(CAST(text = quote AS INTEGER)) FILTER (WHERE quote IS NOT NULL AND predicted IS NOT NULL), 0.0) AS full_text_share, count(*) FILTER (WHERE predicted IS NULL) AS failures,
+      count(*) FILTER (WHERE CAST(case_id AS VARCHAR) LIKE '1%') AS hard_negatives, count(*) FILTER (WHERE CAST(case_id AS VARCHAR) LIKE '1%' AND expected = predicted) AS hard_right FROM cases),
+    p AS (SELECT *, accuracy >= 0.85 AND worst_class >= 0.75 AND mean_attempts <= 1.3 AND grounded_share = 1 AND failures = 0 AND hard_right >= {least} AS passed FROM m, w)
+    SELECT '{name}' AS run, *, passed AND full_text_share = 0 AS passed_strict FROM p"""
+# Runs that pass, or fail by failed cases, wrong answers, repeated attempts, quotes that are not in the text or are all of it, or hard negatives.
+_RUNS = [
+    {"name": "good", "fail": 1000003, "miss": 41, "again": 9, "wrong": 1000003, "full": "false", "least": 3},
+    {"name": "failures", "fail": 29, "miss": 41, "again": 9, "wrong": 1000003, "full": "false", "least": 3},
+    {"name": "wrong", "fail": 1000003, "miss": 4, "again": 9, "wrong": 1000003, "full": "false", "least": 3},
+    {"name": "attempts", "fail": 1000003, "miss": 41, "again": 2, "wrong": 1000003, "full": "false", "least": 3},
+    {"name": "quotes", "fail": 1000003, "miss": 41, "again": 9, "wrong": 5, "full": "false", "least": 3},
+    {"name": "full", "fail": 1000003, "miss": 41, "again": 9, "wrong": 1000003, "full": "true", "least": 3},
+    {"name": "hard", "fail": 1000003, "miss": 41, "again": 9, "wrong": 1000003, "full": "false", "least": 1000000},
+]
+
+
+@query("acceptance_gate", " UNION ALL ".join(f"(WITH {_GATE_SQL.format(**run)})" for run in _RUNS))
+def acceptance_gate(spark, sf_dir):
+    """Seven runs over the labelled documents: one that passes, and one that fails at each gate."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = table(spark, sf_dir, "labels").join(docs, "doc_id")
+    key, text_ = F.col("doc_id"), F.col("text")
+    out = None
+    for run in _RUNS:
+        answer = F.when(key % run["miss"] == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
+        part = F.substring("text", 3, 15)
+        quote = (
+            F.when(key % 5 == 1, part)
+            .when(key % 5 == 2, F.when(key % run["wrong"] == 2, F.concat(part, F.lit("\u0007"))).otherwise(F.left(text_, F.lit(8))))
+            .when(key % 5 == 3, text_ if run["full"] == "true" else F.left(text_, F.lit(4)))
+            .when(key % 5 == 4, F.right(text_, F.lit(5)))
+        )
+        cases = base.select(
+            key.alias("case_id"), F.col("quality").alias("expected"), F.when((key + 1) % run["fail"] != 0, answer).alias("predicted"),
+            (F.floor(key % run["again"] / (run["again"] - 1)) + 1).alias("attempts"), "text", quote.alias("quote"),
+        )
+        one = metrics.acceptance(cases, "1", run["least"]).withColumn("run", F.lit(run["name"]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
-    "acceptance_gate",
-    """WITH w AS (SELECT min(a) AS worst_class FROM (SELECT avg(CAST(quality = toxic AS INTEGER)) AS a FROM labels GROUP BY quality))
-    SELECT avg(CAST(quality = toxic AS INTEGER)) AS accuracy, avg(doc_id % 2 + 1) AS mean_attempts, 1.0::DOUBLE AS grounded_share, count(*) FILTER (WHERE toxic IS NULL) AS failures, any_value(worst_class) AS worst_class,
-    avg(CAST(quality = toxic AS INTEGER)) >= 0.85 AND any_value(worst_class) >= 0.75 AND avg(doc_id % 2 + 1) <= 1.3 AS passed FROM labels, w""",
+    "pair_filter",
+    """WITH rows AS (SELECT vec_id, embedding::DOUBLE[] AS vec, CASE WHEN vec_id % 7 <> 0 THEN label END AS label, label % 2 AS kind, label % 3 AS gate FROM embeddings),
+    pairs AS (SELECT round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity, a.label AS l, b.label AS r, a.kind AS lk, b.kind AS rk FROM rows a JOIN rows b ON a.gate = b.gate AND a.vec_id < b.vec_id),
+    judged AS (SELECT *, CASE WHEN l IS NULL AND r IS NULL THEN 'BOTH_UNLABELLED' WHEN l IS NULL THEN 'LEFT_UNLABELLED' WHEN r IS NULL THEN 'RIGHT_UNLABELLED' WHEN lk <> rk THEN 'TYPE_MISMATCH' END AS reason FROM pairs)
+    SELECT reason, CASE WHEN reason IS NULL THEN l = r END AS same, count(*) AS pairs, min(similarity) FILTER (WHERE reason IS NULL) AS least, round(avg(similarity) FILTER (WHERE reason IS NULL), 6) AS mean, max(similarity) FILTER (WHERE reason IS NULL) AS most FROM judged GROUP BY 1, 2""",
 )
-def acceptance_gate(spark, sf_dir):
-    return metrics.acceptance(_judged(spark, sf_dir))
+def pair_filter(spark, sf_dir):
+    """Pairs of one gate: how many count, by equal labels, with the span of their similarities, and how many don't, by reason."""
+    rows = _gated(spark, sf_dir)
+    sims = similarity_pairs(rows.select("gate", F.col("vec_id").alias("row_id"), "vec"), ["gate"])
+    facts = rows.select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("label")).alias("label"), (F.col("label") % 2).alias("kind"))
+    for side in ("left", "right"):
+        sims = sims.join(facts.select(F.col("vec_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("kind").alias(f"{side}_type")), f"{side}_id")
+    return metrics.describe_pairs(metrics.labelled_pairs(sims))
 
 
 @query("run_consistency", "SELECT user_id AS case_id, count(*) AS runs, count(DISTINCT event_type) AS distinct_values, count(DISTINCT event_type) = 1 AS consistent, round(avg(value), 3) AS avg_latency, min(value) AS min_latency, max(value) AS max_latency FROM events GROUP BY 1")
@@ -306,6 +360,21 @@ def order_cues(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", text.order_action(F.col("text")).alias("action"))
 
 
+STATEMENTS = (
+    "매도 주문을 넣었는데 계속 로딩됩니다.", "주문이 제출되지 않았다고 나옵니다.", "주문을 넣지 못했습니다.", "로그인이 안 됩니다.", "주문 버튼을 눌렀습니다.",
+    "주문을 이미 냈고 다시 주문이 안 들어갑니다.", "", "어제 주문을 제출했습니다.",
+)
+_STATEMENTS_SQL = "[" + ", ".join(f"'{x}'" for x in STATEMENTS) + f"][CAST(doc_id % {len(STATEMENTS)} + 1 AS INTEGER)]"
+
+
+@query("submission_cues", f"""WITH said AS (SELECT doc_id, text || ' ' || {_STATEMENTS_SQL} AS text FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(text, '{text.T.NOT_SUBMITTED}') THEN 'CUSTOMER_REPORTED_NOT_SUBMITTED' WHEN regexp_matches(text, '{text.T.SUBMITTED}') THEN 'CUSTOMER_REPORTED_SUBMITTED' ELSE 'UNKNOWN' END AS status FROM said""")
+def submission_cues(spark, sf_dir):
+    """Documents with a statement about an order at their end, or with none."""
+    said = F.element_at(F.array(*map(F.lit, STATEMENTS)), (F.col("doc_id") % len(STATEMENTS) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.submission_status(F.concat("text", F.lit(" "), said)).alias("status"))
+
+
 @query("occurred_at", f"""{TEXTS_SQL}, dated AS (SELECT doc_id, regexp_extract(text, '{text.DATE}', 0) AS d, regexp_replace(text, '{text.DATE}\\s*일?', '|', 'g') AS rest FROM texts),
     timed AS (SELECT doc_id, TRY_CAST(regexp_extract(d, '{text.DATE}', 1) AS INTEGER) AS y, TRY_CAST(regexp_extract(d, '{text.DATE}', 2) AS INTEGER) AS m, TRY_CAST(regexp_extract(d, '{text.DATE}', 3) AS INTEGER) AS dd,
       regexp_extract(rest, '{text.CLOCK}', 0) AS c FROM dated),
@@ -329,11 +398,15 @@ def coerce_fields(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.to_integer(raw).alias("quantity"))
 
 
-@query("taxonomy_join", f"WITH {REPORTS_SQL} SELECT issue_type, count(*) AS reports, CASE issue_type WHEN 'ORDER_SUBMISSION_FAILURE' THEN 7 WHEN 'ORDER_RESULT_UNCONFIRMED' THEN 2 WHEN 'LOGIN_ACCESS_FAILURE' THEN 3 WHEN 'BALANCE_INQUIRY_ERROR' THEN 4 ELSE 0 END::BIGINT AS labels FROM reports GROUP BY 1")
+_TAXONOMY_SQL = ", ".join(f"('{kind}', {i}, '{a}', '{b}', '{c}')" for kind, entries in text.T.TAXONOMY.items() for i, (a, b, c) in enumerate(entries, 1))
+
+
+@query("taxonomy_join", f"""WITH {REPORTS_SQL}, taxonomy(issue_type, place, label, phrase, criterion) AS (VALUES {_TAXONOMY_SQL}), counted AS (SELECT issue_type, count(*) AS reports FROM reports GROUP BY 1)
+    SELECT issue_type, reports, CAST(place AS INTEGER) AS place, label, phrase, criterion FROM counted LEFT JOIN taxonomy USING (issue_type)""")
 def taxonomy_join(spark, sf_dir):
-    labels = text.taxonomy(spark).groupBy("issue_type").agg(F.count("*").alias("labels"))
+    """The reports of each issue type beside the labels, phrases and criteria that it may have."""
     counted = reports(spark, sf_dir).groupBy("issue_type").agg(F.count("*").alias("reports"))
-    return counted.join(F.broadcast(labels), "issue_type", "left").fillna(0, ["labels"])
+    return counted.join(F.broadcast(text.taxonomy(spark)), "issue_type", "left").select("issue_type", "reports", "place", "label", "phrase", "criterion")
 
 
 @query("normalize_text", "SELECT doc_id, CASE WHEN length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) BETWEEN 20 AND 500 THEN nfc_normalize(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) END AS text FROM documents")
@@ -417,7 +490,19 @@ def dataset_fingerprint(spark, sf_dir):
     return names.select("p_brand", identity.fingerprint(F.col("names")).alias("fingerprint"))
 
 
-@query("keyed_digest")
+def _hmac_sql(key: bytes, message: str) -> str:
+    """HMAC-SHA-256 as lower-case hex; message: SQL for its bytes as hex."""
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}' || sha256(unhex('{inner}' || {message}))))"
+
+
+_BITS_SQL = "[" + ", ".join(f"'{i:04b}'" for i in range(16)) + "]"
+_KEY_SQL = "hex(CAST(o_orderkey AS VARCHAR))"
+
+
+@query("keyed_digest", f"""WITH d AS (SELECT o_orderkey, upper({_hmac_sql(b"test key", f"hex('session') || '00' || {_KEY_SQL}")}) AS digest, left({_hmac_sql(b"test key", _KEY_SQL)}, 32) AS h FROM orders),
+    bits AS (SELECT o_orderkey, digest, array_to_string(list_transform(range(1, 33), lambda i: {_BITS_SQL}[strpos('0123456789abcdef', substr(h, i, 1))]), '') || '00' AS b FROM d)
+    SELECT o_orderkey, digest, array_to_string(list_transform(range(0, 26), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda i: CAST(substr(b, 5 * j + i + 1, 1) AS INTEGER) * (16 >> i))) AS INTEGER), 1)), '') AS reference FROM bits""")
 def keyed_digest(spark, sf_dir):
     value = F.col("o_orderkey").cast("string")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(identity.keyed_digest(value, b"test key", "session")).alias("digest"), identity.reference_number(value, b"test key").alias("reference"))

@@ -79,35 +79,43 @@ def lock_decision(spark, sf_dir):
     return _verified(spark, sf_dir).withColumn("d", d).select("report_id", "d.decision", "d.reason")
 
 
-COMPARED = ["quantity", "order_type", "action"]
-COMPARE_SQL = """pairs AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS cq, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) + CAST(l_orderkey % 2 AS BIGINT) AS VARCHAR) END AS aq,
-         l_returnflag AS co, CASE WHEN l_returnflag = 'A' THEN 'UNKNOWN' ELSE 'R' END AS ao, l_linestatus AS ca, 'O' AS aa, l_linenumber % 2 = 0 AS checked FROM lineitem
-), statuses AS (
-  SELECT *, CASE WHEN cq IS NULL OR aq IS NULL OR cq = 'UNKNOWN' OR aq = 'UNKNOWN' THEN 1 WHEN cq <> aq THEN 2 ELSE 0 END AS sq,
-    CASE WHEN co IS NULL OR ao IS NULL OR co = 'UNKNOWN' OR ao = 'UNKNOWN' THEN 1 WHEN co <> ao THEN 2 ELSE 0 END AS so,
-    CASE WHEN ca IS NULL OR aa IS NULL OR ca = 'UNKNOWN' OR aa = 'UNKNOWN' THEN 1 WHEN ca <> aa THEN 2 ELSE 0 END AS sa FROM pairs
-)"""
+COMPARED = list(rules.FIELDS)
+# (customer, agent) of each field, of types that a cast to text makes comparable.
+_VALUES = {
+    "action": ("l_linestatus", "'O'"),
+    "symbol_name": ("CONCAT('stock ', CAST(l_suppkey AS STRING))", "CASE WHEN l_partkey % 3 = 0 THEN CONCAT('Stock ', CAST(l_suppkey AS STRING)) ELSE CONCAT('stock ', CAST(l_suppkey AS STRING)) END"),
+    "symbol_code": ("CAST(l_partkey AS STRING)", "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey + CAST(l_partkey % 7 = 0 AS INT) AS STRING) END"),
+    "quantity": ("CAST(CAST(l_quantity AS BIGINT) AS STRING)", "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) + l_orderkey % 2 AS STRING) END"),
+    "order_type": ("l_returnflag", "CASE WHEN l_returnflag = 'A' THEN 'UNKNOWN' ELSE 'R' END"),
+    "price_krw": ("CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS STRING)", "CASE WHEN l_suppkey % 4 = 0 THEN '0' ELSE CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS STRING) END"),
+    "submission_status": ("CASE WHEN l_suppkey % 2 = 0 THEN 'SUBMITTED' ELSE 'UNKNOWN' END", "CASE WHEN l_suppkey % 6 = 0 THEN 'NOT_SUBMITTED' ELSE 'SUBMITTED' END"),
+}
+
+
+def _level_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {a} = 'UNKNOWN' OR {b} = 'UNKNOWN' THEN 1 WHEN {a} <> {b} THEN 2 ELSE 0 END"
+
+
+COMPARE_SQL = (
+    "pairs AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 2 = 0 AS checked, "
+    + ", ".join(f"{a.replace('STRING', 'VARCHAR')} AS c_{f}, {b.replace('STRING', 'VARCHAR')} AS a_{f}" for f, (a, b) in _VALUES.items())
+    + " FROM lineitem), statuses AS (SELECT *, "
+    + ", ".join(f"{_level_sql(f'c_{f}', f'a_{f}')} AS s_{f}" for f in _VALUES)
+    + " FROM pairs)"
+)
 
 
 def _pairs(spark, sf_dir):
-    n = F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        n.alias("customer_quantity"),
-        F.when(F.col("l_linenumber") % 3 != 0, n + F.col("l_orderkey") % 2).alias("agent_quantity"),
-        F.col("l_returnflag").alias("customer_order_type"),
-        F.when(F.col("l_returnflag") == "A", "UNKNOWN").otherwise("R").alias("agent_order_type"),
-        F.col("l_linestatus").alias("customer_action"),
-        F.lit("O").alias("agent_action"),
-        (F.col("l_linenumber") % 2 == 0).alias("order_history_checked"),
-    )
+    values = [F.expr(x).alias(f"{side}_{f}") for f, pair in _VALUES.items() for side, x in zip(("customer", "agent"), pair, strict=True)]
+    id_ = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    return table(spark, sf_dir, "lineitem").select(id_, *values, (F.col("l_linenumber") % 2 == 0).alias("order_history_checked"))
 
 
 @query(
     "field_compare",
-    f"""WITH {COMPARE_SQL}, long AS (SELECT id, 'quantity' AS field, cq AS customer_value, aq AS agent_value, sq AS s FROM statuses UNION ALL SELECT id, 'order_type', co, ao, so FROM statuses UNION ALL SELECT id, 'action', ca, aa, sa FROM statuses)
-    SELECT id, field, customer_value, agent_value, CASE s WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'NEEDS_CONFIRMATION' ELSE 'IMPORTANT' END AS status FROM long""",
+    f"WITH {COMPARE_SQL}, long AS ("
+    + " UNION ALL ".join(f"SELECT id, '{f}' AS field, c_{f} AS customer_value, a_{f} AS agent_value, s_{f} AS s FROM statuses" for f in _VALUES)
+    + ") SELECT id, field, customer_value, agent_value, CASE s WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'NEEDS_CONFIRMATION' ELSE 'IMPORTANT' END AS status FROM long",
 )
 def field_compare(spark, sf_dir):
     return rules.compare_fields(_pairs(spark, sf_dir), "id", COMPARED)
@@ -115,8 +123,11 @@ def field_compare(spark, sf_dir):
 
 @query(
     "verification_overall",
-    f"""WITH {COMPARE_SQL} SELECT id, CASE greatest(sq, so, sa, CASE WHEN checked THEN 0 ELSE 1 END) WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'NEEDS_CONFIRMATION' ELSE 'IMPORTANT' END AS status,
-    concat_ws(',', CASE WHEN sq = 2 THEN 'quantity' END, CASE WHEN so = 2 THEN 'order_type' END, CASE WHEN sa = 2 THEN 'action' END) AS mismatch_fields FROM statuses""",
+    f"WITH {COMPARE_SQL} SELECT id, CASE greatest("
+    + ", ".join(f"s_{f}" for f in _VALUES)
+    + ", CASE WHEN checked THEN 0 ELSE 1 END) WHEN 0 THEN 'MATCHED' WHEN 1 THEN 'NEEDS_CONFIRMATION' ELSE 'IMPORTANT' END AS status, concat_ws(',', "
+    + ", ".join(f"CASE WHEN s_{f} = 2 THEN '{f}' END" for f in _VALUES)
+    + ") AS mismatch_fields FROM statuses",
 )
 def verification_overall(spark, sf_dir):
     return rules.overall(_pairs(spark, sf_dir), "id", COMPARED).withColumn("mismatch_fields", F.array_join("mismatch_fields", ","))
@@ -261,39 +272,78 @@ def drop_ineligible(spark, sf_dir):
     return rows.join(bad, "report_id", "left_anti").select("report_id", "k")
 
 
+# Ten tables of the report store as projections: reports, attachments and members by event, jobs and records by order, tokens and
+# buckets by line, clusters and audit events by issue type and day.
+STORE_SQL = f"""{REPORTS_SQL}, clock AS (SELECT max(ts) - INTERVAL 10 DAY AS now, min(ts) AS begins FROM events),
+attachments AS (SELECT report_id, 'key' || (report_id % 97) AS object_key FROM reports WHERE k % 2 = 0),
+signal_members AS (SELECT report_id, issue_type AS signal_id FROM reports WHERE k % 3 = 0),
+object_deletion_jobs AS (SELECT 'key' || o_orderkey AS object_key, [{", ".join(f"'{x}'" for x in ("PENDING", "RETRY_PENDING", "PROCESSING", "COMPLETED"))}][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS status, begins + (o_orderkey % 40) * INTERVAL 1 DAY AS purge_at, begins + (o_orderkey % 31) * INTERVAL 1 DAY AS next_attempt_at FROM orders, clock),
+idempotency_records AS (SELECT o_orderkey AS id, begins + (o_orderkey % 37) * INTERVAL 1 DAY AS purge_at FROM orders, clock),
+audit_logs AS (SELECT 'OPENED' AS action, CAST(report_id AS VARCHAR) AS fingerprint, received_at AS created_at FROM reports),
+agent_tokens AS (SELECT l_orderkey AS id, begins + (l_orderkey % 41) * INTERVAL 1 DAY AS expires_at FROM lineitem, clock WHERE l_linenumber = 1),
+rate_limit_buckets AS (SELECT l_orderkey AS id, begins + (l_orderkey % 23) * INTERVAL 1 DAY AS expires_at FROM lineitem, clock WHERE l_linenumber = 2),
+signal_clusters AS (SELECT issue_type || '|' || strftime(received_at, '%Y-%m-%d') AS id, max(purge_at) AS purge_at FROM reports GROUP BY 1),
+signal_audit_events AS (SELECT report_id AS id, purge_at FROM reports WHERE k % 5 = 0)"""
+
+
+def _store(spark, sf_dir):
+    """(tables, now)"""
+    rows = reports(spark, sf_dir)
+    clock = rows.agg((F.max("received_at") - F.expr("INTERVAL 10 DAYS")).alias("now"), F.min("received_at").alias("begins")).first()
+    now, begins = (F.lit(x).cast("timestamp_ntz") for x in clock)
+    later = lambda key, n: begins + F.make_dt_interval(days=(F.col(key) % n).cast("int"))
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    day = F.date_format("received_at", "yyyy-MM-dd")
+    tables = {
+        "reports": rows,
+        "attachments": rows.filter("k % 2 = 0").select("report_id", F.concat(F.lit("key"), (F.col("report_id") % 97).cast("string")).alias("object_key")),
+        "signal_members": rows.filter("k % 3 = 0").select("report_id", F.col("issue_type").alias("signal_id")),
+        "object_deletion_jobs": orders.select(
+            F.concat(F.lit("key"), F.col("o_orderkey").cast("string")).alias("object_key"), _case("o_orderkey", "PENDING", "RETRY_PENDING", "PROCESSING", "COMPLETED").alias("status"),
+            later("o_orderkey", 40).alias("purge_at"), later("o_orderkey", 31).alias("next_attempt_at"),
+        ),
+        "idempotency_records": orders.select(F.col("o_orderkey").alias("id"), later("o_orderkey", 37).alias("purge_at")),
+        "audit_logs": rows.select(F.lit("OPENED").alias("action"), F.col("report_id").cast("string").alias("fingerprint"), F.col("received_at").alias("created_at")),
+        "agent_tokens": lines.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), later("l_orderkey", 41).alias("expires_at")),
+        "rate_limit_buckets": lines.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("id"), later("l_orderkey", 23).alias("expires_at")),
+        "signal_clusters": rows.groupBy(F.concat_ws("|", "issue_type", day).alias("id")).agg(F.max("purge_at").alias("purge_at")),
+        "signal_audit_events": rows.filter("k % 5 = 0").select(F.col("report_id").alias("id"), "purge_at"),
+    }
+    return tables, now
+
+
 @query(
     "purge_preview",
-    f"""WITH {REPORTS_SQL}, clock AS (SELECT max(ts) - INTERVAL 10 DAY AS now FROM events), {JOBS_SQL}
-    SELECT (SELECT count(*) FROM reports, clock WHERE purge_at <= now) AS reports, (SELECT count(*) FROM reports, clock WHERE purge_at <= now AND k % 2 = 0) AS attachment_objects,
-    (SELECT count(*) FROM reports, clock WHERE received_at <= now - INTERVAL 72 HOUR) AS audit_logs, (SELECT count(*) FROM jobs WHERE status = 'COMPLETED' AND next_attempt_at <= {NOW}) AS completed_deletion_jobs,
-    (SELECT count(*) FROM jobs WHERE status IN ('PENDING', 'FAILED', 'PROCESSING') AND next_attempt_at <= {NOW}) AS retry_ready_objects""",
+    f"""WITH {STORE_SQL}, gone AS (SELECT report_id FROM reports, clock WHERE purge_at <= now)
+    SELECT (SELECT count(*) FROM gone) AS reports, (SELECT count(*) FROM attachments WHERE report_id IN (FROM gone)) AS attachment_objects, (SELECT count(*) FROM idempotency_records, clock WHERE purge_at <= now) AS idempotency_records,
+    (SELECT count(*) FROM audit_logs, clock WHERE created_at <= now - INTERVAL 72 HOUR) AS audit_logs, (SELECT count(*) FROM object_deletion_jobs, clock WHERE status = 'COMPLETED' AND purge_at <= now) AS completed_deletion_jobs,
+    (SELECT count(*) FROM object_deletion_jobs, clock WHERE status <> 'COMPLETED' AND next_attempt_at <= now) AS retry_ready_objects, (SELECT count(*) FROM agent_tokens, clock WHERE expires_at <= now) AS expired_agent_tokens,
+    (SELECT count(*) FROM rate_limit_buckets, clock WHERE expires_at <= now) AS expired_rate_limit_buckets, (SELECT count(*) FROM signal_clusters, clock WHERE purge_at <= now) AS signal_clusters, (SELECT count(*) FROM signal_audit_events, clock WHERE purge_at <= now) AS signal_audit_events""",
 )
 def purge_preview(spark, sf_dir):
-    rows = reports(spark, sf_dir)
-    now = F.lit(rows.agg((F.max("received_at") - F.expr("INTERVAL 10 DAYS")).alias("now")).first().now).cast("timestamp_ntz")
-    gone = lifecycle.is_purgeable(F.col("purge_at"), now)
-    one = rows.agg(
-        F.count_if(gone).alias("reports"), F.count_if(gone & (F.col("k") % 2 == 0)).alias("attachment_objects"),
-        F.count_if(F.col("received_at") <= now - lifecycle.hours(lifecycle.RETENTION_HOURS)).alias("audit_logs"),
-    )
-    due = F.col("next_attempt_at") <= _now()
-    two = _jobs(spark, sf_dir).agg(
-        F.count_if((F.col("status") == "COMPLETED") & due).alias("completed_deletion_jobs"), F.count_if(F.col("status").isin(*lifecycle.READY) & due).alias("retry_ready_objects")
-    )
-    return one.crossJoin(two)  # single rows
+    return lifecycle.purge_preview(*_store(spark, sf_dir))
 
 
 @query(
     "purge_apply",
-    f"""WITH {REPORTS_SQL}, clock AS (SELECT max(ts) - INTERVAL 10 DAY AS now FROM events) SELECT session_id, count(*) AS kept_reports, count(*) FILTER (WHERE k % 2 = 0) AS kept_attachments FROM reports, clock WHERE purge_at > now GROUP BY 1""",
+    f"""WITH {STORE_SQL}, gone AS (SELECT report_id FROM reports, clock WHERE purge_at <= now),
+    queued AS (SELECT DISTINCT object_key FROM attachments WHERE report_id IN (FROM gone) AND object_key NOT IN (SELECT object_key FROM object_deletion_jobs))
+    SELECT 'reports' AS table_name, count(*) AS rows, sum(report_id) AS digest FROM reports, clock WHERE purge_at > now UNION ALL SELECT 'attachments', count(*), sum(report_id) FROM attachments WHERE report_id NOT IN (FROM gone)
+    UNION ALL SELECT 'signal_members', count(*), sum(report_id) FROM signal_members WHERE report_id NOT IN (FROM gone) UNION ALL SELECT 'idempotency_records', count(*), sum(id) FROM idempotency_records, clock WHERE purge_at > now
+    UNION ALL SELECT 'audit_logs', (SELECT count(*) FROM gone) + count(*), NULL FROM audit_logs, clock WHERE created_at > now - INTERVAL 72 HOUR
+    UNION ALL SELECT 'object_deletion_jobs', (SELECT count(*) FROM queued) + count(*), NULL FROM object_deletion_jobs, clock WHERE NOT (status = 'COMPLETED' AND purge_at <= now)
+    UNION ALL SELECT 'agent_tokens', count(*), sum(id) FROM agent_tokens, clock WHERE expires_at > now UNION ALL SELECT 'rate_limit_buckets', count(*), sum(id) FROM rate_limit_buckets, clock WHERE expires_at > now
+    UNION ALL SELECT 'signal_clusters', count(*), NULL FROM signal_clusters, clock WHERE purge_at > now UNION ALL SELECT 'signal_audit_events', count(*), sum(id) FROM signal_audit_events, clock WHERE purge_at > now""",
 )
 def purge_apply(spark, sf_dir):
-    rows = reports(spark, sf_dir)
-    now = F.lit(rows.agg((F.max("received_at") - F.expr("INTERVAL 10 DAYS")).alias("now")).first().now).cast("timestamp_ntz")
-    kept = lifecycle.purge(rows, {"attachments": rows.filter("k % 2 = 0").select("report_id", "session_id")}, now)
-    attached = kept["attachments"].groupBy("session_id").agg(F.count("*").alias("kept_attachments"))
-    counted = kept["reports"].groupBy("session_id").agg(F.count("*").alias("kept_reports"))
-    return counted.join(attached, "session_id", "left").fillna(0, ["kept_attachments"])
+    """What the purge leaves of each table: rows, and the sum of their numbers where they have one."""
+    out = None
+    for name, rows in lifecycle.purge_all(*_store(spark, sf_dir)).items():
+        number = next((c for c in ("report_id", "id") if dict(rows.dtypes).get(c) in ("int", "bigint")), None)
+        digest = F.sum(number) if number else F.lit(None)
+        one = rows.agg(F.count("*").alias("rows"), digest.cast("long").alias("digest")).select(F.lit(name).alias("table_name"), "rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("idempotency_outcomes", f"""WITH {REPORTS_SQL} SELECT report_id AS request_id, CASE WHEN row_number() OVER w = 1 THEN 'NEW' WHEN sha256(issue_type) = first_value(sha256(issue_type)) OVER w THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome
@@ -310,10 +360,13 @@ def insert_ignore(spark, sf_dir):
     return lifecycle.insert_ignore(rows.filter("p_partkey % 3 <> 0"), new.unionByName(new), ["p_partkey"])
 
 
-@query("upsert_symbols", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE p_name END AS p_name FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0")
+@query("upsert_symbols", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'late' ELSE p_name END AS p_name FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0")
 def upsert_symbols(spark, sf_dir):
+    """Two rows of each key come; the later one stays."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return lifecycle.upsert(rows.filter("p_partkey % 3 <> 0"), rows.filter("p_partkey % 2 = 0").withColumn("p_name", F.lit("new")), ["p_partkey"])
+    new = rows.filter("p_partkey % 2 = 0")
+    both = new.withColumn("p_name", F.lit("late")).withColumn("at", F.lit(2)).unionByName(new.withColumn("p_name", F.lit("zero")).withColumn("at", F.lit(1)))
+    return lifecycle.upsert(rows.filter("p_partkey % 3 <> 0"), both, ["p_partkey"], "at")
 
 
 @query("rate_limit_buckets")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -271,6 +272,88 @@ def split_signal(spark, sf_dir):
     )
 
 
+# Signals in order of their ids, two by two: the odd one is to go into the even one before it. Some are closed, some have a filter.
+STATES_SQL = EVIDENCE_SQL + """, signals AS (
+  SELECT e.*, split_part(e.signal_id, '|', 1) AS issue_type, CASE WHEN raw_report_count % 11 = 0 THEN 'CLOSED' ELSE e.status END AS state,
+         CASE raw_report_count % 4 WHEN 0 THEN 'E1' WHEN 1 THEN 'E2' END AS error_filter, row_number() OVER (ORDER BY e.signal_id) - 1 AS n FROM evidence e
+)"""
+
+
+def _states(spark, sf_dir):
+    """(signals, members): the evidence with a closed state and an error filter of some, and a number in order of ids."""
+    n = F.col("raw_report_count")
+    found = _evidence(spark, sf_dir).withColumn("issue_type", F.split_part("signal_id", F.lit("|"), F.lit(1)))
+    found = found.withColumn("status", F.when(n % 11 == 0, "CLOSED").otherwise(F.col("status"))).withColumn("closure_reason", F.lit(None).cast("string"))
+    found = found.withColumn("error_filter", F.when(n % 4 == 0, "E1").when(n % 4 == 1, "E2"))
+    return found, members(spark, sf_dir).select("signal_id", "report_id", "session_id", "received_at", "purge_at", "k")
+
+
+@query(
+    "merge_state",
+    f"""WITH {STATES_SQL}, judged AS (
+      SELECT s.signal_id AS source_id, t.signal_id AS target_id, s.error_filter AS source_filter,
+             CASE WHEN s.state = 'CLOSED' OR t.state = 'CLOSED' THEN 'INVALID_SIGNAL_STATE' WHEN s.issue_type <> t.issue_type OR s.error_filter <> t.error_filter THEN 'SIGNAL_GATE_CONFLICT' ELSE 'MERGED' END AS outcome
+      FROM signals s JOIN signals t ON s.n % 2 = 1 AND t.n = s.n - 1
+    ), done AS (SELECT * FROM judged WHERE outcome = 'MERGED'
+    ), moved AS (SELECT coalesce(d.target_id, m.signal_id) AS signal_id, report_id, session_id, received_at FROM members m LEFT JOIN done d ON d.source_id = m.signal_id
+    ), ends AS (SELECT signal_id, max(received_at) AS last FROM moved GROUP BY 1
+    ), fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM moved JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1)
+    SELECT s.signal_id, coalesce(j.outcome, 'TARGET') AS outcome, coalesce(s.error_filter, d.source_filter) AS error_filter,
+      CASE WHEN j.outcome = 'MERGED' THEN 'MERGED' END AS closure_reason,
+      CASE WHEN j.outcome = 'MERGED' THEN 'CLOSED' WHEN d.target_id IS NULL THEN s.state WHEN s.state = 'CANDIDATE' AND f.sessions >= {MIN_SESSIONS} THEN 'SIGNAL_DETECTED' WHEN s.state = 'SIGNAL_DETECTED' AND f.sessions < {MIN_SESSIONS} THEN 'CANDIDATE' ELSE s.state END AS status,
+      CASE WHEN j.outcome = 'MERGED' THEN 0 WHEN d.target_id IS NULL THEN raw_report_count ELSE f.raw END AS raw_report_count,
+      CASE WHEN j.outcome = 'MERGED' THEN 0 WHEN d.target_id IS NULL THEN unique_sessions ELSE f.sessions END AS unique_sessions,
+      CASE WHEN j.outcome = 'MERGED' THEN false WHEN d.target_id IS NULL THEN review_priority ELSE f.sessions >= {REVIEW_SESSIONS} END AS review_priority,
+      CASE WHEN d.target_id IS NULL THEN first_report_at ELSE f.first_at END AS first_report_at, CASE WHEN d.target_id IS NULL THEN last_report_at ELSE f.last_at END AS last_report_at
+    FROM signals s LEFT JOIN judged j ON j.source_id = s.signal_id LEFT JOIN done d ON d.target_id = s.signal_id LEFT JOIN fresh f ON f.signal_id = s.signal_id""",
+)
+def merge_state(spark, sf_dir):
+    """What becomes of all signals when every second one is to be merged into the one before: outcomes, states, filters and evidence."""
+    found, rows = _states(spark, sf_dir)
+    ids = found.select("signal_id", (F.row_number().over(W.orderBy("signal_id")) - 1).alias("n"))  # one row a signal of the page
+    pair = ids.groupBy(F.floor(F.col("n") / 2)).agg(F.min("signal_id").alias("target_id"), F.max("signal_id").alias("source_id"), F.count("*").alias("size"))
+    requests = pair.filter("size = 2").select("source_id", "target_id")
+    out = signals.apply_merges(found, rows, requests, ["issue_type"], ["error_filter"], WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+    outcomes = out["outcomes"].select(F.col("source_id").alias("signal_id"), "outcome")
+    columns = ["error_filter", "closure_reason", "status", "raw_report_count", "unique_sessions", "review_priority", "first_report_at", "last_report_at"]
+    return out["signals"].join(outcomes, "signal_id", "left").select("signal_id", F.coalesce("outcome", F.lit("TARGET")).alias("outcome"), *columns)
+
+
+@query(
+    "split_state",
+    f"""WITH {STATES_SQL}, asked AS (
+      SELECT s.signal_id AS source_id, s.signal_id || '|NEW' AS new_id, m.report_id FROM signals s JOIN members m USING (signal_id) WHERE CASE s.n % 3 WHEN 0 THEN m.k % 2 = 0 WHEN 1 THEN true ELSE m.k % 5 < 3 END
+      UNION ALL SELECT signal_id, signal_id || '|NEW', -1 FROM signals WHERE n % 7 = 0
+    ), counted AS (SELECT source_id, new_id, count(*) AS chosen, count(*) FILTER (WHERE report_id >= 0) AS found FROM asked GROUP BY 1, 2
+    ), sizes AS (SELECT signal_id, count(*) AS size FROM members GROUP BY 1
+    ), judged AS (SELECT c.*, CASE WHEN s.state = 'CLOSED' THEN 'INVALID_SIGNAL_STATE' WHEN found < chosen THEN 'SIGNAL_MEMBER_NOT_FOUND' WHEN found = size THEN 'EMPTY_SOURCE_SIGNAL' ELSE 'SPLIT' END AS outcome
+      FROM counted c JOIN signals s ON s.signal_id = c.source_id JOIN sizes z ON z.signal_id = c.source_id
+    ), done AS (SELECT * FROM judged WHERE outcome = 'SPLIT'
+    ), moved AS (SELECT coalesce(a.new_id, m.signal_id) AS signal_id, m.report_id, session_id, received_at FROM members m LEFT JOIN (SELECT a.* FROM asked a JOIN done USING (source_id)) a ON a.source_id = m.signal_id AND a.report_id = m.report_id
+    ), ends AS (SELECT signal_id, max(received_at) AS last FROM moved GROUP BY 1
+    ), fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM moved JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1
+    ), every AS (SELECT signal_id, state, raw_report_count, unique_sessions, first_report_at, last_report_at, (SELECT outcome FROM judged j WHERE j.source_id = s.signal_id) AS outcome, signal_id IN (SELECT source_id FROM done) AS touched, false AS made FROM signals s
+      UNION ALL SELECT new_id, 'CANDIDATE', 0, 0, NULL, NULL, 'NEW', true, true FROM done)
+    SELECT e.signal_id, coalesce(outcome, 'NONE') AS outcome, CASE WHEN touched THEN f.raw ELSE raw_report_count END AS raw_report_count, CASE WHEN touched THEN f.sessions ELSE unique_sessions END AS unique_sessions,
+      CASE WHEN touched THEN f.first_at ELSE first_report_at END AS first_report_at, CASE WHEN touched THEN f.last_at ELSE last_report_at END AS last_report_at,
+      CASE WHEN NOT touched THEN state WHEN NOT made AND f.sessions < {MIN_SESSIONS} THEN 'CLOSED' WHEN state = 'CANDIDATE' AND f.sessions >= {MIN_SESSIONS} THEN 'SIGNAL_DETECTED' ELSE state END AS status,
+      CASE WHEN touched AND NOT made AND f.sessions < {MIN_SESSIONS} THEN 'EVIDENCE_RECALCULATED' END AS closure_reason
+    FROM every e LEFT JOIN fresh f ON f.signal_id = e.signal_id""",
+)
+def split_state(spark, sf_dir):
+    """Splits of all signals, with refused ones: closed sources, reports that are no members, and all members at once."""
+    found, rows = _states(spark, sf_dir)
+    ids = found.select("signal_id", (F.row_number().over(W.orderBy("signal_id")) - 1).alias("n"))
+    chosen = rows.join(ids, "signal_id").filter(F.when(F.col("n") % 3 == 0, F.col("k") % 2 == 0).when(F.col("n") % 3 == 1, True).otherwise(F.col("k") % 5 < 3))
+    asked = chosen.select("signal_id", "report_id").unionByName(ids.filter("n % 7 = 0").select("signal_id", F.lit(-1).cast("long").alias("report_id")))
+    requests = asked.select(F.col("signal_id").alias("source_id"), F.concat("signal_id", F.lit("|NEW")).alias("new_id"), "report_id")
+    out = signals.apply_splits(found, rows, requests, WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+    outcomes = out["outcomes"].select(F.col("source_id").alias("signal_id"), "outcome")
+    made = out["outcomes"].filter("outcome = 'SPLIT'").select(F.col("new_id").alias("signal_id"), F.lit("NEW").alias("outcome"))
+    columns = ["raw_report_count", "unique_sessions", "first_report_at", "last_report_at", "status", "closure_reason"]
+    return out["signals"].join(outcomes.unionByName(made), "signal_id", "left").select("signal_id", F.coalesce("outcome", F.lit("NONE")).alias("outcome"), *columns)
+
+
 @query(
     "detach_report",
     f"""WITH {MEMBERS_SQL}, gone AS (SELECT * FROM members WHERE k % 4 = 1), kept AS (SELECT * FROM members WHERE k % 4 <> 1),
