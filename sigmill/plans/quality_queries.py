@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..functions.vectors import cosine, hashed_embedding
-from ..operators import clustering, gates, metrics
+from ..operators import clustering, constraints, gates, metrics
 from ..operators.signals import similarity_pairs
 from ..sources import allowlist
 from ..sources.proxies import REPORTS_SQL, embeddings, reports, table
@@ -508,38 +508,32 @@ def keyed_digest(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(identity.keyed_digest(value, b"test key", "session")).alias("digest"), identity.reference_number(value, b"test key").alias("reference"))
 
 
-@query(
-    "constraint_report",
-    """SELECT 'lineitem' AS table_name, 'quantity_range' AS rule, count(*) FILTER (WHERE NOT l_quantity BETWEEN 1 AND 40) AS violations FROM lineitem
-    UNION ALL SELECT 'lineitem', 'flag_format', count(*) FILTER (WHERE NOT regexp_matches(l_returnflag, '^[AN]$')) FROM lineitem
-    UNION ALL SELECT 'lineitem', 'open_implies_no_return', count(*) FILTER (WHERE l_linestatus = 'O' AND l_returnflag = 'R') FROM lineitem""",
-)
+def _checked_sql(tables: dict) -> str:
+    parts = []
+    for name, rules in tables.items():
+        columns = ", ".join(f"{sql} AS {c}" for c, sql in constraints.sample_sql(rules, "o_orderkey").items())
+        for rule in rules:
+            parts.append(f"SELECT '{name}' AS table_name, '{rule[0]}' AS rule, count(*) FILTER (WHERE NOT ({constraints.condition(rule, 'regexp_matches')})) AS violations FROM (SELECT {columns} FROM orders)")
+    return " UNION ALL ".join(parts)
+
+
+def _checked(spark, sf_dir, tables):
+    orders, out = table(spark, sf_dir, "orders").select("o_orderkey"), None
+    for name, rules in tables.items():
+        one = constraints.check(constraints.samples(orders, rules, "o_orderkey"), name, rules)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("constraint_report", _checked_sql(constraints.RULES))
 def constraint_report(spark, sf_dir):
-    rules = {
-        "quantity_range": F.col("l_quantity").between(1, 40),
-        "flag_format": F.col("l_returnflag").rlike("^[AN]$"),
-        "open_implies_no_return": (F.col("l_linestatus") != "O") | (F.col("l_returnflag") != "R"),
-    }
-    return gates.violations(table(spark, sf_dir, "lineitem"), "lineitem", rules)
+    """How often rows of sound and broken samples, one an order, break each rule of the report store's tables."""
+    return _checked(spark, sf_dir, constraints.RULES)
 
 
-@query(
-    "contract_report",
-    """WITH f AS (SELECT o_orderkey % 3 AS s, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS v, CASE WHEN o_orderkey % 5 <> 0 THEN 'q' END AS q FROM orders)
-    SELECT 'fields' AS table_name, 'confirmed_has_value_and_quote' AS rule, count(*) FILTER (WHERE s = 0 AND (v IS NULL OR q IS NULL)) AS violations FROM f
-    UNION ALL SELECT 'fields', 'unknown_has_neither', count(*) FILTER (WHERE s = 1 AND (v IS NOT NULL OR q IS NOT NULL)) FROM f
-    UNION ALL SELECT 'fields', 'to_confirm_has_quote', count(*) FILTER (WHERE s = 2 AND q IS NULL) FROM f""",
-)
+@query("contract_report", _checked_sql(constraints.CONTRACTS))
 def contract_report(spark, sf_dir):
-    k = F.col("o_orderkey")
-    fields = table(spark, sf_dir, "orders").select((k % 3).alias("s"), F.when(k % 2 == 0, F.col("o_totalprice")).alias("v"), F.when(k % 5 != 0, "q").alias("q"))
-    s, v, q = F.col("s"), F.col("v"), F.col("q")
-    rules = {
-        "confirmed_has_value_and_quote": (s != 0) | (v.isNotNull() & q.isNotNull()),
-        "unknown_has_neither": (s != 1) | (v.isNull() & q.isNull()),
-        "to_confirm_has_quote": (s != 2) | q.isNotNull(),
-    }
-    return gates.violations(fields, "fields", rules)
+    return _checked(spark, sf_dir, constraints.CONTRACTS)
 
 
 @query("csv_allowlist", "SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market FROM part WHERE p_partkey % 7 <> 0")
