@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterable
 from functools import reduce
 
@@ -56,40 +57,55 @@ def _dated(found: str) -> bool:
     return 2000 <= full <= 2099 and 1 <= int(month) <= 12 and 1 <= int(day) <= 31
 
 
+#: What every match of the digit patterns holds: eight characters of digits and their separators, the first a digit.
+_DIGITS = re.compile(r"\d[\d\s.)/‐‑‒–—―−-]{7}")
+_NEEDED = {
+    "EMAIL": lambda text, digits: "@" in text,
+    "OTP": lambda text, digits: "otp" in text.lower() or "일회용" in text,
+    "PASSWORD": lambda text, digits: "비밀번호" in text or "패스워드" in text,
+}
+
+
+def _searched(patterns: dict, text: str) -> list:
+    """The (kind, pattern) that may match: a text without what a pattern needs is not searched for it."""
+    digits = _DIGITS.search(text) is not None
+    return [(k, p) for k, p in patterns.items() if (_NEEDED[k](text, digits) if k in _NEEDED else digits)]
+
+
 def _candidates(text: str) -> list[tuple[int, int, str]]:
     return [
         (m.start(), m.end(), kind)
-        for kind, pattern in _MASK.items()
+        for kind, pattern in _searched(_MASK, text)
         for m in pattern.finditer(text)
         if kind != "ACCOUNT" or not _dated(m.group())
     ]
 
 
 def has_residual(text: str) -> bool:
-    return any(p.search(text) for p in _REJECT.values()) or bool(_candidates(text))
+    return any(p.search(text) for _, p in _searched(_REJECT, text)) or bool(_candidates(text))
 
 
 def scan_text(text: str | None):
     """Decision, masked text, kinds and spans: longer spans win, then earlier ones."""
     if text is None:
         return None
-    refused = [k for k, p in _REJECT.items() if p.search(text)]
+    refused = [k for k, p in _searched(_REJECT, text) if p.search(text)]
     if refused:
         return ("REJECT", "", refused, [], False)
     chosen: list[tuple[int, int, str]] = []
-    taken = [False] * len(text)
     for start, end, kind in sorted(_candidates(text), key=lambda s: (s[0] - s[1], s[0])):
-        if not any(taken[start:end]):
-            taken[start:end] = [True] * (end - start)
-            chosen.append((start, end, kind))
-    chosen.sort()
+        at = bisect(chosen, (start, end, kind))
+        if (at == 0 or chosen[at - 1][1] <= start) and (at == len(chosen) or end <= chosen[at][0]):
+            chosen.insert(at, (start, end, kind))
+    if not chosen:
+        return ("ALLOW", text, [], [], False)
     pieces, at = [], 0
     for start, end, kind in chosen:
         pieces += [text[at:start], f"[{kind}]"]
         at = end
     masked = "".join([*pieces, text[at:]])
     kinds = list(dict.fromkeys(kind for _, _, kind in chosen))
-    return ("MASKED" if chosen else "ALLOW", masked, kinds, chosen, has_residual(masked))
+    return ("MASKED", masked, kinds, chosen, has_residual(masked))
 
 
 def scan(text: Column) -> Column:

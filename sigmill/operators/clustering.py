@@ -24,7 +24,7 @@ from .blocks import matrix, pairwise, rounded
 from .gates import EXCLUDED_TYPES, known_filters, micros
 from .incremental import Cluster, IncrementalGate, Policy
 from .shared import checkpoint
-from .signals import _sums, _unit, medoid
+from .signals import _unit, medoid
 
 __all__ = ["Cluster", "IncrementalGate", "Policy", "batch_clusters", "complete_link", "medoid_greedy", "online_clusters", "order_stability"]
 

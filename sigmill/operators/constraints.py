@@ -280,19 +280,18 @@ def check(rows: DataFrame, name: str, rules: list[Rule]) -> DataFrame:
 
 
 def sample_sql(rules: list[Rule], key: str) -> dict[str, str]:
-    """For each column of the rules, SQL that takes one of its samples by `key`: digits of the key in mixed bases, so that columns vary apart."""
+    """For each column of the rules, SQL that takes one of its samples by `key`, mixed by a multiplication of its own."""
     samples: dict[str, tuple[str, ...]] = {}
     for _, _, columns in rules:
         for column, values in columns.items():
             samples.setdefault(column, values)
-    out, base = {}, 1
-    for column, values in samples.items():
-        cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v != "NULL")
-        out[column] = f"CASE ({key} + {key} // {base}) % {len(values)} {cases} END"
-        base = base * len(values) if base < 200 else base // 7 + 1
+    out = {}
+    for i, (column, values) in enumerate(samples.items()):
+        cases = " ".join(f"WHEN {j} THEN {v}" for j, v in enumerate(values) if v != "NULL")
+        out[column] = f"CASE ({key} * {104_729 + 7_919 * i * i} % {1_299_709 + 14 * i}) % {len(values)} {cases} END"
     return out
 
 
 def samples(rows: DataFrame, rules: list[Rule], key: str) -> DataFrame:
-    columns: list[Column] = [F.expr(sql.replace("//", "DIV")).alias(column) for column, sql in sample_sql(rules, key).items()]
+    columns: list[Column] = [F.expr(sql).alias(column) for column, sql in sample_sql(rules, key).items()]
     return rows.select(*columns)

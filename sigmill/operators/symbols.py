@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_COVERAGE = 0.99
@@ -76,5 +75,6 @@ def validate(requests: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def activate(versions: DataFrame) -> DataFrame:
     """versions (version, as_of) with is_active on the newest alone."""
-    newest = F.row_number().over(W.orderBy(F.col("as_of").desc(), F.col("version").desc()))
-    return versions.withColumn("is_active", newest == 1)
+    key = F.struct("as_of", "version")
+    newest = versions.agg(F.max(key).alias("_newest"))  # a single row
+    return versions.crossJoin(F.broadcast(newest)).withColumn("is_active", key.eqNullSafe(F.col("_newest"))).drop("_newest")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..functions.vectors import cosine, hashed_embedding
+from ..functions.vectors import hashed_embedding
 from ..operators import clustering, constraints, gates, metrics
 from ..operators.signals import similarity_pairs
 from ..sources import allowlist
@@ -536,13 +537,43 @@ def contract_report(spark, sf_dir):
     return _checked(spark, sf_dir, constraints.CONTRACTS)
 
 
-@query("csv_allowlist", "SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market FROM part WHERE p_partkey % 7 <> 0")
+def _encoded(lines: pd.Series, number: pd.Series) -> pd.Series:
+    return pd.Series([x.encode("cp949" if n % 2 else "utf-8-sig") for x, n in zip(lines, number, strict=True)])
+
+
+@query("csv_allowlist", """SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, CASE WHEN p_partkey // 50 % 2 = 0 THEN 'utf-8-sig' ELSE 'cp949' END AS encoding
+    FROM part WHERE p_partkey % 7 <> 0 AND p_partkey // 50 % 5 <> 4""")
 def csv_allowlist(spark, sf_dir):
-    """Files of fifty lines, every other one in CP949, written as bytes and parsed whole."""
+    """Files of fifty lines, every other one in CP949, written as bytes and parsed whole; every fifth has a broken code and is refused."""
     p = F.col("p_partkey")
-    line = F.concat_ws(",", F.lpad(p.cast("string"), 6, "0"), "p_name", F.when(p % 2 == 0, "KOSPI").otherwise("KOSDAQ GLOBAL"), F.when(p % 7 == 0, "우선주").otherwise("보통주"))
-    files = table(spark, sf_dir, "part").groupBy((p / 50).cast("int").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\r\n").alias("lines"))
+    number = (p / 50).cast("int")
+    code = F.when((number % 5 == 4) & (p % 50 == 1), "broken").otherwise(F.lpad(p.cast("string"), 6, "0"))
+    line = F.concat_ws(",", code, "p_name", F.when(p % 2 == 0, "KOSPI").otherwise("KOSDAQ GLOBAL"), F.when((p % 7 == 0) & (p % 50 != 1), "우선주").otherwise("보통주"))
+    files = table(spark, sf_dir, "part").groupBy(number.alias("file")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\r\n").alias("lines"))
     header = ",".join(allowlist.COLUMNS.values()) + "\r\n"
-    content = F.encode(F.concat(F.lit("﻿" + header), "lines"), "UTF-8")
+    content = F.pandas_udf(_encoded, "binary")(F.concat(F.lit(header), "lines"), F.col("file"))
     parsed = files.select("file", allowlist.parsed(content).alias("p")).select(F.col("file").alias("path"), "p.*")
-    return allowlist.symbols(parsed).select("code", "name", "market")
+    return allowlist.symbols(parsed.filter("error IS NULL")).join(parsed.select("path", "encoding"), "path").select("code", "name", "market", "encoding")
+
+
+_CONTRACT = {"model_id": "m", "model_revision": "r1", "embedding_dimension": 64, "normalization": "L2", "input_format": "text.v1", "distance_metric": "COSINE"}
+_OTHERS = {"model_id": "'n'", "model_revision": "'r2'", "embedding_dimension": "32", "normalization": "'NONE'", "input_format": "NULL", "distance_metric": "'DOT'"}
+
+
+def _contract_sql() -> dict[str, str]:
+    """Metadata that departs from the contract in one column of some rows."""
+    own = {k: str(v) if isinstance(v, int) else f"'{v}'" for k, v in _CONTRACT.items()}
+    return {k: f"CASE WHEN vec_id % 11 = {i} THEN {_OTHERS[k]} ELSE {own[k]} END" for i, k in enumerate(own)}
+
+
+@query(
+    "contract_match",
+    f"""WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 11 = 7 THEN embedding[1:63] WHEN vec_id % 11 = 8 THEN list_transform(embedding, lambda x: x * 0) ELSE embedding END AS vec, {", ".join(f"{v} AS {k}" for k, v in _contract_sql().items())} FROM embeddings)
+    SELECT vec_id, coalesce({" AND ".join(f"{k} = {v}" if isinstance(v, int) else f"{k} = '{v}'" for k, v in _CONTRACT.items())}, false) AND len(vec) = 64 AND len(list_filter(vec, lambda x: x <> 0)) > 0 AS matching FROM rows""",
+)
+def contract_match(spark, sf_dir):
+    """Which embeddings fit the policy's contract: a model, revision, format or metric of another, a short and an empty vector don't."""
+    case = F.col("vec_id") % 11
+    vec = F.when(case == 7, F.slice("vec", 1, 63)).when(case == 8, F.transform("vec", lambda x: x * 0)).otherwise(F.col("vec"))
+    rows = embeddings(spark, sf_dir).select("vec_id", vec.alias("vec"), *[F.expr(v).alias(k) for k, v in _contract_sql().items()])
+    return rows.select("vec_id", F.coalesce(gates.contract_match(rows, _CONTRACT), F.lit(False)).alias("matching"))

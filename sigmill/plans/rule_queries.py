@@ -369,7 +369,13 @@ def upsert_symbols(spark, sf_dir):
     return lifecycle.upsert(rows.filter("p_partkey % 3 <> 0"), both, ["p_partkey"], "at")
 
 
-@query("rate_limit_buckets")
+@query(
+    "rate_limit_buckets",
+    f"""WITH RECURSIVE {REPORTS_SQL}, hits AS (SELECT CAST(session_id AS VARCHAR) AS bucket, report_id AS hit_id, epoch_us(received_at) / 1000000.0::DOUBLE AS moment, row_number() OVER (PARTITION BY session_id ORDER BY received_at, report_id) AS n FROM reports),
+    fold AS (SELECT bucket, n, hit_id, moment AS begins, 1 AS hit_number FROM hits WHERE n = 1
+      UNION ALL SELECT h.bucket, h.n, h.hit_id, CASE WHEN f.begins + 21600 <= h.moment THEN h.moment ELSE f.begins END, CASE WHEN f.begins + 21600 <= h.moment THEN 1 ELSE f.hit_number + 1 END FROM fold f JOIN hits h ON h.bucket = f.bucket AND h.n = f.n + 1)
+    SELECT bucket, hit_id, hit_number <= 2 AS allowed, hit_number FROM fold""",
+)
 def rate_limit_buckets(spark, sf_dir):
     at = (F.unix_micros(F.col("received_at").cast("timestamp")) / 1e6).alias("at")
     hits = reports(spark, sf_dir).select(F.col("session_id").cast("string").alias("bucket"), F.col("report_id").alias("hit_id"), at)

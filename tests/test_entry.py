@@ -3,6 +3,9 @@
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -51,3 +54,17 @@ def test_entry(spark):
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_numbered_operators(tmp_path):
+    """The folder missing, or left behind empty: the other queries load."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    for empty in (False, True):
+        copy = tmp_path / str(empty)
+        shutil.copytree(f"{root}/sigmill", copy / "sigmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(f"{root}/__spark_entry__.py", copy)
+        if empty:
+            (copy / "sigmill/llm/__pycache__").mkdir(parents=True)
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op1_') for q in e.queries()))"
+        found = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
+        assert found.stdout.split() == [str(len(QUERIES)), str(len(ORACLES)), "False"]
