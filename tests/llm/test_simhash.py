@@ -102,3 +102,23 @@ def test_one_of_each_component_stays(spark):
     want = {c for _, _, c in brute(corpus())} - {"None"}
     assert sorted(map(str, ids)) == sorted(want)
     assert S.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_components_in_one_or_in_many_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    df = spark.createDataFrame(edges, "x long, y long")
+    for few in (0, S.FEW_EDGES):
+        monkeypatch.setattr(S, "FEW_EDGES", few)
+        assert {(r.node, r.root) for r in S.components(df).collect()} == {(n, find(n)) for n in root}
