@@ -184,21 +184,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = checkpoint(edges.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     seen = state(edges)
-    if 0 < seen[0] <= FEW_EDGES:
-        # One partition satisfies every grouping and join below, so a bounded number of edges needs no shuffle.
-        edges = edges.coalesce(1)
+    # One partition satisfies every grouping and join below, so a bounded number of edges needs no shuffle.
+    gathered = (lambda df: df.coalesce(1)) if seen[0] <= FEW_EDGES else (lambda df: df)
+    edges = gathered(edges)
     while seen[0]:
-        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        both = gathered(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
         least = minimum(both).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
         down = minimum(large)
-        small = (
-            large.join(down, "x")
-            .select(F.col("y").alias("x"), F.col("m").alias("y"))
-            .unionByName(down.select("x", F.col("m").alias("y")))
-            .filter("x <> y")
-            .distinct()
-        )
+        small = large.join(down, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        small = gathered(small.unionByName(down.select("x", F.col("m").alias("y")))).filter("x <> y").distinct()
         held, edges = edges, checkpoint(small)
         release(held)
         now = state(edges)
