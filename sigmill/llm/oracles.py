@@ -132,3 +132,44 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
 FROM parts
 """
+
+# A prefix is told by the digests of its turns; a node is the smallest member and the depth. crc32 is the reflected polynomial, a byte at a time.
+ORACLES["op11_prefix_trie"] = """
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(generate_series(0, 255)) AS BIGINT) AS i)
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS giver,
+         xor(list_reduce(list_prepend(4294967295, [CAST(ascii(d) AS BIGINT) FOR d IN string_split(CAST(conv_id AS VARCHAR), '')]),
+             lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc
+), rebuilt AS (
+  SELECT i.conv_id, o.place, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.giver AND o.place <= i.h
+  UNION ALL SELECT i.conv_id, o.place + 4, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.place > i.h
+), numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+         string_agg(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY place) AS prefix
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), paths AS (
+  SELECT conv_id, depth, words, min(conv_id) OVER (PARTITION BY depth, prefix) AS node, max(depth) OVER (PARTITION BY conv_id) = depth AS ends FROM numbered
+), nodes AS (
+  SELECT node, depth, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY node, depth
+), parents AS (
+  SELECT n.node, n.depth, p.node AS parent FROM nodes n JOIN paths p ON p.conv_id = n.node AND p.depth = n.depth - 1
+), children AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM parents GROUP BY ALL
+), sums AS (
+  SELECT a.node, a.depth, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n JOIN paths a ON a.conv_id = n.node AND a.depth <= n.depth LEFT JOIN children c ON c.node = n.node AND c.depth = n.depth GROUP BY ALL
+)
+SELECT n.node AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.parent AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (node, depth) LEFT JOIN parents p USING (node, depth) LEFT JOIN children c USING (node, depth)
+"""

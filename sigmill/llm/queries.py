@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, infill, languages, maxent, mixing, neighbours, pii, preferences, simhash, tokencount, toxicity
+from . import decontaminate, infill, languages, maxent, mixing, neighbours, pii, preferences, prefixes, simhash, tokencount, toxicity
 from .common import crc_mod, read
 from .oracles import ORACLES
 
@@ -74,6 +74,10 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns(masks)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.shared_heads(prefixes.turns(read(spark, sf_dir, "conversations"))))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(read(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_token_count": op9_token_count,
         "op10_preferences": op10_preferences,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_infill": op12_infill,
     }
 
