@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, infill, languages, maxent, mixing, neighbours, pii, preferences, prefixes, simhash, tokencount, toxicity
+from . import decontaminate, infill, languages, maxent, mixing, neighbours, pii, preferences, prefixes, simhash, suffixes, tokencount, toxicity
 from .common import crc_mod, read
 from .oracles import ORACLES
 
@@ -82,6 +82,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(read(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_preferences": op10_preferences,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_infill": op12_infill,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
