@@ -542,7 +542,7 @@ def _encoded(lines: pd.Series, number: pd.Series) -> pd.Series:
 
 
 @query("csv_allowlist", """SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, CASE WHEN p_partkey // 50 % 2 = 0 THEN 'utf-8-sig' ELSE 'cp949' END AS encoding
-    FROM part WHERE p_partkey % 7 <> 0 AND p_partkey // 50 % 5 <> 4""")
+    FROM part WHERE (p_partkey % 7 <> 0 OR p_partkey % 50 = 1) AND p_partkey // 50 % 5 <> 4""")
 def csv_allowlist(spark, sf_dir):
     """Files of fifty lines, every other one in CP949, written as bytes and parsed whole; every fifth has a broken code and is refused."""
     p = F.col("p_partkey")
