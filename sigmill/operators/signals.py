@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from .blocks import bipartite, matrix, pairwise, rounded
-from .gates import is_public, micros, wildcard_equal
+from .decisions import audit_events, closed, judge_merges
+from .gates import is_public, micros
+from .shared import checkpoint
 
 OPEN = ("CANDIDATE", "SIGNAL_DETECTED")
 NEVER = "INSUFFICIENT_HISTORY"
@@ -279,79 +281,94 @@ def detach(members: DataFrame, gone: DataFrame, window: int, min_sessions: int,
 STATE = ("raw_report_count", "unique_sessions", "review_priority", "first_report_at", "last_report_at", "purge_at")
 
 
-def _recalculated(signals: DataFrame, members: DataFrame, after_deletion: DataFrame, touched: DataFrame, window: int, least: int, review: int) -> DataFrame:
-    """signals with the evidence and state of the touched ones (signal_id) worked out anew; after_deletion: those that too little closes."""
-    now = evidence(members.join(touched, "signal_id", "left_semi"), window, least, review).drop("status")
-    now = now.select("signal_id", *[F.col(c).alias(f"_{c}") for c in STATE])
+def _recalculated(
+    signals: DataFrame, members: DataFrame, after_deletion: DataFrame, touched: DataFrame, window: int, least: int, review: int, vectors: DataFrame | None = None
+) -> DataFrame:
+    """signals with the evidence and state of the touched ones (signal_id, at) worked out anew; after_deletion: those that too little closes, at `at`.
+
+    With vectors (report_id, member_id, vec) the medoid of the evidence window becomes the representative.
+    """
+    mine = members.join(touched, "signal_id", "left_semi")
+    now = evidence(mine, window, least, review).drop("status").select("signal_id", *[F.col(c).alias(f"_{c}") for c in STATE])
     marked = (
         signals.join(now, "signal_id", "left")
-        .join(touched.withColumn("_touched", F.lit(True)), "signal_id", "left")
-        .join(after_deletion.withColumn("_deleted", F.lit(True)), "signal_id", "left")
+        .join(touched.select("signal_id", F.col("at").alias("_at"), F.lit(True).alias("_touched")), "signal_id", "left")
+        .join(after_deletion.select("signal_id", F.lit(True).alias("_deleted")), "signal_id", "left")
     )
-    mine = F.coalesce("_touched", F.lit(False))
+    mine_now = F.coalesce("_touched", F.lit(False))
     count = F.coalesce("_unique_sessions", F.lit(0))
     state = next_state(F.col("status"), count, F.lit(least), F.coalesce("_deleted", F.lit(False)))
     none = {"raw_report_count": F.lit(0), "unique_sessions": F.lit(0), "review_priority": F.lit(False)}
-    changed = {c: F.when(mine, F.coalesce(f"_{c}", none.get(c, F.col(c)))).otherwise(F.col(c)) for c in STATE}
-    changed["status"] = F.when(mine, state).otherwise(F.col("status"))
-    changed["closure_reason"] = F.when(mine & (F.col("status") != "CLOSED") & (state == "CLOSED"), "EVIDENCE_RECALCULATED").otherwise(F.col("closure_reason"))
+    shut = mine_now & (F.col("status") != "CLOSED") & (state == "CLOSED")
+    changed = {c: F.when(mine_now, F.coalesce(f"_{c}", none.get(c, F.col(c)))).otherwise(F.col(c)) for c in STATE}
+    changed["status"] = F.when(mine_now, state).otherwise(F.col("status"))
+    changed["closure_reason"] = F.when(shut, "EVIDENCE_RECALCULATED").otherwise(F.col("closure_reason"))
+    if vectors is not None and "representative_id" in signals.columns:
+        found = in_evidence_window(mine, window).join(vectors.select("report_id", "member_id", "vec"), "report_id").select("signal_id", "member_id", "vec")
+        marked = marked.join(medoid(found, digits=9).select("signal_id", F.col("member_id").alias("_member")), "signal_id", "left")
+        changed["representative_id"] = F.when(mine_now, F.col("_member")).otherwise(F.col("representative_id"))
+    if "closed_at" in signals.columns:
+        changed["closed_at"] = F.when(shut, F.col("_at")).otherwise(F.col("closed_at"))
     return marked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in signals.columns])
 
 
 def apply_merges(
-    signals: DataFrame, members: DataFrame, requests: DataFrame, keys: list[str], wildcards: list[str], window: int, min_sessions: int, review_sessions: int
+    signals: DataFrame,
+    members: DataFrame,
+    requests: DataFrame,
+    keys: list[str],
+    wildcards: list[str],
+    window: int,
+    min_sessions: int,
+    review_sessions: int,
+    vectors: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """outcomes (source_id, target_id, outcome), members and signals after the merge requests (source_id, target_id).
-
-    signals: signal_id, status, closure_reason, keys, wildcards and the columns of STATE; a signal is in one request at most.
-    A request is refused where a signal is missing or closed or the gates (equal keys, no two different wildcards) conflict.
-    A merged source is closed and empty; its members go to the target, whose own row of a report stays; the target takes the
-    source's wildcards where it has none, and its evidence and state follow.
+    """outcomes (request_id, source_id, target_id, outcome), members, signals and events after merge requests, taken in order of request_id.
+
+    signals: signal_id, status, closure_reason, keys, wildcards, the columns of STATE, and closed_at and representative_id if
+    they are kept; requests: request_id, source_id, target_id, at, actor_id, reason. Requests may share signals: each is judged
+    on what the ones before it left (`decisions.judge_merges`). A merged source is closed and empty; its members go to the
+    target, or where that went later, and of several rows of a report the one that was there first stays; the target takes the
+    source's wildcards where it has none, and its evidence and state follow. events: a SIGNAL_MERGED entry for each merge, with
+    the source's status before all requests.
     """
-    gate = [*keys, *wildcards]
-    side = lambda name: signals.select(F.col("signal_id").alias(f"{name}_id"), F.col("status").alias(f"{name}_status"), *[F.col(c).alias(f"{name}_{c}") for c in gate])
-    met = requests.join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(f"source_{c}").eqNullSafe(F.col(f"target_{c}"))
-    for c in wildcards:
-        same = same & wildcard_equal(F.col(f"source_{c}"), F.col(f"target_{c}"))
-    outcome = (
-        F.when(F.col("source_status").isNull() | F.col("target_status").isNull(), "SIGNAL_NOT_FOUND")
-        .when((F.col("source_status") == "CLOSED") | (F.col("target_status") == "CLOSED"), "INVALID_SIGNAL_STATE")
-        .when(~same, "SIGNAL_GATE_CONFLICT")
-        .otherwise("MERGED")
-    )
-    judged = met.withColumn("outcome", outcome)
-    done = judged.filter("outcome = 'MERGED'")
-    to = done.select(F.col("source_id").alias("signal_id"), F.col("target_id").alias("_target"))
-    moved = members.join(to, "signal_id", "left").withColumn("_moved", F.col("_target").isNotNull()).withColumn("signal_id", F.coalesce("_target", "signal_id"))
-    place = F.row_number().over(W.partitionBy("signal_id", "report_id").orderBy("_moved"))
+    judged = checkpoint(judge_merges(signals, requests, keys, wildcards))
+    done = judged.filter("outcome = 'MERGED'").join(requests.select("request_id", "at"), "request_id")
+    to = done.select(F.col("source_id").alias("signal_id"), F.col("root").alias("_root"), F.col("path").alias("_path"), F.col("at").alias("_at"), F.col("own_filters").alias("_own"))
+    moved = members.join(to, "signal_id", "left").withColumn("signal_id", F.coalesce("_root", "signal_id"))
+    place = F.row_number().over(W.partitionBy("signal_id", "report_id").orderBy(F.coalesce("_path", F.array().cast("array<long>"))))
     after = moved.withColumn("_place", place).filter("_place = 1").select(*members.columns)
-    given = done.select(F.col("target_id").alias("signal_id"), *[F.col(f"source_{c}").alias(f"_{c}") for c in wildcards])
-    closed = signals.join(to, "signal_id", "left").join(given, "signal_id", "left")
-    gone = F.col("_target").isNotNull()
+    roots = done.groupBy(F.col("root").alias("signal_id")).agg(F.first("filters").alias("_filters"), F.max("at").alias("at"))
+    marked = signals.join(to, "signal_id", "left").join(roots.select("signal_id", "_filters"), "signal_id", "left")
+    gone = F.col("_root").isNotNull()
     empty = {"raw_report_count": F.lit(0), "unique_sessions": F.lit(0), "review_priority": F.lit(False), "status": F.lit("CLOSED"), "closure_reason": F.lit("MERGED")}
-    changed = {c: F.when(gone, v).otherwise(F.col(c)) for c, v in empty.items()} | {c: F.coalesce(c, f"_{c}") for c in wildcards}
-    closed = closed.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in signals.columns])
-    touched = done.select(F.col("target_id").alias("signal_id"))
+    changed = {c: F.when(gone, v).otherwise(F.col(c)) for c, v in empty.items()} | closed(signals, F.col("_at"), gone)
+    taken = F.coalesce("_own", "_filters")
+    changed |= {c: F.coalesce(F.col(c), taken[i].cast(signals.schema[c].dataType)) for i, c in enumerate(wildcards)}
+    marked = marked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in signals.columns])
+    events = audit_events(judged.withColumn("after_status", F.lit("CLOSED")), requests, "MERGED", "SIGNAL_MERGED", "target_id")
     return {
-        "outcomes": judged.select("source_id", "target_id", "outcome"),
+        "outcomes": judged.select("request_id", "source_id", "target_id", "outcome"),
         "members": after,
-        "signals": _recalculated(closed, after, touched.filter("false"), touched, window, min_sessions, review_sessions),
+        "signals": _recalculated(marked, after, roots.filter("false"), roots, window, min_sessions, review_sessions, vectors),
+        "events": events,
     }
 
 
-def apply_splits(signals: DataFrame, members: DataFrame, requests: DataFrame, window: int, min_sessions: int, review_sessions: int) -> dict[str, DataFrame]:
-    """outcomes (source_id, new_id, outcome), members and signals after the split requests (source_id, new_id, report_id), a row for each chosen report.
+def apply_splits(
+    signals: DataFrame, members: DataFrame, requests: DataFrame, window: int, min_sessions: int, review_sessions: int, vectors: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """outcomes (request_id, source_id, new_id, outcome), members, signals and events after the split requests.
 
-    Refused: a missing or closed source, a chosen report that is no member, and all members chosen. The chosen reports go to a
-    new candidate with the source's gate, and the evidence of both follows; too little of it closes the source.
+    requests: request_id, source_id, new_id, report_id, at, actor_id, reason, a row for each chosen report; a source is split
+    once. Refused: a missing or closed source, a chosen report that is no member, and all members chosen. The chosen reports go
+    to a new candidate with the source's gate, and the evidence of both follows; too little of it closes the source. events: a
+    SIGNAL_SPLIT entry for each split, with the source's status after it.
     """
-    asked = requests.select("source_id", "new_id", "report_id").distinct()
+    asked = requests.select("request_id", "source_id", "new_id", "report_id", "at").distinct()
     own = members.select(F.col("signal_id").alias("source_id"), "report_id", F.lit(1).alias("own"))
     sizes = members.groupBy(F.col("signal_id").alias("source_id")).agg(F.count("*").alias("size"))
-    counted = asked.join(own, ["source_id", "report_id"], "left").groupBy("source_id", "new_id").agg(F.count("*").alias("chosen"), F.count("own").alias("found"))
+    counted = asked.join(own, ["source_id", "report_id"], "left").groupBy("request_id", "source_id", "new_id", "at").agg(F.count("*").alias("chosen"), F.count("own").alias("found"))
     states = signals.select(F.col("signal_id").alias("source_id"), "status")
     outcome = (
         F.when(F.col("status").isNull(), "SIGNAL_NOT_FOUND")
@@ -360,17 +377,21 @@ def apply_splits(signals: DataFrame, members: DataFrame, requests: DataFrame, wi
         .when(F.col("found") == F.col("size"), "EMPTY_SOURCE_SIGNAL")
         .otherwise("SPLIT")
     )
-    judged = counted.join(states, "source_id", "left").join(sizes, "source_id", "left").select("source_id", "new_id", outcome.alias("outcome"))
+    judged = checkpoint(counted.join(states, "source_id", "left").join(sizes, "source_id", "left").select("request_id", "source_id", "new_id", "at", outcome.alias("outcome")))
     done = judged.filter("outcome = 'SPLIT'")
-    go = asked.join(done, ["source_id", "new_id"]).select(F.col("source_id").alias("signal_id"), "report_id", F.col("new_id").alias("_new"))
+    go = asked.join(done.select("request_id"), "request_id").select(F.col("source_id").alias("signal_id"), "report_id", F.col("new_id").alias("_new"))
     after = members.join(go, ["signal_id", "report_id"], "left").withColumn("signal_id", F.coalesce("_new", "signal_id")).select(*members.columns)
     fresh = signals.join(done.select(F.col("source_id").alias("signal_id"), F.col("new_id").alias("_new")), "signal_id")
     begin = {"signal_id": F.col("_new"), "status": F.lit("CANDIDATE"), "closure_reason": F.lit(None).cast("string")}
+    begin |= {c: F.lit(None).cast(signals.schema[c].dataType) for c in ("closed_at", "representative_id") if c in signals.columns}
     fresh = fresh.select(*[begin[c].alias(c) if c in begin else F.col(c) for c in signals.columns])
-    old = done.select(F.col("source_id").alias("signal_id"))
-    touched = old.unionByName(done.select(F.col("new_id").alias("signal_id")))
+    old = done.select(F.col("source_id").alias("signal_id"), "at")
+    touched = old.unionByName(done.select(F.col("new_id").alias("signal_id"), "at"))
+    found = _recalculated(signals.unionByName(fresh), after, old, touched, window, min_sessions, review_sessions, vectors)
+    told = done.join(found.select(F.col("signal_id").alias("source_id"), F.col("status").alias("after_status")), "source_id").withColumn("before_status", F.col("after_status"))
     return {
-        "outcomes": judged,
+        "outcomes": judged.select("request_id", "source_id", "new_id", "outcome"),
         "members": after,
-        "signals": _recalculated(signals.unionByName(fresh), after, old, touched, window, min_sessions, review_sessions),
+        "signals": found,
+        "events": audit_events(told, requests, "SPLIT", "SIGNAL_SPLIT", "new_id"),
     }

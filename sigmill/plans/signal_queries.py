@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import gates, signals
+from ..operators import decisions, gates, signals
 from ..sources.proxies import MEMBERS_SQL, MIN_SESSIONS, REPORTS_SQL, REVIEW_SESSIONS, WINDOW_SECONDS, embeddings, members, reports, table
 from .registry import query
 
@@ -272,88 +272,183 @@ def split_signal(spark, sf_dir):
     )
 
 
-# Signals in order of their ids, two by two: the odd one is to go into the even one before it. Some are closed, some have a filter.
+# Signals in order of their ids within sixteen parts. Some are closed, some have a filter. They are merged three by three: two
+# into one, a chain from its end, and a chain from its head, where the second request meets a closed signal.
 STATES_SQL = EVIDENCE_SQL + """, signals AS (
   SELECT e.*, split_part(e.signal_id, '|', 1) AS issue_type, CASE WHEN raw_report_count % 11 = 0 THEN 'CLOSED' ELSE e.status END AS state,
-         CASE raw_report_count % 4 WHEN 0 THEN 'E1' WHEN 1 THEN 'E2' END AS error_filter, row_number() OVER (ORDER BY e.signal_id) - 1 AS n FROM evidence e
+         CASE raw_report_count % 4 WHEN 0 THEN 'E1' WHEN 1 THEN 'E2' END AS error_filter, left(md5(e.signal_id), 1) AS part,
+         row_number() OVER (PARTITION BY left(md5(e.signal_id), 1) ORDER BY e.signal_id) - 1 AS n FROM evidence e
 )"""
+_STEPS = ((0, 1, 1, 0), (0, 2, 2, 0), (1, 1, 2, 1), (1, 2, 1, 0), (2, 1, 1, 0), (2, 2, 2, 1))
+_OUTCOME = """CASE WHEN {s}.{state} = 'CLOSED' OR {t}.{state} = 'CLOSED' THEN 'INVALID_SIGNAL_STATE'
+  WHEN {s}.issue_type <> {t}.issue_type OR {s}.{filter} <> {t}.{filter} THEN 'SIGNAL_GATE_CONFLICT' ELSE 'MERGED' END"""
+MERGES_SQL = STATES_SQL + f""", placed AS (SELECT *, part || '-' || (n // 3) AS trio, n % 3 AS place, (n // 3) % 3 AS kind FROM signals
+), steps AS (SELECT * FROM (VALUES {", ".join(map(str, _STEPS))}) AS v(kind, step, source_place, target_place)
+), asked AS (
+  SELECT p.trio, step, p.signal_id AS source_id, t.signal_id AS target_id
+  FROM placed p JOIN steps USING (kind) JOIN placed t ON t.trio = p.trio AND t.place = target_place WHERE p.place = source_place
+), first AS (
+  SELECT a.*, s.error_filter AS given, s.state AS before, {_OUTCOME.format(s="s", t="t", state="state", filter="error_filter")} AS outcome
+  FROM asked a JOIN placed s ON s.signal_id = a.source_id JOIN placed t ON t.signal_id = a.target_id WHERE step = 1
+), later AS (
+  SELECT p.*, CASE WHEN o.source_id IS NOT NULL THEN 'CLOSED' ELSE state END AS state1, coalesce(error_filter, i.given) AS filter1
+  FROM placed p LEFT JOIN first o ON o.source_id = p.signal_id AND o.outcome = 'MERGED' LEFT JOIN first i ON i.target_id = p.signal_id AND i.outcome = 'MERGED'
+), second AS (
+  SELECT a.*, s.filter1 AS given, s.state AS before, {_OUTCOME.format(s="s", t="t", state="state1", filter="filter1")} AS outcome
+  FROM asked a JOIN later s ON s.signal_id = a.source_id JOIN later t ON t.signal_id = a.target_id WHERE step = 2
+), judged AS (SELECT * FROM first UNION ALL SELECT * FROM second
+), done AS (SELECT * FROM judged WHERE outcome = 'MERGED'
+), moves AS (SELECT d.source_id, d.step, coalesce(e.target_id, d.target_id) AS root FROM done d LEFT JOIN done e ON e.source_id = d.target_id AND e.step > d.step)"""
 
 
 def _states(spark, sf_dir):
-    """(signals, members): the evidence with a closed state and an error filter of some, and a number in order of ids."""
+    """(signals, members): the evidence with a closed state and an error filter of some, and a number in order of ids within a part."""
     n = F.col("raw_report_count")
     found = _evidence(spark, sf_dir).withColumn("issue_type", F.split_part("signal_id", F.lit("|"), F.lit(1)))
     found = found.withColumn("status", F.when(n % 11 == 0, "CLOSED").otherwise(F.col("status"))).withColumn("closure_reason", F.lit(None).cast("string"))
-    found = found.withColumn("error_filter", F.when(n % 4 == 0, "E1").when(n % 4 == 1, "E2"))
+    found = found.withColumn("error_filter", F.when(n % 4 == 0, "E1").when(n % 4 == 1, "E2")).withColumn("closed_at", F.lit(None).cast("timestamp_ntz"))
     return found, members(spark, sf_dir).select("signal_id", "report_id", "session_id", "received_at", "purge_at", "k")
 
 
+def _numbered(found):
+    part = F.left(F.md5(F.col("signal_id").cast("binary")), F.lit(1))
+    rows = found.select("signal_id", part.alias("part"))
+    return rows.withColumn("n", (F.row_number().over(W.partitionBy("part").orderBy("signal_id")) - 1).cast("int"))
+
+
+def _asked(source, target, step):
+    """A number for the request, in order of the step within its trio, and who asked when and why."""
+    digest = F.conv(F.substring(F.md5(F.concat(source, F.lit(">"), target).cast("binary")), 1, 12), 16, 10).cast("long")
+    return [(digest * 4 + step).alias("request_id"), (F.lit("2026-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=step)).alias("at"), F.lit("operator").alias("actor_id"), F.lit("same cause").alias("reason")]
+
+
+def _merged(spark, sf_dir):
+    found, rows = _states(spark, sf_dir)
+    ids = _numbered(found).select("signal_id", F.concat_ws("-", "part", F.floor(F.col("n") / 3).cast("string")).alias("trio"), (F.col("n") % 3).alias("place"), (F.floor(F.col("n") / 3) % 3).cast("int").alias("kind"))
+    steps = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(s, ("kind", "step", "source_place", "target_place"), strict=True)]) for s in _STEPS])
+    sources = ids.withColumn("s", F.explode(steps)).filter("s.kind = kind AND s.source_place = place")
+    targets = ids.select("trio", F.col("place").alias("target_place"), F.col("signal_id").alias("target_id"))
+    pairs = sources.select("trio", F.col("s.target_place").alias("target_place"), F.col("s.step").alias("step"), F.col("signal_id").alias("source_id")).join(targets, ["trio", "target_place"])
+    # The number must rise with the step within a trio, so the digest is the trio's.
+    requests = pairs.select("source_id", "target_id", *_asked(F.col("trio"), F.lit(""), F.col("step")))
+    return signals.apply_merges(found, rows, requests, ["issue_type"], ["error_filter"], WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+
+
 @query(
     "merge_state",
-    f"""WITH {STATES_SQL}, judged AS (
-      SELECT s.signal_id AS source_id, t.signal_id AS target_id, s.error_filter AS source_filter,
-             CASE WHEN s.state = 'CLOSED' OR t.state = 'CLOSED' THEN 'INVALID_SIGNAL_STATE' WHEN s.issue_type <> t.issue_type OR s.error_filter <> t.error_filter THEN 'SIGNAL_GATE_CONFLICT' ELSE 'MERGED' END AS outcome
-      FROM signals s JOIN signals t ON s.n % 2 = 1 AND t.n = s.n - 1
-    ), done AS (SELECT * FROM judged WHERE outcome = 'MERGED'
-    ), moved AS (SELECT coalesce(d.target_id, m.signal_id) AS signal_id, report_id, session_id, received_at FROM members m LEFT JOIN done d ON d.source_id = m.signal_id
+    f"""WITH {MERGES_SQL}, moved AS (SELECT coalesce(d.root, m.signal_id) AS signal_id, report_id, session_id, received_at FROM members m LEFT JOIN moves d ON d.source_id = m.signal_id
     ), ends AS (SELECT signal_id, max(received_at) AS last FROM moved GROUP BY 1
-    ), fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM moved JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1)
-    SELECT s.signal_id, coalesce(j.outcome, 'TARGET') AS outcome, coalesce(s.error_filter, d.source_filter) AS error_filter,
-      CASE WHEN j.outcome = 'MERGED' THEN 'MERGED' END AS closure_reason,
-      CASE WHEN j.outcome = 'MERGED' THEN 'CLOSED' WHEN d.target_id IS NULL THEN s.state WHEN s.state = 'CANDIDATE' AND f.sessions >= {MIN_SESSIONS} THEN 'SIGNAL_DETECTED' WHEN s.state = 'SIGNAL_DETECTED' AND f.sessions < {MIN_SESSIONS} THEN 'CANDIDATE' ELSE s.state END AS status,
-      CASE WHEN j.outcome = 'MERGED' THEN 0 WHEN d.target_id IS NULL THEN raw_report_count ELSE f.raw END AS raw_report_count,
-      CASE WHEN j.outcome = 'MERGED' THEN 0 WHEN d.target_id IS NULL THEN unique_sessions ELSE f.sessions END AS unique_sessions,
-      CASE WHEN j.outcome = 'MERGED' THEN false WHEN d.target_id IS NULL THEN review_priority ELSE f.sessions >= {REVIEW_SESSIONS} END AS review_priority,
-      CASE WHEN d.target_id IS NULL THEN first_report_at ELSE f.first_at END AS first_report_at, CASE WHEN d.target_id IS NULL THEN last_report_at ELSE f.last_at END AS last_report_at
-    FROM signals s LEFT JOIN judged j ON j.source_id = s.signal_id LEFT JOIN done d ON d.target_id = s.signal_id LEFT JOIN fresh f ON f.signal_id = s.signal_id""",
+    ), fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM moved JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1
+    ), filled AS (SELECT l.*, coalesce(filter1, d.given) AS filter2 FROM later l LEFT JOIN second d ON d.target_id = l.signal_id AND d.outcome = 'MERGED'
+    ), roots AS (SELECT DISTINCT root FROM moves)
+    SELECT s.signal_id, coalesce(j.outcome, 'TARGET') AS outcome, filter2 AS error_filter,
+      CASE WHEN m.root IS NOT NULL THEN 'MERGED' END AS closure_reason, CASE WHEN m.root IS NOT NULL THEN TIMESTAMP '2026-01-01 00:00:00' + m.step * INTERVAL 1 HOUR END AS closed_at,
+      CASE WHEN m.root IS NOT NULL THEN 'CLOSED' WHEN r.root IS NULL THEN s.state WHEN s.state = 'CANDIDATE' AND f.sessions >= {MIN_SESSIONS} THEN 'SIGNAL_DETECTED' WHEN s.state = 'SIGNAL_DETECTED' AND f.sessions < {MIN_SESSIONS} THEN 'CANDIDATE' ELSE s.state END AS status,
+      CASE WHEN m.root IS NOT NULL THEN 0 WHEN r.root IS NULL THEN raw_report_count ELSE f.raw END AS raw_report_count,
+      CASE WHEN m.root IS NOT NULL THEN 0 WHEN r.root IS NULL THEN unique_sessions ELSE f.sessions END AS unique_sessions,
+      CASE WHEN m.root IS NOT NULL THEN false WHEN r.root IS NULL THEN review_priority ELSE f.sessions >= {REVIEW_SESSIONS} END AS review_priority,
+      CASE WHEN r.root IS NULL THEN first_report_at ELSE f.first_at END AS first_report_at, CASE WHEN r.root IS NULL THEN last_report_at ELSE f.last_at END AS last_report_at
+    FROM filled s LEFT JOIN judged j ON j.source_id = s.signal_id LEFT JOIN moves m ON m.source_id = s.signal_id LEFT JOIN roots r ON r.root = s.signal_id LEFT JOIN fresh f ON f.signal_id = s.signal_id""",
 )
 def merge_state(spark, sf_dir):
-    """What becomes of all signals when every second one is to be merged into the one before: outcomes, states, filters and evidence."""
-    found, rows = _states(spark, sf_dir)
-    ids = found.select("signal_id", (F.row_number().over(W.orderBy("signal_id")) - 1).alias("n"))  # one row a signal of the page
-    pair = ids.groupBy(F.floor(F.col("n") / 2)).agg(F.min("signal_id").alias("target_id"), F.max("signal_id").alias("source_id"), F.count("*").alias("size"))
-    requests = pair.filter("size = 2").select("source_id", "target_id")
-    out = signals.apply_merges(found, rows, requests, ["issue_type"], ["error_filter"], WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+    """What becomes of all signals when they are merged three by three, with chains and refusals: outcomes, states, filters and evidence."""
+    out = _merged(spark, sf_dir)
     outcomes = out["outcomes"].select(F.col("source_id").alias("signal_id"), "outcome")
-    columns = ["error_filter", "closure_reason", "status", "raw_report_count", "unique_sessions", "review_priority", "first_report_at", "last_report_at"]
+    columns = ["error_filter", "closure_reason", "closed_at", "status", "raw_report_count", "unique_sessions", "review_priority", "first_report_at", "last_report_at"]
     return out["signals"].join(outcomes, "signal_id", "left").select("signal_id", F.coalesce("outcome", F.lit("TARGET")).alias("outcome"), *columns)
 
 
 @query(
-    "split_state",
-    f"""WITH {STATES_SQL}, asked AS (
-      SELECT s.signal_id AS source_id, s.signal_id || '|NEW' AS new_id, m.report_id FROM signals s JOIN members m USING (signal_id) WHERE CASE s.n % 3 WHEN 0 THEN m.k % 2 = 0 WHEN 1 THEN true ELSE m.k % 5 < 3 END
-      UNION ALL SELECT signal_id, signal_id || '|NEW', -1 FROM signals WHERE n % 7 = 0
-    ), counted AS (SELECT source_id, new_id, count(*) AS chosen, count(*) FILTER (WHERE report_id >= 0) AS found FROM asked GROUP BY 1, 2
-    ), sizes AS (SELECT signal_id, count(*) AS size FROM members GROUP BY 1
-    ), judged AS (SELECT c.*, CASE WHEN s.state = 'CLOSED' THEN 'INVALID_SIGNAL_STATE' WHEN found < chosen THEN 'SIGNAL_MEMBER_NOT_FOUND' WHEN found = size THEN 'EMPTY_SOURCE_SIGNAL' ELSE 'SPLIT' END AS outcome
-      FROM counted c JOIN signals s ON s.signal_id = c.source_id JOIN sizes z ON z.signal_id = c.source_id
-    ), done AS (SELECT * FROM judged WHERE outcome = 'SPLIT'
-    ), moved AS (SELECT coalesce(a.new_id, m.signal_id) AS signal_id, m.report_id, session_id, received_at FROM members m LEFT JOIN (SELECT a.* FROM asked a JOIN done USING (source_id)) a ON a.source_id = m.signal_id AND a.report_id = m.report_id
-    ), ends AS (SELECT signal_id, max(received_at) AS last FROM moved GROUP BY 1
-    ), fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM moved JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1
-    ), every AS (SELECT signal_id, state, raw_report_count, unique_sessions, first_report_at, last_report_at, (SELECT outcome FROM judged j WHERE j.source_id = s.signal_id) AS outcome, signal_id IN (SELECT source_id FROM done) AS touched, false AS made FROM signals s
-      UNION ALL SELECT new_id, 'CANDIDATE', 0, 0, NULL, NULL, 'NEW', true, true FROM done)
-    SELECT e.signal_id, coalesce(outcome, 'NONE') AS outcome, CASE WHEN touched THEN f.raw ELSE raw_report_count END AS raw_report_count, CASE WHEN touched THEN f.sessions ELSE unique_sessions END AS unique_sessions,
-      CASE WHEN touched THEN f.first_at ELSE first_report_at END AS first_report_at, CASE WHEN touched THEN f.last_at ELSE last_report_at END AS last_report_at,
-      CASE WHEN NOT touched THEN state WHEN NOT made AND f.sessions < {MIN_SESSIONS} THEN 'CLOSED' WHEN state = 'CANDIDATE' AND f.sessions >= {MIN_SESSIONS} THEN 'SIGNAL_DETECTED' ELSE state END AS status,
-      CASE WHEN touched AND NOT made AND f.sessions < {MIN_SESSIONS} THEN 'EVIDENCE_RECALCULATED' END AS closure_reason
-    FROM every e LEFT JOIN fresh f ON f.signal_id = e.signal_id""",
+    "merge_events",
+    f"""WITH {MERGES_SQL} SELECT 'SIGNAL_MERGED' AS action, source_id AS signal_id, target_id AS target_signal_id, 'operator' AS actor_id, before AS before_status, 'CLOSED' AS after_status,
+      'same cause' AS reason, TIMESTAMP '2026-01-01 00:00:00' + step * INTERVAL 1 HOUR AS created_at FROM done""",
 )
-def split_state(spark, sf_dir):
-    """Splits of all signals, with refused ones: closed sources, reports that are no members, and all members at once."""
+def merge_events(spark, sf_dir):
+    return _merged(spark, sf_dir)["events"].drop("request_id", "actor_type")
+
+
+SPLITS_SQL = STATES_SQL + f""", asked AS (
+  SELECT s.signal_id AS source_id, s.signal_id || '|NEW' AS new_id, m.report_id FROM signals s JOIN members m USING (signal_id) WHERE CASE s.n % 3 WHEN 0 THEN m.k % 2 = 0 WHEN 1 THEN true ELSE m.k % 5 < 3 END
+  UNION ALL SELECT signal_id, signal_id || '|NEW', -1 FROM signals WHERE n % 7 = 0
+), counted AS (SELECT source_id, new_id, count(*) AS chosen, count(*) FILTER (WHERE report_id >= 0) AS found FROM asked GROUP BY 1, 2
+), sizes AS (SELECT signal_id, count(*) AS size FROM members GROUP BY 1
+), judged AS (SELECT c.*, CASE WHEN s.state = 'CLOSED' THEN 'INVALID_SIGNAL_STATE' WHEN found < chosen THEN 'SIGNAL_MEMBER_NOT_FOUND' WHEN found = size THEN 'EMPTY_SOURCE_SIGNAL' ELSE 'SPLIT' END AS outcome
+  FROM counted c JOIN signals s ON s.signal_id = c.source_id JOIN sizes z ON z.signal_id = c.source_id
+), done AS (SELECT * FROM judged WHERE outcome = 'SPLIT'
+), moved AS (SELECT coalesce(a.new_id, m.signal_id) AS signal_id, m.report_id, session_id, received_at FROM members m LEFT JOIN (SELECT a.* FROM asked a JOIN done USING (source_id)) a ON a.source_id = m.signal_id AND a.report_id = m.report_id
+), ends AS (SELECT signal_id, max(received_at) AS last FROM moved GROUP BY 1
+), fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM moved JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1
+), every AS (SELECT signal_id, state, raw_report_count, unique_sessions, first_report_at, last_report_at, (SELECT outcome FROM judged j WHERE j.source_id = s.signal_id) AS outcome, signal_id IN (SELECT source_id FROM done) AS touched, false AS made FROM signals s
+  UNION ALL SELECT new_id, 'CANDIDATE', 0, 0, NULL, NULL, 'NEW', true, true FROM done
+), parted AS (SELECT e.signal_id, coalesce(outcome, 'NONE') AS outcome, CASE WHEN touched THEN f.raw ELSE raw_report_count END AS raw_report_count, CASE WHEN touched THEN f.sessions ELSE unique_sessions END AS unique_sessions,
+  CASE WHEN touched THEN f.first_at ELSE first_report_at END AS first_report_at, CASE WHEN touched THEN f.last_at ELSE last_report_at END AS last_report_at,
+  CASE WHEN NOT touched THEN state WHEN NOT made AND f.sessions < {MIN_SESSIONS} THEN 'CLOSED' WHEN state = 'CANDIDATE' AND f.sessions >= {MIN_SESSIONS} THEN 'SIGNAL_DETECTED' ELSE state END AS status,
+  CASE WHEN touched AND NOT made AND f.sessions < {MIN_SESSIONS} THEN 'EVIDENCE_RECALCULATED' END AS closure_reason,
+  CASE WHEN touched AND NOT made AND f.sessions < {MIN_SESSIONS} THEN TIMESTAMP '2026-01-01 01:00:00' END AS closed_at
+FROM every e LEFT JOIN fresh f ON f.signal_id = e.signal_id)"""
+
+
+def _parted(spark, sf_dir):
     found, rows = _states(spark, sf_dir)
-    ids = found.select("signal_id", (F.row_number().over(W.orderBy("signal_id")) - 1).alias("n"))
+    ids = _numbered(found)
     chosen = rows.join(ids, "signal_id").filter(F.when(F.col("n") % 3 == 0, F.col("k") % 2 == 0).when(F.col("n") % 3 == 1, True).otherwise(F.col("k") % 5 < 3))
     asked = chosen.select("signal_id", "report_id").unionByName(ids.filter("n % 7 = 0").select("signal_id", F.lit(-1).cast("long").alias("report_id")))
-    requests = asked.select(F.col("signal_id").alias("source_id"), F.concat("signal_id", F.lit("|NEW")).alias("new_id"), "report_id")
-    out = signals.apply_splits(found, rows, requests, WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+    source, new = F.col("signal_id"), F.concat("signal_id", F.lit("|NEW"))
+    requests = asked.select(source.alias("source_id"), new.alias("new_id"), "report_id", *_asked(source, new, F.lit(1)))
+    return signals.apply_splits(found, rows, requests, WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+
+
+@query("split_state", f"WITH {SPLITS_SQL} SELECT * FROM parted")
+def split_state(spark, sf_dir):
+    """Splits of all signals, with refused ones: closed sources, reports that are no members, and all members at once."""
+    out = _parted(spark, sf_dir)
     outcomes = out["outcomes"].select(F.col("source_id").alias("signal_id"), "outcome")
     made = out["outcomes"].filter("outcome = 'SPLIT'").select(F.col("new_id").alias("signal_id"), F.lit("NEW").alias("outcome"))
-    columns = ["raw_report_count", "unique_sessions", "first_report_at", "last_report_at", "status", "closure_reason"]
+    columns = ["raw_report_count", "unique_sessions", "first_report_at", "last_report_at", "status", "closure_reason", "closed_at"]
     return out["signals"].join(outcomes.unionByName(made), "signal_id", "left").select("signal_id", F.coalesce("outcome", F.lit("NONE")).alias("outcome"), *columns)
 
 
+@query("split_events", f"""WITH {SPLITS_SQL} SELECT 'SIGNAL_SPLIT' AS action, d.source_id AS signal_id, d.new_id AS target_signal_id, p.status AS before_status, p.status AS after_status, TIMESTAMP '2026-01-01 01:00:00' AS created_at
+    FROM done d JOIN parted p ON p.signal_id = d.source_id""")
+def split_events(spark, sf_dir):
+    return _parted(spark, sf_dir)["events"].drop("request_id", "actor_type", "actor_id", "reason")
+
+
+# Registrations and approvals, one a customer, of a tenth as many versions.
+_POLICY_SQL = """events AS (SELECT c_custkey AS event_id, CASE WHEN c_custkey % 3 = 0 THEN 'APPROVE' ELSE 'REGISTER' END AS kind, 'v' || (c_custkey * 7 % (SELECT greatest(5, count(*) // 10) FROM customer)) AS policy_version, c_custkey % 4 <> 1 AS activate FROM customer),
+entered AS (SELECT *, row_number() OVER (PARTITION BY policy_version ORDER BY event_id) = 1 AS fresh FROM events WHERE kind = 'REGISTER'),
+approvals AS (SELECT a.event_id, a.policy_version, (SELECT max(event_id) FROM entered e WHERE fresh AND e.policy_version = a.policy_version AND e.event_id < a.event_id) AS known,
+  (SELECT arg_max(policy_version, event_id) FROM entered e WHERE fresh AND activate AND e.event_id < a.event_id) = a.policy_version AS active FROM events a WHERE kind = 'APPROVE'),
+judged AS (SELECT event_id, policy_version, 'APPROVE' AS kind, CASE WHEN known IS NULL THEN 'SIGNAL_POLICY_NOT_FOUND'
+    WHEN EXISTS (SELECT 1 FROM approvals b WHERE b.policy_version = a.policy_version AND b.active AND b.event_id < a.event_id) THEN 'INVALID_SIGNAL_POLICY_STATE'
+    WHEN NOT coalesce(active, false) THEN 'SIGNAL_POLICY_NOT_ACTIVE' ELSE 'APPROVED' END AS outcome FROM approvals a
+  UNION ALL SELECT event_id, policy_version, 'REGISTER', CASE WHEN fresh THEN 'REGISTERED' ELSE 'POLICY_VERSION_EXISTS' END FROM entered)"""
+
+
+def _policies(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    versions = max(5, rows.count() // 10)
+    key = F.col("c_custkey")
+    events = rows.select(
+        key.cast("long").alias("event_id"), F.when(key % 3 == 0, "APPROVE").otherwise("REGISTER").alias("kind"), F.concat(F.lit("v"), (key * 7 % versions).cast("string")).alias("policy_version"),
+        (key % 4 != 1).alias("activate"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz").alias("at"), F.lit("operator").alias("actor_id"), F.sha2(key.cast("string"), 256).alias("evidence_sha256"),
+    )
+    return decisions.policy_log(events)
+
+
+@query("policy_outcomes", f"WITH {_POLICY_SQL} SELECT * FROM judged")
+def policy_outcomes(spark, sf_dir):
+    """What becomes of registrations and approvals of policies, in order, with all refusals."""
+    return _policies(spark, sf_dir)["outcomes"]
+
+
+@query("policy_states", f"""WITH {_POLICY_SQL} SELECT r.policy_version, CASE WHEN a.event_id IS NULL THEN 'EXPERIMENTAL' ELSE 'APPROVED' END AS status,
+    r.policy_version = (SELECT arg_max(policy_version, event_id) FROM entered WHERE fresh AND activate) AS is_active, sha256(CAST(a.event_id AS VARCHAR)) AS evidence_sha256
+    FROM judged r LEFT JOIN judged a ON a.policy_version = r.policy_version AND a.outcome = 'APPROVED' WHERE r.outcome = 'REGISTERED'""")
+def policy_states(spark, sf_dir):
+    return _policies(spark, sf_dir)["policies"].select("policy_version", "status", "is_active", "evidence_sha256")
+
+
 @query(
     "detach_report",
     f"""WITH {MEMBERS_SQL}, gone AS (SELECT * FROM members WHERE k % 4 = 1), kept AS (SELECT * FROM members WHERE k % 4 <> 1),
