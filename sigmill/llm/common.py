@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import checkpoint, checkpoint_folder
 
-__all__ = ["WORD_BYTES", "checkpoint", "checkpoint_folder", "crc_mod", "read", "runs", "utf8"]
+__all__ = ["WORD_BYTES", "checkpoint", "checkpoint_folder", "crc_mod", "read", "runs", "sized", "utf8"]
 
 #: Maps a byte to itself, A-Z to a-z, and everything that is no ASCII letter, digit or non-ASCII byte to a blank.
 WORD_BYTES = bytes(
@@ -25,6 +25,11 @@ def crc_mod(key: str | Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def sized(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A materialised frame in partitions of about `rows` rows, so that a small one leaves few shuffle files behind."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def utf8(batch, name: str) -> list[bytes]:
     """A string column of an Arrow batch as UTF-8 bytes; null becomes empty."""
     import pyarrow as pa

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.blocks import placed
-from ..operators.shared import release
+from ..operators.graph import components
 from .common import checkpoint, runs, starts, utf8
 
 SHINGLE = 3
@@ -33,8 +33,6 @@ RADIUS = 3
 BITS = 64
 #: Fingerprints of one bucket that are compared in one task.
 BLOCK = 2048
-#: Edges up to which the steps that join them into components run in one partition.
-FEW_EDGES = 100_000
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -170,41 +168,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     return sorted_.mapInArrow(_compare(radius), "x long, y long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (x, y); root is the component's smallest node.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014) until nothing changes.
-    """
-
-    def minimum(df: DataFrame) -> DataFrame:
-        return df.groupBy("x").agg(F.min("y").alias("m"))
-
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-
-    edges = checkpoint(edges.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    seen = state(edges)
-    # One partition satisfies every grouping and join below, so a bounded number of edges needs no shuffle.
-    gathered = (lambda df: df.coalesce(1)) if seen[0] <= FEW_EDGES else (lambda df: df)
-    edges = gathered(edges)
-    while seen[0]:
-        both = gathered(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-        least = minimum(both).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
-        down = minimum(large)
-        small = large.join(down, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        small = gathered(small.unionByName(down.select("x", F.col("m").alias("y")))).filter("x <> y").distinct()
-        held, edges = edges, checkpoint(small)
-        release(held)
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(
-        edges.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct()
-    )
-
-
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     return grouped(checkpoint(fingerprints(docs, n)), radius).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")

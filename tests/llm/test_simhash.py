@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sigmill.llm import simhash as S
+from sigmill.operators import graph
 
 DOCS = "doc_id long, text string, fp long, component_id string"
 
@@ -119,6 +120,6 @@ def test_components_in_one_or_in_many_partitions(spark, monkeypatch):
             low, high = sorted((find(a), find(b)))
             root[high] = low
     df = spark.createDataFrame(edges, "x long, y long")
-    for few in (0, S.FEW_EDGES):
-        monkeypatch.setattr(S, "FEW_EDGES", few)
+    for few in (0, graph.FEW_EDGES):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
         assert {(r.node, r.root) for r in S.components(df).collect()} == {(n, find(n)) for n in root}
