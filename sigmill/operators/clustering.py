@@ -9,7 +9,7 @@ of clusters. Issue types of at most `SMALL` clusters, from the start or after
 some rounds, are finished in one task each by the plain sequence of merges.
 
 Arrival orders are folds over sorted partitions that hold open clusters, not
-their members' vectors.
+their members' vectors; each part of the graph of near pairs is a fold of its own.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .blocks import matrix, pairwise, rounded
+from .blocks import matrix, pairwise, placed, rounded
 from .gates import EXCLUDED_TYPES, known_filters, micros
+from .graph import components
 from .incremental import Cluster, IncrementalGate, Policy
 from .shared import checkpoint
 from .signals import _unit, medoid
@@ -33,6 +34,8 @@ BATCH_THRESHOLD = 0.58
 SMALL = 2048
 #: Scores that round to the same value are equal.
 DIGITS = 9
+#: What rounding may take from the one pair that lifts a mean to the threshold.
+NEAR = 1e-9
 
 
 def similarities(vectors):
@@ -443,22 +446,78 @@ class Arrivals:
             at = a
 
 
-def arrivals(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False) -> DataFrame:
+def threshold_parts(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(report_id, part), materialised, for rows (keys, report_id, vec) that are near another row of equal keys; part: the smallest id.
+
+    Near is a cosine of the threshold, less a margin for rounding. A mean that reaches the threshold has a pair that does, so
+    clusters that join or merge by means never leave a part. Pairs are compared by blocks and only links that join what is
+    still apart leave a task: first inside blocks, then, by the parts so far, across all pairs of blocks.
+    """
+    kind = rows.schema["report_id"].dataType.simpleString()
+    low = threshold - NEAR
+
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        near = matrix(left, "vec") @ matrix(right, "vec").T >= low
+        if same:
+            np.fill_diagonal(near, False)
+        names, code = np.unique(np.concatenate([left.column("root").to_numpy(), right.column("root").to_numpy()]), return_inverse=True)
+        a, b = code[: left.num_rows], code[left.num_rows :]
+        parent, links = list(range(len(names))), []
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            for j in np.unique(b[near[i]]).tolist():
+                x, y = find(a[i]), find(j)
+                if x != y:
+                    parent[y] = x
+                    links.append((names[x], names[y]))
+        found = np.array(links, names.dtype).reshape(-1, 2)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+
+    own = rows.select(*keys, "report_id", "vec").withColumn("root", F.col("report_id"))
+    schema = f"x {kind}, y {kind}"
+    cut = checkpoint(placed(own, keys, "report_id"))
+    inside = cut.groupBy(*keys, "block").applyInArrow(lambda table: compare(table, table, True), schema)
+    first = checkpoint(components(inside))
+    if cut.filter("blocks > 1").isEmpty():
+        return first.select(F.col("node").alias("report_id"), F.col("root").alias("part"))
+    many = cut.filter("blocks > 1").drop("root").join(first.withColumnRenamed("node", "report_id"), "report_id", "left").withColumn("root", F.coalesce("root", "report_id"))
+    across = checkpoint(components(pairwise(many.drop("block", "blocks"), keys, "report_id", compare, schema)))
+    joined = first.join(across.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    every = joined.unionByName(across.join(first, "node", "left_anti"))
+    return checkpoint(every.select(F.col("node").alias("report_id"), F.col("root").alias("part")))
+
+
+def arrivals(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False, parts: DataFrame | None = None) -> DataFrame:
     """(issue_type, order_id, report_id, cluster): the given, the reversed and shuffled arrival orders; cluster: its smallest id.
 
-    Each order of an issue type is a sorted stream through one task.
+    Each order of a part of an issue type (`threshold_parts`, worked out if not given) is a sorted stream through one task;
+    reports that are near no other are clusters of their own.
     """
+    parts = threshold_parts(rows, ["issue_type"], threshold) if parts is None else parts
     kind = rows.schema["report_id"].dataType.simpleString()
     given = F.when(F.col("order_id") == 0, F.col("report_id")).when(F.col("order_id") == 1, -F.col("report_id")).otherwise(F.xxhash64("order_id", "report_id"))
-    numbered = rows.select("issue_type", "report_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("order_id"))
-    dealt = numbered.withColumn("place", given).repartition("issue_type", "order_id").sortWithinPartitions("issue_type", "order_id", "place", "report_id")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("order_id")
+    found = rows.select("issue_type", "report_id", "vec").join(parts, "report_id", "left")
+    alone = found.filter("part IS NULL").select("issue_type", numbers, "report_id", F.col("report_id").alias("cluster"))
+    numbered = found.filter("part IS NOT NULL").select("issue_type", "part", "report_id", "vec", numbers)
+    group = ["issue_type", "order_id", "part"]
+    dealt = numbered.withColumn("place", given).repartition(*group).sortWithinPartitions(*group, "place", "report_id")
 
     def run(batches):
         import pyarrow as pa
 
         state, at, types = None, None, None
 
-        def found():
+        def clusters():
             ids = [(x, min(c)) for c in state.members for x in c]
             for i in range(0, len(ids), 20_000):
                 part = ids[i : i + 20_000]
@@ -467,22 +526,28 @@ def arrivals(rows: DataFrame, threshold: float, orders: int = 12, merging: bool
 
         for batch in batches:
             types = batch.schema.field("report_id").type
-            columns = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("issue_type", "order_id", "report_id", "vec")}
-            for issue, order, report, vec in zip(*columns.values(), strict=True):
-                if (issue, order) != at:
+            columns = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*group, "report_id", "vec")}
+            for issue, order, part, report, vec in zip(*columns.values(), strict=True):
+                if (issue, order, part) != at:
                     if state is not None:
-                        yield from found()
-                    state, at = Arrivals(threshold, merging), (issue, order)
+                        yield from clusters()
+                    state, at = Arrivals(threshold, merging), (issue, order, part)
                 state.add(report, vec)
         if state is not None:
-            yield from found()
+            yield from clusters()
+
+    return dealt.mapInArrow(run, f"issue_type string, order_id int, report_id {kind}, cluster {kind}").unionByName(alone)
+
 
-    return dealt.mapInArrow(run, f"issue_type string, order_id int, report_id {kind}, cluster {kind}")
+def part_sizes(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(issue_type, reports, parts, largest): how far the threshold graph splits each type; a report that is near none is a part."""
+    counted = rows.select("issue_type", "report_id").join(parts, "report_id", "left").groupBy("issue_type", F.coalesce("part", "report_id").alias("part")).agg(F.count("*").alias("n"))
+    return counted.groupBy("issue_type").agg(F.sum("n").alias("reports"), F.count("*").alias("parts"), F.max("n").alias("largest"))
 
 
-def order_stability(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False) -> DataFrame:
+def order_stability(rows: DataFrame, threshold: float, orders: int = 12, merging: bool = False, parts: DataFrame | None = None) -> DataFrame:
     """(issue_type, order_id, clusters, same_as_first): whether an arrival order leads to the clusters of the given one."""
-    each = arrivals(rows, threshold, orders, merging)
+    each = arrivals(rows, threshold, orders, merging, parts)
     in_first = F.max(F.when(F.col("order_id") == 0, F.col("cluster"))).alias("first")
     entries = F.collect_list(F.struct("order_id", "cluster")).alias("entries")  # one an order
     by_report = each.groupBy("issue_type", "report_id").agg(in_first, entries).select("issue_type", "report_id", "first", F.inline("entries"))

@@ -198,6 +198,27 @@ def online_eval_merge(spark, sf_dir):
     return clustering.order_stability(_labelled(spark, sf_dir).filter("issue_type <> 'UNKNOWN'"), 0.25, merging=True)
 
 
+@query(
+    "arrival_parts",
+    """WITH RECURSIVE rows AS (SELECT vec_id, CASE WHEN label = 9 THEN 'UNKNOWN' ELSE 'TYPE_' || (label % 5) END AS issue_type, embedding::DOUBLE[] AS vec FROM embeddings),
+    near AS (SELECT a.issue_type, a.vec_id AS x, b.vec_id AS y FROM rows a JOIN rows b ON a.issue_type = b.issue_type AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.vec, b.vec) >= 0.56 - 1e-9),
+    reached AS (SELECT vec_id AS x, vec_id AS y FROM rows UNION SELECT r.x, n.y FROM reached r JOIN near n ON n.x = r.y),
+    parts AS (SELECT x, min(y) AS part FROM reached GROUP BY 1),
+    sizes AS (SELECT issue_type, part, count(*) AS n FROM rows JOIN parts ON x = vec_id GROUP BY 1, 2)
+    SELECT issue_type, CAST(sum(n) AS BIGINT) AS reports, count(*) AS parts, max(n) AS largest FROM sizes GROUP BY 1""",
+)
+def arrival_parts(spark, sf_dir):
+    """How far the graph of near pairs at the policy's threshold splits each issue type."""
+    rows = _labelled(spark, sf_dir)
+    return clustering.part_sizes(rows, clustering.threshold_parts(rows, ["issue_type"], 0.56))
+
+
+@query("online_eval_policy")
+def online_eval_policy(spark, sf_dir):
+    """Stability over twelve orders at the evaluator's threshold, with merges."""
+    return clustering.order_stability(_labelled(spark, sf_dir).filter("issue_type <> 'UNKNOWN'"), 0.57, merging=True)
+
+
 @query("online_clusters")
 def online_clusters(spark, sf_dir):
     rows = reports(spark, sf_dir).filter(gates.is_eligible())

@@ -255,3 +255,56 @@ def test_stream_emits_changes_only(spark, tmp_path):
     want = {r.report_id: (r.signal_id, r.raw_report_count, r.representative_id) for r in C.online_clusters(df, policy, ["issue_type"]).collect()}
     assert last == want
     assert sum(map(len, seen)) < len(seen) * len(want)
+
+
+def _groups(rng, n, noise):
+    """Vectors around a few centres, some so near that centres chain into one part."""
+    import numpy as np
+
+    centres = rng.normal(size=(8, 12))
+    vecs = centres[rng.integers(0, 8, n)] + noise * rng.normal(size=(n, 12))
+    return vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_threshold_parts_equal_a_plain_search(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr("sigmill.operators.blocks.BLOCK", block)
+    monkeypatch.setattr("sigmill.operators.blocks.placed.__defaults__", (block, ("block", "blocks")))
+    monkeypatch.setattr("sigmill.operators.blocks.pairwise.__defaults__", (block,))
+    vecs = _groups(np.random.default_rng(block), 90, 0.35)
+    vecs[5] = 0
+    types = ["AB"[i % 2] for i in range(90)]
+    df = spark.createDataFrame([(t, i, v.tolist()) for i, (t, v) in enumerate(zip(types, vecs, strict=True))], "issue_type string, report_id long, vec array<double>")
+    near = (vecs @ vecs.T >= 0.8) & np.array([[a == b for b in types] for a in types])
+    want = {}
+    for i in range(90):
+        part, front = {i}, [i]
+        while front:
+            new = set(np.flatnonzero(near[front.pop()]).tolist()) - part
+            part |= new
+            front += new
+        if len(part) > 1:
+            want[i] = min(part)
+    got = {r.report_id: r.part for r in C.threshold_parts(df, ["issue_type"], 0.8).collect()}
+    assert got == want and 1 < len(set(want.values())) < 40
+    sizes = {r.issue_type: (r.reports, r.largest) for r in C.part_sizes(df, C.threshold_parts(df, ["issue_type"], 0.8)).collect()}
+    for t in "AB":
+        of = [want.get(i, i) for i in range(90) if types[i] == t]
+        assert sizes[t] == (45, max(map(of.count, of)))
+
+
+@pytest.mark.parametrize("merging", [False, True])
+def test_arrivals_by_parts_equal_the_fold_of_the_whole_type(spark, merging):
+    """All twelve orders, against one part for each type, which is the fold over everything."""
+    import numpy as np
+
+    vecs = _groups(np.random.default_rng(3), 150, 0.3)
+    df = spark.createDataFrame([("A" if i < 110 else "B", i, v.tolist()) for i, v in enumerate(vecs)], "issue_type string, report_id long, vec array<double>")
+    whole = df.select("report_id", F.when(F.col("issue_type") == "A", 0).otherwise(110).cast("long").alias("part"))
+    key = lambda rows: sorted(map(tuple, rows))
+    split = C.arrivals(df, 0.8, 12, merging).collect()
+    assert key(split) == key(C.arrivals(df, 0.8, 12, merging, whole).collect()) and len(split) == 12 * 150
+    parts = C.threshold_parts(df, ["issue_type"], 0.8)
+    assert C.part_sizes(df, parts).filter("largest < reports AND parts > 1").count() == 2
