@@ -511,13 +511,41 @@ def latest_snapshot(spark, sf_dir):
     return symbols.latest_available(rows, F.to_date(F.lit("2026-08-15"))).select("p_partkey", "as_of")
 
 
-@query("json_snapshot", f"WITH {SYMBOLS_SQL} SELECT code, market, name FROM baseline")
-def json_snapshot(spark, sf_dir):
-    """Pages of up to 50 symbols are written as the interface's JSON and read back."""
+# Six sources of pages of fifty symbols: one sound, one rejected on a page, one whose totals change, one that lacks a page, one with a
+# code twice, and one of another day. Names come decomposed and with blanks around.
+_SOURCES = ("sound", "rejected", "changed", "short", "doubled", "late")
+
+
+def _pages(spark, sf_dir):
     base, _, _ = _symbols(spark, sf_dir)
-    item = F.struct(F.lit("20260801").alias("basDt"), F.concat(F.lit("A"), "code").alias("srtnCd"), F.col("market").alias("mrktCtg"), F.col("name").alias("itmsNm"))
-    paged = base.groupBy((F.col("n") / 50).cast("int").alias("page")).agg(F.collect_list(item).alias("item"), F.count("*").alias("size"))
-    content = F.struct(F.col("size").alias("totalCount"), F.struct("item").alias("items"))
-    body = F.struct(F.struct(content.alias("body")).alias("response"))
-    pages = paged.select(F.lit("s").alias("source"), "page", F.to_json(body).alias("body"))
-    return listed.snapshot(listed.items(pages)).select("code", "market", "name")
+    rows = base.select("code", "name", "market", (F.col("n") / 50).cast("int").alias("page"), F.explode(F.array(*map(F.lit, _SOURCES))).alias("source"))
+    day = F.when((F.col("source") == "late") & (F.col("code") == "000001"), "20260731").otherwise("20260801")
+    item = F.struct(day.alias("basDt"), F.concat(F.lit("A"), "code").alias("srtnCd"), F.col("market").alias("mrktCtg"), F.concat(F.lit(" "), "name", F.lit(" e\u0301 ")).alias("itmsNm"))
+    twice = F.when((F.col("source") == "doubled") & (F.col("code") == "000003"), F.array(item, item)).otherwise(F.array(item))
+    paged = rows.groupBy("source", "page").agg(F.flatten(F.collect_list(twice)).alias("item"))
+    totals = paged.groupBy("source").agg(F.sum(F.size("item")).alias("total"))
+    total = F.col("total") + F.when((F.col("source") == "changed") & (F.col("page") == 1), 1).otherwise(0)
+    code = F.when((F.col("source") == "rejected") & (F.col("page") == 2), "30").otherwise("00")
+    body = F.struct(F.struct(F.struct(code.alias("resultCode")).alias("header"), F.struct(total.alias("totalCount"), F.struct("item").alias("items")).alias("body")).alias("response"))
+    pages = paged.join(totals, "source").filter("source <> 'short' OR page <> 1").select("source", (F.col("page") + 1).alias("page"), F.to_json(body).alias("body"))
+    return listed.items(pages)
+
+
+@query("json_snapshot", f"WITH {SYMBOLS_SQL} SELECT code, market, name || ' é' AS name FROM baseline")
+def json_snapshot(spark, sf_dir):
+    """Pages of up to 50 symbols of six sources are written as the interface's JSON and read back; the one sound source gives symbols."""
+    rows = _pages(spark, sf_dir)
+    found = listed.faults(rows, F.to_date(F.lit("2026-08-01")))
+    return listed.snapshot(rows, found).select("code", "market", "name")
+
+
+@query(
+    "json_faults",
+    f"""WITH {SYMBOLS_SQL} SELECT source, fault, CASE WHEN fault IS NULL THEN (SELECT sha256('[' || string_agg('{{"code":"' || code || '","market":"' || market || '","name_ko":"' || name || ' é","source_as_of":"2026-08-01"}}', ',' ORDER BY code) || ']') FROM baseline) END AS sha256
+    FROM (VALUES ('sound', NULL), ('rejected', 'REQUEST_REJECTED'), ('changed', 'TOTAL_CHANGED'), ('short', 'INCOMPLETE'), ('doubled', 'DUPLICATE_CODE'), ('late', 'OTHER_BASIS_DATE')) AS v(source, fault)""",
+)
+def json_faults(spark, sf_dir):
+    """Why a source is refused, and the digest of the sound one."""
+    rows = _pages(spark, sf_dir)
+    found = listed.faults(rows, F.to_date(F.lit("2026-08-01")))
+    return found.join(listed.digest(listed.snapshot(rows, found)), "source", "left").select("source", "fault", "sha256")

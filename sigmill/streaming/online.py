@@ -1,6 +1,6 @@
-"""Streams: incremental clustering and rate limits as keyed state.
+"""Streams: incremental clustering as keyed state, hourly volume, and single delivery.
 
-State is kept for each gate (or bucket), and within a gate for each cluster.
+State is kept for each gate, and within a gate for each cluster.
 Within a micro-batch reports are taken in order of (received_at, report_id), so
 a stream that brings them in order ends in the state of the batch operator; a
 later report is scored by the reports around its own time while these are
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.clustering import MEMBERS, IncrementalGate, Policy, member_rows, usable
-from ..operators.lifecycle import RETENTION_HOURS, fold_window
+from ..operators.lifecycle import RETENTION_HOURS
 
 
 class GateProcessor(StatefulProcessor):
@@ -78,21 +78,6 @@ def online_stream(reports: DataFrame, policy: Policy, keys: list[str]) -> DataFr
     )
 
 
-def rate_limit_stream(hits: DataFrame, window: int, limit: int) -> DataFrame:
-    """Streaming twin of operators.lifecycle.rate_limit: (bucket, hit_id, allowed, hit_number)."""
-
-    def run(key, frames, state):
-        begin, count = state.get if state.exists else (None, 0)
-        frame = pd.concat(list(frames)).sort_values(["at", "hit_id"])
-        found, begin, count = fold_window(frame["at"].tolist(), window, limit, begin, count)
-        state.update((begin, count))
-        yield pd.DataFrame({"bucket": key[0], "hit_id": frame["hit_id"], "allowed": [f[0] for f in found], "hit_number": [f[1] for f in found]})
-
-    return hits.groupBy("bucket").applyInPandasWithState(
-        run, "bucket string, hit_id long, allowed boolean, hit_number int", "begin double, hits int", "append", "NoTimeout"
-    )
-
-
 def hourly_stream(reports: DataFrame, delay: str = "72 hours") -> DataFrame:
     """(bucket_start, raw_report_count): reports of each hour; late ones count while the watermark allows."""
     hour = F.window("received_at", "1 hour")

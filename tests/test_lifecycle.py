@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigmill.operators import lifecycle as L
 from sigmill.operators import metrics, symbols
 from sigmill.sources import proxies
-from sigmill.streaming import online
+from sigmill.streaming import jobs, online
 
 NOW = dt.datetime(2026, 8, 29, 3, 0, 0)
 
@@ -54,7 +54,7 @@ def test_rate_limit(spark):
 def test_rate_limit_stream(spark, tmp_path):
     hits = spark.createDataFrame([("b", i, float(i)) for i in range(6)], "bucket string, hit_id long, at double")
     hits.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = online.rate_limit_stream(spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in")), 3, 2)
+    stream = jobs.rate_limit_stream(spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in")), 3, 2)
     query = stream.writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     want = {(r.hit_id, r.allowed, r.hit_number) for r in L.rate_limit(hits, 3, 2).collect()}

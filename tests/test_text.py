@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,12 +144,48 @@ def test_allowlist_refuses(content, error):
     assert allowlist.parse(content.encode())[0] == error
 
 
-def test_listed_pages(spark):
-    item = '{"basDt":"20260801","srtnCd":"A%06d","mrktCtg":"KOSPI","itmsNm":" 가 "}'
-    many = '{"response":{"body":{"totalCount":3,"items":{"item":[' + item % 1 + "," + item % 2 + "]}}}}"
-    lone = '{"response":{"body":{"totalCount":3,"items":{"item":' + item % 3 + "}}}}"
-    rows = listed.items(spark.createDataFrame([("s", 1, many), ("s", 2, lone), ("t", 1, many)], "source string, page int, body string"))
-    assert sorted(r.code for r in listed.snapshot(rows).filter("source = 's'").collect()) == ["000001", "000002", "000003"]
-    faults = {r.source: r.fault for r in listed.faults(rows, F.to_date(F.lit("2026-08-01"))).collect()}
-    assert faults == {"s": None, "t": "INCOMPLETE"}
-    assert len(listed.digest(listed.snapshot(rows)).first().sha256) == 64
+def page(items, total, result="00"):
+    return json.dumps({"response": {"header": {"resultCode": result}, "body": {"totalCount": total, "items": {"item": items}}}}, ensure_ascii=False)
+
+
+def listing(code, name="이름", market="KOSPI", day="20260801"):
+    return {"basDt": day, "srtnCd": code, "mrktCtg": market, "itmsNm": name}
+
+
+def test_listed_pages_read_as_a_source(spark, tmp_path):
+    one, two, three = listing("A000001"), listing("A000002", " \u1112\u1161\u11ab "), listing(" a000003 ", market="KOSDAQ")
+    other = listing("A000004", market="KONEX")
+    cases = {
+        "sound": ([page([one, two], 4), page([three, other], 4)], None),
+        "lone": ([page(one, 1)], None),
+        "rejected": ([page([one], 1, "30")], "REQUEST_REJECTED"),
+        "broken": (["{"], "INVALID_RESPONSE"),
+        "negative": ([page([one], -1)], "INVALID_TOTAL"),
+        "shapeless": ([page("text", 1)], "INVALID_ITEMS"),
+        "badcode": ([page([listing("A0001")], 1)], "BAD_ITEM"),
+        "nameless": ([page([listing("A000001", "  ")], 1)], "BAD_ITEM"),
+        "badday": ([page([listing("A000001", day="20261341")], 1)], "BAD_BASIS_DATE"),
+        "changed": ([page([one], 2), page([two], 3)], "TOTAL_CHANGED"),
+        "short": ([page([one], 3), page([two], 3)], "INCOMPLETE"),
+        "twice": ([page([one, one], 2)], "DUPLICATE_CODE"),
+        "late": ([page([one, listing("A000009", day="20260731")], 2)], "OTHER_BASIS_DATE"),
+        "none": ([page([other], 1)], "NO_SYMBOLS"),
+        "large": ([page([one], 1) + " " * listed.MAX_BYTES], "PAGE_TOO_LARGE"),
+        "many": ([page([listing(f"A{i:06}")], 101) for i in range(101)], "TOO_MANY_PAGES"),
+    }
+    for name, (bodies, _) in cases.items():
+        for i, body in enumerate(bodies, 1):
+            (tmp_path / f"{name}-{i}.json").write_text(body)
+    spark.dataSource.register(listed.ListedPages)
+    rows = spark.read.format("listed_pages").option("path", str(tmp_path)).load()
+    assert rows.rdd.getNumPartitions() == sum(len(b) for b, _ in cases.values())
+    found = listed.faults(rows, F.to_date(F.lit("2026-08-01")))
+    assert {r.source: r.fault for r in found.collect()} == {n: f for n, (_, f) in cases.items()}
+    kept = listed.snapshot(rows, found)
+    assert {(r.source, r.code, r.market, r.name) for r in kept.collect()} == {
+        ("sound", "000001", "KOSPI", "이름"), ("sound", "000002", "KOSPI", "한"), ("sound", "000003", "KOSDAQ", "이름"), ("lone", "000001", "KOSPI", "이름"),
+    }
+    whole = json.dumps([{"code": "000001", "market": "KOSPI", "name_ko": "이름", "source_as_of": "2026-08-01"}], ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    assert {r.source: r.sha256 for r in listed.digest(kept).collect()}["lone"] == hashlib.sha256(whole.encode()).hexdigest()
+    table = spark.createDataFrame([(n, i, b) for n, (bodies, _) in cases.items() for i, b in enumerate(bodies, 1)], "source string, page int, body string")
+    assert sorted(map(str, listed.items(table).collect())) == sorted(map(str, rows.collect()))
