@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .signals import detach_reports
+
 #: Retention, retries and their codes.
 RETENTION_HOURS = 72
 CARD_HOURS = 2
@@ -138,6 +140,40 @@ def purge_all(tables: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]
     return kept | {name: later[name].filter(~F.coalesce(rule(now), F.lit(False))) for name, rule in PURGED.items()}
 
 
+def purge_with_signals(tables: dict[str, DataFrame], now: Column, window: int, min_sessions: int, review_sessions: int) -> dict[str, DataFrame]:
+    """`purge_all` of tables whose signal_members and signal_clusters hold what evidence needs (operators.signals.detach_reports).
+
+    The signals that lose reports are worked out anew before their own retention is judged.
+    """
+    gone = tables["reports"].filter(is_purgeable(F.col("purge_at"), now)).select("report_id")
+    found = detach_reports(tables["signal_clusters"], tables["signal_members"], gone, now, window, min_sessions, review_sessions)
+    return purge_all(tables | {"signal_clusters": found["signals"]}, now)
+
+
+#: Fixed value: how far back failures of the provider count.
+PROVIDER_MINUTES = 15
+
+
+def operational_metrics(jobs: DataFrame, records: DataFrame, deletions: DataFrame, now: Column) -> DataFrame:
+    """One row of six counts.
+
+    jobs: status, attempts, next_attempt_at; records: operation, failure_code, created_at; deletions: status, next_attempt_at.
+    """
+    due = F.col("next_attempt_at") <= now
+    signal = jobs.agg(
+        F.count_if(F.col("status").isin(*READY) & due).alias("signal_jobs_ready"),
+        F.count_if((F.col("status") == "FAILED") & (F.col("attempts") >= 2)).alias("signal_jobs_repeated_failures"),
+        F.count_if(F.col("status") == "DEAD_LETTER").alias("signal_jobs_dead_letter"),
+    )
+    recent = F.col("created_at") >= now - F.make_dt_interval(mins=F.lit(PROVIDER_MINUTES))
+    provider = records.agg(F.count_if((F.col("operation") == "ANALYZE_REPORT") & F.col("failure_code").isNotNull() & recent).alias("provider_failures_last_15m"))
+    objects = deletions.agg(
+        F.count_if(F.col("status").isin("PENDING", "RETRY_PENDING", "PROCESSING") & due).alias("object_deletion_jobs_ready"),
+        F.count_if(F.col("status") == "RETRY_PENDING").alias("object_deletion_jobs_retrying"),
+    )
+    return signal.crossJoin(provider).crossJoin(objects)  # single rows
+
+
 def purge_preview(tables: dict[str, DataFrame], now: Column) -> DataFrame:
     """One row with the ten counts of what a purge would take, and the deletions that are due."""
     gone = tables["reports"].filter(is_purgeable(F.col("purge_at"), now))

@@ -312,6 +312,20 @@ def _recalculated(
     return marked.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in signals.columns])
 
 
+def detach_reports(
+    signals: DataFrame, members: DataFrame, gone: DataFrame, at: Column, window: int, min_sessions: int, review_sessions: int, vectors: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """members and signals after the reports of gone (report_id) went at `at`, as a purge does.
+
+    The signals that had them are worked out anew: too little evidence closes them, and one without members has counts of zero
+    and keeps its bounds.
+    """
+    gone = gone.select("report_id").distinct()
+    touched = members.join(gone, "report_id", "left_semi").select("signal_id").distinct().withColumn("at", at)
+    left = members.join(gone, "report_id", "left_anti").select(*members.columns)
+    return {"members": left, "signals": _recalculated(signals, left, touched, touched, window, min_sessions, review_sessions, vectors)}
+
+
 def apply_merges(
     signals: DataFrame,
     members: DataFrame,

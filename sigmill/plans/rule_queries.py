@@ -397,6 +397,26 @@ def ops_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "ops_counts",
+    f"""WITH {JOBS_SQL}, records AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'ANALYZE_REPORT' ELSE 'MERGE_SIGNALS' END AS operation, CASE WHEN l_partkey % 3 > 0 THEN 'PROVIDER_TIMEOUT' END AS failure_code, {NOW} - CAST(l_suppkey % 40 AS INTEGER) * INTERVAL 1 MINUTE AS created_at FROM lineitem),
+    deletions AS (SELECT ['PENDING', 'RETRY_PENDING', 'PROCESSING', 'COMPLETED'][CAST(o_custkey % 4 AS INTEGER) + 1] AS status, {NOW} + CAST(o_custkey % 7 - 3 AS INTEGER) * INTERVAL 1 HOUR AS next_attempt_at FROM orders)
+    SELECT (SELECT count(*) FROM jobs WHERE status IN ('PENDING', 'FAILED', 'PROCESSING') AND next_attempt_at <= {NOW}) AS signal_jobs_ready, (SELECT count(*) FROM jobs WHERE status = 'FAILED' AND attempts >= 2) AS signal_jobs_repeated_failures,
+    (SELECT count(*) FROM jobs WHERE status = 'DEAD_LETTER') AS signal_jobs_dead_letter, (SELECT count(*) FROM records WHERE operation = 'ANALYZE_REPORT' AND failure_code IS NOT NULL AND created_at >= {NOW} - INTERVAL 15 MINUTE) AS provider_failures_last_15m,
+    (SELECT count(*) FROM deletions WHERE status <> 'COMPLETED' AND next_attempt_at <= {NOW}) AS object_deletion_jobs_ready, (SELECT count(*) FROM deletions WHERE status = 'RETRY_PENDING') AS object_deletion_jobs_retrying""",
+)
+def ops_counts(spark, sf_dir):
+    """The six counts of the operations view."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    records = lines.select(
+        F.when(F.col("l_linenumber") % 2 == 1, "ANALYZE_REPORT").otherwise("MERGE_SIGNALS").alias("operation"), F.when(F.col("l_partkey") % 3 > 0, "PROVIDER_TIMEOUT").alias("failure_code"),
+        (_now() - F.make_dt_interval(mins=(F.col("l_suppkey") % 40).cast("int"))).alias("created_at"),
+    )
+    status = F.element_at(F.array(*map(F.lit, ("PENDING", "RETRY_PENDING", "PROCESSING", "COMPLETED"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    deletions = orders.select(status.alias("status"), (_now() + F.make_dt_interval(hours=(F.col("o_custkey") % 7 - 3).cast("int"))).alias("next_attempt_at"))
+    return lifecycle.operational_metrics(_jobs(spark, sf_dir), records, deletions, _now())
+
+
 @query(
     "ops_alerts",
     """SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderkey % 2 > 0 THEN 'SIGNAL_JOB_REPEATED_FAILURE' END, CASE WHEN o_orderkey % 3 > 0 THEN 'SIGNAL_JOB_DEAD_LETTER' END, CASE WHEN o_orderkey % 5 > 0 THEN 'AI_PROVIDER_FAILURE' END, CASE WHEN o_orderkey % 7 > 0 THEN 'OBJECT_DELETION_RETRY' END) AS alerts FROM orders""",

@@ -414,6 +414,27 @@ def split_events(spark, sf_dir):
     return _parted(spark, sf_dir)["events"].drop("request_id", "actor_type", "actor_id", "reason")
 
 
+@query(
+    "purge_signals",
+    f"""WITH {STATES_SQL}, gone AS (SELECT DISTINCT signal_id FROM members, clock WHERE purge_at <= now), kept AS (SELECT m.* FROM members m, clock WHERE purge_at > now),
+    ends AS (SELECT signal_id, max(received_at) AS last FROM kept GROUP BY 1),
+    fresh AS (SELECT signal_id, count(report_id) AS raw, count(DISTINCT session_id) AS sessions, min(received_at) AS first_at, max(received_at) AS last_at FROM kept JOIN ends USING (signal_id) WHERE received_at >= last - {N} GROUP BY 1),
+    judged AS (SELECT s.*, f.*, g.signal_id IS NOT NULL AS hit, coalesce(f.sessions, 0) < {MIN_SESSIONS} AS few FROM signals s LEFT JOIN gone g USING (signal_id) LEFT JOIN fresh f USING (signal_id))
+    SELECT signal_id, CASE WHEN NOT hit THEN state WHEN few THEN 'CLOSED' WHEN state = 'CANDIDATE' THEN 'SIGNAL_DETECTED' ELSE state END AS status,
+      CASE WHEN hit AND few AND state <> 'CLOSED' THEN 'EVIDENCE_RECALCULATED' END AS closure_reason, CASE WHEN hit AND few AND state <> 'CLOSED' THEN now END AS closed_at,
+      CASE WHEN hit THEN coalesce(raw, 0) ELSE raw_report_count END AS raw_report_count, CASE WHEN hit THEN coalesce(sessions, 0) ELSE unique_sessions END AS unique_sessions,
+      CASE WHEN hit THEN coalesce(sessions >= {REVIEW_SESSIONS}, false) ELSE review_priority END AS review_priority,
+      CASE WHEN hit THEN coalesce(first_at, first_report_at) ELSE first_report_at END AS first_report_at, CASE WHEN hit THEN coalesce(last_at, last_report_at) ELSE last_report_at END AS last_report_at
+    FROM judged, clock""",
+)
+def purge_signals(spark, sf_dir):
+    """Every signal after the reports past their retention went."""
+    now, _ = _now(spark, sf_dir)
+    found, rows = _states(spark, sf_dir)
+    out = signals.detach_reports(found, rows, rows.filter(F.col("purge_at") <= now), now, WINDOW_SECONDS, MIN_SESSIONS, REVIEW_SESSIONS)
+    return out["signals"].select("signal_id", "status", "closure_reason", "closed_at", "raw_report_count", "unique_sessions", "review_priority", "first_report_at", "last_report_at")
+
+
 # Registrations and approvals, one a customer, of a tenth as many versions.
 _POLICY_SQL = """events AS (SELECT c_custkey AS event_id, CASE WHEN c_custkey % 3 = 0 THEN 'APPROVE' ELSE 'REGISTER' END AS kind, 'v' || (c_custkey * 7 % (SELECT greatest(5, count(*) // 10) FROM customer)) AS policy_version, c_custkey % 4 <> 1 AS activate FROM customer),
 entered AS (SELECT *, row_number() OVER (PARTITION BY policy_version ORDER BY event_id) = 1 AS fresh FROM events WHERE kind = 'REGISTER'),

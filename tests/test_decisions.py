@@ -194,3 +194,35 @@ def test_components_equal_a_plain_search(spark):
     got = graph.components(spark.createDataFrame(edges, "x long, y long")).collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert graph.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_a_purge_corrects_the_signals_that_lose_reports(spark):
+    """Of four signals one keeps enough, one too little, one nothing, and one is untouched; then each one's own retention is judged."""
+    from pyspark.sql import functions as F
+
+    from sigmill.operators import lifecycle
+
+    rows, number = [], 0
+    for name, old, new in (("full", 2, 3), ("thin", 3, 1), ("bare", 4, 0), ("calm", 0, 3)):
+        for i in range(old + new):
+            number += 1
+            rows.append((name, number, f"u{i}", at(i if i < old else 300 + i), at(50 if i < old else 9000)))
+    members = spark.createDataFrame(rows, MEMBERS)
+    found = spark.createDataFrame([(s, "SIGNAL_DETECTED", None, "A", None, 9, 9, True, at(0), at(1), at(60 if s == "bare" else 9000), None, None) for s in ("full", "thin", "bare", "calm")], SIGNALS)
+    none = lambda schema: spark.createDataFrame([], schema)
+    tables = {
+        "reports": members.select("report_id", "purge_at"), "attachments": none("report_id long, object_key string"), "signal_members": members, "signal_clusters": found,
+        "object_deletion_jobs": none("object_key string, status string, purge_at timestamp_ntz, next_attempt_at timestamp_ntz"), "idempotency_records": none("purge_at timestamp_ntz"),
+        "audit_logs": none("action string, fingerprint string, created_at timestamp_ntz"), "agent_tokens": none("expires_at timestamp_ntz"),
+        "rate_limit_buckets": none("expires_at timestamp_ntz"), "signal_audit_events": none("purge_at timestamp_ntz"),
+    }
+    now = F.lit(at(100)).cast("timestamp_ntz")
+    out = lifecycle.purge_with_signals(tables, now, WINDOW, LEAST, REVIEW)
+    got = {r.signal_id: r for r in out["signal_clusters"].collect()}
+    assert got.keys() == {"full", "thin", "calm"}  # bare has passed its own retention
+    assert (got["full"].status, got["full"].raw_report_count, got["full"].unique_sessions, got["full"].review_priority, got["full"].closed_at) == ("SIGNAL_DETECTED", 3, 3, False, None)
+    assert (got["thin"].status, got["thin"].closure_reason, got["thin"].raw_report_count, got["thin"].closed_at) == ("CLOSED", "EVIDENCE_RECALCULATED", 1, at(100))
+    assert (got["calm"].status, got["calm"].raw_report_count) == ("SIGNAL_DETECTED", 9)
+    assert out["signal_members"].count() == 7 and out["reports"].count() == 7 and out["audit_logs"].count() == 9
+    bare = signals.detach_reports(found, members, members.filter("signal_id = 'bare'"), now, WINDOW, LEAST, REVIEW)["signals"].filter("signal_id = 'bare'").first()
+    assert (bare.status, bare.raw_report_count, bare.unique_sessions, bare.last_report_at) == ("CLOSED", 0, 0, at(1))
