@@ -124,6 +124,46 @@ def pair_spans(vectors: DataFrame, keys: list[str], missing: int, digits: int =
     )
 
 
+#: What excludes a pair, in the order in which it is told; the first two are unlabelled on one side, by the smaller and larger id.
+_REASONS = (None, "BOTH_UNLABELLED", "LEFT_UNLABELLED", "RIGHT_UNLABELLED", "TYPE_MISMATCH")
+
+
+def pair_facts(vectors: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """describe_pairs of labelled_pairs over all pairs with equal keys, without a row for a pair.
+
+    vectors: keys, vec_id, vec, label, type; labels and types ride in the blocks, and only counts, sums and ends leave a task.
+    """
+
+    def compare(left, right, same):
+        import numpy as np
+        import pyarrow as pa
+
+        scores = rounded(np.clip(matrix(left, "vec") @ matrix(right, "vec").T, -1, 1), digits)
+        ids, labels, types = ([np.array(side.column(c).to_pylist(), object) for side in (left, right)] for c in ("vec_id", "label", "type"))
+        none = [np.array([x is None for x in side], bool) for side in labels]
+        apart = types[0][:, None] != types[1][None]
+        first = ids[0][:, None] < ids[1][None]
+        a, b = none[0][:, None], none[1][None]
+        # The side with the smaller id is the left one.
+        alone_left = np.where(first, a, b) & ~np.where(first, b, a)
+        reason = np.where(a & b, 1, np.where(a | b, np.where(alone_left, 2, 3), np.where(apart, 4, 0)))
+        group = np.where(reason > 0, reason + 1, (labels[0][:, None] == labels[1][None]).astype(int))
+        counted = np.triu(np.ones(scores.shape, bool), 1) if same else np.ones(scores.shape, bool)
+        rows = []
+        for g in range(6):
+            if len(found := scores[counted & (group == g)]):
+                ends = (found.min(), found.sum(), found.max()) if g < 2 else (None, None, None)
+                rows.append((_REASONS[max(0, g - 1)] if g > 1 else None, g == 1 if g < 2 else None, len(found), *ends))
+        kinds = [pa.string(), pa.bool_(), pa.int64(), *[pa.float64()] * 3]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["reason", "same", "pairs", "least", "total", "most"])
+
+    schema = "reason string, same boolean, pairs long, least double, total double, most double"
+    parts = pairwise(vectors.select(*keys, "vec_id", "vec", "label", "type"), keys, "vec_id", compare, schema)
+    return parts.groupBy("reason", "same").agg(
+        F.sum("pairs").alias("pairs"), F.min("least").alias("least"), F.round(F.sum("total") / F.sum("pairs"), digits).alias("mean"), F.max("most").alias("most")
+    )
+
+
 def select_threshold(metrics: DataFrame, floor: float = PRECISION_FLOOR) -> DataFrame:
     """The one row with the best (f1, recall, threshold) among those of enough precision."""
     return metrics.filter(F.col("precision") >= floor).orderBy(F.col("f1").desc(), F.col("recall").desc(), F.col("threshold").desc()).limit(1)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import identity, text
 from ..functions.vectors import hashed_embedding
 from ..operators import clustering, constraints, gates, metrics
-from ..operators.signals import similarity_pairs
 from ..sources import allowlist
 from ..sources.proxies import REPORTS_SQL, embeddings, reports, table
 from .registry import query
@@ -154,12 +153,9 @@ def acceptance_gate(spark, sf_dir):
 )
 def pair_filter(spark, sf_dir):
     """Pairs of one gate: how many count, by equal labels, with the span of their similarities, and how many don't, by reason."""
-    rows = _gated(spark, sf_dir)
-    sims = similarity_pairs(rows.select("gate", F.col("vec_id").alias("row_id"), "vec"), ["gate"])
-    facts = rows.select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("label")).alias("label"), (F.col("label") % 2).alias("kind"))
-    for side in ("left", "right"):
-        sims = sims.join(facts.select(F.col("vec_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("kind").alias(f"{side}_type")), f"{side}_id")
-    return metrics.describe_pairs(metrics.labelled_pairs(sims))
+    label = F.when(F.col("vec_id") % 7 != 0, F.col("label"))
+    rows = _gated(spark, sf_dir).select("gate", "vec_id", "vec", label.alias("label"), (F.col("label") % 2).alias("type"))
+    return metrics.pair_facts(rows, ["gate"])
 
 
 @query("run_consistency", "SELECT user_id AS case_id, count(*) AS runs, count(DISTINCT event_type) AS distinct_values, count(DISTINCT event_type) = 1 AS consistent, round(avg(value), 3) AS avg_latency, min(value) AS min_latency, max(value) AS max_latency FROM events GROUP BY 1")

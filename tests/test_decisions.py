@@ -226,3 +226,21 @@ def test_a_purge_corrects_the_signals_that_lose_reports(spark):
     assert out["signal_members"].count() == 7 and out["reports"].count() == 7 and out["audit_logs"].count() == 9
     bare = signals.detach_reports(found, members, members.filter("signal_id = 'bare'"), now, WINDOW, LEAST, REVIEW)["signals"].filter("signal_id = 'bare'").first()
     assert (bare.status, bare.raw_report_count, bare.unique_sessions, bare.last_report_at) == ("CLOSED", 0, 0, at(1))
+
+
+def test_pair_facts_equal_rows_of_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from sigmill.operators import metrics
+
+    rng = random.Random(6)
+    rows = [("AB"[i % 2], i, [rng.uniform(-1, 1) for _ in range(4)], rng.choice([None, 1, 2]), rng.choice([None, "x", "y"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "gate string, vec_id long, vec array<double>, label int, type string")
+    sims = signals.similarity_pairs(df.select("gate", F.col("vec_id").alias("row_id"), "vec"), ["gate"])
+    for side in ("left", "right"):
+        sims = sims.join(df.select(F.col("vec_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("type").alias(f"{side}_type")), f"{side}_id")
+    want = {(r.reason, r.same): tuple(r)[2:] for r in metrics.describe_pairs(metrics.labelled_pairs(sims)).collect()}
+    got = {(r.reason, r.same): tuple(r)[2:] for r in metrics.pair_facts(df, ["gate"]).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k, row in got.items():
+        assert row == pytest.approx(want[k], abs=2e-6), k
