@@ -478,7 +478,9 @@ def json_extract(spark, sf_dir):
 
 @query("embed_text")
 def embed_text(spark, sf_dir):
-    return reports(spark, sf_dir).select("symptom").distinct().select("symptom", F.round(F.aggregate(hashed_embedding(F.col("symptom"), 16), F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+    """The offline embedding of every whole text of documents, its components in order."""
+    vector = F.transform(hashed_embedding(F.col("text"), 16), lambda x: F.round(x, 6).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(vector, ",").alias("vector"))
 
 
 @query("md5_uuid", "SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders)")

@@ -189,3 +189,23 @@ def test_listed_pages_read_as_a_source(spark, tmp_path):
     assert {r.source: r.sha256 for r in listed.digest(kept).collect()}["lone"] == hashlib.sha256(whole.encode()).hexdigest()
     table = spark.createDataFrame([(n, i, b) for n, (bodies, _) in cases.items() for i, b in enumerate(bodies, 1)], "source string, page int, body string")
     assert sorted(map(str, listed.items(table).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_embeddings_of_documents_equal_a_plain_form(spark, sf_dir):
+    import re
+
+    import numpy as np
+    import xxhash
+
+    from sigmill.plans.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.vector for r in QUERIES["embed_text"](spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    for i, text_ in texts.items():
+        want = np.zeros(16)
+        for word in re.split(r"[ \t\n\x0b\f\r]+", (text_ or "").strip(" ").lower()):
+            slot = int(np.uint64(xxhash.xxh64_intdigest(word.encode(), 42)).astype(np.int64)) % 32
+            want[slot % 16] += 1 if slot < 16 else -1
+        size = np.linalg.norm(want)
+        assert [float(x) for x in got[i].split(",")] == pytest.approx(want / size if size else want, abs=2e-6), i
