@@ -1,4 +1,4 @@
-"""Training-data operators (numbered 1 to 10 in README.md); nothing outside this folder imports them.
+"""Training-data operators (numbered 1 to 13 in README.md); nothing outside this folder imports them.
 
 Functions of this package travel to the executors by value, so a cluster needs
 no installed copy of it.
