@@ -19,6 +19,8 @@ LEASE_SECONDS = 300
 STALE_SECONDS = 180
 TRANSITIONS = "job_id string, at long, transition string, status string, attempts int, error_code string, next_attempt_at long"
 _MS, _US = 1000, 1_000_000
+#: Added to times of hits, as a stream takes the epoch itself for late.
+_DAY_MS = 86_400_000
 
 
 class Job:
@@ -177,7 +179,7 @@ def rate_limit_stream(hits: DataFrame, window: int, limit: int, delay: str = "1
         begin, count = state.get if state.exists else (None, 0)
         frame = pd.concat(list(frames)).sort_values(["at", "hit_id"])
         found, begin, count = fold_window(frame["at"].tolist(), window, limit, begin, count)
-        end = int((begin + window) * 1000) + 1
+        end = int((begin + window) * 1000) + 1 + _DAY_MS
         if end > state.getCurrentWatermarkMs():
             state.update((begin, count))
             state.setTimeoutTimestamp(end)
@@ -185,7 +187,7 @@ def rate_limit_stream(hits: DataFrame, window: int, limit: int, delay: str = "1
             state.remove()
         yield pd.DataFrame({"bucket": str(key[0]), "hit_id": frame["hit_id"], "allowed": [f[0] for f in found], "hit_number": [f[1] for f in found]})
 
-    rows = hits.withColumn("_time", F.timestamp_micros((F.col("at") * _US).cast("long"))).withWatermark("_time", delay)
+    rows = hits.withColumn("_time", F.timestamp_micros((F.col("at") * _US).cast("long") + _DAY_MS * 1000)).withWatermark("_time", delay)
     return rows.groupBy("bucket").applyInPandasWithState(
         run, "bucket string, hit_id long, allowed boolean, hit_number int", "begin double, hits int", "append", "EventTimeTimeout"
     )
