@@ -1,16 +1,23 @@
 """Operator 8: personal data by bootstrapped contextual extraction, DataFrame functions only.
 
 Four regular expressions with checks find the base entities (e-mail, IP, card,
-phone). These seed a graph of lexical patterns and instances: an instance is an
-identifier-like token (it holds a digit or @) or a seed; a pattern is the word
-before or the word after it. Spark iterates
-
-    confidence(pattern) = sum of its instances' scores / times the word stands anywhere in the corpus
-    score(instance)     = 1 for seeds, else 1 - product of (1 - confidence) over its patterns
-
-with patterns of fewer than `MIN_SUPPORT` different scored instances at 0. A
-token that fills a pattern of at least `MIN_CONFIDENCE` is a discovered span of
-the kind that most of the pattern's seeds have. Base spans always stay.
+phone). These seed a graph of lexical patterns and instances. An instance is an
+identifier-like token (it holds a digit or @) or a seed. Its patterns are the one
+and the two words before it, the one and the two words after it, and the word
+before it with its own shape (each digit as 9, runs of letters as a). Spark
+iterates
+
+    confidence(pattern) = sum of its instances' scores / (identifier-like tokens that fill it + PRIOR)
+    score(instance)     = 1 for seeds, else the best confidence of its sure patterns on the other side
+
+where a sure pattern has at least `MIN_CONFIDENCE`. What a pattern says of a
+token never comes back to it: the left patterns count what the right ones say,
+and the other way round. A pattern of fewer than `MIN_SUPPORT` different scored
+instances has confidence 0, and so has one whose words stand beside a filling
+token in less than `MIN_SHARE` of all their places in the texts: a word like
+"of" says nothing, whatever the few identifiers beside it are. A token that fills a sure pattern is a discovered
+span of the kind that most of the pattern's scored instances have. Base spans
+always stay.
 
 Positions come from the gaps between matches: `split` and `regexp_extract_all`
 by one expression give gaps and matches, whose lengths add up in a window over
@@ -18,7 +25,8 @@ the document's matches. Only matches are shuffled, not texts.
 
 Defined cases: null and empty texts have no spans; spans of different kinds may
 overlap; repeated rows get a row each; rows with a null doc_id are kept; context
-words count whole; an empty table gives an empty result.
+words count whole, and two of them are a pattern where one blank parts them; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +43,14 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 ROUNDS = 3
-#: Pattern words up to which they are broadcast to the count over all words.
-MAX_BROADCAST_WORDS = 100_000
+#: Added to a pattern's places, so that few of them prove little.
+PRIOR = 1.0
+#: Least share of the places of a pattern's words where a token fills the pattern.
+MIN_SHARE = 0.1
+#: Phrases up to which they are broadcast to the count over all texts.
+MAX_BROADCAST_PHRASES = 100_000
+#: Parts into which the rows of each pattern and instance are dealt for a join.
+SALTS = 8
 
 #: Possessive forms of the fixed patterns: the same matches without backtracking over long runs.
 #: A run of name characters can only start a match at its first character or where the last match ended.
@@ -127,8 +141,8 @@ def _entries(text: Column) -> Column:
 
 
     def slot(gap: Column, match: Column) -> Column:
-        left = F.lower(F.substring_index(F.rtrim(gap), " ", -1))
-        head = F.lower(F.substring_index(F.ltrim(gap), " ", 1))
+        left = F.lower(F.trim(F.substring_index(F.rtrim(gap), " ", -2)))
+        head = F.lower(F.trim(F.substring_index(F.ltrim(gap), " ", 2)))
         return entry(SLOT, gap, match, F.lit(True), left, head)
 
     # All blanks become spaces, one for one, so that a gap's last and first words are cut off at spaces.
@@ -162,8 +176,8 @@ def matches(docs: DataFrame) -> DataFrame:
     )
 
 
-def _occurrences(found: DataFrame) -> DataFrame:
-    """(rid, doc_id, key, place, start, end, seed, instance, pattern): each slot with each of its patterns."""
+def _slots(found: DataFrame) -> DataFrame:
+    """(rid, doc_id, key, place, start, end, lead, trail, seed, instance, left, right): the slots, with up to two words on each side."""
     first = F.substring("match", 1, 1)
     seed = F.coalesce(*[F.when(first == c, F.lit(i)) for i, c in enumerate(_FILL)])
     slots = found.filter((F.col("kind") == SLOT) & F.col("match").isNotNull()).withColumn("seed", seed)
@@ -181,57 +195,94 @@ def _occurrences(found: DataFrame) -> DataFrame:
         "rid", "doc_id", "key", "place", "start", "end", F.lit(0).alias("lead"), F.lit(0).alias("trail"), "seed", "left", "right"
     )
     seeds = seeds.join(base, ["rid", "seed", "start"]).select(*plain.columns)
-    patterns = F.array(F.when(F.col("left") != "", F.concat(F.lit("L"), "left")), F.when(F.col("right") != "", F.concat(F.lit("R"), "right")))
-    return plain.unionByName(seeds).withColumn("pattern", F.explode(F.array_compact(patterns))).drop("left", "right")
+    return plain.unionByName(seeds)
+
+
+def _patterned(slots: DataFrame) -> DataFrame:
+    """The slots with each of their patterns: (..., pattern, side); side 0 is the left one, 1 the right one."""
+    shape = F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), r"\p{L}+", "a")
+    before, after = F.substring_index("left", " ", -1), F.substring_index("right", " ", 1)
+    patterns = F.array(
+        F.when(F.col("left") != "", F.concat(F.lit("L"), before)),
+        F.when(F.col("left").contains(" "), F.concat(F.lit("M"), "left")),
+        F.when(F.col("left") != "", F.concat(F.lit("S"), before, F.lit(" "), shape)),
+        F.when(F.col("right") != "", F.concat(F.lit("R"), after)),
+        F.when(F.col("right").contains(" "), F.concat(F.lit("T"), "right")),
+    )
+    rows = slots.withColumn("pattern", F.explode(F.array_compact(patterns))).drop("left", "right")
+    return rows.withColumn("side", F.when(F.substring("pattern", 1, 1).isin("R", "T"), 1).otherwise(0))
+
 
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """rows joined with a smaller table; each key's rows are dealt by `spread`, so that no frequent key is one task."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, "salt"]).drop("salt")
 
-def _frequencies(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(word, freq): how often each pattern's word stands in all texts, whatever is beside it.
 
-    Few pattern words are broadcast to the words of the texts; many meet the words' counts, which are summed up before.
+def _frequencies(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, freq): how often each word, or two words parted by one blank, stand in all texts.
+
+    Few phrases are broadcast to those of the texts; many meet the counts of all, which are summed up before.
     """
-    words = patterns.select(F.expr("substring(pattern, 2)").alias("word")).distinct()
-    everywhere = docs.select(F.explode(F.split(F.lower("text"), f"[{_SPACE}]+")).alias("word"))
-    if words.count() <= MAX_BROADCAST_WORDS:
-        return everywhere.join(F.broadcast(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
-    return everywhere.groupBy("word").agg(F.count("*").alias("freq")).join(words, "word", "left_semi")
+    def found(text: Column) -> Column:
+        def pairs(words: Column) -> Column:
+            after = F.slice(words, 2, F.size(words))
+            return F.zip_with(words, after, lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" "), b)))
 
+        return _let(F.split(F.lower(F.translate(text, _BLANKS, " " * len(_BLANKS))), " "), lambda words: F.concat(words, pairs(words)))
 
-def discover(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(rid, doc_id, key, place, start, end, lead, trail, kind) of the tokens that confident patterns reveal."""
-    occurrences = checkpoint(_occurrences(found))
-    supported = checkpoint(
-        occurrences.groupBy("pattern").agg(F.countDistinct("instance").alias("support")).filter(F.col("support") >= MIN_SUPPORT).select("pattern")
-    )
-    word = F.expr("substring(pattern, 2)")
-    freq = supported.withColumn("word", word).join(_frequencies(docs, supported), "word").select("pattern", "freq")
+    everywhere = docs.select(F.explode(found(F.col("text"))).alias("phrase"))
+    if phrases.count() <= MAX_BROADCAST_PHRASES:
+        return everywhere.join(F.broadcast(phrases), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("freq"))
+    return everywhere.groupBy("phrase").agg(F.count("*").alias("freq")).join(phrases, "phrase", "left_semi")
+
+
+def _graph(docs: DataFrame, slots: DataFrame) -> DataFrame:
+    """(pattern, instance, side, times, seed, places) of the patterns with enough different instances and a large enough share."""
     # One edge for each pattern and instance, with the times that they meet; summed up before a frequent pattern's rows meet.
-    edges = occurrences.groupBy("pattern", "instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"))
-    graph = checkpoint(edges.join(freq, "pattern"))
-    scores = graph.groupBy("instance").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
-    confidence = None
-    for _ in range(rounds):
-        weighed = graph.join(scores, "instance")
-        value = F.least(F.lit(1.0), F.sum(F.col("score") * F.col("times")) / F.first("freq"))
-        support = F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0))
-        confidence = checkpoint(
-            weighed.groupBy("pattern").agg(value.alias("value"), support.alias("support")).select(
-                "pattern", F.when(F.col("support") >= MIN_SUPPORT, F.col("value")).otherwise(0.0).alias("confidence")
-            )
+    edges = checkpoint(_patterned(slots).groupBy("pattern", "instance", "side").agg(F.count("*").alias("times"), F.max("seed").alias("seed")))
+    counts = edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("times").alias("places")).filter(F.col("support") >= MIN_SUPPORT)
+    words = F.expr("substring(pattern, 2)")
+    words = F.when(F.startswith("pattern", F.lit("S")), F.substring_index(words, " ", 1)).otherwise(words)
+    counts = checkpoint(counts.select("pattern", "places", words.alias("phrase")))
+    freq = _frequencies(docs, checkpoint(counts.select("phrase").distinct()))
+    kept = counts.join(freq, "phrase").filter(F.col("places") >= F.lit(MIN_SHARE) * F.col("freq")).select("pattern", "places")
+    return checkpoint(_joined(edges, kept, ["pattern"], "instance"))
+
+
+def patterns(docs: DataFrame, slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, confidence, kind) of the sure patterns of the graph of the slots of docs."""
+    graph = _graph(docs, slots)
+    known = graph.filter(F.col("seed").isNotNull()).groupBy("instance").agg(F.max("seed").alias("kind"))
+    seeds = checkpoint(known.select("instance", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.lit(1.0).alias("score"), "kind", F.lit(1).alias("rank")))
+    scores = seeds.drop("rank")
+    for left in reversed(range(rounds)):
+        weighed = _joined(graph, scores, ["instance", "side"], "pattern")
+        by_kind = weighed.groupBy("pattern", "side", "places", "kind").agg(
+            F.sum(F.col("score") * F.col("times")).alias("value"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("support")
         )
-        missing = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
-        scores = (
-            graph.join(confidence, "pattern")
-            .groupBy("instance")
-            .agg(F.max(F.col("seed").isNotNull()).alias("is_seed"), (1 - F.exp(missing)).alias("score"))
-            .select("instance", F.when(F.col("is_seed"), 1.0).otherwise(F.col("score")).alias("score"))
+        sure = by_kind.groupBy("pattern", "side", "places").agg(
+            F.sum("value").alias("value"), F.sum("support").alias("support"), F.max_by("kind", F.struct(F.round("value", 6), -F.col("kind"))).alias("kind")
         )
-    kinds = graph.filter(F.col("seed").isNotNull()).groupBy("pattern", "seed").agg(F.sum("times").alias("times"))
-    kinds = kinds.groupBy("pattern").agg(F.max_by("seed", F.struct("times", -F.col("seed"))).alias("kind"))
-    sure = confidence.filter(F.col("confidence") >= MIN_CONFIDENCE).join(kinds, "pattern")
-    spans = occurrences.filter(F.col("seed").isNull()).join(sure, "pattern")
+        sure = sure.withColumn("confidence", F.round(F.col("value") / (F.col("places") + F.lit(PRIOR)), 9))
+        sure = checkpoint(sure.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "side", "confidence", "kind"))
+        if left:
+            told = _joined(graph, sure.drop("side"), ["pattern"], "instance").select(
+                "instance", (1 - F.col("side")).alias("side"), F.col("confidence").alias("score"), "kind", F.lit(0).alias("rank"), "pattern"
+            )
+            best = F.max(F.struct("rank", "score", "pattern", "kind")).alias("best")
+            scores = told.unionByName(seeds.withColumn("pattern", F.lit(""))).groupBy("instance", "side").agg(best).select("instance", "side", "best.score", "best.kind")
+    return sure.drop("side")
+
+
+def discover(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(rid, doc_id, key, place, start, end, lead, trail, kind) of the tokens that sure patterns reveal."""
+    slots = checkpoint(_slots(found))
+    sure = patterns(docs, slots, rounds)
+    revealed = _joined(_patterned(slots.filter(F.col("seed").isNull())), sure, ["pattern"], "rid")
     best = F.max_by("kind", F.struct("confidence", "pattern")).alias("kind")
-    return spans.groupBy("rid", "doc_id", "key", "place", "start", "end", "lead", "trail").agg(best)
+    return revealed.groupBy("rid", "doc_id", "key", "place", "start", "end", "lead", "trail").agg(best)
 
 
 def _listed(entries: Column) -> Column:
