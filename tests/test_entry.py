@@ -87,3 +87,11 @@ def test_codes_of_long_keys(spark, long_keys, name):
     connection.execute(f"CREATE VIEW part AS SELECT * FROM '{long_keys}/part.parquet/*.parquet'")
     found = connection.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})")
     assert cells(df.collect()) == cells(found.fetchall())
+
+
+def test_faults_of_a_source_of_several_listings(spark, tmp_path):
+    spark.createDataFrame([(k, f"part {k % 37}") for k in range(5_200)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["json_faults"](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert cells(df.collect()) == cells(connection.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['json_faults']})").fetchall())
