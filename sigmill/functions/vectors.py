@@ -42,13 +42,24 @@ def decode(text: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
-    """A deterministic offline embedder: signed counts of hashed words, length one."""
+    """A deterministic offline embedder: signed counts of hashed words, length one.
+
+    Words and their slots are built-in expressions, worked out once a text; a batch of slots is counted by numpy.
+    """
+
+    def counted(slots):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.list_value_length(slots), 0).to_numpy()
+        at = np.repeat(np.arange(len(slots)), sizes) * (2 * dimension) + slots.flatten().to_numpy()
+        found = np.bincount(at, minlength=len(slots) * 2 * dimension).reshape(-1, 2 * dimension)
+        counts = (found[:, :dimension] - found[:, dimension:]).astype(float)
+        size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = np.divide(counts, size, out=counts, where=size > 0)
+        # A null text has null components.
+        return pa.array(list(unit), pa.list_(pa.float64())) if not slots.null_count else pa.array([u if s else [None] * dimension for u, s in zip(unit.tolist(), slots.is_valid().to_pylist(), strict=True)], pa.list_(pa.float64()))
+
     words = F.split(F.lower(F.trim(text)), r"\s+")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimension)))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.aggregate(
-            slots, F.lit(0.0), lambda s, h: s + F.when(h == i, 1.0).when(h == i + dimension, -1.0).otherwise(0.0)
-        ),
-    )
-    return normalized(counts)
+    return F.arrow_udf(counted, "array<double>")(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimension)).cast("int")))

@@ -209,3 +209,20 @@ def test_embeddings_of_documents_equal_a_plain_form(spark, sf_dir):
             want[slot % 16] += 1 if slot < 16 else -1
         size = np.linalg.norm(want)
         assert [float(x) for x in got[i].split(",")] == pytest.approx(want / size if size else want, abs=2e-6), i
+
+
+def test_embedding_of_a_long_text_takes_one_pass(spark):
+    """The texts' words are cut and hashed once; null and blank texts keep their rows."""
+    import time
+
+    from sigmill.functions.vectors import hashed_embedding
+
+    rows = [(1, "word other " * 200_000), (2, None), (3, ""), (4, "word")]
+    df = spark.createDataFrame(rows, "k int, text string").select("k", hashed_embedding(F.col("text"), 16).alias("v"))
+    began = time.perf_counter()
+    got = {r.k: r.v for r in df.collect()}
+    assert time.perf_counter() - began < 20
+    assert got[2] == [None] * 16
+    assert [sum(x * x for x in got[k]) for k in (1, 3, 4)] == pytest.approx([1, 1, 1])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
