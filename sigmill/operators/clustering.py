@@ -66,12 +66,16 @@ def agglomerate(sims, threshold: float, linkage: str = "average", sizes=None) ->
     alive = np.ones(n, bool)
     score = np.array(sims, float)
     np.fill_diagonal(score, -np.inf)
+    # Each row's best score and where: only rows that pointed to a merged cluster are searched again.
+    at = score.argmax(axis=1) if n > 1 else np.zeros(n, int)
+    top = score[np.arange(n), at]
     while True:
-        best = score.max() if n > 1 else -np.inf
+        best = top.max() if n > 1 else -np.inf
         if best < threshold:
             break
-        rows, cols = np.nonzero(score >= best - 1e-9)
-        a, b = min(((a, b) for a, b in zip(rows.tolist(), cols.tolist(), strict=True) if members[a] < members[b]), key=lambda p: (members[p[0]], members[p[1]]))
+        rows = np.flatnonzero(top >= best - 1e-9)
+        pairs = ((a, b) for a in rows.tolist() for b in np.flatnonzero(score[a] >= best - 1e-9).tolist() if members[a] < members[b])
+        a, b = min(pairs, key=lambda p: (members[p[0]], members[p[1]]))
         members[a] = sorted(members[a] + members[b])
         members[b], alive[b] = None, False
         cross[a] = np.minimum(cross[a], cross[b]) if linkage == "complete" else cross[a] + cross[b]
@@ -82,6 +86,11 @@ def agglomerate(sims, threshold: float, linkage: str = "average", sizes=None) ->
         score[a, a] = -np.inf
         score[:, a] = score[a]
         score[b], score[:, b] = -np.inf, -np.inf
+        stale = np.flatnonzero(alive & ((at == a) | (at == b) | (score[a] > top)))
+        for i in {a, *stale.tolist()}:
+            at[i] = score[i].argmax()
+            top[i] = score[i, at[i]]
+        top[b] = -np.inf
     return sorted(m for m in members if m)
 
 
@@ -193,6 +202,26 @@ def _average_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Dat
         nodes = checkpoint(pairs.select("issue_type", "node", total.alias("total"), "n"))
 
 
+def _from_edges(edges: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(issue_type, node, final) of the clusters that complete linkage merges, one task an issue type; a node has an edge to itself without score."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, code = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+        a, b = code[: table.num_rows], code[table.num_rows :]
+        sims = np.full((len(ids), len(ids)), -np.inf)
+        score = table.column("score").to_numpy()
+        held = a != b
+        sims[a[held], b[held]] = sims[b[held], a[held]] = score[held]
+        merged = [(i, c[0]) for c in agglomerate(sims, threshold - 10.0**-DIGITS, "complete") for i in c[1:]]
+        node, final = (ids[[m[k] for m in merged]] if merged else ids[:0] for k in (0, 1))
+        return pa.table([table.column("issue_type").take(pa.array([0] * len(merged), pa.int64())), pa.array(node), pa.array(final)], ["issue_type", "node", "final"])
+
+    return edges.groupBy("issue_type").applyInArrow(run, f"issue_type string, node {kind}, final {kind}")
+
+
 def _complete_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
     """As _average_rounds for complete linkage: pairs of clusters whose members are all linked, with their least similarity."""
     kind = nodes.schema["node"].dataType.simpleString()
@@ -215,6 +244,16 @@ def _complete_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Da
     parts = inside.select("issue_type", "node", F.lit(1).cast("long").alias("parts"))
     final = None
     while True:
+        # The types whose clusters fit one task are finished there: a pair without an edge can't merge, nor what it becomes part of.
+        counts = parts.groupBy("issue_type").count()
+        fits = checkpoint(counts.filter(F.col("count") <= small).select("issue_type"))
+        if not fits.isEmpty():
+            ends = edges.join(F.broadcast(fits), "issue_type", "left_semi").select("issue_type", "a", "b", "score")
+            alone = parts.join(F.broadcast(fits), "issue_type", "left_semi").select("issue_type", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(None).cast("double").alias("score"))
+            step = checkpoint(_from_edges(ends.unionByName(alone), threshold, kind))
+            final = checkpoint(step if final is None else _moved(final, step.withColumnsRenamed({"node": "gone", "final": "keep"}), "final").unionByName(step))
+            edges = checkpoint(edges.join(F.broadcast(fits), "issue_type", "left_anti"))
+            parts = checkpoint(parts.join(F.broadcast(fits), "issue_type", "left_anti"))
         offers = edges.select("issue_type", F.col("a").alias("node"), F.col("b").alias("other"), "score")
         offers = offers.unionByName(edges.select("issue_type", F.col("b").alias("node"), F.col("a").alias("other"), "score"))
         merges = checkpoint(_mutual(_best(offers)))
@@ -229,8 +268,10 @@ def _complete_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Da
         sizes = parts.withColumnRenamed("node", "a").withColumnRenamed("parts", "pa"), parts.withColumnRenamed("node", "b").withColumnRenamed("parts", "pb")
         whole = joined.join(sizes[0], ["issue_type", "a"]).join(sizes[1], ["issue_type", "b"]).filter(F.col("links") == F.col("pa") * F.col("pb"))
         edges = checkpoint(whole.select("issue_type", "a", "b", "score", "links"))
-    left = nodes if final is None else nodes.join(final, ["issue_type", "node"], "left_anti")
-    return left, final
+    # These types are done: one vector doesn't stand for a cluster here, so what is left must not be merged by vectors.
+    whole = inside.select("issue_type", "node")
+    whole = whole.withColumn("final", F.col("node")) if final is None else whole.join(final, ["issue_type", "node"], "left").withColumn("final", F.coalesce("final", "node"))
+    return nodes.join(_large(nodes, small), "issue_type", "left_anti"), checkpoint(whole)
 
 
 def _in_task(nodes: DataFrame, find) -> DataFrame:

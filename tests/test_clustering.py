@@ -217,6 +217,24 @@ def test_batch_clusters_equal_the_plain_form(spark):
     assert sorted(sorted(i for i, _ in members) for _, members in got) == want
 
 
+@pytest.mark.parametrize("small", [25])
+def test_complete_link_of_a_large_type_equals_one_task(spark, small):
+    """Also where the clusters that rounds leave are few enough for a task: they are not merged by one vector each."""
+    df = vectors(spark)
+    assert parted(C.complete_link(df, 0.3, small).collect()) == parted(C.complete_link(df, 0.3).collect())
+
+
+def test_agglomeration_of_two_thousand_takes_seconds():
+    import time
+
+    rng = np.random.default_rng(9)
+    units = rng.standard_normal((2_048, 16))
+    began = time.perf_counter()
+    for linkage in ("average", "complete"):
+        C.agglomerate(C.similarities(units), 0.2, linkage)
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("merging", [False, True])
 def test_arrival_orders_equal_the_plain_form(spark, merging):
     df = vectors(spark, 90)
