@@ -32,6 +32,8 @@ __all__ = ["Cluster", "IncrementalGate", "Policy", "batch_clusters", "complete_l
 BATCH_THRESHOLD = 0.58
 #: Clusters of an issue type up to which one task merges them: three matrices of their similarities are held.
 SMALL = 2048
+#: Items of an issue type up to which one task clusters them from their vectors alone, with blocks of similarities at most.
+HELD = 32_768
 #: Scores that round to the same value are equal.
 DIGITS = 9
 #: What rounding may take from the one pair that lifts a mean to the threshold.
@@ -94,6 +96,38 @@ def agglomerate(sims, threshold: float, linkage: str = "average", sizes=None) ->
     return sorted(m for m in members if m)
 
 
+def average_link(totals, sizes, threshold: float, small: int) -> list[list[int]]:
+    """As agglomerate by average linkage, from the summed unit vectors of items in id order, without a matrix of all pairs.
+
+    While more than `small` clusters are left, all that are each other's best are merged, as _average_rounds does.
+    """
+    import numpy as np
+
+    totals, sizes, members = np.array(totals, float), np.array(sizes, float), [[i] for i in range(len(sizes))]
+    while len(sizes) > small:
+        means = totals / sizes[:, None]
+        best = np.full(len(sizes), -1)
+        for i in range(0, len(sizes), 512):
+            scores = means[i : i + 512] @ means.T
+            inside = np.arange(len(scores))
+            scores[inside, i + inside] = -np.inf
+            top = rounded(scores.max(axis=1), DIGITS)
+            first = (scores >= (top - 0.5 * 10.0**-DIGITS)[:, None]).argmax(axis=1)
+            best[i : i + 512] = np.where(top >= threshold - 10.0**-DIGITS, first, -1)
+        keep = np.flatnonzero((best >= 0) & (best[best] == np.arange(len(best))) & (np.arange(len(best)) < best))
+        if not len(keep):
+            return sorted(map(sorted, members))
+        gone = best[keep]
+        totals[keep] += totals[gone]
+        sizes[keep] += sizes[gone]
+        for a, b in zip(keep.tolist(), gone.tolist(), strict=True):
+            members[a] += members[b]
+        left = np.delete(np.arange(len(sizes)), gone)
+        totals, sizes, members = totals[left], sizes[left], [members[i] for i in left.tolist()]
+    means = totals / sizes[:, None]
+    return sorted(sorted(x for i in c for x in members[i]) for c in agglomerate(means @ means.T, threshold, sizes=sizes))
+
+
 def central(units, left) -> int:
     """The place in `left` of the item with the largest mean similarity to the others, the first of equals."""
     import numpy as np
@@ -319,12 +353,12 @@ def _clusters(rows: DataFrame, rounds, find, merge_equal: bool, small: int) -> D
     return found.unionByName(single)
 
 
-def batch_clusters(rows: DataFrame, threshold: float = BATCH_THRESHOLD, small: int = SMALL) -> DataFrame:
+def batch_clusters(rows: DataFrame, threshold: float = BATCH_THRESHOLD, small: int = HELD) -> DataFrame:
     """(issue_type, report_id, representative_id, similarity) of average-linkage clusters; independent of row order."""
     return _clusters(
         rows,
         lambda nodes, limit: _average_rounds(nodes, threshold, limit),
-        lambda units, sizes: agglomerate(units @ units.T, threshold, sizes=sizes),
+        lambda units, sizes: average_link(units * sizes[:, None], sizes, threshold, min(small, SMALL)),
         threshold <= 1,
         small,
     )

@@ -224,6 +224,16 @@ def test_complete_link_of_a_large_type_equals_one_task(spark, small):
     assert parted(C.complete_link(df, 0.3, small).collect()) == parted(C.complete_link(df, 0.3).collect())
 
 
+def test_large_types_are_clustered_in_a_task_without_a_matrix():
+    rng = np.random.default_rng(8)
+    units = rng.standard_normal((1_500, 6))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    sizes = rng.integers(1, 4, len(units)).astype(float)
+    want = C.agglomerate(units @ units.T, 0.8, sizes=sizes)
+    for small in (1, 700, 2_000):
+        assert C.average_link(units * sizes[:, None], sizes, 0.8, small) == want
+
+
 def test_agglomeration_of_two_thousand_takes_seconds():
     import time
 
