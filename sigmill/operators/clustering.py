@@ -128,26 +128,18 @@ def average_link(totals, sizes, threshold: float, small: int) -> list[list[int]]
     return sorted(sorted(x for i in c for x in members[i]) for c in agglomerate(means @ means.T, threshold, sizes=sizes))
 
 
-def central(units, left) -> int:
-    """The place in `left` of the item with the largest mean similarity to the others, the first of equals."""
-    import numpy as np
-
-    part = units[left]
-    means = (part @ part.sum(axis=0) - (part * part).sum(axis=1)) / max(1, len(left) - 1)
-    return int(np.flatnonzero(means >= means.max() - 1e-12)[0])
-
-
 def greedy_medoids(units, threshold: float) -> list[list[int]]:
     """Takes the most central remaining item with all that reach the threshold, again and again."""
     import numpy as np
 
-    left, out = np.arange(len(units)), []
+    left, part, own, out = np.arange(len(units)), units, (units * units).sum(axis=1), []
     while len(left):
-        middle = central(units, left)
-        near = np.clip(units[left] @ units[left[middle]], -1, 1) >= threshold
+        means = (part @ part.sum(axis=0) - own) / max(1, len(left) - 1)
+        middle = int(np.flatnonzero(means >= means.max() - 1e-12)[0])
+        near = np.clip(part @ part[middle], -1, 1) >= threshold
         near[middle] = True
         out.append(left[near].tolist())
-        left = left[~near]
+        left, part, own = left[~near], part[~near], own[~near]
     return out
 
 
@@ -389,7 +381,7 @@ def _greedy_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Data
     return left, done
 
 
-def medoid_greedy(rows: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+def medoid_greedy(rows: DataFrame, threshold: float, small: int = HELD) -> DataFrame:
     """As batch_clusters, for the clusters that greedy_medoids takes."""
     return _clusters(
         rows, lambda nodes, limit: _greedy_rounds(nodes, threshold, limit), lambda units, sizes: greedy_medoids(units, threshold), False, small

@@ -245,6 +245,18 @@ def test_agglomeration_of_two_thousand_takes_seconds():
     assert time.perf_counter() - began < 20
 
 
+def test_greedy_medoids_of_a_large_type_take_one_task(spark):
+    """A type over SMALL needs no round a medoid: two thousand medoids and more are found at once, as the plain form finds them."""
+    rng = np.random.default_rng(4)
+    units = rng.standard_normal((C.SMALL + 300, 8))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    df = spark.createDataFrame([("A", i, v.tolist()) for i, v in enumerate(units)], "issue_type string, report_id long, vec array<double>")
+    got = {}
+    for r in C.medoid_greedy(df, 0.9999).collect():
+        got.setdefault(r.representative_id, []).append(r.report_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, C.greedy_medoids(units, 0.9999)))
+
+
 @pytest.mark.parametrize("merging", [False, True])
 def test_arrival_orders_equal_the_plain_form(spark, merging):
     df = vectors(spark, 90)
