@@ -129,6 +129,9 @@ class IncrementalGate:
         self.slots: list[Cluster | None] = []
         self.codes: dict = {None: 0}
         self.sums = None
+        #: Pairs of slots whose means are close enough to merge, and the slots whose sums have changed since these were compared.
+        self.close = None
+        self.stale: set[int] = set()
 
     # -- windows ------------------------------------------------------------------------------------------------------
 
@@ -137,11 +140,12 @@ class IncrementalGate:
 
         if self.sums is None:
             self.sums, self.sizes, self.filters, self.taken = np.zeros((16, dimension)), np.zeros(16), np.zeros((16, 2), np.int64), np.zeros(16, np.int64)
-            self.slots = [None] * 16
+            self.slots, self.close = [None] * 16, np.zeros((16, 16), bool)
         elif None not in self.slots:
             self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.filters, self.taken = np.concatenate([self.filters, np.zeros_like(self.filters)]), np.concatenate([self.taken, np.zeros_like(self.taken)])
             self.slots += [None] * len(self.slots)
+            self.close = np.pad(self.close, (0, len(self.close)))
 
     def _code(self, value) -> int:
         return self.codes.setdefault(value, len(self.codes))
@@ -153,6 +157,7 @@ class IncrementalGate:
             self.slots[cluster.slot] = cluster
             self.sums[cluster.slot], self.sizes[cluster.slot], self.taken[cluster.slot] = 0, 0, 0
         self.filters[cluster.slot] = self._code(cluster.submission), self._code(cluster.error)
+        self.stale.add(cluster.slot)
 
     def _shut(self, cluster: Cluster) -> None:
         self.slots[cluster.slot], self.sizes[cluster.slot], cluster.slot = None, 0, None
@@ -165,6 +170,7 @@ class IncrementalGate:
             _, cluster, unit = self.near.popleft()
             cluster = root(cluster)
             s = cluster.slot
+            self.stale.add(s)
             self.sizes[s] -= 1
             self.taken[s] += 1
             if self.sizes[s] == 0:
@@ -254,10 +260,29 @@ class IncrementalGate:
             self._reconcile(at, wanted)
         return root(best).id
 
+    def _any_close(self, wanted) -> bool:
+        """Whether any clusters that match the filters could merge; only those that changed are compared with the others."""
+        import numpy as np
+
+        held = np.flatnonzero(self.sizes > 0)
+        changed = np.array([s for s in self.stale if self.sizes[s] > 0], int)
+        self.stale.clear()
+        if len(changed):
+            # A little lower than the threshold: what rounding differs is told by the full comparison.
+            scores = (self.sums[changed] / self.sizes[changed, None]) @ (self.sums[held] / self.sizes[held, None]).T
+            near = scores >= self.policy.threshold - self.policy.tolerance - 1e-9
+            self.close[np.ix_(changed, held)], self.close[np.ix_(held, changed)] = near, near.T
+            self.close[changed, changed] = False
+        kept = held[self._same(self.filters[held], wanted)]
+        i, j = np.nonzero(self.close[np.ix_(kept, kept)])
+        return bool(len(i)) and bool(self._same(self.filters[kept[i]], self.filters[kept[j]]).any())
+
     def _reconcile(self, anchor: int, wanted) -> None:
         import numpy as np
 
         p = self.policy
+        if anchor >= self.latest and not self._any_close(wanted):
+            return
         clusters, sums, sizes, filters = self._view(anchor)
         kept = np.flatnonzero(self._same(filters, wanted)).tolist()
         kept.sort(key=lambda i: clusters[i].id)

@@ -176,6 +176,16 @@ def test_gate_equals_the_plain_form(seed):
     assert seed != 0 or len(gone) > 10
 
 
+def test_a_report_costs_no_comparison_of_all_open_clusters():
+    """Where no clusters are close, a report looks at them once, to join one, and not again to merge them."""
+    gate, looked = C.IncrementalGate(C.Policy(window=3600, threshold=0.9, min_sessions=2)), []
+    view = gate._view
+    gate._view = lambda at: looked.append(at) or view(at)
+    for i in range(64):
+        gate.add(i, i, i * SECOND, np.eye(64)[i])
+    assert len(gate.clusters) == len(looked) == 64
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_late_reports_equal_the_plain_form(seed):
     rng = random.Random(100 + seed)
