@@ -142,3 +142,29 @@ def test_wildcard_gate_and_band_join(spark):
     assert pairs == want
     met = gates.gate_pairs(df.drop("received_at"), df.drop("received_at"), ["k"], ["error"]).filter("report_id < report_id_r")
     assert {(r.report_id, r.report_id_r) for r in met.collect()} == {(a, b) for a in range(5) for b in range(a + 1, 5) if None in (rows[a][3], rows[b][3]) or rows[a][3] == rows[b][3]}
+
+
+def test_pairs_of_keys_of_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(gates, "PART", 8)
+    monkeypatch.setattr(gates, "PIECE", 3)
+    rows = [("k" if i % 4 else "m", i if i else None, at(i % 7 * 150), (None, "E1", "E2")[i % 3]) for i in range(60)] + [(None, 60, at(0), "E1")]
+    df = spark.createDataFrame(rows, "k string, report_id long, received_at timestamp_ntz, error string")
+    met = gates.gate_pairs(df.drop("received_at"), df, ["k"], ["error"])
+    assert met.columns == ["k", "report_id", "error", "report_id_r", "received_at_r", "error_r"]
+    keyed = [r for r in rows if r[0]]
+    want = [(a[0], a[1], a[3], b[1], b[2], b[3]) for a in keyed for b in keyed if a[0] == b[0] and (None in (a[3], b[3]) or a[3] == b[3])]
+    assert sorted(map(str, map(tuple, met.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["gate_pairs"])
+def test_pairs_of_copies_take_few_bytes(spark, tmp_path, name):
+    rows = spark.range(2_000).select(
+        F.lit("k").alias("k"), F.pmod(F.col("id") * 7919, F.lit(2_000)).alias("report_id"), F.timestamp_seconds(F.col("id") % 25 * 37).alias("received_at"), F.lit("E1").alias("error")
+    )
+    if name == "gate_pairs":
+        met = gates.gate_pairs(rows.drop("received_at"), rows.drop("received_at"), ["k"], ["error"]).filter("report_id < report_id_r").select("k", "report_id", "report_id_r")
+    else:
+        met = gates.window_pairs(rows, 900, ["k"])
+    met.write.parquet(out := f"{tmp_path}/out")
+    assert spark.read.parquet(out).count() == 1_999_000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2_000_000
