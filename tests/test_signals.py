@@ -154,9 +154,12 @@ def test_pairs_of_keys_of_several_parts(spark, monkeypatch):
     keyed = [r for r in rows if r[0]]
     want = [(a[0], a[1], a[3], b[1], b[2], b[3]) for a in keyed for b in keyed if a[0] == b[0] and (None in (a[3], b[3]) or a[3] == b[3])]
     assert sorted(map(str, map(tuple, met.collect()))) == sorted(map(str, want))
+    pairs = [(r.k, r.left_id, r.right_id, r.gap) for r in gates.window_pairs(df, 600, ["k"]).collect()]
+    gaps = [(a[0], a[1], b[1], abs((a[2] - b[2]).total_seconds())) for a in keyed for b in keyed if a[0] == b[0] and a[1] and b[1] and a[1] < b[1]]
+    assert sorted(pairs) == sorted(g for g in gaps if g[3] <= 600)
 
 
-@pytest.mark.parametrize("name", ["gate_pairs"])
+@pytest.mark.parametrize("name", ["gate_pairs", "window_pairs"])
 def test_pairs_of_copies_take_few_bytes(spark, tmp_path, name):
     rows = spark.range(2_000).select(
         F.lit("k").alias("k"), F.pmod(F.col("id") * 7919, F.lit(2_000)).alias("report_id"), F.timestamp_seconds(F.col("id") % 25 * 37).alias("received_at"), F.lit("E1").alias("error")
