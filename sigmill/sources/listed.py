@@ -157,15 +157,15 @@ def faults(rows: DataFrame, basis: Column) -> DataFrame:
     )
 
 
-def snapshot(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The listed symbols of the sources that `found` (faults) holds sound, one row each."""
+def snapshot(rows: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+    """The listed symbols of the sources that `found` (faults) holds sound, one row each, with the columns `more`."""
     sound = found.filter("fault IS NULL").select("source")
-    return rows.filter("code IS NOT NULL").join(F.broadcast(sound), "source", "left_semi").select("source", "basis", "code", "market", "name")
+    return rows.filter("code IS NOT NULL").join(F.broadcast(sound), "source", "left_semi").select("source", "basis", "code", "market", "name", *more)
 
 
-def digest(rows: DataFrame) -> DataFrame:
-    """(source, sha256) of a snapshot: its symbols in code order as compact JSON; a source has a few thousand symbols."""
+def digest(rows: DataFrame, *ties: str) -> DataFrame:
+    """(source, sha256) of a snapshot: its symbols in code order, then by `ties`, as compact JSON; a source has a few thousand symbols."""
     quoted = lambda c: F.regexp_replace(c, r'(["\\])', r"\\$1")
     entry = F.concat(F.lit('{"code":"'), "code", F.lit('","market":"'), "market", F.lit('","name_ko":"'), quoted("name"), F.lit('","source_as_of":"'), F.col("basis").cast("string"), F.lit('"}'))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("code", entry.alias("json")))), lambda e: e["json"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("code", *ties, entry.alias("json")))), lambda e: e["json"])
     return rows.groupBy("source").agg(F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("sha256"))

@@ -95,3 +95,12 @@ def test_faults_of_a_source_of_several_listings(spark, tmp_path):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert cells(df.collect()) == cells(connection.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['json_faults']})").fetchall())
+
+
+def test_faults_of_long_keys(spark, long_keys, tmp_path):
+    """The SQL takes symbols of one code as they come; here by key."""
+    spark.read.parquet(f"{long_keys}/part.parquet").coalesce(1).sortWithinPartitions("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["json_faults"](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert cells(df.collect()) == cells(connection.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['json_faults']})").fetchall())
