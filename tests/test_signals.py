@@ -1,6 +1,8 @@
 """Scenarios with known outcome for evidence, lists, merges and rules."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +173,35 @@ def test_pairs_of_copies_take_few_bytes(spark, tmp_path, name):
     met.write.parquet(out := f"{tmp_path}/out")
     assert spark.read.parquet(out).count() == 1_999_000
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2_000_000
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("digits", [1, 6])
+def test_similarities_of_several_ranges(spark, monkeypatch, kind, digits):
+    for name, value in {"RANGE": 12, "STRIP": 5, "BAND": 40, "BATCH": 7}.items():
+        monkeypatch.setattr(signals, name, value)
+    rng = random.Random(13)
+    cast = (lambda i: None if i is None else f"{i:03}") if kind == "string" else (lambda i: i)
+    rows = [("k" if i % 4 else "m", cast(i if i else None), [rng.uniform(-1, 1) for _ in range(3)]) for i in range(70)]
+    rows += [("k", cast(100 + i), [1.0, 0.0, 0.0]) for i in range(15)] + [("k", cast(120), [0.0, 0.0, 0.0]), ("k", cast(121), [-1e-9, 1.0, 0.0]), ("k", cast(122), [math.inf, 1.0, 0.0])]
+    rows += [("k", cast(7), [0.0, 0.0, 1.0]), (None, cast(200), [1.0, 0.0, 0.0]), (None, cast(201), [1.0, 0.0, 0.0])]
+
+    def similarity(a, b):
+        size = math.hypot(*a) * math.hypot(*b)
+        x = sum(p * q for p, q in zip(a, b, strict=True)) / size if 0 < size < math.inf else math.nan if size else 0.0
+        return x if math.isnan(x) else math.copysign(math.floor(min(abs(x), 1) * 10**digits + 0.5) / 10**digits, x)
+
+    found = signals.similarity_pairs(spark.createDataFrame(rows, f"k string, row_id {kind}, vec array<double>"), ["k"], digits)
+    assert found.columns == ["left_id", "right_id", "similarity"]
+    keyed = [r for r in rows if r[0] and r[1] is not None]
+    want = [(a[1], b[1], similarity(a[2], b[2])) for a in keyed for b in keyed if a[0] == b[0] and a[1] < b[1]]
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert [str(r) for r in got] == sorted(str(r) for r in want)
+
+
+def test_recurring_similarities_take_few_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [("k", i * 7919 % 1_500, [rng.gauss(0, 1) for _ in range(64)]) for i in range(1_500)]
+    signals.similarity_pairs(spark.createDataFrame(rows, "k string, row_id long, vec array<double>"), ["k"], 5).write.parquet(out := f"{tmp_path}/out")
+    assert spark.read.parquet(out).count() == 1_124_250
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 6 * 1_124_250
