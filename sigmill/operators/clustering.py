@@ -4,9 +4,10 @@ Batch linkage merges pairs of clusters that are each other's best, all of them
 in one round, over an issue type of any size: average and complete linkage are
 reducible (a merged cluster is never nearer to a third than both its parts
 were), so these merges lead to the clusters that merging the best pair first
-leads to. A cluster is a row with its summed unit vectors; rounds compare blocks
-of clusters. Issue types of at most `SMALL` clusters, from the start or after
-some rounds, are finished in one task each by the plain sequence of merges.
+leads to. A cluster is a row with its summed unit vectors, for complete linkage
+the vectors of its rows; rounds compare blocks of clusters. Issue types of at
+most `HELD` vectors, from the start or after some rounds, are finished in one
+task each, of at most `SMALL` clusters by the plain sequence of merges.
 
 Arrival orders are folds over sorted partitions that hold open clusters, not
 their members' vectors; each part of the graph of near pairs is a fold of its own.
@@ -14,17 +15,19 @@ their members' vectors; each part of the graph of near pairs is a fold of its ow
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .blocks import matrix, pairwise, placed, rounded
+from .blocks import bipartite, matrix, pairwise, placed, rounded
 from .gates import EXCLUDED_TYPES, known_filters, micros
 from .graph import components
 from .incremental import Cluster, IncrementalGate, Policy
-from .shared import checkpoint
+from .shared import checkpoint, release, stored
 from .signals import _unit, medoid
 
 __all__ = ["Cluster", "IncrementalGate", "Policy", "batch_clusters", "complete_link", "medoid_greedy", "online_clusters", "order_stability"]
@@ -34,6 +37,11 @@ BATCH_THRESHOLD = 0.58
 SMALL = 2048
 #: Items of an issue type up to which one task clusters them from their vectors alone, with blocks of similarities at most.
 HELD = 32_768
+#: Vectors of a block that meets another one, and of a step within.
+MEETING = 16_384
+STEP = 256
+#: Ranges of issue types, at most, that are tasks of their own.
+SHARES = 64
 #: Scores that round to the same value are equal.
 DIGITS = 9
 #: What rounding may take from the one pair that lifts a mean to the threshold.
@@ -128,6 +136,94 @@ def average_link(totals, sizes, threshold: float, small: int) -> list[list[int]]
     return sorted(sorted(x for i in c for x in members[i]) for c in agglomerate(means @ means.T, threshold, sizes=sizes))
 
 
+def least(rows, starts):
+    """The least of each column over each run of rows; runs begin at `starts`."""
+    import numpy as np
+
+    sizes = np.diff(np.append(starts, len(rows)))
+    order = np.argsort(-sizes, kind="stable")
+    out, more = rows[starts], np.sort(sizes)
+    for r in range(1, int(sizes.max())):
+        longer = order[: len(sizes) - int(np.searchsorted(more, r, "right"))]
+        if len(longer) < 4:
+            for i in longer.tolist():
+                out[i] = rows[starts[i] : starts[i] + sizes[i]].min(axis=0)
+            break
+        out[longer] = np.minimum(out[longer], rows[starts[longer] + r])
+    return out
+
+
+def nearest_clusters(ours, our_ids, theirs, their_ids):
+    """(clusters, others, scores): for each cluster of `ours` the other one of `theirs` with the largest least similarity of members, the
+    smaller id among equal ones. Unit vectors with the ids of their clusters, in order of these; scores are rounded.
+
+    A block of STEP vectors meets all of theirs at a time.
+    """
+    import numpy as np
+
+    def heads(ids):
+        return np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+
+    begins, starts = heads(our_ids), heads(their_ids)
+    ends, ids, known = np.append(begins[1:], len(ours)), our_ids[begins], their_ids[starts]
+    others, top, i = ids.copy(), np.full(len(ids), -np.inf), 0
+    while i < len(ids):
+        # Whole clusters; one of over STEP vectors meets them in several blocks.
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + STEP, "right")))
+        scores = None
+        for k in range(begins[i], ends[j - 1], STEP):
+            met = least(theirs @ ours[k : min(k + STEP, ends[j - 1])].T, starts)
+            met = least(np.ascontiguousarray(met.T), begins[i:j] - begins[i])
+            scores = met if scores is None else np.minimum(scores, met)
+        at = np.minimum(np.searchsorted(known, ids[i:j]), len(known) - 1)
+        itself = np.flatnonzero(known[at] == ids[i:j])
+        scores[itself, at[itself]] = -np.inf
+        top[i:j] = rounded(np.minimum(scores.max(axis=1), 1), DIGITS)
+        others[i:j] = known[(scores >= top[i:j, None] - 0.5 * 10.0**-DIGITS).argmax(axis=1)]
+        i = j
+    return ids, others, top
+
+
+def complete_rounds(units, threshold: float, own=None):
+    """The cluster of each item by complete linkage, from unit vectors, without a matrix of all pairs; `own`: the clusters to begin with.
+
+    All clusters that are each other's best are merged in a round. Merges bring no cluster nearer to a third, so a best stays one
+    until it merges, and a cluster without a partner is done.
+    """
+    import numpy as np
+
+    own = np.arange(len(units)) if own is None else np.array(own)
+    asked, none = -2, -1
+    best = np.full(len(units), asked)
+    while True:
+        order = np.argsort(own, kind="stable")
+        order = order[best[own[order]] != none]
+        again = order[best[own[order]] == asked]
+        if len(again):
+            ids, others, top = nearest_clusters(units[again], own[again], units[order], own[order])
+            best[ids] = np.where(top >= threshold - 10.0**-DIGITS, others, none)
+        paired = np.unique(own[order])
+        paired = paired[best[paired] > paired]
+        keep = paired[best[best[paired]] == paired]
+        if not len(keep):
+            return own
+        gone, merged, to = best[keep], np.zeros(len(best), bool), np.arange(len(best))
+        to[gone], merged[keep], merged[gone] = keep, True, True
+        own = to[own]
+        best[merged | ((best >= 0) & merged[best])] = asked
+
+
+def complete_link_in_task(units, threshold: float, small: int) -> list[list[int]]:
+    """As agglomerate by complete linkage, from unit vectors in id order; a matrix is held of at most `small` items."""
+    import numpy as np
+
+    if len(units) <= small:
+        return agglomerate(units @ units.T, threshold, "complete")
+    own = complete_rounds(units, threshold)
+    order = np.argsort(own, kind="stable")
+    return [c.tolist() for c in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)]
+
+
 def greedy_medoids(units, threshold: float) -> list[list[int]]:
     """Takes the most central remaining item with all that reach the threshold, again and again."""
     import numpy as np
@@ -213,7 +309,7 @@ def _average_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Dat
     final = None
     while True:
         large = _large(nodes, small)
-        merges = checkpoint(_mutual(_best(_average_offers(nodes.join(large, "issue_type", "left_semi"), threshold))))
+        merges = stored(_mutual(_best(_average_offers(nodes.join(large, "issue_type", "left_semi"), threshold))))
         if merges.isEmpty():
             return nodes, final
         step = merges.select("issue_type", F.col("gone").alias("node"), F.col("keep").alias("final"))
@@ -221,83 +317,93 @@ def _average_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Dat
             final = step
         else:
             final = _moved(final, merges, "final").unionByName(step)
-        final = checkpoint(final)
+        final = stored(final)
         moved = _moved(nodes, merges, "node")
         pairs = moved.groupBy("issue_type", "node").agg(F.collect_list("total").alias("totals"), F.sum("n").alias("n"))  # two at most
         total = F.when(F.size("totals") == 1, F.col("totals")[0]).otherwise(F.zip_with(F.col("totals")[0], F.col("totals")[1], lambda x, y: x + y))
-        nodes = checkpoint(pairs.select("issue_type", "node", total.alias("total"), "n"))
+        nodes = stored(pairs.select("issue_type", "node", total.alias("total"), "n"))
 
 
-def _from_edges(edges: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(issue_type, node, final) of the clusters that complete linkage merges, one task an issue type; a node has an edge to itself without score."""
+def _complete_offers(asked: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The best partner in each block, by least similarity, of each cluster of asked (issue_type, cluster, total), where it reaches the threshold."""
+    kind = rows.schema["cluster"].dataType.simpleString()
 
-    def run(table):
+    def compare(left, right):
         import numpy as np
         import pyarrow as pa
 
-        ids, code = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
-        a, b = code[: table.num_rows], code[table.num_rows :]
-        sims = np.full((len(ids), len(ids)), -np.inf)
-        score = table.column("score").to_numpy()
-        held = a != b
-        sims[a[held], b[held]] = sims[b[held], a[held]] = score[held]
-        merged = [(i, c[0]) for c in agglomerate(sims, threshold - 10.0**-DIGITS, "complete") for i in c[1:]]
-        node, final = (ids[[m[k] for m in merged]] if merged else ids[:0] for k in (0, 1))
-        return pa.table([table.column("issue_type").take(pa.array([0] * len(merged), pa.int64())), pa.array(node), pa.array(final)], ["issue_type", "node", "final"])
+        sides = []
+        for table in (left, right):
+            ids = table.column("row_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            sides += [matrix(table, "total")[order], ids[order]]
+        found = left.num_rows and right.num_rows
+        ids, others, score = nearest_clusters(*sides) if found else (sides[1][:0], sides[3][:0], np.zeros(0))
+        keep = np.flatnonzero(score >= threshold - 10.0**-DIGITS)
+        return pa.table([left.column("issue_type").take(pa.array([0] * len(keep), pa.int64())), pa.array(ids[keep]), pa.array(others[keep]), pa.array(score[keep])], ["issue_type", "node", "other", "score"])
 
-    return edges.groupBy("issue_type").applyInArrow(run, f"issue_type string, node {kind}, final {kind}")
+    wanted = ["issue_type", "cluster", "total"]
+    left, right = asked.select(*wanted).withColumnRenamed("cluster", "ours"), rows.select(*wanted).withColumnRenamed("cluster", "theirs")
+    return bipartite(left, right, ["issue_type"], "ours", "theirs", compare, f"issue_type string, node {kind}, other {kind}, score double", MEETING)
 
 
 def _complete_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """As _average_rounds for complete linkage: pairs of clusters whose members are all linked, with their least similarity."""
-    kind = nodes.schema["node"].dataType.simpleString()
+    """As _average_rounds for complete linkage, but to the end: a cluster is the vectors of its nodes, and no pair is kept but a cluster's best.
 
-    def compare(left, right, same):
-        import numpy as np
-        import pyarrow as pa
+    A cluster without a partner will never have one and leaves; one is compared again if its best has merged. A type ends in
+    one task once at most `small` vectors are left of it.
+    """
+    large = stored(_large(nodes, small))
+    rows = stored(nodes.join(F.broadcast(large), "issue_type", "left_semi").select("issue_type", "node", "total", F.col("node").alias("cluster")))
+    best, done = None, []
 
-        scores = rounded(np.clip(matrix(left, "total") @ matrix(right, "total").T, -1, 1), DIGITS)
-        near = scores >= threshold - 10.0**-DIGITS
-        if same:
-            near = np.triu(near, 1)
-        i, j = np.nonzero(near)
-        columns = [left.column("issue_type").take(pa.array(i)), left.column("node").take(pa.array(i)), right.column("node").take(pa.array(j)), pa.array(scores[i, j])]
-        return pa.table(columns, ["issue_type", "a", "b", "score"])
-
-    inside = nodes.join(_large(nodes, small), "issue_type", "left_semi")
-    edges = pairwise(inside, ["issue_type"], "node", compare, f"issue_type string, a {kind}, b {kind}, score double")
-    edges = checkpoint(edges.select("issue_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", F.lit(1).cast("long").alias("links")))
-    parts = inside.select("issue_type", "node", F.lit(1).cast("long").alias("parts"))
-    final = None
-    while True:
-        # The types whose clusters fit one task are finished there: a pair without an edge can't merge, nor what it becomes part of.
-        counts = parts.groupBy("issue_type").count()
-        fits = checkpoint(counts.filter(F.col("count") <= small).select("issue_type"))
+    def without(table: DataFrame, types: DataFrame) -> DataFrame:
+        return table.join(F.broadcast(types), "issue_type", "left_anti")
+
+    while not rows.isEmpty():
+        fits = stored(rows.groupBy("issue_type").count().filter(F.col("count") <= small).select("issue_type"))
         if not fits.isEmpty():
-            ends = edges.join(F.broadcast(fits), "issue_type", "left_semi").select("issue_type", "a", "b", "score")
-            alone = parts.join(F.broadcast(fits), "issue_type", "left_semi").select("issue_type", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(None).cast("double").alias("score"))
-            step = checkpoint(_from_edges(ends.unionByName(alone), threshold, kind))
-            final = checkpoint(step if final is None else _moved(final, step.withColumnsRenamed({"node": "gone", "final": "keep"}), "final").unionByName(step))
-            edges = checkpoint(edges.join(F.broadcast(fits), "issue_type", "left_anti"))
-            parts = checkpoint(parts.join(F.broadcast(fits), "issue_type", "left_anti"))
-        offers = edges.select("issue_type", F.col("a").alias("node"), F.col("b").alias("other"), "score")
-        offers = offers.unionByName(edges.select("issue_type", F.col("b").alias("node"), F.col("a").alias("other"), "score"))
-        merges = checkpoint(_mutual(_best(offers)))
+            done.append(stored(_ended(rows.join(F.broadcast(fits), "issue_type", "left_semi"), threshold)))
+            rows, best = stored(without(rows, fits)), best if best is None else stored(without(best, fits))
+        asked = rows if best is None else rows.join(best.select("issue_type", F.col("node").alias("cluster")), ["issue_type", "cluster"], "left_anti")
+        found = _best(_complete_offers(asked, rows, threshold))
+        held, best = best, stored(found if best is None else best.unionByName(found))
+        if held is not None:
+            release(held)
+        merges = stored(_mutual(best))
+        ends = rows.join(best.select("issue_type", F.col("node").alias("cluster")), ["issue_type", "cluster"], "left_anti") if not merges.isEmpty() else rows
+        done.append(stored(ends.select("issue_type", "node", F.col("cluster").alias("final"))))
         if merges.isEmpty():
             break
-        step = merges.select("issue_type", F.col("gone").alias("node"), F.col("keep").alias("final"))
-        final = checkpoint(step if final is None else _moved(final, merges, "final").unionByName(step))
-        parts = checkpoint(_moved(parts, merges, "node").groupBy("issue_type", "node").agg(F.sum("parts").alias("parts")))
-        moved = _moved(_moved(edges, merges, "a"), merges, "b").filter("a <> b")
-        ends = moved.select("issue_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", "links")
-        joined = ends.groupBy("issue_type", "a", "b").agg(F.min("score").alias("score"), F.sum("links").alias("links"))
-        sizes = parts.withColumnRenamed("node", "a").withColumnRenamed("parts", "pa"), parts.withColumnRenamed("node", "b").withColumnRenamed("parts", "pb")
-        whole = joined.join(sizes[0], ["issue_type", "a"]).join(sizes[1], ["issue_type", "b"]).filter(F.col("links") == F.col("pa") * F.col("pb"))
-        edges = checkpoint(whole.select("issue_type", "a", "b", "score", "links"))
-    # These types are done: one vector doesn't stand for a cluster here, so what is left must not be merged by vectors.
-    whole = inside.select("issue_type", "node")
-    whole = whole.withColumn("final", F.col("node")) if final is None else whole.join(final, ["issue_type", "node"], "left").withColumn("final", F.coalesce("final", "node"))
-    return nodes.join(_large(nodes, small), "issue_type", "left_anti"), checkpoint(whole)
+        left = rows.join(best.select("issue_type", F.col("node").alias("cluster")), ["issue_type", "cluster"], "left_semi")
+        held, rows = rows, stored(_moved(left, merges, "cluster"))
+        release(held)
+        merged = merges.select("issue_type", F.explode(F.array("keep", "gone")).alias("node"))
+        held, best = best, stored(best.join(merged, ["issue_type", "node"], "left_anti").join(merged.withColumnRenamed("node", "other"), ["issue_type", "other"], "left_anti"))
+        release(held)
+        release(merges)
+    return nodes.join(F.broadcast(large), "issue_type", "left_anti"), stored(reduce(DataFrame.unionByName, done))
+
+
+def _ended(rows: DataFrame, threshold: float) -> DataFrame:
+    """(issue_type, node, final) of the clusters that complete linkage makes of the clusters of rows, one task an issue type."""
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        nodes, clusters = table.column("node").to_numpy(), table.column("cluster").to_numpy()
+        ids, own = np.unique(clusters, return_inverse=True)
+        final = ids[complete_rounds(matrix(table, "total"), threshold, own)]
+        return pa.table([table.column("issue_type"), pa.array(nodes), pa.array(final)], ["issue_type", "node", "final"])
+
+    return _apart(rows.select("issue_type", "node", "total", "cluster")).groupBy("issue_type").applyInArrow(run, f"issue_type string, node {kind}, final {kind}")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows dealt by ranges of types, as rows are few and their work is not: a type over a share's rows has a task of its own."""
+    return rows.repartitionByRange(max(SHARES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "issue_type")
 
 
 def _in_task(nodes: DataFrame, find) -> DataFrame:
@@ -314,7 +420,7 @@ def _in_task(nodes: DataFrame, find) -> DataFrame:
             out += [(group["issue_type"][0], ids[i], ids[min(cluster)]) for i in cluster]
         return pd.DataFrame(out, columns=["issue_type", "node", "final"])
 
-    return nodes.groupBy("issue_type").applyInPandas(run, f"issue_type string, node {kind}, final {kind}")
+    return _apart(nodes).groupBy("issue_type").applyInPandas(run, f"issue_type string, node {kind}, final {kind}")
 
 
 def _clusters(rows: DataFrame, rounds, find, merge_equal: bool, small: int) -> DataFrame:
@@ -356,11 +462,12 @@ def batch_clusters(rows: DataFrame, threshold: float = BATCH_THRESHOLD, small: i
     )
 
 
-def complete_link(rows: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+def complete_link(rows: DataFrame, threshold: float, small: int = HELD) -> DataFrame:
+    """As batch_clusters by complete linkage."""
     return _clusters(
         rows,
         lambda nodes, limit: _complete_rounds(nodes, threshold, limit),
-        lambda units, sizes: agglomerate(units @ units.T, threshold, "complete"),
+        lambda units, sizes: complete_link_in_task(units, threshold, min(small, SMALL)),
         threshold <= 1,
         small,
     )
@@ -375,9 +482,9 @@ def _greedy_rounds(nodes: DataFrame, threshold: float, small: int) -> tuple[Data
         middle = medoid(inside, with_self=False, digits=12).select(F.col("signal_id").alias("issue_type"), F.col("member_id").alias("final"))
         middle = middle.join(left.select("issue_type", F.col("node").alias("final"), F.col("total").alias("middle")), ["issue_type", "final"])
         near = (F.col("node") == F.col("final")) | (cosine(F.col("total"), F.col("middle")) >= threshold)
-        taken = checkpoint(left.join(middle, "issue_type").filter(near).select("issue_type", "node", "final"))
-        done = taken if done is None else checkpoint(done.unionByName(taken))
-        left = checkpoint(left.join(taken, ["issue_type", "node"], "left_anti"))
+        taken = stored(left.join(middle, "issue_type").filter(near).select("issue_type", "node", "final"))
+        done = taken if done is None else stored(done.unionByName(taken))
+        left = stored(left.join(taken, ["issue_type", "node"], "left_anti"))
     return left, done
 
 

@@ -102,7 +102,8 @@ def dashboard_baseline(baselines: DataFrame) -> DataFrame:
 
 def _unit(vec: str) -> Column:
     size = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(vec, lambda x: F.when(size == 0, 0.0).otherwise(x / size))
+    # In an array of its own the size is worked out once a vector; within the inner lambda it would be for each component.
+    return F.transform(F.array(size), lambda s: F.transform(vec, lambda x: F.when(s == 0, 0.0).otherwise(x / s)))[0]
 
 
 def _sums(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:

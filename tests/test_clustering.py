@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmill.operators import clustering as C
+from sigmill.operators.shared import release, stored
 from tests.plain_clustering import IncrementalGate as PlainGate
 from tests.plain_clustering import arrival_clusters
 
@@ -234,6 +235,32 @@ def test_complete_link_of_a_large_type_equals_one_task(spark, small):
     assert parted(C.complete_link(df, 0.3, small).collect()) == parted(C.complete_link(df, 0.3).collect())
 
 
+@pytest.mark.parametrize(("width", "threshold"), [(6, 0.55), (64, 0.2), (3, 0.9)])
+def test_complete_link_needs_no_matrix_and_no_pairs(monkeypatch, width, threshold):
+    """Also where a cluster is longer than the vectors of a step, and from clusters that are there."""
+    monkeypatch.setattr(C, "STEP", 16)
+    rng = np.random.default_rng(3)
+    units = rng.standard_normal((500, width))
+    units[5], units[40:80] = units[9], units[3]
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    want = sorted(map(sorted, C.agglomerate(units @ units.T, threshold, "complete")))
+    assert sorted(map(sorted, C.complete_link_in_task(units, threshold, 10))) == want
+    begun = np.arange(500)
+    begun[want[0]] = want[0][0]
+    own = C.complete_rounds(units, threshold, begun)
+    assert sorted(sorted(np.flatnonzero(own == c).tolist()) for c in np.unique(own)) == want
+
+
+def test_the_estimated_size_of_a_round_does_not_grow_with_rounds(spark):
+    """Joins multiply estimates; a round that inherits them makes numbers that fill the driver."""
+    df = spark.range(4).toDF("k")
+    for _ in range(3):
+        df = stored(df.join(df.hint("merge"), "k").join(df, "k"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
+    assert sorted(r.k for r in df.collect()) == [0, 1, 2, 3]
+    release(df)
+
+
 def test_large_types_are_clustered_in_a_task_without_a_matrix():
     rng = np.random.default_rng(8)
     units = rng.standard_normal((1_500, 6))
