@@ -42,6 +42,8 @@ MEETING = 16_384
 STEP = 256
 #: Ranges of issue types, at most, that are tasks of their own.
 SHARES = 64
+#: Shares to which islands are dealt, at least: a few long islands should not meet in one task.
+ISLAND_SHARES = 256
 #: Scores that round to the same value are equal.
 DIGITS = 9
 #: What rounding may take from the one pair that lifts a mean to the threshold.
@@ -528,7 +530,8 @@ def online_clusters(reports: DataFrame, policy: Policy, keys: list[str]) -> Data
     """
     rows = islands(usable(reports, keys), keys, policy.window)
     group = [*keys, "island"]
-    dealt = rows.repartition(*group).sortWithinPartitions(*group, "at", "report_id")
+    shares = max(ISLAND_SHARES, int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(shares, *group).sortWithinPartitions(*group, "at", "report_id")
 
     def run(batches):
         import pyarrow as pa

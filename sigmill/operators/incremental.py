@@ -7,7 +7,8 @@ most a window away from the report.
 
 Those members' sums are kept for all open clusters in one matrix: a report adds
 its vector, and members that leave the window take theirs away, each once. So a
-report costs a product with the open clusters, however many came before.
+report costs a product with the open clusters, however many came before. Pairs
+of clusters that are close are kept, and only clusters that changed are compared.
 Evidence, state and medoid depend on a cluster's last window alone and are
 worked out when they are read.
 """
@@ -129,8 +130,10 @@ class IncrementalGate:
         self.slots: list[Cluster | None] = []
         self.codes: dict = {None: 0}
         self.sums = None
-        #: Pairs of slots whose means are close enough to merge, and the slots whose sums have changed since these were compared.
-        self.close = None
+        #: Slots that hold no cluster.
+        self.free: list[int] = []
+        #: By slot, the slots of clusters whose means are close and filters alike, with their scores, and the slots changed since.
+        self.close: dict[int, dict[int, float]] = {}
         self.stale: set[int] = set()
 
     # -- windows ------------------------------------------------------------------------------------------------------
@@ -140,12 +143,13 @@ class IncrementalGate:
 
         if self.sums is None:
             self.sums, self.sizes, self.filters, self.taken = np.zeros((16, dimension)), np.zeros(16), np.zeros((16, 2), np.int64), np.zeros(16, np.int64)
-            self.slots, self.close = [None] * 16, np.zeros((16, 16), bool)
-        elif None not in self.slots:
+            self.means, self.slots, self.free = np.zeros((16, dimension)), [None] * 16, list(range(16))
+        elif not self.free:
+            self.free = list(range(len(self.slots), 2 * len(self.slots)))
             self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.filters, self.taken = np.concatenate([self.filters, np.zeros_like(self.filters)]), np.concatenate([self.taken, np.zeros_like(self.taken)])
+            self.means = np.concatenate([self.means, np.zeros_like(self.means)])
             self.slots += [None] * len(self.slots)
-            self.close = np.pad(self.close, (0, len(self.close)))
 
     def _code(self, value) -> int:
         return self.codes.setdefault(value, len(self.codes))
@@ -153,13 +157,15 @@ class IncrementalGate:
     def _open(self, cluster: Cluster, dimension: int) -> None:
         if cluster.slot is None:
             self._grow(dimension)
-            cluster.slot = self.slots.index(None)
+            cluster.slot = self.free.pop()
             self.slots[cluster.slot] = cluster
             self.sums[cluster.slot], self.sizes[cluster.slot], self.taken[cluster.slot] = 0, 0, 0
         self.filters[cluster.slot] = self._code(cluster.submission), self._code(cluster.error)
         self.stale.add(cluster.slot)
 
     def _shut(self, cluster: Cluster) -> None:
+        self.stale.add(cluster.slot)
+        self.free.append(cluster.slot)
         self.slots[cluster.slot], self.sizes[cluster.slot], cluster.slot = None, 0, None
 
     def _advance(self, at: int) -> None:
@@ -224,9 +230,17 @@ class IncrementalGate:
         if self.latest is None or at >= self.latest:
             self.latest = at
             self._advance(at)
-        clusters, sums, sizes, filters = self._view(at)
         wanted = np.array([self._code(submission), self._code(error)])
         best = None
+        if at >= self.latest and not p.single_max:
+            if len(slots := np.flatnonzero(self._matching(wanted))):
+                scores = (self.sums @ unit)[slots] / self.sizes[slots]
+                top = scores.max()
+                if top >= p.threshold - p.tolerance:
+                    best = min((self.slots[i] for i in slots[scores == top].tolist()), key=lambda c: c.id)
+            clusters = []
+        else:
+            clusters, sums, sizes, filters = self._view(at)
         if clusters:
             if p.single_max:
                 scores = np.array([max(float(m[3] @ unit) for m in c.recent if abs(m[2] - at) <= self.window) for c in clusters])
@@ -260,29 +274,64 @@ class IncrementalGate:
             self._reconcile(at, wanted)
         return root(best).id
 
-    def _any_close(self, wanted) -> bool:
-        """Whether any clusters that match the filters could merge; only those that changed are compared with the others."""
+    def _matching(self, wanted):
+        """Whether a slot holds a cluster whose filters match."""
         import numpy as np
 
-        held = np.flatnonzero(self.sizes > 0)
-        changed = np.array([s for s in self.stale if self.sizes[s] > 0], int)
+        found = self.sizes > 0 if self.sums is not None else np.zeros(0, bool)
+        for i in (0, 1):
+            if wanted[i] and len(found):
+                found &= (self.filters[:, i] == 0) | (self.filters[:, i] == wanted[i])
+        return found
+
+    def _compare(self) -> None:
+        """Compares the clusters that changed with the others."""
+        import numpy as np
+
+        for s in self.stale:
+            for other in self.close.pop(s, ()):
+                self.close[other].pop(s)
+        changed = [s for s in self.stale if self.sizes[s] > 0]
         self.stale.clear()
-        if len(changed):
-            # A little lower than the threshold: what rounding differs is told by the full comparison.
-            scores = (self.sums[changed] / self.sizes[changed, None]) @ (self.sums[held] / self.sizes[held, None]).T
-            near = scores >= self.policy.threshold - self.policy.tolerance - 1e-9
-            self.close[np.ix_(changed, held)], self.close[np.ix_(held, changed)] = near, near.T
-            self.close[changed, changed] = False
-        kept = held[self._same(self.filters[held], wanted)]
-        i, j = np.nonzero(self.close[np.ix_(kept, kept)])
-        return bool(len(i)) and bool(self._same(self.filters[kept[i]], self.filters[kept[j]]).any())
+        if not changed:
+            return
+        self.means[changed] = self.sums[changed] / self.sizes[changed, None]
+        scores = self.means[changed] @ self.means.T
+        i, j = np.nonzero((scores >= self.policy.threshold - 4 * self.policy.tolerance - 1e-9) & (self.sizes > 0))
+        mine = np.array(changed)[i]
+        kept = (mine != j) & self._same(self.filters[mine], self.filters[j])
+        for a, b, score in zip(mine[kept].tolist(), j[kept].tolist(), scores[i[kept], j[kept]].tolist(), strict=True):
+            self.close.setdefault(a, {})[b] = score
+            self.close.setdefault(b, {})[a] = score
 
     def _reconcile(self, anchor: int, wanted) -> None:
+        p = self.policy
+        if anchor < self.latest:
+            return self._settle(anchor, wanted)
+        while True:
+            self._compare()
+            match = self._matching(wanted).tolist()
+            pairs = sorted(
+                (self.slots[a].id, self.slots[b].id, score, a, b)
+                for a, others in self.close.items() if match[a]
+                for b, score in others.items() if match[b] and self.slots[a].id < self.slots[b].id
+            )
+            if any(score < p.threshold + 2 * p.tolerance for _, _, score, _, _ in pairs):
+                # At the threshold worse pairs tell whether a better one counts as better, so all are compared.
+                return self._settle(anchor, wanted)
+            if not pairs:
+                return None
+            best = pairs[0]
+            for pair in pairs:
+                if pair[2] > best[2] + p.tolerance:
+                    best = pair
+            self._merge(self.slots[best[3]], self.slots[best[4]])
+
+    def _settle(self, anchor: int, wanted) -> None:
+        """As _reconcile, by all pairs of clusters."""
         import numpy as np
 
         p = self.policy
-        if anchor >= self.latest and not self._any_close(wanted):
-            return
         clusters, sums, sizes, filters = self._view(anchor)
         kept = np.flatnonzero(self._same(filters, wanted)).tolist()
         kept.sort(key=lambda i: clusters[i].id)

@@ -261,6 +261,28 @@ def test_the_estimated_size_of_a_round_does_not_grow_with_rounds(spark):
     release(df)
 
 
+def test_a_report_compares_only_clusters_that_changed(monkeypatch):
+    """Merges come as of a comparison of all pairs, which is hardly ever made, also with filters and scores at the threshold."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((12, 16))
+    kinds, codes = [None, "SUBMITTED", "NOT_SUBMITTED"], [None, "E1", "E2"]
+    settled = []
+    settle = C.IncrementalGate._settle
+    monkeypatch.setattr(C.IncrementalGate, "_settle", lambda self, *a: settled.append(a) or settle(self, *a))
+    for threshold in (0.2, 0.5):
+        policy = C.Policy(window=60, threshold=threshold, min_sessions=2, review_sessions=3)
+        ours, plain, n = C.IncrementalGate(policy), PlainGate(policy), 240
+        for i in range(n):
+            vec = base[rng.integers(12)] + 0.8 * rng.standard_normal(16)
+            row = (i, int(rng.integers(9)), i * 2_000_000, vec, kinds[rng.integers(3)], codes[rng.integers(3)])
+            ours.add(*row)
+            plain.add(*row)
+        assert ours.closed == plain.closed
+        assert len(ours.closed) > 5
+        assert {c.id: sorted(m[0] for m in c.members) for c in ours.clusters.values()} == {c.id: sorted(m[0] for m in c.members) for c in plain.clusters.values()}
+    assert len(settled) < 10
+
+
 def test_large_types_are_clustered_in_a_task_without_a_matrix():
     rng = np.random.default_rng(8)
     units = rng.standard_normal((1_500, 6))
