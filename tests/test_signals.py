@@ -161,6 +161,17 @@ def test_pairs_of_keys_of_several_parts(spark, monkeypatch):
     assert sorted(pairs) == sorted(g for g in gaps if g[3] <= 600)
 
 
+def test_pairs_of_a_table_with_itself_are_made_one_way(spark, monkeypatch):
+    """Pieces that hold only lesser ids never become rows, and no pair is lost by them, in whatever column ids come."""
+    monkeypatch.setattr(gates, "PIECE", 4)
+    monkeypatch.setattr(gates, "PART", 20)
+    rows = spark.createDataFrame([(i % 2, None if i % 3 == 0 else f"E{i % 4}", float(i), (i * 37) % 90) for i in range(90)], "k int, error string, rest double, report_id long")
+    every = gates.gate_pairs(rows, rows, ["k"], ["error"]).filter("report_id < report_id_r")
+    met = gates.gate_pairs(rows, rows, ["k"], ["error"], "report_id")
+    assert met.columns == every.columns
+    assert sorted((r.report_id, r.report_id_r, r.rest, r.rest_r) for r in met.collect()) == sorted((r.report_id, r.report_id_r, r.rest, r.rest_r) for r in every.collect())
+
+
 @pytest.mark.parametrize("name", ["gate_pairs", "window_pairs"])
 def test_pairs_of_copies_take_few_bytes(spark, tmp_path, name):
     rows = spark.range(2_000).select(
